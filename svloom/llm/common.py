@@ -62,7 +62,7 @@ def write_whole(uri: str, parts) -> int:
     filesystem, path = shared_fs(uri.rpartition("/")[0])
     filesystem.create_dir(path, recursive=True)
     target, size = f"{path}/{uri.rpartition('/')[2]}", 0
-    with filesystem.open_output_stream(f"{target}.part") as out:
+    with filesystem.open_output_stream(f"{target}.part", compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)

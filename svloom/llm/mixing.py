@@ -2,7 +2,8 @@
 
 A document's place in its source is a hash of its doc_id. Words are summed by source and by the top bits
 of the hash; the bucket in which a source's budget ends is refined by the next bits, again and again, and
-everything below the threshold that results is taken. No source is sorted, and a hot source is spread over
+everything below the threshold that results is taken. Two more passes fill what the document at a boundary
+left of a budget with smaller ones. No source is sorted, and a hot source is spread over
 all its buckets before anything is shuffled.
 
 Defined cases: a null text has size 0; a null source is a source of its own (the last); rows with the same
@@ -20,7 +21,8 @@ from svloom.llm.common import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 HASH_BITS = 60
-LEVEL_BITS = 12
+LEVEL_BITS = 15
+PASSES = 3
 
 
 def word_count(text: Column) -> Column:
@@ -63,55 +65,67 @@ def targets(space: Workspace, sources: DataFrame, max_repeats: int) -> DataFrame
     return space.save(sources.withColumn("target", target), "targets")
 
 
-def thresholds(space: Workspace, sizes: DataFrame, sources: DataFrame) -> DataFrame:
-    """source, epochs, cut: a document is taken epochs times, and once more if its hash is below cut.
+def thresholds(space: Workspace, sizes: DataFrame, budgets: DataFrame, name: str, nearest: bool) -> DataFrame:
+    """source, cut, left from budgets (source, budget): documents of sizes with a place below cut are taken.
 
     Each level sums words by the next LEVEL_BITS bits within the bucket that holds the boundary, for all
-    sources at once; the sums of a level have at most 2**LEVEL_BITS rows for each source.
+    sources at once; a level has at most 2**LEVEL_BITS sums for each source. What is taken stays within
+    the budget, or with nearest goes beyond it where that is nearer. left: the budget that remains.
     """
-    size = F.col("source_size")
-    epochs = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
-    state = space.save(
-        sources.select("source", "source_size", "target", epochs.alias("epochs")).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")).select("source", "source_size", "target", "epochs", "budget", F.lit(0).cast("long").alias("low")),
-        "level-0",
-    )
+    state = space.save(budgets.select("source", F.col("budget").cast("double").alias("left"), F.lit(0).cast("long").alias("low")), f"{name}-0")
     for done in range(0, HASH_BITS, LEVEL_BITS):
         shift = HASH_BITS - done - LEVEL_BITS
         span = 1 << (HASH_BITS - done)
-        inside = sizes.join(state.select(F.col("source").alias("s"), "low"), F.col("source").eqNullSafe(F.col("s")))
-        inside = inside.filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(span)))
+        edges = state.select(F.col("source").alias("s"), "low")
+        inside = sizes.join(edges, sizes.source.eqNullSafe(edges.s)).filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(span)))
         sums = inside.groupBy("s", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        cum = sums.withColumn("upto", F.sum("words").over(run))
-        joined = state.join(cum, state.source.eqNullSafe(cum.s), "left")
-        last = shift == 0
-        beyond = F.col("upto") > F.col("budget")
-        edge = joined.groupBy("source", "source_size", "target", "epochs", "budget", "low").agg(
-            F.min(F.when(beyond, F.struct("bucket", "upto", "words"))).alias("e"), F.max(F.when(~beyond, F.col("upto"))).alias("below")
+        upto = sums.withColumn("upto", F.sum("words").over(run))
+        beyond = F.col("upto") > F.col("left")
+        edge = (
+            state.join(upto, state.source.eqNullSafe(upto.s), "left")
+            .groupBy("source", "left", "low")
+            .agg(F.min(F.when(beyond, F.struct("bucket", "upto"))).alias("e"), F.coalesce(F.max(F.when(~beyond, F.col("upto"))), F.lit(0)).alias("below"))
         )
         low = F.coalesce(F.shiftleft(F.col("e.bucket"), shift), F.col("low") + F.lit(span))
-        left = F.col("budget") - F.coalesce(F.col("below"), F.lit(0))
-        if last:
+        left = F.col("left") - F.col("below")
+        if nearest and shift == 0:
             # the rows of one hash value are taken together if that brings the sum nearer to the budget
-            take = F.col("e.upto") - F.col("budget") < left
-            low = F.when(F.col("e").isNotNull() & take, F.col("e.bucket") + 1).otherwise(low)
-        state = space.save(edge.select("source", "source_size", "target", "epochs", left.alias("budget"), low.alias("low")), f"level-{done + LEVEL_BITS}")
+            more = F.col("e").isNotNull() & (F.col("e.upto") - F.col("left") < left)
+            low, left = F.when(more, F.col("e.bucket") + 1).otherwise(low), F.when(more, F.col("left") - F.col("e.upto")).otherwise(left)
+        state = space.save(edge.select("source", left.alias("left"), low.alias("low")), f"{name}-{done + LEVEL_BITS}")
     return state.withColumnRenamed("low", "cut")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs."""
+    """doc_id, size, source_size, target, copies, taken for every row of docs.
+
+    A source's rows are taken floor(target / source_size) times, and those below its thresholds once more.
+    The first threshold leaves what the document at the boundary would have exceeded; the next ones look
+    among the documents that are not larger than what is left, so the sum comes ever nearer.
+    """
     space = Workspace(docs.sparkSession, "mix")
     sizes = space.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "sizes")
-    return _mixed(space, sizes, weights, max_repeats)
-
-
-def _mixed(space: Workspace, sizes: DataFrame, weights, max_repeats) -> DataFrame:
     sources = targets(space, ranked_sources(space, sizes, weights), max_repeats)
-    cuts = thresholds(space, sizes, sources).withColumnRenamed("source", "s")
-    copies = F.least(F.col("epochs") + F.when(F.col("place") < F.col("cut"), 1).otherwise(0), F.lit(max_repeats))
-    out = sizes.join(cuts, sizes.source.eqNullSafe(cuts.s)).withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    size = F.col("source_size")
+    epochs = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
+    state = sources.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * size)
+    budgets, rest, cuts = state.select("source", "budget"), sizes, []
+    for k in range(PASSES):
+        cut = thresholds(space, rest, budgets, f"pass{k}", nearest=k == PASSES - 1)
+        cut = cut.select(F.col("source").alias(f"s{k}"), F.col("cut").alias(f"cut{k}"), F.col("left").alias(f"left{k}"))
+        cuts.append(cut)
+        if k < PASSES - 1:
+            near = rest.join(cut, rest.source.eqNullSafe(cut[f"s{k}"])).filter((F.col("place") >= F.col(f"cut{k}")) & (F.col("size") <= F.col(f"left{k}")))
+            rest = space.save(near.select("doc_id", "source", "size", "place"), f"rest{k}")
+            budgets = cut.select(F.col(f"s{k}").alias("source"), F.col(f"left{k}").alias("budget"))
+    out, taken = sizes.join(state.select(F.col("source").alias("s"), "source_size", "target", "epochs"), sizes.source.eqNullSafe(F.col("s"))), F.lit(False)
+    for k, cut in enumerate(cuts):
+        out = out.join(cut, out.source.eqNullSafe(cut[f"s{k}"]))
+        fits = F.lit(True) if k == 0 else F.col("size") <= F.col(f"left{k - 1}")
+        taken = taken | (fits & (F.col("place") < F.col(f"cut{k}")))
+    copies = F.least(F.col("epochs") + taken.cast("long"), F.lit(max_repeats))
+    return out.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:

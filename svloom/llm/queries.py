@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.quality import score_documents
+
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.media import documents_as_media
+
+    return documents_as_media(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svloom.llm.mixing import mix
 
@@ -24,6 +37,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.warc import archive_pages
+
+    _, records = archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svloom.llm.tokenids import token_ids
 
@@ -31,8 +51,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_media_columns": op3_media_columns,
     "op4_mix_sources": op4_mix_sources,
     "op7_url_filter": op7_url_filter,
+    "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
 }
 
