@@ -97,6 +97,11 @@ def thresholds(space: Workspace, sizes: DataFrame, budgets: DataFrame, name: str
     return state.withColumnRenamed("low", "cut")
 
 
+def _fits(k: int) -> Column:
+    """Whether pass k looks at a document: its size is within what the pass before left, in the last pass within twice that."""
+    return F.lit(True) if k == 0 else F.col("size") <= F.col(f"left{k - 1}") * (2 if k == PASSES - 1 else 1)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row of docs.
 
@@ -116,14 +121,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
         cut = cut.select(F.col("source").alias(f"s{k}"), F.col("cut").alias(f"cut{k}"), F.col("left").alias(f"left{k}"))
         cuts.append(cut)
         if k < PASSES - 1:
-            near = rest.join(cut, rest.source.eqNullSafe(cut[f"s{k}"])).filter((F.col("place") >= F.col(f"cut{k}")) & (F.col("size") <= F.col(f"left{k}")))
+            near = rest.join(cut, rest.source.eqNullSafe(cut[f"s{k}"])).filter((F.col("place") >= F.col(f"cut{k}")) & _fits(k + 1))
             rest = space.save(near.select("doc_id", "source", "size", "place"), f"rest{k}")
             budgets = cut.select(F.col(f"s{k}").alias("source"), F.col(f"left{k}").alias("budget"))
     out, taken = sizes.join(state.select(F.col("source").alias("s"), "source_size", "target", "epochs"), sizes.source.eqNullSafe(F.col("s"))), F.lit(False)
     for k, cut in enumerate(cuts):
         out = out.join(cut, out.source.eqNullSafe(cut[f"s{k}"]))
-        fits = F.lit(True) if k == 0 else F.col("size") <= F.col(f"left{k - 1}")
-        taken = taken | (fits & (F.col("place") < F.col(f"cut{k}")))
+        taken = taken | (_fits(k) & (F.col("place") < F.col(f"cut{k}")))
     copies = F.least(F.col("epochs") + taken.cast("long"), F.lit(max_repeats))
     return out.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -19,6 +19,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svloom.llm.media import documents_as_media
 
@@ -31,6 +37,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.decontam import find_contamination
+
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "coverage", "n_slots")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svloom.llm.urlfilter import filter_urls
 
@@ -52,8 +65,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_html_extraction": op2_html_extraction,
     "op3_media_columns": op3_media_columns,
     "op4_mix_sources": op4_mix_sources,
+    "op5_decontamination": op5_decontamination,
     "op7_url_filter": op7_url_filter,
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
