@@ -44,6 +44,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_windows", "coverage", "n_slots")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svloom.llm.urlfilter import filter_urls
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_mix_sources": op4_mix_sources,
     "op5_decontamination": op5_decontamination,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_url_filter": op7_url_filter,
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
