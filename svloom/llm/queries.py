@@ -56,6 +56,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from svloom.llm.linedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from svloom.llm.warc import archive_pages
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_line_dedup": op8_line_dedup,
     "op9_warc": op9_warc,
     "op10_token_ids": op10_token_ids,
 }
