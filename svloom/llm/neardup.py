@@ -5,10 +5,12 @@
 2. Documents with equal sets are one class; only its smallest document goes on.
 3. In every bucket of a band, members are compared with the bucket's smallest document: first the
    signatures, then the full sets of the texts. Confirmed links give components.
-4. Buckets that still hold several components are searched in full, in blocks: signatures of members of
-   different components are compared within tasks, and only pairs whose signatures pass are given out
-   and confirmed on full sets. So no link that a band shows is lost, and a bucket of copies, which is one
-   component by then, costs nothing.
+4. Buckets that still hold several components are searched in full, in blocks: members of different
+   components are compared by signature within tasks. Of small buckets the pairs that pass are given out
+   and confirmed on full sets; members of large ones bring their texts along and are confirmed within the
+   task, which gives out links alone, one for each two components that meet. So no link that a band shows
+   is lost, no task gives out more rows than a fixed multiple of those it reads, and a bucket of copies,
+   which is one component by then, costs nothing.
 5. Components by alternating large-star and small-star.
 
 A similarity at the threshold shares no band with probability (1 - s**ROWS)**BANDS, 7e-7 at 0.85 and 7e-5
@@ -38,6 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 HASHES = BANDS * ROWS
 BLOCK = 512
+#: Buckets of up to so many members give out pairs, larger ones links alone.
+SMALL = 24
 CHUNK_BYTES = 1 << 22
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,56 +155,100 @@ def agreeing(pairs: DataFrame, signatures: DataFrame, least: int) -> DataFrame:
     return rows.select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """Members of buckets in groups key, i, j: blocks of about BLOCK rows, each pair of blocks once."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", (F.col("rep") == F.col("leader")).alias("leads"), *columns)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+
+def _by_group(batches, work):
+    """Arrow batches (a, b) of what work(key, rows) yields for each run of rows with equal first three columns."""
+    key, rows, out = None, [], []
+
+    def result():
+        return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for this, *row in zip(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True), *(c.to_pylist() for c in batch.columns[3:]), strict=True):
+            if this != key:
+                out += work(key, rows)
+                key, rows = this, []
+            rows.append(row)
+        if len(out) >= 10_000:
+            yield result()
+            out = []
+    out += work(key, rows)
+    yield result()
+
+
+def _apart(key, rows):
+    """For each row x of a group: (x, the later rows that it may be compared with).
+
+    Those are of another component and, between two blocks, of the other block; pairs with the leader were
+    compared before.
+    """
+    own, component, leads = (np.array([r[k] for r in rows]) for k in (0, 2, 3))
+    for x in range(len(rows) - 1):
+        fits = (component[x + 1 :] != component[x]) & ~leads[x + 1 :]
+        if leads[x] or not fits.any():
+            continue
+        if key[1] != key[2]:
+            fits &= own[x + 1 :] != own[x]
+        yield x, np.flatnonzero(fits) + x + 1
+
+
 def search_buckets(members: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of different components within a bucket whose signatures agree.
 
-    members: key, n, rep, component, leader, signature. A bucket is dealt out in blocks of about BLOCK rows, each
-    pair of blocks to one group of rows; pairs with the leader were compared before.
+    members: key, n, rep, component, leader, signature.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", (F.col("rep") == F.col("leader")).alias("leads"), "signature")
-    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def found(key, rows):
-        if len(rows) < 2:
-            return
-        i, j = key[1], key[2]
         signature = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, HASHES)
-        rep, component = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        own, leads = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
-        for x in range(len(rows) - 1):
-            rest = slice(x + 1, None)
-            fits = (component[rest] != component[x]) & ~leads[rest] & ~leads[x]
-            if i != j:
-                fits &= own[rest] != own[x]
-            if fits.any():
-                at = np.flatnonzero(fits) + x + 1
-                at = at[(signature[at] == signature[x]).sum(1) >= least]
-                yield from ((min(rep[x], r), max(rep[x], r)) for r in rep[at])
-
-    def search(batches):
-        key, rows, out = None, [], []
-
-        def result():
-            a, b = zip(*out, strict=True) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(map(int, a), pa.int64()), pa.array(map(int, b), pa.int64())], names=["a", "b"])
+        for x, at in _apart(key, rows):
+            for y in at[(signature[at] == signature[x]).sum(1) >= least]:
+                yield min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])
 
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for this, *row in zip(zip(*columns[:3], strict=True), *columns[3:], strict=True):
-                if this != key:
-                    out += found(key, rows)
-                    key, rows = this, []
-                rows.append(row)
-            if len(out) >= 10_000:
-                yield result()
-                out = []
-        out += found(key, rows)
-        yield result()
+    return _dealt(members, "signature").mapInArrow(lambda batches: _by_group(batches, found), "a long, b long").distinct()
 
-    return ordered.select("key", "i", "j", "own", "rep", "component", "leads", "signature").mapInArrow(search, "a long, b long").distinct()
+
+def link_buckets(members: DataFrame, least: int, k: int, similarity: float) -> DataFrame:
+    """Confirmed links (a, b) within large buckets, enough to join every two components that have one.
+
+    members: key, n, rep, component, leader, text. Sets are made from the texts in the task; components that
+    were joined in it are not compared again.
+    """
+    hundredths = round(similarity * 100)
+
+    def found(key, rows):
+        if len(rows) < 2:
+            return
+        sets = [_sets([r[4].encode()], k)[0] for r in rows]
+        least_of = [minima(s) for s in sets]
+        signature, bands = np.stack(least_of).astype(np.uint16), np.stack([band_keys(m) for m in least_of])
+        band = int(np.flatnonzero(bands[0] == key[0])[0])
+        root: dict[int, int] = {}
+
+        def top(c):
+            while c in root:
+                c = root[c]
+            return c
+
+        for x, at in _apart(key, rows):
+            # a pair that shares an earlier band is left to that band's bucket
+            at = at[((signature[at] == signature[x]).sum(1) >= least) & ~(bands[at, :band] == bands[x, :band]).any(1)]
+            for y in at:
+                a, b = top(rows[x][2]), top(rows[y][2])
+                if a == b:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= hundredths * (len(sets[x]) + len(sets[y]) - common):
+                    root[max(a, b)] = min(a, b)
+                    yield rows[x][1], rows[y][1]
+
+    return _dealt(members, "text").mapInArrow(lambda batches: _by_group(batches, found), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -234,10 +282,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     placed = members.join(comp, F.col("rep") == F.col("node"), "left").select("key", "n", "leader", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).filter("several").select("key")
-    rest = placed.filter("n > 2").join(open_keys, "key", "left_semi").join(signatures, "rep")
-    more = space.save(search_buckets(rest, least), "pairs")
+    rest = space.save(placed.filter("n > 2").join(open_keys, "key", "left_semi"), "open")
+    more = space.save(search_buckets(rest.filter(F.col("n") <= SMALL).join(signatures, "rep"), least), "pairs")
     links.append(space.save(confirm(more, texts, shingle, similarity), "more-links"))
-    comp = components(space, _edges([comp.select(F.col("node").alias("u"), F.col("component").alias("v")), links[-1]]))
+    links.append(space.save(link_buckets(rest.filter(F.col("n") > SMALL).join(texts, "rep"), least, shingle, similarity), "large-links"))
+    comp = components(space, _edges([comp.select(F.col("node").alias("u"), F.col("component").alias("v")), *links[-2:]]))
     component = F.coalesce("component", "doc_id")
     out = rows.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
