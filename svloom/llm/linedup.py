@@ -33,6 +33,8 @@ EXACT_BELOW, ONE_BELOW = 20, 40
 BLOCK = 512
 BINS = 32
 CHUNK_CHARS = 1 << 21
+#: So many line hashes (8 bytes each) are sent to every task to pick out their lines; more are shuffled with the lines.
+BROADCAST_HASHES = 1_000_000
 
 
 # ---------------------------------------------------------------- edit distance
@@ -256,7 +258,8 @@ def line_components(space: Workspace, docs: DataFrame, most: int) -> DataFrame:
     sizes = groups.groupBy("key").agg(F.min("h").alias("leader"), F.countDistinct("h").alias("n"))
     members = space.save(groups.join(sizes, "key").select("key", "n", "leader", "h", "role"), "members")
     space.drop(groups)
-    wanted = members.select("h").distinct()
+    wanted = space.save(members.select("h").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_HASHES else wanted
     lines = space.save(occurrences(docs).select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"]), "lines")
     stars = members.filter("h <> leader").select(F.col("leader").alias("a"), F.col("h").alias("b")).distinct()
     links = space.save(confirm_lines(stars, lines, most), "star-links")
