@@ -70,5 +70,9 @@ def write_whole(uri: str, parts) -> int:
     return size
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df has not."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -128,4 +128,4 @@ def _inconsistent(space: Workspace, hits: DataFrame, keyed: DataFrame, items: Da
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found."""
     found = find_contamination(docs, items, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (document_key(docs["text"]) == F.col("__hash")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (document_key(docs["text"]) == found["__hash"]), "left_anti")

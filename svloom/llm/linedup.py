@@ -269,7 +269,8 @@ def line_components(space: Workspace, docs: DataFrame, most: int) -> DataFrame:
     more = space.save(search_groups(placed.join(open_keys, "key", "left_semi").join(lines, "h"), most), "pairs")
     more = space.save(confirm_lines(more, lines, most), "more-links")
     comp = components(space, comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more.toDF("u", "v")))
-    return space.save(comp.select(F.col("node").alias("h"), "component"), "components")
+    nodes = comp.select(F.col("node").alias("h"), "component").union(comp.select(F.col("component").alias("h"), "component"))
+    return space.save(nodes.distinct(), "components")
 
 
 def judge_lines(docs: DataFrame, most: int = MAX_EDITS, space: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
@@ -301,7 +302,7 @@ def dedup_lines(docs: DataFrame, most: int = MAX_EDITS) -> DataFrame:
     """docs with the dropped lines taken out of text; texts that lose no line stay as they are."""
     _, gone = judge_lines(docs, most)
     per = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")), "left")
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(kept).alias("text")
+    joined = docs.join(per, docs["doc_id"].eqNullSafe(per["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == per["__hash"]), "left")
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(per["__gone"], i)), "\n")
+    text = F.when(per["__gone"].isNull(), docs["text"]).otherwise(kept).alias("text")
     return joined.select(*[text if c == "text" else docs[c] for c in docs.columns])

@@ -30,6 +30,8 @@ FRAME = 4096
 KEY_EVERY = 8
 #: Boxes that hold boxes, after so many bytes of their own.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"stsd": 8, b"dref": 8, b"meta": 4}
+#: Bytes that a box needs for what is read of it.
+SHORTEST = {b"mdhd": 20, b"stsd": 16, b"stco": 8, b"co64": 8, b"stsc": 8, b"stsz": 12, b"stss": 8, b"stts": 8}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -112,8 +114,10 @@ def read_media(data: bytes) -> list[dict]:
         if not tracks:
             continue
         track = tracks[-1]
+        if end - body < SHORTEST.get(kind, 0):
+            continue
         if kind == b"mdhd":
-            wide = data[body] == 1
+            wide = data[body] == 1 and end - body >= 32
             at = body + (20 if wide else 12)
             track["timescale"], track["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at)
         elif kind == b"stsd":
@@ -124,7 +128,7 @@ def read_media(data: bytes) -> list[dict]:
             track["stsc"] = _table(view, body, end, ">u4", 3)
         elif kind == b"stsz":
             same, n = struct.unpack_from(">II", data, body + 4)
-            track["sizes"] = np.full(n, same, np.int64) if same else _table(view, body, end, ">u4", skip=8)[:, 0]
+            track["sizes"] = np.full(min(n, len(data) // same + 1), same, np.int64) if same else _table(view, body, end, ">u4", skip=8)[:, 0]
         elif kind == b"stss":
             track["keys"] = _table(view, body, end, ">u4")[:, 0] - 1
         elif kind == b"stts":
@@ -138,7 +142,7 @@ def _with_ranges(track: dict) -> dict:
     per_chunk = np.zeros(len(chunks), np.int64)
     for k, (first, samples, _) in enumerate(runs.tolist()):
         last = int(runs[k + 1, 0]) - 1 if k + 1 < len(runs) else len(chunks)
-        per_chunk[first - 1 : last] = samples
+        per_chunk[max(first, 1) - 1 : max(last, 0)] = min(samples, len(sizes))
     owner = np.repeat(np.arange(len(chunks)), per_chunk)[: len(sizes)]
     sizes = sizes[: len(owner)]
     before = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace
+from svloom.llm.common import Workspace, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -117,12 +117,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     state = sources.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * size)
     budgets, rest, cuts = state.select("source", "budget"), sizes, []
     for k in range(PASSES):
-        cut = thresholds(space, rest, budgets, f"pass{k}", nearest=k == PASSES - 1)
+        cut = thresholds(space, rest.filter(_fits(k)), budgets, f"pass{k}", nearest=k == PASSES - 1)
         cut = cut.select(F.col("source").alias(f"s{k}"), F.col("cut").alias(f"cut{k}"), F.col("left").alias(f"left{k}"))
         cuts.append(cut)
         if k < PASSES - 1:
-            near = rest.join(cut, rest.source.eqNullSafe(cut[f"s{k}"])).filter((F.col("place") >= F.col(f"cut{k}")) & _fits(k + 1))
-            rest = space.save(near.select("doc_id", "source", "size", "place"), f"rest{k}")
+            untaken = rest.join(cut, rest.source.eqNullSafe(cut[f"s{k}"])).filter(~(_fits(k) & (F.col("place") < F.col(f"cut{k}"))))
+            rest = space.save(untaken.select("doc_id", "source", "size", "place", f"left{k}"), f"rest{k}")
             budgets = cut.select(F.col(f"s{k}").alias("source"), F.col(f"left{k}").alias("budget"))
     out, taken = sizes.join(state.select(F.col("source").alias("s"), "source_size", "target", "epochs"), sizes.source.eqNullSafe(F.col("s"))), F.lit(False)
     for k, cut in enumerate(cuts):
@@ -135,6 +135,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs."""
     copies = mix(docs, weights, max_repeats).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__id")))
-    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    name = free_name(docs, "copy")
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies["__copies"])).alias(name)).drop(name)

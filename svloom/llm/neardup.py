@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace
+from svloom.llm.common import Workspace, free_name
 from svloom.llm.graph import components
 from svloom.llm.hashing import mix, shingles, word_hashes
 
@@ -310,9 +310,11 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     per = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
     gone = per.filter("not __kept").select("__id")
     several = per.filter("__kept and __n > 1").select("__id")
-    single = docs.join(gone.union(several), docs["doc_id"] == F.col("__id"), "left_anti")
+    apart = gone.union(several)
+    single = docs.join(apart, docs["doc_id"].eqNullSafe(apart["__id"]), "left_anti")
     if several.isEmpty():
         return single
     order = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(several, docs["doc_id"] == F.col("__id"), "left_semi").withColumn("__row", F.row_number().over(order)).filter("__row = 1").drop("__row")
+    name = free_name(docs, "row")
+    first = docs.join(several, docs["doc_id"] == several["__id"], "left_semi").withColumn(name, F.row_number().over(order)).filter(F.col(name) == 1).drop(name)
     return single.unionByName(first)

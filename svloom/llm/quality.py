@@ -180,4 +180,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not rejected; a row is known by its doc_id and its text's hash."""
     bad = score_documents(docs, labels, threshold).filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (text_hash(docs["text"]) == F.col("__hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (text_hash(docs["text"]) == bad["__hash"]), "left_anti")
