@@ -91,15 +91,22 @@ def genotype_bayes(ref: Column, alt: Column, error: Column, bias: float = 0.7) -
 
 
 def genotype_em(ref: Column, alt: Column, error: Column, rounds: int = 100) -> Column:
-    """Fixed number of rounds over three weights; the likelihoods are computed once."""
-    likelihood = F.array(F.pow(1.0 - error, ref) * F.pow(error, alt), F.pow(0.5 * (1.0 - error), ref) * F.pow(0.5 * (1.0 - error), alt), F.pow(error, ref) * F.pow(1.0 - error, alt))
-
-    def step(p, _):
-        new = F.zip_with(likelihood, p, lambda x, y: x * y)
-        return F.transform(new, lambda x: x / F.greatest(new[0] + new[1] + new[2], F.lit(1e-50)))
-
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(*[F.lit(0.3)] * 3), step, lambda p: F.when((p[0] > p[1]) & (p[0] > p[2]), "0/0").when((p[1] > p[0]) & (p[1] > p[2]), "0/1").otherwise("1/1"))
-    return last
+    """Fixed number of rounds over three weights; the likelihoods are computed once and carried along."""
+    first = F.struct(
+        (F.pow(1.0 - error, ref) * F.pow(error, alt)).alias("l0"), (F.pow(0.5 * (1.0 - error), ref) * F.pow(0.5 * (1.0 - error), alt)).alias("l1"),
+        (F.pow(error, ref) * F.pow(1.0 - error, alt)).alias("l2"), *[F.lit(0.3).alias(f"p{k}") for k in range(3)],
+    )
+
+    def step(acc, _):
+        weighted = F.struct(*[(acc[f"l{k}"] * acc[f"p{k}"]).alias(f"w{k}") for k in range(3)])
+        total = lambda w: F.greatest(w["w0"] + w["w1"] + w["w2"], F.lit(1e-50))
+        after = lambda w: F.struct(*[acc[f"l{k}"].alias(f"l{k}") for k in range(3)], *[(w[f"w{k}"] / total(w)).alias(f"p{k}") for k in range(3)])
+        return F.get(F.transform(F.array(weighted), after), 0)
+
+    def best(p):
+        return F.when((p["p0"] > p["p1"]) & (p["p0"] > p["p2"]), "0/0").when((p["p1"] > p["p0"]) & (p["p1"] > p["p2"]), "0/1").otherwise("1/1")
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step, best)
 
 
 def genotype_ratio(ref: Column, alt: Column, threshold: float = 0.7) -> Column:

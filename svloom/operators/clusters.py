@@ -97,7 +97,9 @@ def density_clusters(sig: DataFrame, order: list[str]) -> DataFrame:
             for j in near:
                 b = top(int(j))
                 if a != b:
-                    a, root[max(a, b)] = min(a, b), min(a, b)
+                    low = min(a, b)
+                    root[max(a, b)] = low
+                    a = low
         block["cluster"] = [top(i) for i in range(len(block))]
         return block
 
