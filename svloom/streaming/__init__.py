@@ -1 +1 @@
-
+"""Nothing yet: the operators are batch work over an ordered integer axis, without event time or late data."""
