@@ -8,6 +8,7 @@ large as the local density makes it, is swept in one task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,10 +80,14 @@ def density_clusters(sig: DataFrame, order: list[str]) -> DataFrame:
     split = first.withColumn("__new", F.coalesce((F.col("end") - F.lag("end").over(second) > F.col("eps")).cast("long"), F.lit(1)))
     split = split.withColumn("part", F.sum("__new").over(second.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
-    def sweep(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["start", *order], kind="stable").reset_index(drop=True)
-        starts, ends, eps = block["start"].to_numpy(np.float64), block["end"].to_numpy(np.float64), float(block["eps"].iloc[0])
-        root = np.arange(len(block))
+    group = [*keys, "block", "part"]
+
+    def label(starts: np.ndarray, ends: np.ndarray, eps: float) -> list[int]:
+        """For each point of a block, sorted by start, the first point of its cluster."""
+        n = len(starts)
+        if n == 1:
+            return [0]
+        root = list(range(n))
 
         def top(i: int) -> int:
             while root[i] != i:
@@ -91,20 +96,37 @@ def density_clusters(sig: DataFrame, order: list[str]) -> DataFrame:
             return i
 
         reach = np.searchsorted(starts, starts + eps, side="right")
-        for i in range(len(block)):
+        for i in range(n - 1):
             a = top(i)
-            near = np.flatnonzero((starts[i + 1 : reach[i]] - starts[i]) ** 2 + (ends[i + 1 : reach[i]] - ends[i]) ** 2 <= eps * eps) + i + 1
-            for j in near:
-                b = top(int(j))
+            near = np.flatnonzero((starts[i + 1 : reach[i]] - starts[i]) ** 2 + (ends[i + 1 : reach[i]] - ends[i]) ** 2 <= eps * eps)
+            for j in (near + i + 1).tolist():
+                b = top(j)
                 if a != b:
                     low = min(a, b)
                     root[max(a, b)] = low
                     a = low
-        block["cluster"] = [top(i) for i in range(len(block))]
-        return block
+        return [top(i) for i in range(n)]
+
+    def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks come one after the other; the last one of a batch waits for its rest."""
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            new = np.flatnonzero(np.concatenate([[True], (frame[group].iloc[1:].to_numpy() != frame[group].iloc[:-1].to_numpy()).any(1)]))
+            yield labelled(frame.iloc[: new[-1]], new)
+            held = frame.iloc[new[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield labelled(held, np.zeros(1, int))
+
+    def labelled(frame: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+        starts, ends, eps, out = frame["start"].to_numpy(np.float64), frame["end"].to_numpy(np.float64), frame["eps"].to_numpy(), []
+        edges = [*new[new < len(frame)].tolist(), len(frame)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            out += label(starts[lo:hi], ends[lo:hi], float(eps[lo]))
+        return frame.assign(cluster=np.array(out, np.int64))
 
     schema = split.withColumn("cluster", F.lit(0).cast("long")).schema
-    return split.groupBy(*keys, "block", "part").applyInPandas(sweep, schema)
+    return split.repartition(*group).sortWithinPartitions(*group, "start", *order).mapInPandas(sweep, schema)
 
 
 def summarise(clustered: DataFrame, keys: list[str], cap: int = MAX_SIZE) -> DataFrame:
