@@ -91,6 +91,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> {}) & 31 AS INT), 1)"
 
 ORACLE_SQL: dict[str, str] = {
+    # caps in the order of size by weight, then three passes over the documents of a source by their hash
+    "op4_mix_sources": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS place FROM documents),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+      o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source) AS k FROM s),
+      f AS (SELECT j, (SELECT sum(source_size) FROM o) - coalesce((SELECT sum(3 * source_size) FROM o WHERE k <= j), 0) AS free, (SELECT sum(w) FROM o WHERE k > j) AS ws FROM (SELECT unnest(range(0, (SELECT count(*) FROM o)::BIGINT)) AS j)),
+      b AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = f.j + 1 AND CAST(f.free AS DOUBLE) * o.w / CAST(f.ws AS DOUBLE) > 3 * o.source_size) ORDER BY j LIMIT 1),
+      t AS (SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 WHEN k <= j THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(free AS DOUBLE) * w / CAST(ws AS DOUBLE) END AS target FROM o, b),
+      e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+      p0 AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS budget, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS c0 FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+      q0 AS (SELECT *, c0 <= budget AS t0, budget - coalesce(max(c0) FILTER (WHERE c0 <= budget) OVER (PARTITION BY source), 0) AS left0 FROM p0),
+      p1 AS (SELECT *, NOT t0 AND size <= left0 AS in1, sum(CASE WHEN NOT t0 AND size <= left0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) AS c1 FROM q0),
+      q1 AS (SELECT *, in1 AND c1 <= left0 AS t1, left0 - coalesce(max(c1) FILTER (WHERE in1 AND c1 <= left0) OVER (PARTITION BY source), 0) AS left1 FROM p1),
+      p2 AS (SELECT *, NOT t0 AND NOT t1 AND size <= 2 * left1 AS in2, sum(CASE WHEN NOT t0 AND NOT t1 AND size <= 2 * left1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY place) AS c2 FROM q1),
+      q2 AS (SELECT *, coalesce(max(c2) FILTER (WHERE in2 AND c2 <= left1) OVER (PARTITION BY source), 0) AS below, min(c2) FILTER (WHERE in2 AND c2 > left1) OVER (PARTITION BY source) AS edge FROM p2),
+      r AS (SELECT *, least(epochs + CASE WHEN t0 OR t1 OR (in2 AND (c2 <= left1 OR (c2 = edge AND edge - left1 < left1 - below))) THEN 1 ELSE 0 END, 3) AS copies FROM q2)
+      SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(size * copies AS BIGINT) AS taken FROM r""",
     # all pairs that share a shingle, and the smallest doc_id that links lead to
     "op6_minhash_near_dedup": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
       s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)]) END AS s FROM w),
