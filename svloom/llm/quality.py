@@ -66,7 +66,7 @@ def statistics(payload: bytes) -> list[float]:
         math.log1p(n),
         math.log1p(w),
         math.log((n - space + 20.0) / (w + 4.0)),
-        _odds(upper, upper + lower, 0.04),
+        _odds(upper, upper + lower, 0.04, 80.0),
         _odds(digit, n, 0.005),
         _odds(symbol, n, 0.003),
         _odds(stop, n, 0.03),
