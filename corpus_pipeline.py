@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from svloom.llm.common import Workspace
@@ -12,26 +14,52 @@ from svloom.llm.quality import keep_good
 from svloom.llm.tokenids import token_ids
 
 
+#: Scratch tables of the stages so far.
+_LEFT: list[Workspace] = []
+
+
+def staged(stage):
+    """A stage that first deletes the scratch tables of earlier stages, unless its docs still read them."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles()
+        for space in [s for s in _LEFT if not any(s.name in f for f in files)]:
+            space.drop(space.path)
+            _LEFT.remove(space)
+        before = len(Workspace.created)
+        out = stage(spark, docs, sf_dir)
+        _LEFT.extend(Workspace.created[before:])
+        return out
+
+    return run_stage
+
+
+@staged
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return deduplicate(docs)
 
 
+@staged
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as the mix of their source wants, some not at all."""
     return mix_documents(docs)
 
 
+@staged
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids go to shard files; the result has each document's place in them."""
     return token_ids(docs)

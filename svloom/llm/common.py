@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,10 +25,15 @@ def shared_root(spark: SparkSession) -> str:
 class Workspace:
     """Written tables of one run below the shared folder; they cut lineage and survive executors."""
 
+    #: All of this process, in the order in which they were made.
+    created: list["Workspace"] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/svloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.name = f"svloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.path = f"{shared_root(spark)}/{self.name}"
         self._n = 0
+        Workspace.created.append(self)
 
     def folder(self, name: str) -> str:
         """A new sub-folder for files that tasks write themselves."""
@@ -70,6 +76,15 @@ def write_whole(uri: str, parts) -> int:
     return size
 
 
+#: Rows of a few numbers each that are sent to every task at most (tens of MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has at most BROADCAST_ROWS rows, else as it is, to be shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df has not."""
     taken, name = {c.lower() for c in df.columns}, base

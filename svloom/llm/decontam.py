@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace
+from svloom.llm.common import Workspace, small
 
 WINDOW, MIN_WORDS, COVERAGE = 5, 3, 0.5
 #: Windows of a benchmark of up to so many rows are sent to every task (about 64 bytes a row); more are shuffled.
@@ -128,4 +128,5 @@ def _inconsistent(space: Workspace, hits: DataFrame, keyed: DataFrame, items: Da
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found."""
     found = find_contamination(docs, items, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    found = small(Workspace(docs.sparkSession, "contaminated").save(found, "contaminated"))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (document_key(docs["text"]) == found["__hash"]), "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, free_name
+from svloom.llm.common import Workspace, free_name, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -135,6 +135,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs."""
     copies = mix(docs, weights, max_repeats).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    copies = small(Workspace(docs.sparkSession, "copies").save(copies, "copies"))
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
     name = free_name(docs, "copy")
     return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies["__copies"])).alias(name)).drop(name)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, free_name
+from svloom.llm.common import Workspace, free_name, small
 from svloom.llm.graph import components
 from svloom.llm.hashing import mix, shingles, word_hashes
 
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     stars = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     stars = space.save(agreeing(stars, signatures, least), "stars")
 
-    wanted = members.select("rep").distinct()
+    wanted = small(space.save(members.select("rep").distinct(), "wanted"))
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
     texts = space.save(texts.dropDuplicates(["rep"]), "texts")
     links.append(space.save(confirm(stars, texts, shingle, similarity), "star-links"))
@@ -287,6 +287,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     links.append(space.save(confirm(more, texts, shingle, similarity), "more-links"))
     links.append(space.save(link_buckets(rest.filter(F.col("n") > SMALL).join(texts, "rep"), least, shingle, similarity), "large-links"))
     comp = components(space, _edges([comp.select(F.col("node").alias("u"), F.col("component").alias("v")), *links[-2:]]))
+    for done in (classes, heads, members, stars, texts, rest, more, *links):
+        space.drop(done)
     component = F.coalesce("component", "doc_id")
     out = rows.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -310,7 +312,7 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     per = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
     gone = per.filter("not __kept").select("__id")
     several = per.filter("__kept and __n > 1").select("__id")
-    apart = gone.union(several)
+    apart = small(space.save(gone.union(several), "apart"))
     single = docs.join(apart, docs["doc_id"].eqNullSafe(apart["__id"]), "left_anti")
     if several.isEmpty():
         return single

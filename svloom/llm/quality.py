@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace
+from svloom.llm.common import Workspace, small
 
 THRESHOLD = 0.3
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.10, 0.05, 1e-3
@@ -179,5 +179,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not rejected; a row is known by its doc_id and its text's hash."""
-    bad = score_documents(docs, labels, threshold).filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    scored = score_documents(docs, labels, threshold)
+    bad = scored.filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    bad = small(Workspace(docs.sparkSession, "rejected").save(bad, "rejected"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (text_hash(docs["text"]) == bad["__hash"]), "left_anti")
