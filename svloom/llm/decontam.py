@@ -5,23 +5,27 @@ into typed placeholders, other words are lower-cased, punctuation goes. Windows
 of documents are hash-joined with those of the benchmark. For the few pairs that meet, the values that the
 placeholders stand for are compared: along one alignment of document and item, each value of the item must
 stand for one value of the document. An item is found in a document if the windows that pass cover at
-least COVERAGE of its windows, so exact copies and copies with other numbers, units or names are caught.
+least COVERAGE of its windows, so exact copies and copies with other numbers, units or names are caught, or
+if windows that pass along one alignment cover RUN tokens on end, so that a long passage of a longer item is
+caught as well. An item of fewer than WINDOW tokens is one window as a whole.
 
-Defined cases: null and empty texts have no windows; an item of fewer than WINDOW tokens, or whose windows
-all have fewer than MIN_WORDS plain words, is too unspecific and matches nothing; a null item_id is kept as
-null; rows that repeat give the same pair once; documents are known by doc_id and text together; an empty
+Defined cases: null and empty texts have no windows; an item whose windows all have fewer than MIN_WORDS
+plain words, such as one of fewer than MIN_WORDS tokens, is too unspecific and matches nothing; a null
+item_id is kept as null; rows that repeat give the same pair once; documents are known by doc_id and text together; an empty
 table on either side gives no pair; columns besides doc_id, text and item_id are ignored by the search and
 kept by drop_contaminated, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from svloom.llm.common import Workspace, small
 
 WINDOW, MIN_WORDS, COVERAGE = 5, 3, 0.5
+#: So many tokens on end along one alignment are a passage of an item, whatever the share of the item.
+RUN = 13
 #: Windows of a benchmark of up to so many rows are sent to every task (about 64 bytes a row); more are shuffled.
 BROADCAST_WINDOWS = 1_000_000
 #: The units that are recognised after a number.
@@ -48,48 +52,71 @@ def template_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{NUM}{UNI}{NAM}]|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def hashed_windows(rows: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """keys, place and hash of every window of text."""
+def hashed_windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """keys, place and hash of every window of text, of each size."""
     hashes = rows.select(*keys, F.transform(template_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
-    windows = F.when(F.size("h") >= window, F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(window)])))
-    return hashes.select(*keys, F.posexplode(windows).alias("place", "hash"))
+    out = None
+    for size in sizes:
+        windows = F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(size)])))
+        part = hashes.select(*keys, F.posexplode(windows).alias("place", "hash"))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def benchmark_windows(items: DataFrame, window: int, min_words: int) -> DataFrame:
-    """item_id, place, hash, and total: the item's number of different windows that are specific enough."""
+    """item_id, place, size, hash, n_slots, and total: the item's number of different windows that are specific enough."""
     rows = items.select("item_id", "text").distinct()
-    tokens = rows.select("item_id", template_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") >= window)
-    at = tokens.select("item_id", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - window)).alias("place"))
+    tokens = rows.select("item_id", template_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    sized = tokens.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t))).withColumn("size", F.least(F.lit(window), F.size("tokens")))
+    at = sized.select("item_id", "tokens", "h", "size", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("place"))
     part = F.slice("tokens", F.col("place") + 1, window)
     words = F.size(F.filter(part, lambda t: ~t.isin(NUM, UNI, NAM)))
     slots = F.size(F.filter(part, lambda t: t.isin(NUM, UNI, NAM)))
-    hashed = at.filter(words >= min_words).select("item_id", "place", slots.alias("n_slots"), F.xxhash64(*[F.xxhash64(F.get("tokens", F.col("place") + k)) for k in range(window)]).alias("hash"))
+    # tokens beyond a short item are null, which xxhash64 passes over
+    hashed = at.filter(words >= min_words).select("item_id", "place", "size", slots.alias("n_slots"), F.xxhash64(*[F.get("h", F.col("place") + k) for k in range(window)]).alias("hash"))
     totals = hashed.groupBy(F.col("item_id").alias("__item")).agg(F.countDistinct("hash").alias("total"))
-    return hashed.join(totals, F.col("item_id").eqNullSafe(F.col("__item"))).select("item_id", "place", "hash", "n_slots", "total")
+    return hashed.join(totals, F.col("item_id").eqNullSafe(F.col("__item"))).select("item_id", "place", "size", "hash", "n_slots", "total")
 
 
 def document_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, coverage: float = COVERAGE) -> DataFrame:
+def longest_runs(hits: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """hits with `run`: the tokens on end that the hits around cover along one alignment.
+
+    Hits up to `window` places apart leave no token between them uncovered.
+    """
+    line = [*keys, "line"]
+    before = F.lag("item_place").over(Window.partitionBy(*line).orderBy("item_place"))
+    cut = hits.withColumn("cut", F.when(F.col("item_place") - before <= window, 0).otherwise(1))
+    island = cut.withColumn("island", F.sum("cut").over(Window.partitionBy(*line).orderBy("item_place")))
+    of = Window.partitionBy(*line, "island")
+    return island.withColumn("run", F.max(F.col("item_place") + F.col("size")).over(of) - F.min("item_place").over(of)).drop("cut", "island")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, coverage, n_slots of every item found in a document."""
     space = Workspace(docs.sparkSession, "decontam")
     bench = space.save(benchmark_windows(items, window, min_words), "benchmark")
     keyed = docs.select("doc_id", document_key(F.col("text")).alias("text_hash"), "text")
     small = bench.count() <= BROADCAST_WINDOWS
-    known = bench.select("item_id", F.col("place").alias("item_place"), "hash", "n_slots", "total")
-    hits = hashed_windows(keyed, ["doc_id", "text_hash"], window).join(F.broadcast(known) if small else known, "hash")
-    hits = space.save(hits.select("doc_id", "text_hash", "item_id", "place", "item_place", "hash", "n_slots", "total").distinct(), "hits")
+    sizes = sorted({window, *(r[0] for r in bench.select("size").distinct().collect())})
+    known = bench.select("item_id", F.col("place").alias("item_place"), "size", "hash", "n_slots", "total")
+    hits = hashed_windows(keyed, ["doc_id", "text_hash"], sizes).join(F.broadcast(known) if small else known, "hash")
+    line = (F.col("place") - F.col("item_place")).alias("line")
+    hits = space.save(hits.select("doc_id", "text_hash", "item_id", "place", "item_place", line, "size", "hash", "n_slots", "total").distinct(), "hits")
     pair = ["doc_id", "text_hash", "item_id"]
-    covered = F.countDistinct("hash")
-    likely = space.save(hits.groupBy(*pair, "total").agg(covered.alias("n")).filter(F.col("n") >= coverage * F.col("total")).select(*pair), "likely")
+
+    def passing(rows: DataFrame) -> DataFrame:
+        sums = longest_runs(rows, pair, window).groupBy(*pair, "total").agg(F.countDistinct("hash").alias("n_windows"), F.max("run").alias("run"), F.max("n_slots").alias("n_slots"))
+        return sums.filter((F.col("n_windows") >= coverage * F.col("total")) | (F.col("run") >= run))
+
+    likely = space.save(passing(hits).select(*pair), "likely")
     hits = _semi(hits, likely, pair)
     bad = _inconsistent(space, hits.filter("n_slots > 0"), keyed, items, window)
-    line = F.col("place") - F.col("item_place")
-    good = _anti(hits.withColumn("line", line), bad, [*pair, "line", "item_place"])
-    found = good.groupBy(*pair, "total").agg(covered.alias("n_windows"), F.max("n_slots").alias("n_slots"))
-    return found.filter(F.col("n_windows") >= coverage * F.col("total")).select(*pair, "n_windows", F.round(F.col("n_windows") / F.col("total"), 4).alias("coverage"), F.col("n_slots").cast("long").alias("n_slots"))
+    found = passing(_anti(hits, bad, [*pair, "line", "item_place"]))
+    return found.select(*pair, "n_windows", F.round(F.col("n_windows") / F.col("total"), 4).alias("coverage"), F.col("n_slots").cast("long").alias("n_slots"))
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -185,6 +185,23 @@ def test_decontamination_equals_containment(spark, sf):
     assert {(r.doc_id, r.item_id) for r in decontam.find_contamination(docs, items).collect()} == want
 
 
+def test_decontamination_finds_passages_and_short_items(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ta") for b in ("ba", "de", "fi", "go", "hu", "ja", "ke", "li")][:59]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "three plain words"), (3, "too short")], "item_id int, text string")
+    texts = [" ".join(["before", *words[20:50], "after"]), " ".join(["x", *words[5:18], "y"]), " ".join(["x", *words[5:17], "y"]), " ".join([*words[5:15], "x", *words[16:26]]), "Here are three plain words on end.", "Three plain words", "three words plain", "too short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): r.n_windows for r in decontam.find_contamination(docs, items).collect()}
+    assert rows == {(0, 1): 26, (1, 1): 9, (4, 2): 1, (5, 2): 1}
+
+
+def test_decontamination_runs_keep_values_consistent(spark):
+    item = "we count 3 birds on every roof and note 3 cats under every car before the long rain begins again over quiet hills and empty fields where nobody walks at night anymore since winter came early"
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    part = "we count {} birds on every roof and note {} cats under every"
+    docs = spark.createDataFrame([(0, part.format(5, 5)), (1, part.format(5, 6))], "doc_id long, text string")
+    assert [r.doc_id for r in decontam.find_contamination(docs, items).collect()] == [0]
+
+
 # ---------------------------------------------------------------- 6 near-duplicates
 def _sets(texts, k):
     out = {}
