@@ -9,6 +9,9 @@ least COVERAGE of its windows, so exact copies and copies with other numbers, un
 if windows that pass along one alignment cover RUN tokens on end, so that a long passage of a longer item is
 caught as well. An item of fewer than WINDOW tokens is one window as a whole.
 
+A second set of windows has the tokens as they stand, in lower case and without placeholders, so that copies
+in other case, in which names are told from words no more, are caught. An item is found if either set passes.
+
 Defined cases: null and empty texts have no windows; an item whose windows all have fewer than MIN_WORDS
 plain words, such as one of fewer than MIN_WORDS tokens, is too unspecific and matches nothing; a null
 item_id is kept as null; rows that repeat give the same pair once; documents are known by doc_id and text together; an empty
@@ -52,30 +55,42 @@ def template_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{NUM}{UNI}{NAM}]|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
+def plain_tokens(text: Column) -> Column:
+    """The tokens as they stand, in lower case."""
+    return F.transform(raw_tokens(text), lambda t: F.lower(t))
+
+
 def hashed_windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, place and hash of every window of text, of each size."""
-    hashes = rows.select(*keys, F.transform(template_tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("h"))
+    """keys, place and hash of every window of text, of each size, in both sets; once where the sets agree."""
+    texts = F.col("text")
+    hashes = rows.select(*keys, *[F.transform(tokens(texts), lambda t: F.xxhash64(t)).alias(name) for tokens, name in ((template_tokens, "h"), (plain_tokens, "p"))])
     out = None
     for size in sizes:
-        windows = F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - size), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(size)])))
-        part = hashes.select(*keys, F.posexplode(windows).alias("place", "hash"))
+
+        def windows(name: str) -> Column:
+            return F.when(F.size(name) >= size, F.transform(F.sequence(F.lit(0), F.size(name) - size), lambda i: F.xxhash64(*[F.get(name, i + k) for k in range(size)])))
+
+        both = hashes.select(*keys, windows("h").alias("h"), windows("p").alias("p"))
+        other = F.zip_with("h", "p", lambda h, p: F.when(h != p, p))
+        part = both.select(*keys, F.size("h").alias("n"), F.posexplode(F.concat("h", other)).alias("place", "hash")).select(*keys, (F.col("place") % F.col("n")).alias("place"), "hash")
         out = part if out is None else out.unionAll(part)
     return out
 
 
 def benchmark_windows(items: DataFrame, window: int, min_words: int) -> DataFrame:
-    """item_id, place, size, hash, n_slots, and total: the item's number of different windows that are specific enough."""
+    """item_id, plain, place, size, hash, n_slots, and total: the item's number of different windows of the set that are specific enough."""
     rows = items.select("item_id", "text").distinct()
-    tokens = rows.select("item_id", template_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    sized = tokens.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t))).withColumn("size", F.least(F.lit(window), F.size("tokens")))
-    at = sized.select("item_id", "tokens", "h", "size", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("place"))
+    tokens = rows.select("item_id", template_tokens(F.col("text")).alias("tokens"), plain_tokens(F.col("text")).alias("words")).filter(F.size("tokens") > 0)
+    sized = tokens.withColumn("size", F.least(F.lit(window), F.size("tokens"))).withColumn("plain", F.explode(F.array(F.lit(False), F.lit(True))))
+    sized = sized.withColumn("h", F.transform(F.when(F.col("plain"), F.col("words")).otherwise(F.col("tokens")), lambda t: F.xxhash64(t)))
+    at = sized.select("item_id", "plain", "tokens", "h", "size", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("place"))
     part = F.slice("tokens", F.col("place") + 1, window)
-    words = F.size(F.filter(part, lambda t: ~t.isin(NUM, UNI, NAM)))
-    slots = F.size(F.filter(part, lambda t: t.isin(NUM, UNI, NAM)))
+    words = F.size(F.filter(part, lambda t: ~t.isin(NUM, UNI) & (F.col("plain") | (t != NAM))))
+    slots = F.when(F.col("plain"), 0).otherwise(F.size(F.filter(part, lambda t: t.isin(NUM, UNI, NAM))))
     # tokens beyond a short item are null, which xxhash64 passes over
-    hashed = at.filter(words >= min_words).select("item_id", "place", "size", slots.alias("n_slots"), F.xxhash64(*[F.get("h", F.col("place") + k) for k in range(window)]).alias("hash"))
-    totals = hashed.groupBy(F.col("item_id").alias("__item")).agg(F.countDistinct("hash").alias("total"))
-    return hashed.join(totals, F.col("item_id").eqNullSafe(F.col("__item"))).select("item_id", "place", "size", "hash", "n_slots", "total")
+    hashed = at.filter(words >= min_words).select("item_id", "plain", "place", "size", slots.alias("n_slots"), F.xxhash64(*[F.get("h", F.col("place") + k) for k in range(window)]).alias("hash"))
+    totals = hashed.groupBy(F.col("item_id").alias("__item"), F.col("plain").alias("__plain")).agg(F.countDistinct("hash").alias("total"))
+    return hashed.join(totals, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("plain") == F.col("__plain"))).select("item_id", "plain", "place", "size", "hash", "n_slots", "total")
 
 
 def document_key(text: Column) -> Column:
@@ -102,21 +117,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     keyed = docs.select("doc_id", document_key(F.col("text")).alias("text_hash"), "text")
     small = bench.count() <= BROADCAST_WINDOWS
     sizes = sorted({window, *(r[0] for r in bench.select("size").distinct().collect())})
-    known = bench.select("item_id", F.col("place").alias("item_place"), "size", "hash", "n_slots", "total")
+    known = bench.select("item_id", "plain", F.col("place").alias("item_place"), "size", "hash", "n_slots", "total")
     hits = hashed_windows(keyed, ["doc_id", "text_hash"], sizes).join(F.broadcast(known) if small else known, "hash")
     line = (F.col("place") - F.col("item_place")).alias("line")
-    hits = space.save(hits.select("doc_id", "text_hash", "item_id", "place", "item_place", line, "size", "hash", "n_slots", "total").distinct(), "hits")
+    hits = space.save(hits.select("doc_id", "text_hash", "item_id", "plain", "place", "item_place", line, "size", "hash", "n_slots", "total").distinct(), "hits")
     pair = ["doc_id", "text_hash", "item_id"]
+    side = [*pair, "plain"]
 
     def passing(rows: DataFrame) -> DataFrame:
-        sums = longest_runs(rows, pair, window).groupBy(*pair, "total").agg(F.countDistinct("hash").alias("n_windows"), F.max("run").alias("run"), F.max("n_slots").alias("n_slots"))
+        sums = longest_runs(rows, side, window).groupBy(*side, "total").agg(F.countDistinct("hash").alias("n_windows"), F.max("run").alias("run"), F.max("n_slots").alias("n_slots"))
         return sums.filter((F.col("n_windows") >= coverage * F.col("total")) | (F.col("run") >= run))
 
-    likely = space.save(passing(hits).select(*pair), "likely")
-    hits = _semi(hits, likely, pair)
-    bad = _inconsistent(space, hits.filter("n_slots > 0"), keyed, items, window)
-    found = passing(_anti(hits, bad, [*pair, "line", "item_place"]))
-    return found.select(*pair, "n_windows", F.round(F.col("n_windows") / F.col("total"), 4).alias("coverage"), F.col("n_slots").cast("long").alias("n_slots"))
+    likely = space.save(passing(hits).select(*side), "likely")
+    hits = _semi(hits, likely, side)
+    bad = _inconsistent(space, hits.filter("n_slots > 0"), keyed, items, window).withColumn("plain", F.lit(False))
+    found = passing(_anti(hits, bad, [*side, "line", "item_place"]))
+    share = F.round(F.col("n_windows") / F.col("total"), 4).alias("coverage")
+    # figures of the templates, or of the plain windows where these alone pass
+    best = found.groupBy(*pair).agg(F.max(F.struct(~F.col("plain"), share, "n_windows", F.col("n_slots").cast("long").alias("n_slots"))).alias("best"))
+    return best.select(*pair, "best.n_windows", "best.coverage", "best.n_slots")
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -202,6 +202,15 @@ def test_decontamination_runs_keep_values_consistent(spark):
     assert [r.doc_id for r in decontam.find_contamination(docs, items).collect()] == [0]
 
 
+def test_decontamination_finds_copies_in_other_case(spark):
+    german = "Der alte Lehrer gab jedem Schüler Papier, Tinte, Feder und ein Buch mit Bildern von Schiffen, Bergen und Tieren"
+    items = spark.createDataFrame([(1, ITEM), (2, german)], "item_id int, text string")
+    texts = [f"x y z {ITEM.lower()} and more", ITEM.upper(), german.lower(), german.upper(), german, ITEM]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {(r.doc_id, r.item_id): r.coverage for r in decontam.find_contamination(docs, items).collect()}
+    assert rows == {(d, i): 1.0 for d, i in ((0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 1))}
+
+
 # ---------------------------------------------------------------- 6 near-duplicates
 def _sets(texts, k):
     out = {}
