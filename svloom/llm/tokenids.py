@@ -171,17 +171,21 @@ class TextEncoder:
     Byte-level pre-tokens never span a single space or line feed between two other characters, and a
     space goes with what follows, so encoding the pieces and joining their ids equals encoding the text.
     Texts with runs of white space are cut only at single spaces between two other characters.
+    Special tokens such as <|endoftext|> within a text become their one id, as in the tokenizer's plain
+    encode, unless `split_special` has them encoded as other text is.
     """
 
     RUN, CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, split_special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = split_special
         self.first, self.later = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
-        self.by_line = '"add_prefix_space":false' in self.tokenizer.pre_tokenizer.__getstate__().decode() and self.tokenizer.normalizer is None
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        spaced = any(t.lstrip or t.rstrip or re.search(r"\s", t.content) for t in added)
+        self.by_line = '"add_prefix_space":false' in self.tokenizer.pre_tokenizer.__getstate__().decode() and self.tokenizer.normalizer is None and not spaced
 
     def encode(self, text: str) -> bytes:
         if not self.by_line:
@@ -200,18 +204,19 @@ class TextEncoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def text_encoder(path: str | None = None) -> TextEncoder:
+def text_encoder(path: str | None = None, split_special: bool = True) -> TextEncoder:
     """The encoder of this worker process; path None: the public 50k byte-level vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(DEFAULT_TOKENIZER)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    key = path, split_special
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(path, split_special)
+    return _ENCODERS[key]
 
 
 # ---------------------------------------------------------------- Spark jobs
@@ -225,7 +230,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        encoder, task = text_encoder(tokenizer), TaskContext.get()
+        encoder, task = text_encoder(tokenizer, split_special=False), TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         doc_ids, texts, held, seq = [], [], 0, 0
 

@@ -430,3 +430,21 @@ def test_token_files(spark, docs, nothing):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert tokenids.token_ids(nothing).count() == 0
+
+
+def test_special_tokens_equal_the_unmodified_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenids.DEFAULT_TOKENIZER)
+    plain, ours, rng = Tokenizer.from_file(path), tokenids.text_encoder(split_special=False), random.Random(11)
+    parts = ["the", "Ünder", " ", "  ", "\n", "\n\n", "\t", "don't", "...", "%%%", "<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "日本語", "\r\n", "A.", "|"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 12)))
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    rows = [(1, "one<|endoftext|>two <|endoftext|>\n<|endoftext|> three"), (2, "<|endoftext|>"), (3, "after")]
+    at = 0
+    for (_, text), r in zip(rows, sorted(tokenids.token_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start), strict=True):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes())) and ids.tolist().count(50256) == text.count("<|endoftext|>")
+        at += len(ids)
