@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,28 +13,44 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, one machine) a temporary folder is set.
+    A session on one machine that names none is given a temporary folder; a cluster must name one.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+#: Hadoop's scheme of a store to pyarrow's.
+STORES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gcs": "gs"}
+
+
 class Workspace:
-    """Written tables of one run below the shared folder; they cut lineage and survive executors."""
+    """Written tables of one run below the shared folder; they cut lineage and survive executors.
 
-    #: All of this process, in the order in which they were made.
-    created: list["Workspace"] = []
+    The tables that an operator's result reads stay until its workspace is closed. Who wants them gone gives the
+    operator a workspace of their own, `with Workspace(spark, name) as space`, and writes the result within it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.name = f"svloom-{name}-{uuid.uuid4().hex[:12]}"
         self.path = f"{shared_root(spark)}/{self.name}"
         self._n = 0
-        Workspace.created.append(self)
+
+    def __enter__(self) -> "Workspace":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete all tables and files of this run."""
+        self.drop(self.path)
 
     def folder(self, name: str) -> str:
         """A new sub-folder for files that tasks write themselves."""
@@ -57,10 +74,16 @@ class Workspace:
 
 
 def shared_fs(uri: str):
-    """The pyarrow file system of a folder in the shared store, and the folder's path in it."""
+    """The pyarrow file system of a folder in the shared store, and the folder's path in it.
+
+    Hadoop's names of object stores are given as pyarrow knows them; hdfs and viewfs addresses go through libhdfs.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("/", "file:")) else f"/{uri}")
+    scheme, sep, rest = uri.partition("://")
+    if sep:
+        uri = f"{STORES.get(scheme, scheme)}://{rest}"
+    return fs.FileSystem.from_uri(uri if sep or uri.startswith(("/", "file:")) else f"/{uri}")
 
 
 def write_whole(uri: str, parts) -> int:
@@ -76,6 +99,11 @@ def write_whole(uri: str, parts) -> int:
     return size
 
 
+def tasks_for(spark: SparkSession, amount: int, each: int, most: int) -> int:
+    """Tasks for so much work at `each` a task: all cores are used where there are units enough, `most` tasks at most."""
+    return max(1, min(most, max(-(-amount // each), 2 * spark.sparkContext.defaultParallelism)))
+
+
 #: Rows of a few numbers each that are sent to every task at most (tens of MB).
 BROADCAST_ROWS = 1_000_000
 

@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, shared_fs, write_whole
+from svloom.llm.common import Workspace, shared_fs, tasks_for, write_whole
 
 MAGIC = b"SVDAC\x001\x00"
 RANK_BLOCK = 512
 SHARD_TOKENS = 1 << 22
-CACHE_PIECES = 1_200_000
+#: Pieces that a worker keeps at most, of those at a text's start and of others each (about 250 bytes a piece).
+CACHE_PIECES = 1 << 19
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -172,16 +173,15 @@ class TextEncoder:
     space goes with what follows, so encoding the pieces and joining their ids equals encoding the text.
     Texts with runs of white space are cut only at single spaces between two other characters.
     Special tokens such as <|endoftext|> within a text become their one id, as in the tokenizer's plain
-    encode, unless `split_special` has them encoded as other text is.
+    encode.
     """
 
     RUN, CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
-    def __init__(self, path: str, split_special: bool = False):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = split_special
         self.first, self.later = Pieces(self.tokenizer, ""), Pieces(self.tokenizer, " ")
         added = self.tokenizer.get_added_tokens_decoder().values()
         spaced = any(t.lstrip or t.rstrip or re.search(r"\s", t.content) for t in added)
@@ -204,19 +204,18 @@ class TextEncoder:
         return b"".join(parts)
 
 
-_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def text_encoder(path: str | None = None, split_special: bool = True) -> TextEncoder:
+def text_encoder(path: str | None = None) -> TextEncoder:
     """The encoder of this worker process; path None: the public 50k byte-level vocabulary."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(DEFAULT_TOKENIZER)
-    key = path, split_special
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(path, split_special)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
 
 
 # ---------------------------------------------------------------- Spark jobs
@@ -230,7 +229,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
-        encoder, task = text_encoder(tokenizer, split_special=False), TaskContext.get()
+        encoder, task = text_encoder(tokenizer), TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
         doc_ids, texts, held, seq = [], [], 0, 0
 
@@ -258,8 +257,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     return ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Per document of the files of a manifest: doc_id, start, n_tokens, ids_crc32."""
+def read_token_files(manifest: DataFrame, task_tokens: int = 4 * SHARD_TOKENS) -> DataFrame:
+    """Per document of the files of a manifest: doc_id, start, n_tokens, ids_crc32.
+
+    The files are dealt out to tasks of about task_tokens ids; a task holds one file at a time.
+    """
+    files = manifest.agg(F.count("*"), F.sum("n_tokens")).first()
+    n_tasks = tasks_for(manifest.sparkSession, files[1] or 0, task_tokens, max(1, files[0]))
     by_part = manifest.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = by_part.select("part", F.coalesce(F.sum("part_tokens").over(ahead), F.lit(0)).alias("part_start"))
@@ -277,12 +281,15 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].astype("<u4", copy=False)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, mask=shard.doc_null.astype(bool)), pa.array(at[:-1] + shard_start), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(n_tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Tokenize docs into shard files in the shared folder and read each document's place and checksum back."""
-    space = Workspace(docs.sparkSession, "tokens")
+def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, shard_tokens: int = SHARD_TOKENS, space: Workspace | None = None) -> DataFrame:
+    """Tokenize docs into shard files in the shared folder and read each document's place and checksum back.
+
+    The shards and their manifest are the product: they stay below spark.checkpoint.dir, or in `space`.
+    """
+    space = space or Workspace(docs.sparkSession, "tokens")
     files = space.folder("shards")
     manifest = space.save(write_token_files(docs, files, tokenizer, end_id, shard_tokens), "manifest")
     return read_token_files(manifest)

@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, shared_fs
+from svloom.llm.common import BROADCAST_ROWS, Workspace, shared_fs, tasks_for
 
 FILE_BYTES = 1 << 28
 BLOCK_LINES = 2048
+#: Look-ups, and bytes of records, of one task.
+TASK_LOOKUPS, TASK_BYTES = 1 << 18, 1 << 26
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 STAMP = "1970-01-01T00:00:00Z"
 
@@ -110,6 +112,7 @@ class IndexFile:
         rows = [x.split("\t") for x in zlib.decompress(self._range(start, size - 8 - start)).decode().split("\n")]
         self.blocks = [(_unquote(k), int(a), int(n)) for k, a, n in rows]
         self.keys = [b[0] for b in self.blocks]
+        self.last: tuple[int, list] = (-1, [])
 
     def _range(self, start: int, length: int) -> bytes:
         self.file.seek(start)
@@ -121,10 +124,15 @@ class IndexFile:
         return [(_unquote(key), file, int(a), int(n)) for key, file, a, n in rows]
 
     def find(self, key: str) -> list[tuple[str, str, int, int]]:
-        """All captures of a key: from the last block that begins before it, as far as it goes."""
+        """All captures of a key: from the last block that begins before it, as far as it goes.
+
+        The block that was searched last stays unpacked, as look-ups come in the order of their keys.
+        """
         out, k = [], max(0, bisect.bisect_left(self.keys, key) - 1)
         while k < len(self.blocks) and self.keys[k] <= key:
-            rows = self.block(k)
+            if self.last[0] != k:
+                self.last = k, self.block(k)
+            rows = self.last[1]
             at = bisect.bisect_left(rows, (key,))
             while at < len(rows) and rows[at][0] == key:
                 out.append(rows[at])
@@ -132,6 +140,9 @@ class IndexFile:
             k += 1
         return out
 
+    def close(self) -> None:
+        self.file.close()
+
 
 def read_record(file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
     filesystem, local = shared_fs(file)
@@ -141,24 +152,34 @@ def read_record(file: str, offset: int, length: int) -> tuple[dict[str, str], by
 
 
 # ---------------------------------------------------------------- Spark jobs
-def with_roles(pages: DataFrame, min_bytes: int) -> DataFrame:
+def with_roles(pages: DataFrame, min_bytes: int, space: Workspace) -> DataFrame:
     """page_id, url, html, digest (hex), refers_to (null for responses), is_revisit.
 
-    Only digests that occur more than once are joined back.
+    Repeated digests are told from narrow rows. Up to BROADCAST_ROWS of them are sent to every task, so pages are not
+    shuffled at all; more are joined with the narrow rows first, and pages then with the revisits by page_id and digest.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    large = rows.filter(F.octet_length("html") >= min_bytes).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    narrow = rows.filter(F.octet_length("html") >= min_bytes).select("page_id", "digest")
+    large = narrow.groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("d", "last")
+    large = space.save(large, "repeated")
     revisit = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return rows.join(large, F.col("digest") == F.col("d"), "left").select("page_id", "url", "html", "digest", F.coalesce(revisit, F.lit(False)).alias("is_revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
+    if large.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(large), F.col("digest") == F.col("d"), "left")
+    else:
+        revisits = narrow.join(large, F.col("digest") == F.col("d")).filter(revisit).select(F.col("page_id").alias("p"), "d", "last").distinct()
+        joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
+    return joined.select("page_id", "url", "html", "digest", F.coalesce(revisit, F.lit(False)).alias("is_revisit"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write WARC files below folder; returns a row for each capture: key, file, offset, length.
+def write_archives(pages: DataFrame, space: Workspace, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write WARC files into a folder of space; returns a row for each capture: key, file, offset, length.
 
     An attempt writes files of its own name; only those that a successful attempt reports are read.
     """
 
+    folder = space.folder("archives")
+
     def write(batches):
         task, seq, out, path, size = TaskContext.get(), 0, None, "", 0
         name = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -181,7 +202,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
         if out is not None:
             out.close()
 
-    return with_roles(pages, min_bytes).mapInArrow(write, "key string, file string, offset long, length long")
+    return with_roles(pages, min_bytes, space).mapInArrow(write, "key string, file string, offset long, length long")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -216,7 +237,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
 
 def index_entries(catalogue: DataFrame) -> DataFrame:
-    """Every capture, from the index files' blocks."""
+    """Every capture, from the index files' blocks: a full listing."""
 
     def read(batches):
         for batch in batches:
@@ -225,17 +246,19 @@ def index_entries(catalogue: DataFrame) -> DataFrame:
                 for k in range(len(index.blocks)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index.block(k), strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
 
-    return catalogue.select("index_file").repartition("index_file").mapInArrow(read, "key string, file string, offset long, length long")
+    return catalogue.select("index_file").repartition(max(1, catalogue.count())).mapInArrow(read, "key string, file string, offset long, length long")
 
 
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_records(entries: DataFrame) -> DataFrame:
-    """The records at (file, offset, length), each by its range, file by file in ascending order.
+    """The records at (file, offset, length), each by its range, in ascending order within pieces of files.
 
     The digest of a response is computed from the payload as read.
     """
+    total = entries.agg(F.count("*"), F.sum("length")).first()
+    n_tasks = tasks_for(entries.sparkSession, total[1] or 0, TASK_BYTES, max(1, total[0]))
 
     def read(batches):
         opened = {}
@@ -256,36 +279,49 @@ def read_records(entries: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD_SCHEMA)
+    piece = F.floor(F.col("offset") / (TASK_BYTES // 8))
+    return entries.select("file", "offset", "length").repartition(n_tasks, "file", piece).sortWithinPartitions("file", "offset").mapInArrow(read, RECORD_SCHEMA)
 
 
 def lookup(urls: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """url, file, offset, length of every capture of the URLs: catalogue, directory, block, each by binary search.
+    """key, file, offset, length of every capture of the URLs' keys: catalogue, directory, block, each by binary search.
 
-    A key meets an index file only where it lies between the file's first and last key.
+    Look-ups are sorted by key over tasks, so a task opens neighbouring index files and unpacks a block once. A key
+    meets an index file only where it lies between the file's first and last key. Every task is sent the catalogue,
+    one row for each index file of a million captures. URLs that share a key are one look-up.
     """
     files = [tuple(r) for r in catalogue.select("first_key", "last_key", "index_file").orderBy("first_key").toLocalIterator()]
+    captures = catalogue.agg(F.sum("n_captures")).first()[0] or 0
+    n_tasks = tasks_for(urls.sparkSession, captures, TASK_LOOKUPS, max(1, captures // BLOCK_LINES))
+
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([capture_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["key"])
 
     def find(batches):
         first, opened = [f[0] for f in files], {}
         for batch in batches:
             rows = []
-            for url in batch.column(0).to_pylist():
-                key = capture_key(url)
+            for key in batch.column(0).to_pylist():
                 k = max(0, bisect.bisect_left(first, key) - 1)
                 while k < len(files) and first[k] <= key:
                     if key <= files[k][1]:
-                        index = opened.get(files[k][2]) or opened.setdefault(files[k][2], IndexFile(files[k][2]))
-                        rows += [(url, *hit[1:]) for hit in index.find(key)]
+                        name = files[k][2]
+                        if name not in opened:
+                            if len(opened) > 8:
+                                opened.pop(next(iter(opened))).close()
+                            opened[name] = IndexFile(name)
+                        rows += opened[name].find(key)
                     k += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["url", "file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
 
-    return urls.select("url").distinct().mapInArrow(find, "url string, file string, offset long, length long")
+    wanted = urls.select("url").distinct().mapInArrow(keys, "key string").distinct()
+    return wanted.repartitionByRange(n_tasks, "key").sortWithinPartitions("key").mapInArrow(find, "key string, file string, offset long, length long")
 
 
-def archive_pages(pages: DataFrame, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Write archives and index of pages; returns (catalogue, records as read back through the index)."""
-    space = Workspace(pages.sparkSession, "warc")
-    captures = space.save(write_archives(pages, space.folder("archives"), min_bytes), "captures")
+def archive_pages(pages: DataFrame, min_bytes: int = 0, space: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write archives and index of pages; returns (catalogue, the pages' records, looked up by URL in the index and read by range)."""
+    space = space or Workspace(pages.sparkSession, "warc")
+    captures = space.save(write_archives(pages, space, min_bytes), "captures")
     catalogue = space.save(write_index(captures, space.folder("index")), "catalogue")
-    return catalogue, read_records(index_entries(catalogue))
+    return catalogue, read_records(space.save(lookup(pages, catalogue), "entries"))
