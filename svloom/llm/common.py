@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -113,6 +113,11 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def text_hash(text: Column) -> Column:
+    """What a text is known by, beside its doc_id; null is as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df has not."""
     taken, name = {c.lower() for c in df.columns}, base

@@ -3,7 +3,7 @@
 Documents become a vector of transformed statistics (smoothed log odds and logarithms, so that short texts
 stay near the middle). Each class has a mean and a covariance, shrunk towards the pooled covariance and its
 diagonal; the score is the logistic of the difference of the two log densities, from Mahalanobis distances
-by Cholesky factors that are computed once and sent with the task.
+by inverse Cholesky factors that are computed once and sent with the task.
 
 Class counts, sums and cross products are summed over all labelled training rows on the executors; the
 driver gets one row for each class and entry of the moment matrix.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, small
+from svloom.llm.common import Workspace, small, text_hash
 
 THRESHOLD = 0.3
 SHRINK_POOLED, SHRINK_DIAGONAL, RIDGE = 0.10, 0.05, 1e-3
@@ -94,17 +94,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(compute, f"doc_id {kind}, text_hash long, features array<double>")
 
 
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors and log determinants of the two classes."""
+    """Means, inverse Cholesky factors and log determinants of the two classes."""
 
     means: list[np.ndarray]
     factors: list[np.ndarray]
@@ -116,8 +112,8 @@ class Discriminant:
             return np.full(len(x), self.constant)
         logs = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(offset - 0.5 * (z * z).sum(0))
+            z = (x - mean) @ factor.T
+            logs.append(offset - 0.5 * (z * z).sum(1))
         return 1.0 / (1.0 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
@@ -154,14 +150,15 @@ def fit(labelled: DataFrame, shrink_pooled: float = SHRINK_POOLED, shrink_diagon
     for k in (0, 1):
         cov = (1 - shrink_pooled) * covs[k] + shrink_pooled * pooled
         cov = (1 - shrink_diagonal) * cov + shrink_diagonal * np.diag(np.diag(cov)) + RIDGE * np.eye(len(cov))
-        factors.append(np.linalg.cholesky(cov))
-        offsets.append(math.log(counts[k] / sum(counts)) - float(np.log(np.diag(factors[-1])).sum()))
+        lower = np.linalg.cholesky(cov)
+        factors.append(np.linalg.inv(lower))
+        offsets.append(math.log(counts[k] / sum(counts)) - float(np.log(np.diag(lower)).sum()))
     return Discriminant(means, factors, offsets)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, space: Workspace | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, text_hash for every row of docs; labels (doc_id, quality) teach where not held out."""
-    space = Workspace(docs.sparkSession, "quality")
+    space = space or Workspace(docs.sparkSession, "quality")
     features = space.save(document_statistics(docs).withColumn("held_out", held_out(F.col("doc_id"))), "features")
     known = labels.filter("quality in (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label"))
     labelled = features.filter(~F.col("held_out")).join(known, F.col("doc_id") == F.col("__id")).select("label", "features")
@@ -179,7 +176,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are not rejected; a row is known by its doc_id and its text's hash."""
-    scored = score_documents(docs, labels, threshold)
-    bad = scored.filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    bad = small(Workspace(docs.sparkSession, "rejected").save(bad, "rejected"))
+    with Workspace(docs.sparkSession, "quality") as space:
+        scored = score_documents(docs, labels, threshold, space)
+        bad = scored.filter("predicted = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        bad = small(Workspace(docs.sparkSession, "rejected").save(bad, "rejected"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (text_hash(docs["text"]) == bad["__hash"]), "left_anti")
