@@ -1,10 +1,11 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-Texts become templates: numbers, the units after them, and names (capitalised words within a sentence) turn
+Texts become templates: numbers, the units after them, and names (capitalised words but for function words) turn
 into typed placeholders, other words are lower-cased, punctuation goes. Windows of WINDOW template tokens
 of documents are hash-joined with those of the benchmark. For the few pairs that meet, the values that the
 placeholders stand for are compared: along one alignment of document and item, each value of the item must
-stand for one value of the document. An item is found in a document if the windows that pass cover at
+stand for one value of the document, and each name or unit of the document for one of the item; two different numbers
+may become equal ones, as new parameters do. An item is found in a document if the windows that pass cover at
 least COVERAGE of its windows, so exact copies and copies with other numbers, units or names are caught, or
 if windows that pass along one alignment cover RUN tokens on end, so that a long passage of a longer item is
 caught as well. An item of fewer than WINDOW tokens is one window as a whole.
@@ -12,8 +13,13 @@ caught as well. An item of fewer than WINDOW tokens is one window as a whole.
 A second set of windows has the tokens as they stand, in lower case and without placeholders, so that copies
 in other case, in which names are told from words no more, are caught. An item is found if either set passes.
 
-Defined cases: null and empty texts have no windows; an item whose windows all have fewer than MIN_WORDS
-plain words, such as one of fewer than MIN_WORDS tokens, is too unspecific and matches nothing; a null
+Windows with fewer than MIN_WORDS plain words are too unspecific to count. An item that has no others, such as a sum
+in figures, is found where all its windows are, as they stand.
+
+Pairs of document and item are told from anchors first: those of an item's windows that fewest items share, so many
+that a pair that passes has one of them. Windows that many items share, such as instructions, so make no pairs.
+
+Defined cases: null and empty texts have no windows; an item of fewer than MIN_WORDS tokens matches nothing; a null
 item_id is kept as null; rows that repeat give the same pair once; documents are known by doc_id and text together; an empty
 table on either side gives no pair; columns besides doc_id, text and item_id are ignored by the search and
 kept by drop_contaminated, whatever their names.
@@ -24,19 +30,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, small
+from svloom.llm.common import BROADCAST_ROWS, Workspace, small, text_hash
 
 WINDOW, MIN_WORDS, COVERAGE = 5, 3, 0.5
 #: So many tokens on end along one alignment are a passage of an item, whatever the share of the item.
 RUN = 13
-#: Windows of a benchmark of up to so many rows are sent to every task (about 64 bytes a row); more are shuffled.
-BROADCAST_WINDOWS = 1_000_000
 #: The units that are recognised after a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg lb lbs oz t ml cl dl l gal ms s sec secs min mins h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros degree degrees percent watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb mph kmh"
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 TOKEN = rf"{NUMBER}|[\p{{L}}\p{{M}}]+"
 UNIT = rf"(?<=\p{{N}}[\x20 \-]?)(?i:{'|'.join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
-NAME = r"(?<=[\p{L}\p{N},;:)] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
+#: Function words that begin sentences and are no names (English, German, French, Spanish).
+FUNCTION_WORDS = "a about after all also an and any are as at because before but by can could did do does during each every few find first for from give given had has have he her here his how i if in into is it its let many may more most much must my no not of on one only or other our over please several she should since so some suppose than that the their then there these they this those through to two under until up was we what when where whether which while who whom whose why will with would you your aber als am auf aus bei das dass dem den der des die doch ein eine einen einer er es für hat hier ich ihr im ist man mit nach nicht noch nun nur ob oder sein seine sich sie sind um und unter uns viele von vor wann war wenn wer wie wir wird wo zu zum zur au aux avec ce ces cette comme dans de deux donc du elle elles en est et il ils je la le les leur lorsque mais ne nous où par pas pour quand que quel quelle qui sa sans se ses si son sont sous sur un une vous al algunos como con cuando cual cuánto del desde dos el ella ellos entre esta este esto están hay las lo los más muchos nos o para pero por qué quién ser sin sobre su sus también todos una unos y ya"
+NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?i:{'|'.join(sorted(FUNCTION_WORDS.split(), key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])"
 #: Placeholders are single letters of the private use area, which no word contains.
 NUM, UNI, NAM = "\ue000", "\ue001", "\ue002"
 
@@ -77,8 +83,11 @@ def hashed_windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFr
     return out
 
 
-def benchmark_windows(items: DataFrame, window: int, min_words: int) -> DataFrame:
-    """item_id, plain, place, size, hash, n_slots, and total: the item's number of different windows of the set that are specific enough."""
+def benchmark_windows(items: DataFrame, window: int, min_words: int, coverage: float, space: Workspace) -> DataFrame:
+    """item_id, plain, place, size, hash, n_slots of the windows that count.
+
+    Also total, the item's number of different ones of the set, need, the share of them that must be found, and anchor.
+    """
     rows = items.select("item_id", "text").distinct()
     tokens = rows.select("item_id", template_tokens(F.col("text")).alias("tokens"), plain_tokens(F.col("text")).alias("words")).filter(F.size("tokens") > 0)
     sized = tokens.withColumn("size", F.least(F.lit(window), F.size("tokens"))).withColumn("plain", F.explode(F.array(F.lit(False), F.lit(True))))
@@ -88,13 +97,18 @@ def benchmark_windows(items: DataFrame, window: int, min_words: int) -> DataFram
     words = F.size(F.filter(part, lambda t: ~t.isin(NUM, UNI) & (F.col("plain") | (t != NAM))))
     slots = F.when(F.col("plain"), 0).otherwise(F.size(F.filter(part, lambda t: t.isin(NUM, UNI, NAM))))
     # tokens beyond a short item are null, which xxhash64 passes over
-    hashed = at.filter(words >= min_words).select("item_id", "plain", "place", "size", slots.alias("n_slots"), F.xxhash64(*[F.get("h", F.col("place") + k) for k in range(window)]).alias("hash"))
-    totals = hashed.groupBy(F.col("item_id").alias("__item"), F.col("plain").alias("__plain")).agg(F.countDistinct("hash").alias("total"))
-    return hashed.join(totals, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("plain") == F.col("__plain"))).select("item_id", "plain", "place", "size", "hash", "n_slots", "total")
-
-
-def document_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    hashed = at.select("item_id", "plain", "place", "size", words.alias("words"), slots.alias("n_slots"), F.xxhash64(*[F.get("h", F.col("place") + k) for k in range(window)]).alias("hash"))
+    vague = F.max("words").over(Window.partitionBy("item_id")) < min_words
+    counted = hashed.withColumn("vague", vague).filter((F.col("words") >= min_words) | F.col("vague") & F.col("plain") & (F.col("size") >= min_words))
+    counted = space.save(counted.withColumn("need", F.when(F.col("vague"), 1.0).otherwise(coverage)), "counted")
+    shared = counted.groupBy(F.col("hash").alias("__hash")).agg(F.countDistinct("item_id").alias("n_items"))
+    totals = counted.groupBy(F.col("item_id").alias("__item"), F.col("plain").alias("__plain")).agg(F.countDistinct("hash").alias("total"))
+    known = counted.join(shared, F.col("hash") == F.col("__hash")).join(totals, F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("plain") == F.col("__plain")))
+    # of so many of the rarest windows a pair that reaches the share has one; a run has a whole piece of `window` places in it
+    order = F.dense_rank().over(Window.partitionBy("item_id", "plain").orderBy("n_items", "hash"))
+    piece = F.row_number().over(Window.partitionBy("item_id", "plain", F.floor(F.col("place") / window)).orderBy("n_items", "hash"))
+    anchor = (order <= F.col("total") - F.ceil(F.col("need") * F.col("total")) + 1) | (piece == 1)
+    return known.select("item_id", "plain", "place", "size", "hash", "n_slots", "total", "need", anchor.alias("anchor"))
 
 
 def longest_runs(hits: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -110,27 +124,35 @@ def longest_runs(hits: DataFrame, keys: list[str], window: int) -> DataFrame:
     return island.withColumn("run", F.max(F.col("item_place") + F.col("size")).over(of) - F.min("item_place").over(of)).drop("cut", "island")
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, coverage: float = COVERAGE, run: int = RUN) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_words: int = MIN_WORDS, coverage: float = COVERAGE, run: int = RUN, space: Workspace | None = None) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, coverage, n_slots of every item found in a document."""
-    space = Workspace(docs.sparkSession, "decontam")
-    bench = space.save(benchmark_windows(items, window, min_words), "benchmark")
-    keyed = docs.select("doc_id", document_key(F.col("text")).alias("text_hash"), "text")
-    small = bench.count() <= BROADCAST_WINDOWS
+    space = space or Workspace(docs.sparkSession, "decontam")
+    bench = space.save(benchmark_windows(items, window, min_words, coverage, space), "benchmark")
+    keyed = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), "text")
     sizes = sorted({window, *(r[0] for r in bench.select("size").distinct().collect())})
-    known = bench.select("item_id", "plain", F.col("place").alias("item_place"), "size", "hash", "n_slots", "total")
-    hits = hashed_windows(keyed, ["doc_id", "text_hash"], sizes).join(F.broadcast(known) if small else known, "hash")
-    line = (F.col("place") - F.col("item_place")).alias("line")
-    hits = space.save(hits.select("doc_id", "text_hash", "item_id", "plain", "place", "item_place", line, "size", "hash", "n_slots", "total").distinct(), "hits")
-    pair = ["doc_id", "text_hash", "item_id"]
+    doc = ["doc_id", "text_hash"]
+    pair = [*doc, "item_id"]
     side = [*pair, "plain"]
+    anchors = bench.filter("anchor").select("item_id", "plain", "hash").distinct()
+    met = hashed_windows(keyed, doc, sizes).join(F.broadcast(anchors) if bench.count() <= BROADCAST_ROWS else anchors, "hash")
+    pairs = space.save(met.select(*side).distinct(), "pairs")
+    # of the documents of a pair, every window that its item has
+    wanted = small(space.save(pairs.select(*doc).distinct(), "documents"))
+    texts = space.save(_semi(keyed, wanted, doc).distinct(), "texts")
+    known = bench.select(F.col("item_id").alias("item"), F.col("plain").alias("set"), F.col("place").alias("item_place"), "size", "hash", "n_slots", "total", "need")
+    expected = pairs.join(known, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("plain") == F.col("set"))).drop("item", "set")
+    here = hashed_windows(texts, doc, sizes).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "place", F.col("hash").alias("found"))
+    hits = expected.join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("hash") == F.col("found")))
+    line = (F.col("place") - F.col("item_place")).alias("line")
+    hits = space.save(hits.select(*side, "place", "item_place", line, "size", "hash", "n_slots", "total", "need").distinct(), "hits")
 
     def passing(rows: DataFrame) -> DataFrame:
-        sums = longest_runs(rows, side, window).groupBy(*side, "total").agg(F.countDistinct("hash").alias("n_windows"), F.max("run").alias("run"), F.max("n_slots").alias("n_slots"))
-        return sums.filter((F.col("n_windows") >= coverage * F.col("total")) | (F.col("run") >= run))
+        sums = longest_runs(rows, side, window).groupBy(*side, "total", "need").agg(F.countDistinct("hash").alias("n_windows"), F.max("run").alias("run"), F.max("n_slots").alias("n_slots"))
+        return sums.filter((F.col("n_windows") >= F.col("need") * F.col("total")) | (F.col("run") >= run))
 
     likely = space.save(passing(hits).select(*side), "likely")
     hits = _semi(hits, likely, side)
-    bad = _inconsistent(space, hits.filter("n_slots > 0"), keyed, items, window).withColumn("plain", F.lit(False))
+    bad = _inconsistent(space, hits.filter("not plain"), texts, items, window).withColumn("plain", F.lit(False))
     found = passing(_anti(hits, bad, [*side, "line", "item_place"]))
     share = F.round(F.col("n_windows") / F.col("total"), 4).alias("coverage")
     # figures of the templates, or of the plain windows where these alone pass
@@ -155,24 +177,34 @@ def _anti(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return _match(left, right, keys, "left_anti")
 
 
-def _inconsistent(space: Workspace, hits: DataFrame, keyed: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """doc_id, text_hash, item_id, line, item_place of windows with a slot whose value along the line varies."""
+def _inconsistent(space: Workspace, hits: DataFrame, texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """doc_id, text_hash, item_id, line, item_place of windows with a slot whose values along the line do not answer one another.
+
+    All slots between the first and the last hit of a line are compared, those outside windows that count as well.
+    """
     pair = ["doc_id", "text_hash", "item_id"]
-    hits = space.save(hits.select(*pair, "place", "item_place"), "slotted")
-    docs = _semi(keyed, hits, ["doc_id", "text_hash"]).distinct().select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), raw_tokens(F.col("text")).alias("doc_raw"))
-    bench = _semi(items.select("item_id", "text"), hits, ["item_id"]).distinct().select(F.col("item_id").alias("__i"), raw_tokens(F.col("text")).alias("item_raw"), template_tokens(F.col("text")).alias("item_template"))
-    rows = hits.join(docs, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))).join(bench, F.col("item_id").eqNullSafe(F.col("__i")))
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("k")
-    at = rows.select(*pair, (F.col("place") - F.col("item_place")).alias("line"), "place", "item_place", "doc_raw", "item_raw", "item_template", offsets)
-    kind = F.get("item_template", F.col("item_place") + F.col("k"))
-    slots = at.filter(kind.isin(NUM, UNI, NAM)).select(*pair, "line", "item_place", kind.alias("kind"), F.lower(F.get("item_raw", F.col("item_place") + F.col("k"))).alias("was"), F.lower(F.get("doc_raw", F.col("place") + F.col("k"))).alias("now"))
-    slots = space.save(slots, "slots")
-    mixed = slots.groupBy(*pair, "line", "kind", "was").agg(F.countDistinct("now").alias("n")).filter("n > 1")
-    return _semi(slots, mixed, [*pair, "line", "kind", "was"]).select(*pair, "line", "item_place").distinct()
+    lines = hits.groupBy(*pair, "line").agg(F.min("item_place").alias("first"), F.max(F.col("item_place") + F.col("size")).alias("end"), F.max("n_slots").alias("slots")).filter("slots > 0")
+    lines = space.save(lines.drop("slots"), "lines")
+    docs = texts.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), raw_tokens(F.col("text")).alias("doc_raw"), template_tokens(F.col("text")).alias("doc_template"))
+    bench = _semi(items.select("item_id", "text"), lines, ["item_id"]).distinct().select(F.col("item_id").alias("__i"), raw_tokens(F.col("text")).alias("item_raw"), template_tokens(F.col("text")).alias("item_template"))
+    rows = lines.join(docs, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))).join(bench, F.col("item_id").eqNullSafe(F.col("__i")))
+    here, there = F.col("k"), F.col("k") + F.col("line")
+    at = rows.select(*pair, "line", "doc_raw", "doc_template", "item_raw", "item_template", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("k"))
+    kind = F.get("item_template", here)
+    at = at.filter(kind.isin(NUM, UNI, NAM) & (F.get("doc_template", there) == kind))
+    slots = space.save(at.select(*pair, "line", "k", kind.alias("kind"), F.lower(F.get("item_raw", here)).alias("was"), F.lower(F.get("doc_raw", there)).alias("now")), "slots")
+    bad, of = None, [*pair, "line", "kind"]
+    # a value of the item with several of the document; a name or unit of the document with several of the item
+    for one, other, rows in (("was", "now", slots), ("now", "was", slots.filter(F.col("kind") != NUM))):
+        mixed = rows.groupBy(*of, one).agg(F.countDistinct(other).alias("n")).filter("n > 1")
+        part = _semi(rows, mixed, [*of, one]).select(*pair, "line", "k")
+        bad = part if bad is None else bad.union(part)
+    return bad.select(*pair, "line", F.explode(F.sequence(F.col("k") - window + 1, F.col("k"))).alias("item_place")).distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs in which no item is found."""
-    found = find_contamination(docs, items, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    found = small(Workspace(docs.sparkSession, "contaminated").save(found, "contaminated"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (document_key(docs["text"]) == found["__hash"]), "left_anti")
+    with Workspace(docs.sparkSession, "decontam") as space:
+        found = find_contamination(docs, items, **options, space=space).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        found = small(Workspace(docs.sparkSession, "contaminated").save(found, "contaminated"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (text_hash(docs["text"]) == found["__hash"]), "left_anti")

@@ -69,16 +69,22 @@ def thresholds(space: Workspace, sizes: DataFrame, budgets: DataFrame, name: str
     """source, cut, left from budgets (source, budget): documents of sizes with a place below cut are taken.
 
     Each level sums words by the next LEVEL_BITS bits within the bucket that holds the boundary, for all
-    sources at once; a level has at most 2**LEVEL_BITS sums for each source. What is taken stays within
-    the budget, or with nearest goes beyond it where that is nearer. left: the budget that remains.
+    sources at once; a level has at most 2**LEVEL_BITS sums for each source. Only the rows of the boundary buckets
+    go on to the next level, which is the last one if no source has more than 2**LEVEL_BITS hash values among them.
+    What is taken stays within the budget, or with nearest goes beyond it where that is nearer. left: the budget
+    that remains.
     """
     state = space.save(budgets.select("source", F.col("budget").cast("double").alias("left"), F.lit(0).cast("long").alias("low")), f"{name}-0")
-    for done in range(0, HASH_BITS, LEVEL_BITS):
-        shift = HASH_BITS - done - LEVEL_BITS
-        span = 1 << (HASH_BITS - done)
-        edges = state.select(F.col("source").alias("s"), "low")
-        inside = sizes.join(edges, sizes.source.eqNullSafe(edges.s)).filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(span)))
-        sums = inside.groupBy("s", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+    inside, done = sizes, 0
+    while done < HASH_BITS:
+        if done:
+            edges = small(state).select(F.col("source").alias("s"), "low")
+            within = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.lit(1 << (HASH_BITS - done)))
+            inside = space.save(inside.join(edges, inside.source.eqNullSafe(edges.s)).filter(within).select("source", "place", "size"), f"{name}-inside{done}")
+            values = inside.groupBy("source").agg(F.countDistinct("place").alias("n")).agg(F.max("n")).first()[0] or 0
+        last = done + LEVEL_BITS >= HASH_BITS or done and values <= 1 << LEVEL_BITS
+        shift = 0 if last else HASH_BITS - done - LEVEL_BITS
+        sums = inside.groupBy(F.col("source").alias("s"), F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         upto = sums.withColumn("upto", F.sum("words").over(run))
         beyond = F.col("upto") > F.col("left")
@@ -87,13 +93,14 @@ def thresholds(space: Workspace, sizes: DataFrame, budgets: DataFrame, name: str
             .groupBy("source", "left", "low")
             .agg(F.min(F.when(beyond, F.struct("bucket", "upto"))).alias("e"), F.coalesce(F.max(F.when(~beyond, F.col("upto"))), F.lit(0)).alias("below"))
         )
-        low = F.coalesce(F.shiftleft(F.col("e.bucket"), shift), F.col("low") + F.lit(span))
+        low = F.coalesce(F.shiftleft(F.col("e.bucket"), shift), F.col("low") + F.lit(1 << (HASH_BITS - done)))
         left = F.col("left") - F.col("below")
-        if nearest and shift == 0:
+        if nearest and last:
             # the rows of one hash value are taken together if that brings the sum nearer to the budget
             more = F.col("e").isNotNull() & (F.col("e.upto") - F.col("left") < left)
             low, left = F.when(more, F.col("e.bucket") + 1).otherwise(low), F.when(more, F.col("left") - F.col("e.upto")).otherwise(left)
-        state = space.save(edge.select("source", left.alias("left"), low.alias("low")), f"{name}-{done + LEVEL_BITS}")
+        done = HASH_BITS if last else done + LEVEL_BITS
+        state = space.save(edge.select("source", left.alias("left"), low.alias("low")), f"{name}-{done}")
     return state.withColumnRenamed("low", "cut")
 
 
@@ -102,14 +109,14 @@ def _fits(k: int) -> Column:
     return F.lit(True) if k == 0 else F.col("size") <= F.col(f"left{k - 1}") * (2 if k == PASSES - 1 else 1)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS, space: Workspace | None = None) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row of docs.
 
     A source's rows are taken floor(target / source_size) times, and those below its thresholds once more.
     The first threshold leaves what the document at the boundary would have exceeded; the next ones look
     among the documents that are not larger than what is left, so the sum comes ever nearer.
     """
-    space = Workspace(docs.sparkSession, "mix")
+    space = space or Workspace(docs.sparkSession, "mix")
     sizes = space.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "sizes")
     sources = targets(space, ranked_sources(space, sizes, weights), max_repeats)
     size = F.col("source_size")
@@ -118,13 +125,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     budgets, rest, cuts = state.select("source", "budget"), sizes, []
     for k in range(PASSES):
         cut = thresholds(space, rest.filter(_fits(k)), budgets, f"pass{k}", nearest=k == PASSES - 1)
-        cut = cut.select(F.col("source").alias(f"s{k}"), F.col("cut").alias(f"cut{k}"), F.col("left").alias(f"left{k}"))
+        cut = small(cut.select(F.col("source").alias(f"s{k}"), F.col("cut").alias(f"cut{k}"), F.col("left").alias(f"left{k}")))
         cuts.append(cut)
         if k < PASSES - 1:
             untaken = rest.join(cut, rest.source.eqNullSafe(cut[f"s{k}"])).filter(~(_fits(k) & (F.col("place") < F.col(f"cut{k}"))))
             rest = space.save(untaken.select("doc_id", "source", "size", "place", f"left{k}"), f"rest{k}")
             budgets = cut.select(F.col(f"s{k}").alias("source"), F.col(f"left{k}").alias("budget"))
-    out, taken = sizes.join(state.select(F.col("source").alias("s"), "source_size", "target", "epochs"), sizes.source.eqNullSafe(F.col("s"))), F.lit(False)
+    out, taken = sizes.join(small(state.select(F.col("source").alias("s"), "source_size", "target", "epochs")), sizes.source.eqNullSafe(F.col("s"))), F.lit(False)
     for k, cut in enumerate(cuts):
         out = out.join(cut, out.source.eqNullSafe(cut[f"s{k}"]))
         taken = taken | (_fits(k) & (F.col("place") < F.col(f"cut{k}")))
@@ -134,8 +141,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs."""
-    copies = mix(docs, weights, max_repeats).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    copies = small(Workspace(docs.sparkSession, "copies").save(copies, "copies"))
+    with Workspace(docs.sparkSession, "mix") as space:
+        copies = mix(docs, weights, max_repeats, space).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+        copies = small(Workspace(docs.sparkSession, "copies").save(copies, "copies"))
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
     name = free_name(docs, "copy")
     return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies["__copies"])).alias(name)).drop(name)

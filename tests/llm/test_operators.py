@@ -230,7 +230,7 @@ def test_decontamination(spark, nothing):
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("hash", F.lit(1))
     found = sorted((r.doc_id, r.item_id or 0) for r in decontam.find_contamination(docs, items).collect())
-    assert found == [(0, 1), (6, 0)] or found == [(0, 1), (2, 1), (6, 0)]
+    assert found == [(0, 1), (2, 1), (6, 0)]
     assert {r.doc_id for r in decontam.drop_contaminated(docs, items).collect()} >= {1, 3, 4, 5, 7}
     assert decontam.find_contamination(nothing, items).count() == 0 and decontam.find_contamination(docs, items.limit(0)).count() == 0
 
@@ -267,6 +267,94 @@ def test_decontamination_finds_copies_in_other_case(spark):
     assert rows == {(d, i): 1.0 for d, i in ((0, 1), (1, 1), (2, 2), (3, 2), (4, 2), (5, 1))}
 
 
+def test_decontamination_names_at_sentence_starts_and_both_ways(spark):
+    items = spark.createDataFrame([(1, "Tom has 3 apples. Ann has 5 pears. Tom gives 2 to Ann."), (2, "What is 2 + 2?"), (3, "17 + 25 = 42"), (4, ITEM)], "item_id int, text string")
+    texts = [
+        "Bob has 7 apples. Eve has 9 pears. Bob gives 4 to Eve.", "So: what is 2 + 2?", "What is 2 + 3?", "We know that 17 + 25 = 42 holds", "We know that 17 + 24 = 41 holds",
+        "A train leaves Paris at 60 mph and Paris waits 3 hours for the train at Paris station with her 3 bags", "A train leaves Paris at 60 mph and Rosa waits 3 hours for the train at Paris station with her 3 bags",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (9, "filler words of a very long text " * 20000 + texts[0])], "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontam.find_contamination(docs, items).collect())
+    assert found == [(0, 1), (1, 2), (3, 3), (6, 4), (9, 1)]
+
+
+def _template(text):
+    """(template token, plain token, kind of placeholder) of a text, token by token."""
+    import regex
+
+    name, unit, out = regex.compile(decontam.NAME), regex.compile(decontam.UNIT), []
+    for m in regex.finditer(rf"{decontam.UNIT}|{decontam.TOKEN}", text):
+        word, at = m.group(), m.start()
+        kind = decontam.UNI if unit.match(text, at) else decontam.NUM if regex.fullmatch(decontam.NUMBER, word) else decontam.NAM if name.match(text, at) else None
+        out.append((kind or word.lower(), word.lower(), kind))
+    return out
+
+
+def _brute_found(doc, item):
+    """The definition, by one alignment after the other over all pairs of places."""
+    w, d, t = decontam.WINDOW, _template(doc), _template(item)
+    size = min(w, len(t))
+    for col in (0, 1):
+        specific = {p for p in range(len(t) - size + 1) if sum(k not in (decontam.NUM, decontam.UNI) and (col or k != decontam.NAM) for _, _, k in t[p : p + size]) >= decontam.MIN_WORDS}
+        hits = {(q - p, p) for p in specific for q in range(len(d) - size + 1) if all(a[col] == b[col] for a, b in zip(t[p : p + size], d[q : q + size]))}
+        windows = {p: tuple(x[col] for x in t[p : p + size]) for p in specific}
+
+        def passes(hits):
+            if len({windows[p] for _, p in hits}) >= decontam.COVERAGE * len(set(windows.values())):
+                return True
+            for line in {x for x, _ in hits}:
+                first = last = None
+                for p in sorted(p for x, p in hits if x == line):
+                    first = p if first is None or p - last > w else first
+                    last = p
+                    if last + size - first >= decontam.RUN:
+                        return True
+            return False
+
+        if not specific or not passes(hits):
+            continue
+        if not col:
+            bad = set()
+            for line in {x for x, _ in hits}:
+                there, back = collections.defaultdict(set), collections.defaultdict(set)
+                places = [p for x, p in hits if x == line]
+                slots = [(k, t[k][2], t[k][1], d[k + line][1]) for k in range(min(places), max(places) + size) if t[k][2] and t[k][2] == d[k + line][2]]
+                for _, kind, was, now in slots:
+                    there[kind, was].add(now)
+                    back[kind, now].add(was)
+                wrong = {k for k, kind, was, now in slots if len(there[kind, was]) > 1 or kind != decontam.NUM and len(back[kind, now]) > 1}
+                bad |= {(line, p) for p in places if not wrong.isdisjoint(range(p, p + size))}
+            hits -= bad
+        if passes(hits):
+            return True
+    return False
+
+
+def test_decontamination_equals_brute_force_and_finds_other_parameters(spark):
+    rng = random.Random(12)
+    names, places = ["Tom", "Ann", "Rosa", "Ivan", "Mei", "Omar", "Lena", "Kofi"], ["Boston", "Lagos", "Oslo", "Lima", "Perth", "Quito"]
+    frames = [
+        "{a} has {n} apples and gives {m} of them to {b}. How many apples does {a} keep for the trip to {p}?", "A train leaves {p} at {n} km and reaches {q} after {m} hours. How fast does the train to {q} go on average?",
+        "{a} and {b} paint a fence that is {n} m long. {a} paints {m} m on the first day, how much is left for {b}?", "In {p} it rains on {n} days of a month, in {q} on {m} days. Where does it rain more often, asks {a}?",
+    ]
+
+    def filled(frame):
+        (a, b), (p, q) = rng.sample(names, 2), rng.sample(places, 2)
+        return frame.format(a=a, b=b, p=p, q=q, n=rng.randint(2, 90), m=rng.randint(2, 90))
+
+    items = [filled(f) for f in frames]
+    docs = [(k, k % 4, f"Some words of another kind stand here. {filled(frames[k % 4])} And more of them follow.") for k in range(40)]
+    mixed = []
+    for k in range(40, 80):
+        words = filled(frames[k % 4]).split()
+        cut = rng.randint(0, len(words))
+        mixed.append((k, " ".join(words[:cut] + rng.sample(names, 2) + filled(rng.choice(frames)).split()[cut:])))
+    texts = [(k, t) for k, _, t in docs] + mixed
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()}
+    assert got == {(k, i) for k, t in texts for i, item in enumerate(items) if _brute_found(t, item)}
+    assert len(got & {(k, i) for k, i, _ in docs}) >= 0.9 * len(docs)
+
+
 # ---------------------------------------------------------------- 6 near-duplicates
 def _sets(texts, k):
     out = {}
