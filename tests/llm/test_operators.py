@@ -3,6 +3,8 @@
 import base64
 import collections
 import hashlib
+import itertools
+import math
 import random
 import zlib
 
@@ -447,6 +449,54 @@ def test_url_rules_are_mined(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def _brute_rules(rows, min_support, min_confidence, most):
+    """All combinations of up to `most` tokens with a label, pruned as the operator says."""
+    least, total = math.ceil(min_support * len(rows)), len(rows)
+    seen, freq = collections.Counter(), collections.Counter()
+    for tokens, verdict in rows:
+        for n in range(1, most + 1):
+            for c in itertools.combinations(sorted(set(tokens)), n):
+                seen[c] += 1
+                freq[c, verdict] += 1
+    rules = {(c, v): (f / seen[c], f / total) for (c, v), f in freq.items() if f >= least and f / seen[c] >= min_confidence}
+    return {(c, v): x for (c, v), x in rules.items() if not any(((p, v) in rules and rules[p, v][0] >= x[0]) for p in itertools.combinations(c, len(c) - 1) if p)}
+
+
+@pytest.mark.parametrize("max_items", [12, 2])
+def test_url_rules_equal_brute_force(spark, monkeypatch, max_items):
+    monkeypatch.setattr(urlfilter, "MAX_ITEMS", max_items)
+    monkeypatch.setattr(urlfilter, "BLOCK_ITEMS", 2)
+    rng, rows, asked = random.Random(13), [], []
+    for k in range(260):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.45]
+        tokens += ["h", "i"] if "a" in tokens else []
+        tokens += ["z"] if "b" in tokens and "c" in tokens and k % 2 else []
+        verdict = "block" if {"a", "d"} <= set(tokens) or {"b", "e", "g"} <= set(tokens) or "z" in tokens or rng.random() < 0.1 else "allow"
+        (rows if k < 200 else asked).append((tokens or ["q"], verdict))
+    asked += [(["i", "d"], "x"), (["h"], "x"), (["none"], "x")]
+    space = Workspace(spark, "rules")
+    mined = urlfilter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), space, 0.02, 0.8, 3)
+    urls = spark.createDataFrame([(str(k), t) for k, (t, _) in enumerate(asked)], "row string, tokens array<string>")
+    got = {r.row: (r.mined, round(r.confidence, 9)) for r in urlfilter.match_rules(urls, mined).collect()}
+    rules, want = _brute_rules(rows, 0.02, 0.8, 3), {}
+    for k, (tokens, _) in enumerate(asked):
+        fits = [(c, s, len(t), v) for (t, v), (c, s) in rules.items() if set(t) <= set(tokens)]
+        if fits:
+            want[str(k)] = (max(fits)[3], round(max(fits)[0], 9))
+    assert got == want and len(want) > 20
+    expanded = {(tuple(sorted(t)), r.verdict) for r in mined.collect() for t in itertools.product(*r.tokens)}
+    assert expanded == set(rules)
+
+
+def test_url_with_many_keys_that_come_together(spark):
+    keys = "&".join(f"k{k:02d}=1" for k in range(25))
+    rows = [(k, f"http://www.example.com/{'fr' if k % 2 else 'de'}/{k}?{keys}") for k in range(200)] + [(200, f"http://other.net/?{keys}"), (201, "http://other.net/" + "x" * 100_000)]
+    rng = random.Random(14)
+    rows += [(300 + k, f"http://www.example.com/{'fr' if k % 2 else 'de'}/{k}?" + "&".join(f"j{j:02d}" for j in range(25) if rng.random() < 0.5)) for k in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert {r.verdict for r in urlfilter.filter_urls(pages).collect()} <= {"allow", "block"}
+
+
 # ---------------------------------------------------------------- 8 lines
 def _distance(a, b):
     row = list(range(len(b) + 1))
@@ -471,17 +521,34 @@ def test_banded_distance():
             assert linedup.within_edits(a, b, most) == (_distance(a, b) <= most)
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
+    """Lines with characters and words replaced, put in and left out; also with keys of a few rows passed through as hot ones."""
+    monkeypatch.setattr(linedup, "HOT_CHUNK", hot)
+    monkeypatch.setattr(linedup, "HOT_BUCKET", hot)
+    monkeypatch.setattr(linedup, "BUCKET_KEYS", 1 << 19 if hot > 3 else 50)
+    monkeypatch.setattr(linedup, "BLOCK", 2048 if hot > 3 else 4)
     rng = random.Random(9)
     bases = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() + "." for n in (15, 19, 25, 39, 41, 60, 60, 120)]
+    bases += [" ".join(f"w{rng.randint(0, 60)}" for _ in range(n)) for n in (8, 10, 11, 19, 21, 30, 41, 90)]
     texts = []
-    for _ in range(40):
+    for _ in range(50):
         lines = []
         for _ in range(rng.randint(0, 5)):
-            own = list(rng.choice(bases))
-            for _ in range(rng.randint(0, 2)):
-                own[rng.randrange(len(own))] = rng.choice("xyz")
-            lines.append("".join(own))
+            own = rng.choice(bases)
+            if rng.random() < 0.5 and own[0] == "w":
+                own = own.split()
+                for _ in range(rng.randint(0, 4)):
+                    k = rng.randrange(len(own))
+                    own[k : k + rng.randint(0, 1)] = rng.choice([[], ["another"], ["word"]])
+                own = " ".join(own)
+            else:
+                own = list(own)
+                for _ in range(rng.randint(0, 3)):
+                    k = rng.randrange(len(own))
+                    own[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+                own = "".join(own)
+            lines.append(own)
         texts.append("\n".join(lines))
     docs = list(enumerate(texts))
     lines = [(d, n, x.strip(" \t\r\x0b\x0c")) for d, t in docs for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
@@ -493,11 +560,16 @@ def test_line_dedup_equals_brute_force(spark):
             x = root[x]
         return x
 
-    for a in distinct:
-        for b in distinct:
-            most = int(linedup.allowed(np.array([min(len(a), len(b))]), 2)[0])
-            if a < b and abs(len(a) - len(b)) <= most and _distance(a, b) <= most:
-                root[top(b)] = top(a)
+    def near(a, b):
+        for x, y, bounds in ((a, b, (20, 40)), (a.split(), b.split(), (10, 20, 40))):
+            most = sum(min(len(x), len(y)) >= n for n in bounds)
+            if abs(len(x) - len(y)) <= most and _distance(x, y) <= most:
+                return True
+        return False
+
+    for a, b in itertools.combinations(distinct, 2):
+        if near(a, b):
+            root[top(b)] = top(a)
     first = {}
     for d, n, x in lines:
         first.setdefault(top(x), (d, n))
@@ -506,6 +578,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == want
 
 
+def test_a_long_line_with_a_replaced_word_is_near(spark):
+    words = [f"word{k}" for k in range(30)]
+    other = [words[:7] + ["replacement"] + words[8:], words[:20] + ["insertion"] + words[20:], words[:3] + words[4:], [f"other{k}" for k in range(30)]]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([words, *other])], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in linedup.line_report(docs).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
 def test_line_dedup_edges(spark, docs, nothing):
     rows = {r.doc_id: (r.n_lines, r.n_dropped, r.n_near) for r in linedup.line_report(docs).collect()}
     assert rows[2] == (1, 1, 0) and rows[1] == (1, 0, 0) and rows[8] == (3, 1, 1) and rows[3] == (0, 0, 0)
