@@ -42,7 +42,8 @@ TOKEN = rf"{NUMBER}|[\p{{L}}\p{{M}}]+"
 UNIT = rf"(?<=\p{{N}}[\x20 \-]?)(?i:{'|'.join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
 #: Function words that begin sentences and are no names (English, German, French, Spanish).
 FUNCTION_WORDS = "a about after all also an and any are as at because before but by can could did do does during each every few find first for from give given had has have he her here his how i if in into is it its let many may more most much must my no not of on one only or other our over please several she should since so some suppose than that the their then there these they this those through to two under until up was we what when where whether which while who whom whose why will with would you your aber als am auf aus bei das dass dem den der des die doch ein eine einen einer er es für hat hier ich ihr im ist man mit nach nicht noch nun nur ob oder sein seine sich sie sind um und unter uns viele von vor wann war wenn wer wie wir wird wo zu zum zur au aux avec ce ces cette comme dans de deux donc du elle elles en est et il ils je la le les leur lorsque mais ne nous où par pas pour quand que quel quelle qui sa sans se ses si son sont sous sur un une vous al algunos como con cuando cual cuánto del desde dos el ella ellos entre esta este esto están hay las lo los más muchos nos o para pero por qué quién ser sin sobre su sus también todos una unos y ya"
-NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?i:{'|'.join(sorted(FUNCTION_WORDS.split(), key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])"
+#: A capital letter is looked for first, as most places have none.
+NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{'|'.join(sorted(map(str.capitalize, FUNCTION_WORDS.split()), key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])"
 #: Placeholders are single letters of the private use area, which no word contains.
 NUM, UNI, NAM = "\ue000", "\ue001", "\ue002"
 
@@ -67,20 +68,26 @@ def plain_tokens(text: Column) -> Column:
 
 
 def hashed_windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, place and hash of every window of text, of each size, in both sets; once where the sets agree."""
-    texts = F.col("text")
-    hashes = rows.select(*keys, *[F.transform(tokens(texts), lambda t: F.xxhash64(t)).alias(name) for tokens, name in ((template_tokens, "h"), (plain_tokens, "p"))])
-    out = None
-    for size in sizes:
+    """keys, place and hash of every window of text, of each size, in both sets; once where the sets agree.
 
-        def windows(name: str) -> Column:
-            return F.when(F.size(name) >= size, F.transform(F.sequence(F.lit(0), F.size(name) - size), lambda i: F.xxhash64(*[F.get(name, i + k) for k in range(size)])))
+    All sizes come of one pass: their windows lie one after the other in one array, and a place is the distance from its part's start.
+    """
+    texts, n = F.col("text"), F.size("h")
+    hashes = rows.select(*keys, *[F.transform(tokens(texts), lambda t: F.xxhash64(t)).alias(name) for tokens, name in ((template_tokens, "h"), (plain_tokens, "p"))])
 
-        both = hashes.select(*keys, windows("h").alias("h"), windows("p").alias("p"))
-        other = F.zip_with("h", "p", lambda h, p: F.when(h != p, p))
-        part = both.select(*keys, F.size("h").alias("n"), F.posexplode(F.concat("h", other)).alias("place", "hash")).select(*keys, (F.col("place") % F.col("n")).alias("place"), "hash")
-        out = part if out is None else out.unionAll(part)
-    return out
+    def windows(name: str, size: int) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.size(name) - size), lambda i: F.xxhash64(*[F.get(name, i + k) for k in range(size)]))
+        return F.when(F.size(name) >= size, some).otherwise(F.array().cast("array<bigint>"))
+
+    arrays = [windows(name, size).alias(f"{name}{size}") for size in sizes for name in ("h", "p")]
+    both = hashes.select(*keys, n.alias("n"), *arrays)
+    parts = [x for size in sizes for x in (F.col(f"h{size}"), F.zip_with(f"h{size}", f"p{size}", lambda h, p: F.when(h != p, p)))]
+    out = both.select(*keys, "n", F.posexplode(F.concat(*parts)).alias("at", "hash"))
+    start, place = F.lit(0), F.col("at")
+    for size in [s for s in sizes for _ in (0, 1)]:
+        place = F.when(F.col("at") >= start, F.col("at") - start).otherwise(place)
+        start = start + F.greatest(F.col("n") - size + 1, F.lit(0))
+    return out.select(*keys, place.alias("place"), "hash")
 
 
 def benchmark_windows(items: DataFrame, window: int, min_words: int, coverage: float, space: Workspace) -> DataFrame:

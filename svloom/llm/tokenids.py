@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from svloom.llm.common import Workspace, shared_fs, tasks_for, write_whole
 MAGIC = b"SVDAC\x001\x00"
 RANK_BLOCK = 512
 SHARD_TOKENS = 1 << 22
-#: Pieces that a worker keeps at most, of those at a text's start and of others each (about 250 bytes a piece).
-CACHE_PIECES = 1 << 19
+#: Pieces that a worker keeps at most, of those at a text's start and of others each (about 250 bytes a piece, 300 MB).
+CACHE_PIECES = 1_200_000
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -137,6 +139,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def packed(ids) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Pieces(dict):
     """Ids (as little-endian uint32 bytes) of the pieces between white space, made on demand."""
 
@@ -153,7 +163,7 @@ class Pieces(dict):
             out = self[word] + self._encode(piece[len(word) :], "")
         elif piece.isalpha():
             letters = (self.lead + piece).encode().decode("latin1").translate(self.letters)
-            out = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+            out = packed(t.id for t in self.model.tokenize(letters))
         else:
             out = self._encode(piece, self.lead)
         if len(piece) <= 64:
@@ -163,7 +173,7 @@ class Pieces(dict):
         return out
 
     def _encode(self, text: str, lead: str) -> bytes:
-        return np.array(self.tokenizer.encode(lead + text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(lead + text, add_special_tokens=False).ids)
 
 
 class TextEncoder:
