@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.operators.islands import gap_sessions
+from svloom.operators.islands import axis_islands
 
 #: (largest length, eps) bands of insertions and inversions, on noisy and on clean reads.
 INS_BANDS = {True: ((300, 150), (1000, 220), (5000, 300), (10**12, 420)), False: ((300, 220), (1000, 300), (5000, 420), (10**12, 600))}
@@ -62,7 +62,7 @@ def drop_oversized(sig: DataFrame, cap: int = MAX_SIZE, types=("DUP", "INV")) ->
 
 def insertion_clusters(sig: DataFrame, keys: list[str], eps: float, order: list[str]) -> DataFrame:
     """Density clusters of points (start, start + 1): their distance is the root of 2 times that of the starts."""
-    return gap_sessions(sig, keys, "start", eps / math.sqrt(2), order, "cluster")
+    return axis_islands(sig, keys, ["start", *[c for c in order if c != "start"]], "start", lambda last: F.col("start") - last > eps / math.sqrt(2), "cluster")
 
 
 def density_clusters(sig: DataFrame, order: list[str]) -> DataFrame:
@@ -73,9 +73,7 @@ def density_clusters(sig: DataFrame, order: list[str]) -> DataFrame:
     """
     keys = ["contig", "svtype", "eps"]
     ended = sig.withColumn("end", F.col("start") + F.when(F.col("svtype") == "INS", 1).otherwise(F.col("svlen")))
-    window = Window.partitionBy(*keys).orderBy("start", *order)
-    first = ended.withColumn("__new", F.coalesce((F.col("start") - F.lag("start").over(window) > F.col("eps")).cast("long"), F.lit(1)))
-    first = first.withColumn("block", F.sum("__new").over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    first = axis_islands(ended, keys, ["start", *order], "start", lambda last: F.col("start") - last > F.col("eps"), "block")
     second = Window.partitionBy(*keys, "block").orderBy("end", *order)
     split = first.withColumn("__new", F.coalesce((F.col("end") - F.lag("end").over(second) > F.col("eps")).cast("long"), F.lit(1)))
     split = split.withColumn("part", F.sum("__new").over(second.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
@@ -141,6 +139,15 @@ def summarise(clustered: DataFrame, keys: list[str], cap: int = MAX_SIZE) -> Dat
     return out
 
 
+def trim_members(clustered: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of each cluster that trim_length_outliers leaves, in the order of length."""
+    lengths = clustered.groupBy(*keys).agg(F.array_sort(F.collect_list("svlen")).alias("__l")).withColumn("__kept", trim_length_outliers(F.col("__l")))
+    spans = lengths.select(*keys, F.array_position("__l", F.get("__kept", 0)).alias("__first"), F.size("__kept").alias("__n"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("svlen", *order))
+    rows = clustered.withColumn("__nth", nth).join(spans, keys)
+    return rows.filter((F.col("__nth") >= F.col("__first")) & (F.col("__nth") < F.col("__first") + F.col("__n"))).drop("__nth", "__first", "__n")
+
+
 def trim_length_outliers(lengths: Column) -> Column:
     """The middle of a sorted array of lengths after the outliers at its ends are dropped one by one.
 
@@ -166,9 +173,7 @@ def leader_clusters(tra: DataFrame, reach: int = 1000) -> DataFrame:
     start gap cannot share a leader, so a pair of contigs is split there before it is dealt out.
     """
     keys = ["contig", "contig2"]
-    window = Window.partitionBy(*keys).orderBy("start", "end", "read_name")
-    blocks = tra.withColumn("__new", F.coalesce((F.col("start") - F.lag("start").over(window) > reach).cast("long"), F.lit(1)))
-    blocks = blocks.withColumn("block", F.sum("__new").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    blocks = axis_islands(tra, keys, ["start", "end", "read_name"], "start", lambda last: F.col("start") - last > reach, "block")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["read_name", "start", "contig2", "end"], kind="stable").reset_index(drop=True)

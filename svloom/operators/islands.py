@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,27 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, na
     return marked.withColumn(name, F.sum("__new").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+#: Positions of one piece of an axis: a contig is sorted piece by piece, whatever its length and rows.
+AXIS_PIECE = 1 << 20
+
+
+def axis_islands(df: DataFrame, keys: list[str], order: list[str], carry: str, breaks: Callable[[Column], Column], name: str = "island", piece: int = AXIS_PIECE) -> DataFrame:
+    """As islands, along an axis: order[0] is a position, and breaks tells from the value of `carry` in the row before.
+
+    Rows are sorted within pieces of the axis alone. What a piece needs of those before it, the last row's value and
+    the number of runs, comes from tables of one row for each piece.
+    """
+    here = [*keys, "__piece"]
+    rows = df.withColumn("__piece", F.floor(F.col(order[0]) / piece))
+    window, along = Window.partitionBy(*here).orderBy(*order), Window.partitionBy(*keys).orderBy("__piece")
+    last = rows.groupBy(*here).agg(F.max_by(carry, F.struct(*order)).alias("__last")).withColumn("__carried", F.lag("__last").over(along)).drop("__last")
+    linked = rows.join(last, here).withColumn("__before", F.coalesce(F.lag(carry).over(window), "__carried"))
+    marked = linked.withColumn("__new", F.coalesce(breaks(F.col("__before")), F.lit(True)).cast("bigint"))
+    ahead = marked.groupBy(*here).agg(F.sum("__new").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    numbered = marked.withColumn("__own", F.sum("__new").over(window.rowsBetween(Window.unboundedPreceding, 0))).join(ahead, here)
+    return numbered.withColumn(name, F.col("__own") + F.col("__ahead")).drop("__piece", "__carried", "__before", "__new", "__own", "__ahead")
+
+
 def before(column: str, keys: list[str], order: list[str]) -> Column:
     return F.lag(column).over(Window.partitionBy(*keys).orderBy(*order))
 
@@ -25,7 +48,7 @@ def gap_sessions(df: DataFrame, keys: list[str], position: str, gap: float, orde
 def merge_adjacent(windows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Runs in which every window begins where the one before ends; overlapping ones are not merged."""
     order = [start, end]
-    numbered = islands(windows, keys, order, before(end, keys, order) != F.col(start))
+    numbered = axis_islands(windows, keys, order, end, lambda last: last != F.col(start))
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_windows")).drop("island")
 
 

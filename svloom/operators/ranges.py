@@ -19,8 +19,8 @@ def with_bins(df: DataFrame, start: Column, end: Column, width: int) -> DataFram
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int, how: str = "inner") -> DataFrame:
     """Pairs with equal keys and left.start < right.end and left.end > right.start.
 
-    how: inner (all columns; the right side's keys are left out), left_semi or left_anti. For the last two
-    `left` needs rows that differ in all their columns together. Choose width near the usual interval length.
+    how: inner (all columns; the right side's keys are left out), left_semi or left_anti; rows of left that repeat
+    share one fate. Choose width near the usual interval length.
     """
     ls, le = left_range
     rs, re = right_range
@@ -34,10 +34,12 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: t
         hits = lhs.join(r, on & (F.col("__bin") == F.greatest("__lo", "__rlo")))
         others = [(m, c) for m, c in zip(marked, right.columns, strict=True) if c not in keys]
         return hits.select(*left.columns, *[F.col(m).alias(c if c not in left.columns else f"right_{c}") for m, c in others])
-    matched = lhs.join(r, on, "left_semi").select(*left.columns).distinct()
-    if how == "left_semi":
-        return matched
-    return left.exceptAll(matched)
+    matched = lhs.join(r, on, "left_semi").select(*[F.col(c).alias(f"__m_{c}") for c in left.columns]).distinct()
+    same = None
+    for c in left.columns:
+        pair = F.col(c).eqNullSafe(F.col(f"__m_{c}"))
+        same = pair if same is None else same & pair
+    return left.join(matched, same, how)
 
 
 def range_count(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width: int, row_id: list[str], name: str = "n") -> DataFrame:

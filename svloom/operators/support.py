@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svloom.functions import genotypes as G
-from svloom.functions.alignment import is_primary
+from svloom.functions.alignment import cigar_ops, indels, is_primary
 from svloom.operators.ranges import range_count, range_join
 
-MIN_MAPQ, FIRST_READS, READ_BIN = 20, 200, 20_000
+MIN_MAPQ, FIRST_READS, REFINE_READS, READ_BIN = 20, 200, 5000, 10_000
 
 
 def count_support(calls: DataFrame, reads: DataFrame, row_id: list[str], reach: int = 1000) -> DataFrame:
@@ -59,15 +59,29 @@ def genotype(calls: DataFrame, reads: DataFrame, row_id: list[str], method: str
     return joined.withColumn("gt", F.when(alt < F.col("min_support"), skip).when(ref + alt < F.col("min_support"), "./.").otherwise(called))
 
 
-def refine(calls: DataFrame, events: DataFrame, row_id: list[str], types=("DEL",), window: int = 200, min_evidence: int = 2, max_shift: int = 500, ratio: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
-    """Calls with start and length from the indels of nearby reads: new_start, new_len, evidence, reason.
+def refine_reads(calls: DataFrame, reads: DataFrame, row_id: list[str], window: int = 200, first: int = REFINE_READS) -> DataFrame:
+    """calls (insertions and deletions) with the first reads in file order that overlap them, at most `first` a call: `nth` is the read's place.
 
-    events: contig, svtype (INS or DEL), ev_start, ev_len, read_name.
+    The columns of reads but contig are added.
     """
     span = F.when(F.col("svtype") == "INS", 1).otherwise(F.greatest(F.lit(1), F.col("svlen")))
-    placed = calls.filter(F.col("svtype").isin("INS", "DEL")).withColumn("pred_len", F.greatest(F.lit(1), F.col("svlen"))).withColumn("__s", F.greatest(F.lit(0), F.col("start") - window)).withColumn("__e", F.col("start") + span + window)
-    ev = events.withColumn("ev_end", F.col("ev_start") + F.when(F.col("svtype") == "INS", 0).otherwise(F.col("ev_len"))).withColumn("ev_lo", F.greatest(F.lit(0), F.col("ev_start") - max_shift)).withColumn("ev_hi", F.col("ev_end") + max_shift + 1)
-    pairs = range_join(placed, ev, ["contig", "svtype"], ("__s", "__e"), ("ev_lo", "ev_hi"), READ_BIN)
+    placed = calls.filter(F.col("svtype").isin("INS", "DEL")).withColumn("__s", F.greatest(F.lit(0), F.col("start") - window)).withColumn("__e", F.col("start") + span + window)
+    pairs = range_join(placed, reads, ["contig"], ("__s", "__e"), ("ref_start", "ref_end"), READ_BIN)
+    nth = F.row_number().over(Window.partitionBy(*row_id).orderBy("ref_start", "read_ordinal"))
+    return pairs.withColumn("nth", nth).filter(F.col("nth") <= first).drop("__s", "__e")
+
+
+def refine(calls: DataFrame, reads: DataFrame, row_id: list[str], types=("DEL",), window: int = 200, min_evidence: int = 2, max_shift: int = 500, ratio: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Calls with start and length from the indels of the reads over them: new_start, new_len, evidence, reason.
+
+    Primary reads of mapq 20 count. A read's alignment is walked once, whatever the number of calls that it overlaps.
+    """
+    good = reads.filter(is_primary(F.col("flag"), keep_duplicates=True) & (F.col("mapq") >= MIN_MAPQ))
+    walked = good.select("contig", "read_name", "read_ordinal", "ref_start", "ref_end", indels(cigar_ops(F.col("cigar")), F.col("ref_start"), True).alias("events"))
+    near = refine_reads(calls.withColumn("pred_len", F.greatest(F.lit(1), F.col("svlen"))), walked, row_id, window)
+    own = F.filter("events", lambda e: e["op"] == F.when(F.col("svtype") == "INS", "I").otherwise("D"))
+    pairs = near.withColumn("e", F.explode(own)).withColumn("ev_start", F.col("e.start")).withColumn("ev_len", F.col("e.n"))
+    pairs = pairs.withColumn("ev_end", F.col("ev_start") + F.when(F.col("svtype") == "INS", 0).otherwise(F.col("ev_len")))
     end, limit = F.col("start") + F.col("pred_len"), window + max_shift
     overlap = F.greatest(F.lit(0), F.least("ev_end", end) - F.greatest("ev_start", "start"))
     near = F.abs(F.col("ev_start") - F.col("start")) <= limit

@@ -9,7 +9,7 @@ from svloom.functions import genotypes as G
 from svloom.functions import variants as V
 from svloom.functions.alignment import is_primary
 from svloom.operators import support as U
-from svloom.plans.alignments import indel_rows
+from svloom.operators.cut import cut
 from svloom.plans.intervals import SUMMARY_SQL, contigs_of, insertion_calls
 from svloom.plans.registry import query
 from svloom.sources.fixtures import projection, table, with_ctes
@@ -164,9 +164,9 @@ def overlap_join_genotype(spark, sf_dir):
     return near.select("contig", "cluster", "read_name", F.col("nth").cast("bigint").alias("nth"))
 
 
-@query("topk_first_200_reads", f"{CALLS_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT contig, cluster, read_name, nth FROM near WHERE nth <= 5")
+@query("topk_first_200_reads", f"{CALLS_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT contig, cluster, read_name, nth FROM near WHERE nth <= 200")
 def topk_first_200_reads(spark, sf_dir):
-    near = U.evidence_reads(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID, 5)
+    near = U.evidence_reads(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID)
     return near.select("contig", "cluster", "read_name", F.col("nth").cast("bigint").alias("nth"))
 
 
@@ -185,10 +185,10 @@ CALLED_SQL = f"""{CALLS_SQL}, {COVERAGE_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL}, mins
 def called(spark, sf_dir) -> DataFrame:
     """Insertion calls with coverage, local depth, support threshold, reference support and genotype."""
     reads = projection(spark, sf_dir, "reads")
-    local = U.count_support(placed_calls(spark, sf_dir), reads, ID)
+    local = U.count_support(cut(placed_calls(spark, sf_dir)), reads, ID)
     sized = local.join(F.broadcast(coverage(reads)))  # one row
     sized = sized.withColumn("min_support", G.min_support(F.col("svtype"), F.col("coverage"), F.col("local"), F.lit(0.0)))
-    return U.genotype(sized, reads, ID)
+    return U.genotype(cut(sized), reads, ID)
 
 
 COLUMNS = ["contig", "cluster", "svtype", "start", "svlen", "support", "min_support", "ref_support", "gt"]
@@ -242,12 +242,12 @@ def sink_vcf_bnd_pair(spark, sf_dir):
 
 # ---------------------------------------------------------------- refinement
 EVENTS_SQL = f"""ops AS (SELECT r.*, k AS op_nth, CAST(regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 1)[k] AS BIGINT) AS n, regexp_extract_all(cigar, '(\\d+)([MIDNSHP=X])', 2)[k] AS op FROM reads r, generate_series(1, len(regexp_extract_all(cigar, '\\d+[MIDNSHP=X]'))) t(k) WHERE (flag & 2308) = 0 AND mapq >= 20),
-  ev AS (SELECT contig, read_name, op, n AS ev_len, ev_start FROM (SELECT *, ref_start + coalesce(CAST(sum(CASE WHEN op IN ('M','D','=','X','N') THEN n ELSE 0 END) OVER (PARTITION BY read_ordinal ORDER BY op_nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ev_start FROM ops) WHERE op IN ('D','I') AND n >= 40)"""
+  ev AS (SELECT read_ordinal, contig, read_name, op, n AS ev_len, ev_start FROM (SELECT *, ref_start + coalesce(CAST(sum(CASE WHEN op IN ('M','D','=','X','N') THEN n ELSE 0 END) OVER (PARTITION BY read_ordinal ORDER BY op_nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS ev_start FROM ops) WHERE op IN ('D','I') AND n >= 40)"""
 PRED_SQL = "pred AS (SELECT o_orderkey AS id, 'chr' || (o_custkey % 5 + 1) AS contig, CASE WHEN o_custkey % 2 = 0 THEN 'DEL' ELSE 'INS' END AS svtype, (o_orderkey * 7919) % 2000000 + 300 + o_custkey % 900 AS start, 45 + o_custkey % 60 AS svlen FROM orders)"
 _NEAR = "abs(ev_start - start) <= 700"
 REFINE_SQL = f"""{READS}, {EVENTS_SQL}, {PRED_SQL},
-  pairs AS (SELECT p.id, e.read_name, e.ev_start, e.ev_start + CASE WHEN p.svtype = 'INS' THEN 0 ELSE e.ev_len END AS ev_end, e.ev_len, p.start, p.svlen, p.svtype FROM pred p JOIN ev e ON e.contig = p.contig AND CASE e.op WHEN 'D' THEN 'DEL' ELSE 'INS' END = p.svtype
-    AND greatest(0, e.ev_start - 500) < p.start + CASE WHEN p.svtype = 'INS' THEN 1 ELSE p.svlen END + 200 AND e.ev_start + CASE WHEN p.svtype = 'INS' THEN 0 ELSE e.ev_len END + 501 > greatest(0, p.start - 200)),
+  near AS (SELECT p.id, r.read_ordinal, row_number() OVER (PARTITION BY p.id ORDER BY r.ref_start, r.read_ordinal) AS nth FROM pred p JOIN reads r ON r.contig = p.contig AND r.ref_start < p.start + CASE WHEN p.svtype = 'INS' THEN 1 ELSE p.svlen END + 200 AND r.ref_end > greatest(0, p.start - 200) WHERE (r.flag & 2308) = 0 AND r.mapq >= 20),
+  pairs AS (SELECT p.id, e.read_name, e.ev_start, e.ev_start + CASE WHEN p.svtype = 'INS' THEN 0 ELSE e.ev_len END AS ev_end, e.ev_len, p.start, p.svlen, p.svtype FROM pred p JOIN near n USING (id) JOIN ev e ON e.read_ordinal = n.read_ordinal WHERE n.nth <= 5000 AND CASE e.op WHEN 'D' THEN 'DEL' ELSE 'INS' END = p.svtype),
   fit AS (SELECT * FROM pairs WHERE ev_len::DOUBLE / svlen BETWEEN 0.25 AND 4.0 AND ({_NEAR} OR (svtype = 'DEL' AND (abs(ev_end - start - svlen) <= 700 OR greatest(0, least(ev_end, start + svlen) - greatest(ev_start, start))::DOUBLE / greatest(1, least(ev_len, svlen)) >= 0.2)))),
   seen AS (SELECT id, count(DISTINCT read_name) AS evidence, CAST(round_even(median(ev_start), 0) AS BIGINT) AS ms, CAST(round_even(median(ev_end), 0) AS BIGINT) AS me, CAST(round_even(median(ev_len), 0) AS BIGINT) AS ml FROM fit GROUP BY 1),
   j AS (SELECT p.*, evidence, ms, CASE WHEN svtype = 'INS' THEN ml ELSE greatest(1, me - ms) END AS nl, CASE WHEN svtype = 'INS' THEN abs(ms - start) ELSE greatest(abs(ms - start), abs(me - start - svlen)) END AS shift FROM pred p LEFT JOIN seen USING (id)),
@@ -255,12 +255,12 @@ REFINE_SQL = f"""{READS}, {EVENTS_SQL}, {PRED_SQL},
   SELECT id, CAST(CASE WHEN reason = 'type_skip' THEN 0 ELSE coalesce(evidence, 0) END AS BIGINT) AS evidence, CASE WHEN reason IN ('updated','same_value') THEN ms ELSE start END AS new_start, CASE WHEN reason IN ('updated','same_value') THEN nl ELSE svlen END AS new_len, reason FROM refined"""
 
 
+def _predicted(spark, sf_dir) -> DataFrame:
+    return spark.sql(PRED_SQL[len("pred AS (") : -1].replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders"))
+
+
 def _refined(spark, sf_dir, types) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    calls = spark.sql(PRED_SQL[len("pred AS (") : -1].replace("FROM orders", "FROM {t}"), t=orders)
-    reads = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20))
-    events = indel_rows(reads, True).select("contig", F.when(F.col("op") == "D", "DEL").otherwise("INS").alias("svtype"), F.col("start").alias("ev_start"), F.col("n").alias("ev_len"), "read_name")
-    return U.refine(calls, events, ["id"], types).select("id", "evidence", "new_start", "new_len", "reason")
+    return U.refine(_predicted(spark, sf_dir), projection(spark, sf_dir, "reads"), ["id"], types).select("id", "evidence", "new_start", "new_len", "reason")
 
 
 @query("refine_del", REFINE_SQL.replace("{types}", "['DEL']") + " WHERE svtype = 'DEL'")
@@ -278,20 +278,20 @@ def refine_driver(spark, sf_dir):
     return _refined(spark, sf_dir, ("DEL", "INS"))
 
 
-@query("first_5000_reads", f"{READS} SELECT contig, read_ordinal FROM (SELECT contig, read_ordinal, row_number() OVER (PARTITION BY contig ORDER BY ref_start, read_ordinal) AS k FROM reads WHERE (flag & 2308) = 0 AND mapq >= 20) WHERE k <= 5000")
-def first_5000_reads(spark, sf_dir):
-    from pyspark.sql import Window
+_NEAR_READS = REFINE_SQL[: REFINE_SQL.index("  pairs AS")].rstrip().rstrip(",")
 
-    good = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20))
-    order = Window.partitionBy("contig").orderBy("ref_start", "read_ordinal")
-    return good.withColumn("k", F.row_number().over(order)).filter("k <= 5000").select("contig", "read_ordinal")
+
+@query("first_5000_reads", f"{_NEAR_READS} SELECT id, read_ordinal, nth FROM near WHERE nth <= 5000")
+def first_5000_reads(spark, sf_dir):
+    good = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20)).select("contig", "read_ordinal", "ref_start", "ref_end")
+    return U.refine_reads(_predicted(spark, sf_dir), good, ["id"]).select("id", "read_ordinal", F.col("nth").cast("bigint").alias("nth"))
 
 
 @query("overlap_join_refine", f"{READS}, {PRED_SQL} SELECT p.id, r.read_ordinal FROM pred p JOIN reads r ON r.contig = p.contig AND r.ref_start < p.start + 201 AND r.ref_end > greatest(0, p.start - 200) WHERE (r.flag & 2308) = 0 AND r.mapq >= 20 AND p.svtype = 'INS'")
 def overlap_join_refine(spark, sf_dir):
     from svloom.operators.ranges import range_join
 
-    calls = spark.sql(PRED_SQL[len("pred AS (") : -1].replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders")).filter("svtype = 'INS'")
+    calls = _predicted(spark, sf_dir).filter("svtype = 'INS'")
     calls = calls.withColumn("__s", F.greatest(F.lit(0), F.col("start") - 200)).withColumn("__e", F.col("start") + 201)
     good = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20)).select("contig", "read_ordinal", "ref_start", "ref_end")
     return range_join(calls, good, ["contig"], ("__s", "__e"), ("ref_start", "ref_end"), 10000).select("id", "read_ordinal")

@@ -68,25 +68,28 @@ def contig_membership_bnd(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- labels and BED
-REGIONS_SQL = "grid AS (SELECT contig, k * 20000 AS start, k * 20000 + 20000 AS \"end\" FROM (SELECT 'chr' || c AS contig FROM generate_series(1, 6) t(c)), generate_series(0, 199) u(k))"
+REGIONS_SQL = "grid AS (SELECT contig, k * {size} AS start, k * {size} + {size} AS \"end\" FROM (SELECT contig, max(\"end\") AS far FROM intervals GROUP BY 1 UNION ALL SELECT 'chrNone', 100000), generate_series(0, far // {size}) u(k))"
 
 
-def _grid(spark, size: int = 20000, n: int = 200) -> DataFrame:
-    k = spark.range(n).select((F.col("id") * size).alias("start"), (F.col("id") * size + size).alias("end"))
-    return spark.range(1, 7).select(F.concat(F.lit("chr"), "id").alias("contig")).join(k)
+def _grid(spark, bed: DataFrame, size: int) -> DataFrame:
+    """Regions of one size over all contigs of the intervals, and over one that has none."""
+    far = bed.groupBy("contig").agg(F.max("end").alias("far")).unionAll(spark.createDataFrame([("chrNone", 100_000)], "contig string, far long"))
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("far") / size)))
+    return far.select("contig", k.alias("k")).select("contig", (F.col("k") * size).alias("start"), (F.col("k") * size + size).alias("end"))
 
 
-@query("bed_region_semi", f"{INTERVALS}, {REGIONS_SQL} SELECT g.* FROM grid g WHERE g.contig NOT IN (SELECT contig FROM intervals) OR EXISTS (SELECT 1 FROM intervals b WHERE b.contig = g.contig AND b.start < g.\"end\" AND b.\"end\" > g.start AND b.\"end\" > b.start)")
+@query("bed_region_semi", f"{INTERVALS}, {REGIONS_SQL.format(size=20000)} SELECT g.* FROM grid g WHERE g.contig NOT IN (SELECT contig FROM intervals) OR EXISTS (SELECT 1 FROM intervals b WHERE b.contig = g.contig AND b.start < g.\"end\" AND b.\"end\" > g.start AND b.\"end\" > b.start)")
 def bed_region_semi(spark, sf_dir):
-    bed, grid = projection(spark, sf_dir, "intervals").filter("end > start"), _grid(spark)
+    every = projection(spark, sf_dir, "intervals")
+    bed, grid = every.filter("end > start"), _grid(spark, every, 20000)
     hit = range_join(grid, bed, ["contig"], ("start", "end"), ("start", "end"), 20000, "left_semi")
     return hit.unionAll(grid.join(bed.select("contig").distinct(), "contig", "left_anti"))
 
 
-@query("bed_window_semi", f"{INTERVALS}, grid AS (SELECT 'chr' || c AS contig, k * 2000 AS start, k * 2000 + 2000 AS \"end\" FROM generate_series(1, 4) t(c), generate_series(0, 499) u(k)) SELECT g.* FROM grid g WHERE EXISTS (SELECT 1 FROM intervals b WHERE b.contig = g.contig AND b.start < g.\"end\" AND b.\"end\" > g.start AND b.\"end\" > b.start)")
+@query("bed_window_semi", f"{INTERVALS}, {REGIONS_SQL.format(size=2000)} SELECT g.* FROM grid g WHERE EXISTS (SELECT 1 FROM intervals b WHERE b.contig = g.contig AND b.start < g.\"end\" AND b.\"end\" > g.start AND b.\"end\" > b.start)")
 def bed_window_semi(spark, sf_dir):
-    grid = _grid(spark, 2000, 500).filter("contig not in ('chr5', 'chr6')")
-    return range_join(grid, projection(spark, sf_dir, "intervals").filter("end > start"), ["contig"], ("start", "end"), ("start", "end"), 2000, "left_semi")
+    every = projection(spark, sf_dir, "intervals")
+    return range_join(_grid(spark, every, 2000), every.filter("end > start"), ["contig"], ("start", "end"), ("start", "end"), 2000, "left_semi")
 
 
 _WINDOWS = "wins AS (SELECT DISTINCT 'chr' || (c_custkey % 4 + 1) AS contig, c_custkey * 2000 AS start FROM customer)"
@@ -228,7 +231,7 @@ _BANDS = "CASE WHEN svlen <= 300 THEN 220 WHEN svlen <= 1000 THEN 300 WHEN svlen
 @query("length_bands", f"{SIG}, ins AS (SELECT *, CAST({_BANDS} AS DOUBLE) AS eps FROM sig WHERE svtype = 'INS'), {_SESSION.format(gap='eps / sqrt(2)', keys='contig, eps', src='ins')} SELECT contig, eps, CAST(cluster AS BIGINT) AS cluster, min(start) AS first, count(*) AS n FROM m GROUP BY ALL")
 def length_bands(spark, sf_dir):
     ins = C.with_eps(projection(spark, sf_dir, "sig").filter("svtype = 'INS'"))
-    numbered = I.islands(ins, ["contig", "eps"], ROW, F.col("start") - I.before("start", ["contig", "eps"], ROW) > F.col("eps") / math.sqrt(2), "cluster")
+    numbered = I.axis_islands(ins, ["contig", "eps"], ROW, "start", lambda last: F.col("start") - last > F.col("eps") / math.sqrt(2), "cluster")
     return numbered.groupBy("contig", "eps", "cluster").agg(F.min("start").alias("first"), F.count("*").alias("n"))
 
 
@@ -268,7 +271,13 @@ def trim_ins_outliers(spark, sf_dir):
     return trimmed.select("contig", "locus", F.size("l").alias("n"), F.size("kept").alias("n_kept"), F.get("kept", 0).alias("least"), F.element_at("kept", -1).alias("most"))
 
 
-@query("dbscan_cluster")
+_DBSCAN = f"""WITH RECURSIVE {SIG[len("WITH ") :]}, p AS (SELECT row_number() OVER () AS id, contig, svtype, start, start + svlen AS e, CAST(CASE WHEN svtype = 'DEL' THEN 1000 WHEN svtype = 'DUP' THEN 500 WHEN svlen <= 3000 THEN 280 WHEN svlen <= 10000 THEN 420 ELSE 650 END AS DOUBLE) AS eps FROM sig WHERE svtype <> 'INS' AND NOT (svtype IN ('DUP', 'INV') AND svlen > 2000000)),
+  near AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.contig = b.contig AND a.svtype = b.svtype AND a.eps = b.eps AND b.start BETWEEN a.start - a.eps AND a.start + a.eps AND (a.start - b.start) * (a.start - b.start) + (a.e - b.e) * (a.e - b.e) <= a.eps * a.eps),
+  reach AS (SELECT id AS a, id AS b FROM p UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY 1)
+  SELECT contig, svtype, eps, count(*) AS n, min(start) AS first, max(start) AS last FROM p JOIN comp USING (id) GROUP BY contig, svtype, eps, c"""
+
+
+@query("dbscan_cluster", _DBSCAN)
 def dbscan_cluster(spark, sf_dir):
     sig = C.with_eps(C.drop_oversized(projection(spark, sf_dir, "sig").filter("svtype <> 'INS'")), noisy=True)
     rows = C.density_clusters(sig, ["svlen", "read_name", "ord"])
@@ -297,12 +306,12 @@ def cluster_tra_leader(spark, sf_dir):
     return C.leader_clusters(tra)
 
 
-@query("signature_sort_split", f"{SIG} SELECT contig, svtype, start, svlen, read_name, ord, CAST(row_number() OVER (PARTITION BY contig, svtype ORDER BY start, svlen, read_name, ord) AS INT) AS nth FROM sig QUALIFY nth <= 50")
+@query("signature_sort_split", f"{SIG} SELECT contig, svtype, start, svlen, read_name, ord, CAST(row_number() OVER (PARTITION BY contig, svtype ORDER BY start, svlen, read_name, ord) AS INT) AS nth FROM sig")
 def signature_sort_split(spark, sf_dir):
     from pyspark.sql import Window
 
     order = Window.partitionBy("contig", "svtype").orderBy(*ROW)
-    return projection(spark, sf_dir, "sig").withColumn("nth", F.row_number().over(order)).filter("nth <= 50").select("contig", "svtype", *ROW, "nth")
+    return projection(spark, sf_dir, "sig").withColumn("nth", F.row_number().over(order)).select("contig", "svtype", *ROW, "nth")
 
 
 @query("union_signatures", f"{SIG} SELECT contig, svtype, count(*) AS n FROM (SELECT contig, svtype FROM sig WHERE source = 'split' UNION ALL SELECT contig, svtype FROM sig WHERE source <> 'split') GROUP BY ALL")
@@ -312,12 +321,12 @@ def union_signatures(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- pileups
-_AXIS = f"{SIG}, iv AS (SELECT contig, CASE svtype WHEN 'DEL' THEN 0 WHEN 'INS' THEN 2 WHEN 'INV' THEN 4 ELSE 5 END AS channel, start % 20000 AS s, least(start % 20000 + svlen % 300 + 1, 20000) AS e FROM sig WHERE ord <= 3 AND source = 'split')"
+_AXIS = f"{SIG}, iv AS (SELECT contig, CASE svtype WHEN 'DEL' THEN 0 WHEN 'INS' THEN 2 WHEN 'INV' THEN 4 ELSE 5 END AS channel, start % 20000 AS s, least(start % 20000 + svlen % 300 + 1, 20000) AS e FROM sig)"
 _NAIVE = "naive AS (SELECT contig, channel, pos, count(*) AS cnt FROM iv, generate_series(s, e - 1) t(pos) GROUP BY ALL)"
 
 
 def _axis(spark, sf_dir) -> DataFrame:
-    sig = projection(spark, sf_dir, "sig").filter("ord <= 3 AND source = 'split'")
+    sig = projection(spark, sf_dir, "sig")
     s = F.col("start") % 20000
     channel = F.when(F.col("svtype") == "DEL", 0).when(F.col("svtype") == "INS", 2).when(F.col("svtype") == "INV", 4).otherwise(5)
     return sig.select("contig", channel.alias("channel"), s.alias("start"), F.least(s + F.col("svlen") % 300 + 1, F.lit(20000)).alias("end"))

@@ -33,6 +33,7 @@ class CallConfig:
     support_cap: int = 0
     predict_only: bool = False
     cluster_only: bool = False
+    refine: bool = False
     refine_types: tuple[str, ...] = ("DEL",)
     refine_window: int = 200
     refine_min_evidence: int = 2

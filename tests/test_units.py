@@ -1,8 +1,11 @@
 """Edges of the operators on small rows, and brute-force comparisons."""
 
+import gzip
+import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +217,78 @@ def test_entry_points(spark, sf):
     rows = calls.collect()
     assert rows and all(r.support >= r.min_support and r.gt in ("0/0", "0/1", "1/1", "./.") for r in rows)
     assert pipelines.call_variants(reads, contigs, probs, 0.95).isEmpty()
+
+
+def test_signals_and_windows_of_one_read(spark):
+    """A forward read of 50M45D30M at 100: depth twice, one deletion, scores over a region of 1000 positions."""
+    fields = "read_ordinal long, read_name string, flag int, contig string, ref_start long, ref_end long, mapq int, cigar string, sa string, nm int, query_len int, q_aln_start int, q_aln_end int, read_len int"
+    reads = spark.createDataFrame([(1, "r", 0, "chr1", 100, 225, 60, "50M45D30M", None, 45, 80, 0, 80, 80)], fields)
+    signals = pipelines.generate_signals(reads, 1000)
+    rows = sorted((r.channel, r.start, r.end, r.cnt) for r in signals.collect())
+    assert rows == [(10, 150, 195, 1), (19, 100, 150, 1), (19, 195, 225, 1)]
+
+    def score(n, value):
+        mean = n / 1000
+        return (value - mean) / (math.sqrt(mean - mean * mean) + 1e-10)
+
+    windows = {r.window_start: np.array(r.features).reshape(100, 20) for r in pipelines.dense_windows(signals, 1000, 100).collect()}
+    assert sorted(windows) == list(range(0, 1000, 100))
+    want = np.zeros((1000, 20))
+    want[:, 10], want[150:195, 10], want[:, 19] = score(45, 0), score(45, 1), score(80, 0)
+    want[100:150, 19] = want[195:225, 19] = score(80, 1)
+    assert np.allclose(np.concatenate([windows[k] for k in sorted(windows)]), want)
+
+
+def test_breakends_trimming_and_refinement(spark, sf):
+    reads = _full_reads(spark, sf)
+    other = F.concat(F.lit("chrOther,"), (F.col("ref_end") % 1000 + 500).cast("string"), F.lit(",+,700S600M,60,1;"))
+    reads = reads.withColumn("sa", F.when(F.col("read_ordinal") % 3 == 0, other))
+    contigs = reads.select("contig").distinct().unionAll(spark.createDataFrame([("chrOther",)], "contig string")).withColumn("length", F.lit(100_000).cast("long"))
+    probs = reads.select("contig").distinct().select("contig", F.explode(F.sequence(F.lit(0), F.lit(58000), F.lit(2000))).alias("window_start"), F.lit(0.9).alias("prob"))
+    rows = pipelines.call_breakends(reads, contigs, probs, 0.88).collect()
+    assert rows and all({r.contig, r.contig2} == {r.contig, "chrOther"} and r.support >= r.min_support and r.support == len(r.reads) and r.gt in ("0/0", "0/1", "1/1", "./.") for r in rows)
+    assert pipelines.call_breakends(reads, contigs.filter("contig <> 'chrOther'"), probs, 0.88).isEmpty()
+    one = config.CallConfig(contigs=("chr1",), refine=True, refine_types=("DEL", "INS"))
+    assert {r.contig for r in pipelines.call_variants(reads, contigs, probs, 0.88, one).collect()} <= {"chr1"}
+    rows = spark.createDataFrame([(1, 100 + k, n, f"r{k}") for k, n in enumerate([60, 62, 64, 66, 400, 20])], "cluster int, start long, svlen long, read_name string")
+    assert sorted(r.svlen for r in C.trim_members(rows, ["cluster"], ["start"]).collect()) == [60, 62, 64, 66]
+
+
+def test_islands_over_pieces_of_an_axis(spark):
+    rng = random.Random(5)
+    rows = [(f"c{rng.randint(0, 2)}", rng.randint(0, 4000), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "contig string, start long, k long")
+    got = I.axis_islands(df, ["contig"], ["start", "k"], "start", lambda last: F.col("start") - last > 15, "island", 100)
+    want = I.gap_sessions(df, ["contig"], "start", 15, ["start", "k"])
+    assert {(r.k, r.island) for r in got.collect()} == {(r.k, r.island) for r in want.collect()}
+
+
+def test_anti_join_keeps_rows_that_repeat(spark):
+    left = spark.createDataFrame([("a", 0, 10), ("a", 0, 10), ("a", 50, 60), ("a", 50, 60), (None, 1, 2)], "contig string, start long, end long")
+    right = spark.createDataFrame([("a", 5, 7)], "contig string, s long, e long")
+    for how, want in (("left_semi", [("a", 0)] * 2), ("left_anti", [("None", 1), ("a", 50), ("a", 50)])):
+        assert sorted((str(r.contig), r.start) for r in range_join(left, right, ["contig"], ("start", "end"), ("s", "e"), 4, how).collect()) == want
+
+
+def test_other_readers_and_sinks(spark, tmp_path):
+    (tmp_path / "labels.bed").write_text("#c\nchr1\t5\t9\t9\tDEL\nchr1\t7\tchr2\t70\tTRA\nchr1\tx\t1\t2\tDUP\n")
+    assert sorted(map(tuple, readers.read_label_bed(spark, str(tmp_path / "labels.bed")).collect())) == [("chr1", 5, 9, "DEL"), ("chr1", 7, 8, "TRA")]
+    line = "chr1\t{p}\t.\tN\t<{t}>\t.\tPASS\tSVTYPE={t};SVLEN=60;END={e};\tGT\t0/1\n"
+    for t in ("del", "ins", "dup", "inv", "tra"):
+        kind = "BND" if t == "tra" else t.upper()
+        with gzip.open(tmp_path / f"s_{t}.vcf.gz", "wt") as f:
+            f.write("##x\n" + line.format(p=10, t=kind, e=70))
+        (tmp_path / f"s_{t}.vcf").write_text("##x\n" + line.format(p=10, t=kind, e=70))
+    assert sorted((r.svtype, r.pos, r.gt) for r in readers.read_sample(spark, str(tmp_path), "s", True).collect()) == [(k, 10, "0/1") for k in ("BND", "DEL", "DUP", "INS", "INV")]
+    assert [(r.svtype, r.end) for r in readers.read_vcf(spark, str(tmp_path / "s_del.vcf.gz"), True).collect()] == [("DEL", 70)]
+    truth = [tuple(r) for r in readers.read_truth_vcf(spark, str(tmp_path / "s_del.vcf")).collect()]
+    assert truth == [("1", 10, 70, "DEL")]
+    assert readers.read_weights_meta('{"decision_threshold": 0.88, "ablation": {"eval_head": "cnn"}}') == {"threshold": 0.88, "head": "cnn", "feature_config": {}}
+    assert config.resolve_head("auto", {"ablation": {"eval_head": "mamba"}}) == "mamba" and config.resolve_head("cnn", {}) == "cnn"
+    assert json.loads(writers.feature_config(2000, ["a", "b"]))["n_channels"] == 2
+    calls = spark.createDataFrame([("chr1", 100, 60, "DEL", "0/1"), ("chr2", 7, 80, "INS", None)], "contig string, start long, svlen long, svtype string, gt string")
+    writers.write_by_type(calls, str(tmp_path / "types"))
+    assert sorted(r.svtype for r in spark.read.text(str(tmp_path / "types")).collect()) == ["DEL", "INS"]
+    summary = spark.createDataFrame([("updated", 3)], "reason string, n long")
+    assert writers.write_refine_report(summary, str(tmp_path / "r")) and not writers.write_refine_report(summary.limit(0), str(tmp_path / "none"))
+    assert "reason\tn" in [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
