@@ -21,7 +21,7 @@ from svloom.llm.common import Workspace, free_name, small
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 HASH_BITS = 60
-LEVEL_BITS = 15
+LEVEL_BITS = 10
 PASSES = 3
 
 
