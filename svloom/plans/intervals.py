@@ -364,7 +364,7 @@ def signal_matrix_20(spark, sf_dir):
 _MOMENTS = "mom AS (SELECT contig, channel, sum(cnt) / 20000.0 AS mean, sqrt(greatest(sum(cnt * cnt) / 20000.0 - (sum(cnt) / 20000.0) * (sum(cnt) / 20000.0), 0)) AS sd FROM naive GROUP BY ALL)"
 
 
-@query("zscore_region", f"{_AXIS}, {_NAIVE}, {_MOMENTS} SELECT contig, channel, pos, round((cnt - mean) / (sd + 1e-10), 4) AS z, round(-mean / (sd + 1e-10), 4) AS z0 FROM naive JOIN mom USING (contig, channel)")
+@query("zscore_region", f"{_AXIS}, {_NAIVE}, {_MOMENTS} SELECT contig, channel, pos, round((cnt - mean) / (sd + 1e-10), 4) + 0.0::DOUBLE AS z, round(-mean / (sd + 1e-10), 4) AS z0 FROM naive JOIN mom USING (contig, channel)")
 def zscore_region(spark, sf_dir):
     z = P.zscores(P.sweep(_axis(spark, sf_dir), ["contig", "channel"]), ["contig", "channel"], 20000)
     return z.select("contig", "channel", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), F.round("z", 4).alias("z"), F.round(-F.col("mean") / (F.col("sd") + 1e-10), 4).alias("z0"))
