@@ -35,6 +35,19 @@ def bnd_alt(alt: Column) -> Column:
     return F.struct(name.alias("chr2"), F.coalesce(place, F.lit(0).cast("bigint")).alias("pos2"), form.alias("form"))
 
 
+def match_key(pos: Column, info: Column, alt: Column, upper: bool = True) -> Column:
+    """struct(svtype, end, svlen, chr2, form): what a record is matched by.
+
+    A breakend's mate comes from CHR2 and END of INFO, else from ALT. A missing length is that of the interval.
+    """
+    kind, given, stop = sv_type(info, upper), whole(info_value(info, "SVLEN")), whole(info_value(info, "END"))
+    named, mate, bnd = F.coalesce(info_value(info, "CHR2"), F.lit("")), bnd_alt(alt), kind == "BND"
+    return F.struct(
+        kind.alias("svtype"), F.when(bnd & (stop == 0), mate["pos2"]).otherwise(stop).alias("end"), F.when((given == 0) & (stop >= pos), stop - pos + 1).otherwise(given).alias("svlen"),
+        F.when(bnd, F.when(named == "", mate["chr2"]).otherwise(named)).alias("chr2"), F.when(bnd, mate["form"]).alias("form"),
+    )
+
+
 def genotype_of(format_: Column, sample: Column) -> Column:
     """GT by its place in FORMAT; missing ones are 1/1, phased ones are written with /."""
     place = F.array_position(F.split(format_, ":"), "GT")

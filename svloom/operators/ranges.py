@@ -50,16 +50,18 @@ def range_count(left: DataFrame, right: DataFrame, keys: list[str], left_range:
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, distance: int, extra: Column | None = None, how: str = "inner") -> DataFrame:
-    """Pairs with equal keys whose positions differ by at most distance; right columns get the prefix p_."""
+    """Pairs with equal keys whose positions differ by at most distance; right columns get the prefix p_.
+
+    how: inner, or left_semi for left's own rows. Only right is dealt to its bin and the two beside it, so a row of left is in
+    one bin, each pair meets once, and nothing has to be made distinct.
+    """
     r = right.withColumnsRenamed({c: f"p_{c}" for c in right.columns})
     width = max(distance, 1)
-    r = r.withColumn("__pb", F.floor(F.col(f"p_{right_pos}") / width))
-    bins = F.floor(F.col(left_pos) / width)
-    lhs = left.withColumn("__b", F.explode(F.sequence(bins - 1, bins + 1)))
+    bins = F.floor(F.col(f"p_{right_pos}") / width)
+    r = r.withColumn("__pb", F.explode(F.sequence(bins - 1, bins + 1)))
+    lhs = left.withColumn("__b", F.floor(F.col(left_pos) / width))
     on = (F.col("__b") == F.col("__pb")) & (F.abs(F.col(left_pos) - F.col(f"p_{right_pos}")) <= distance)
     for k in keys:
         on = on & (F.col(k) == F.col(f"p_{k}"))
     on = on if extra is None else on & extra
-    if how == "left_semi":
-        return lhs.join(r, on, "left_semi").select(*left.columns).distinct()
-    return lhs.join(r, on).drop("__b", "__pb")
+    return lhs.join(r, on, how).drop("__b", "__pb")

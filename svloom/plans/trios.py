@@ -9,8 +9,9 @@ from svloom.functions import variants as V
 from svloom.operators import trio as T
 from svloom.plans.registry import query
 from svloom.sources.fixtures import projection, with_ctes
+from svloom.sources.writers import mdr_report
 
-TRIO, BND, TEXTS = with_ctes("trio"), with_ctes("bnd"), with_ctes("texts")
+TRIO, BND, TEXTS, CALLS = with_ctes("trio"), with_ctes("bnd"), with_ctes("texts"), with_ctes("calls")
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,11 +58,16 @@ def len_ok(spark, sf_dir):
     return projection(spark, sf_dir, "trio").select("rec_ordinal", V.len_ok(F.col("svlen"), F.lit(700)).alias("ok"))
 
 
-@query("child_match_key", f"{TRIO} SELECT rec_ordinal, chrom, pos, CASE WHEN svlen % 9 = 0 AND \"end\" >= pos THEN \"end\" - pos + 1 ELSE svlen END AS svlen FROM trio WHERE sample = 'child'")
+_KIND = f"CASE WHEN upper(substr({_word('SVTYPE')}, 1, 3)) = 'TRA' THEN 'BND' ELSE upper(substr({_word('SVTYPE')}, 1, 3)) END"
+
+
+@query("child_match_key", f"""{TEXTS}, t AS (SELECT id, id * 2 AS pos, CASE WHEN id % 3 = 0 THEN replace(info, 'CHR2=', 'OTHER=') ELSE info END AS info, alt FROM texts),
+  k AS (SELECT id, pos, {_KIND} AS svtype, {_number('END')} AS stop, {_number('SVLEN')} AS given, {_word('CHR2')} AS named, {_ALT} FROM t)
+  SELECT id, svtype, CASE WHEN svtype = 'BND' AND stop = 0 THEN pos2 ELSE stop END AS "end", CASE WHEN given = 0 AND stop >= pos THEN stop - pos + 1 ELSE given END AS svlen,
+  CASE WHEN svtype = 'BND' THEN coalesce(nullif(named, ''), chr2) END AS chr2, CASE WHEN svtype = 'BND' THEN form END AS form FROM k""")
 def child_match_key(spark, sf_dir):
-    child, _ = _split(projection(spark, sf_dir, "trio"))
-    given = F.when(F.col("svlen") % 9 == 0, 0).otherwise(F.col("svlen"))
-    return child.select("rec_ordinal", "chrom", "pos", F.when((given == 0) & (F.col("end") >= F.col("pos")), F.col("end") - F.col("pos") + 1).otherwise(given).alias("svlen"))
+    info = F.when(F.col("id") % 3 == 0, F.replace("info", F.lit("CHR2="), F.lit("OTHER="))).otherwise(F.col("info"))
+    return projection(spark, sf_dir, "texts").select("id", V.match_key(F.col("id") * 2, info, F.col("alt")).alias("k")).select("id", "k.*")
 
 
 @query("parents_union", f"{TRIO} SELECT svtype, count(*) AS n FROM trio WHERE sample IN ('father', 'mother') GROUP BY 1")
@@ -88,8 +94,7 @@ def trio_match_ins(spark, sf_dir):
 @query("trio_match_interval", _exists(TRIO, "trio", _IV))
 def trio_match_interval(spark, sf_dir):
     child, parents = _split(projection(spark, sf_dir, "trio"))
-    dele, dup, inv = (T.matches(child, parents, t).select("rec_ordinal", "svtype") for t in ("DEL", "DUP", "INV"))
-    return dele.unionAll(dup).unionAll(inv)
+    return T.matches(child, parents, *T.INTERVALS).select("rec_ordinal", "svtype")
 
 
 @query("trio_match_bnd", _exists(BND, "bnd", _BND))
@@ -120,11 +125,15 @@ def trio_first_match_bnd(spark, sf_dir):
     return T.first_match_gt(rows.filter("sample = 'child'"), rows.filter("sample = 'father'"), "BND")
 
 
-@query("agg_mdr", f"""{TRIO}, j AS (SELECT c.svtype, EXISTS (SELECT 1 FROM trio p WHERE p.sample <> 'child' AND (({_INS}) OR ({_IV}))) AS hit FROM trio c WHERE c.sample = 'child'),
-  s AS (SELECT coalesce(svtype, 'ALL') AS svtype, count(*) AS total, count(*) FILTER (WHERE hit) AS matched FROM j GROUP BY ROLLUP (svtype))
-  SELECT svtype, total, matched, total - matched AS inconsistent, coalesce(round(100.0 * (total - matched) / nullif(total, 0), 6), 0.0) AS rate FROM s""")
+_ANY = f"(({_INS}) OR ({_IV} AND c.svtype <> 'BND') OR (c.svtype = 'BND' AND p.svtype = 'BND' AND {_BND}))"
+_RATES = f"""{CALLS}, j AS (SELECT c.svtype, EXISTS (SELECT 1 FROM calls p WHERE p.sample <> 'child' AND p.chrom = c.chrom AND p.svtype = c.svtype AND {_ANY}) AS hit FROM calls c WHERE c.sample = 'child'),
+  s AS (SELECT coalesce(v.svtype, 'ALL') AS svtype, count(j.hit) AS total, count(*) FILTER (WHERE j.hit) AS matched FROM (VALUES ('DEL'), ('INS'), ('DUP'), ('INV'), ('BND')) v(svtype) LEFT JOIN j ON j.svtype = v.svtype GROUP BY ROLLUP (v.svtype)),
+  r AS (SELECT svtype, total, matched, total - matched AS inconsistent, coalesce(round(100.0 * (total - matched) / nullif(total, 0), 6), 0.0) AS rate FROM s)"""
+
+
+@query("agg_mdr", f"{_RATES} SELECT * FROM r")
 def agg_mdr(spark, sf_dir):
-    return T.discordance(*_split(projection(spark, sf_dir, "trio")), types=("DEL", "INS", "DUP", "INV"))
+    return T.discordance(*_split(projection(spark, sf_dir, "calls")))
 
 
 @query("agg_type_counts", f"{TRIO} SELECT sample, " + ", ".join(f"count(*) FILTER (WHERE svtype = '{t}') AS {t.lower()}" for t in ("DEL", "INS", "DUP", "INV")) + " FROM trio GROUP BY 1")
@@ -133,17 +142,24 @@ def agg_type_counts(spark, sf_dir):
     return wide.select("sample", *[F.coalesce(t, F.lit(0).cast("bigint")).alias(t.lower()) for t in ("DEL", "INS", "DUP", "INV")])
 
 
-@query("sink_trio_vcf", _first(TRIO, "trio", _INS, "p.pos // 1000", "c.svtype = 'INS'").replace("SELECT c.rec_ordinal, coalesce(h.gt, './.') AS parent_gt FROM", "SELECT c.rec_ordinal, concat_ws(chr(9), c.chrom, c.pos, '.', 'N', '<INS>', '.', 'PASS', 'SVTYPE=INS;SVLEN=' || c.svlen, 'GT', c.gt, coalesce(h.gt, './.')) AS line FROM"))
+_GT = f"""{CALLS}, hit AS (SELECT c.rec_ordinal, p.sample, p.gt, row_number() OVER (PARTITION BY c.rec_ordinal, p.sample ORDER BY
+    CASE WHEN c.svtype IN ('INS', 'BND') THEN p.pos // 1000 ELSE greatest(floor((c.pos - 1000) / 1000000), floor((p.pos - 1000) / 1000000)) END, CASE WHEN c.svtype = 'BND' THEN p."end" // 1000 ELSE 0 END, p.rec_ordinal) AS k
+    FROM calls c JOIN calls p ON p.chrom = c.chrom AND p.svtype = c.svtype AND {_ANY} WHERE c.sample = 'child' AND p.sample <> 'child')
+  SELECT c.rec_ordinal, concat_ws(chr(9), c.chrom, c.pos, '.', 'N', '<' || c.svtype || '>', '.', 'PASS', 'SVTYPE=' || c.svtype || ';SVLEN=' || c.svlen, 'GT', coalesce(f.gt, './.'), coalesce(m.gt, './.'), c.gt) AS line
+  FROM calls c LEFT JOIN hit f ON f.rec_ordinal = c.rec_ordinal AND f.k = 1 AND f.sample = 'father' LEFT JOIN hit m ON m.rec_ordinal = c.rec_ordinal AND m.k = 1 AND m.sample = 'mother' WHERE c.sample = 'child'"""
+
+
+@query("sink_trio_vcf", _GT)
 def sink_trio_vcf(spark, sf_dir):
-    rows = projection(spark, sf_dir, "trio")
-    child = rows.filter("sample = 'child' and svtype = 'INS'")
-    gt = T.first_match_gt(rows.filter("sample = 'child'"), rows.filter("sample = 'father'"), "INS")
-    info = F.concat(F.lit("SVTYPE=INS;SVLEN="), F.col("svlen").cast("string"))
-    return child.join(gt, "rec_ordinal").select("rec_ordinal", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.lit("."), F.lit("N"), F.lit("<INS>"), F.lit("."), F.lit("PASS"), info, F.lit("GT"), "gt", "parent_gt").alias("line"))
+    rows = projection(spark, sf_dir, "calls")
+    kind, fixed = F.col("svtype"), [F.lit(x) for x in (".", "N", ".", "PASS")]
+    record = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), fixed[0], fixed[1], F.concat(F.lit("<"), kind, F.lit(">")), fixed[2], fixed[3], F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN="), F.col("svlen").cast("string")))
+    child, father, mother = (rows.filter(F.col("sample") == who) for who in ("child", "father", "mother"))
+    return T.trio_lines(child.withColumn("record", record), father, mother)
 
 
-@query("sink_mdr_report", f"{TRIO}, s AS (SELECT svtype, count(*) AS total FROM trio WHERE sample = 'child' GROUP BY 1) SELECT format('{{:<8}}{{:>10}}', svtype, total) AS line FROM s")
+@query("sink_mdr_report", f"""{_RATES} SELECT CAST(list_position(['DEL', 'INS', 'DUP', 'INV', 'BND', 'ALL'], svtype) AS INT) AS place,
+  format('{{:<5}} {{:>9d}} {{:>12d}} {{:>9.2f}}', CASE svtype WHEN 'ALL' THEN 'Total' ELSE svtype END, total, inconsistent, CAST(rate AS DOUBLE)) AS line FROM r
+  UNION ALL SELECT 0 AS place, format('{{:<5}} {{:>9}} {{:>12}} {{:>9}}', 'SV', 'TOTAL', 'INCONSISTENT', 'MDR(%)') AS line""")
 def sink_mdr_report(spark, sf_dir):
-    child, _ = _split(projection(spark, sf_dir, "trio"))
-    totals = child.groupBy("svtype").agg(F.count("*").alias("total"))
-    return totals.select(F.format_string("%-8s%10d", "svtype", "total").alias("line"))
+    return mdr_report(T.discordance(*_split(projection(spark, sf_dir, "calls"))))

@@ -47,6 +47,9 @@ BND_SQL = """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'father' WHEN 1 THEN 'mother
   o_custkey * 6000 + o_orderkey % 3000 AS pos, o_custkey * 4000 + o_orderkey % 2500 AS "end",
   CASE o_orderstatus WHEN 'F' THEN '0/1' WHEN 'O' THEN '1/1' ELSE './.' END AS gt FROM orders"""
 
+CALLS_SQL = f"""SELECT sample, rec_ordinal * 2 AS rec_ordinal, chrom, pos, "end", svlen, svtype, CAST(NULL AS VARCHAR) AS chr2, CAST(NULL AS VARCHAR) AS form, gt FROM ({TRIO_SQL}) t
+  UNION ALL SELECT sample, rec_ordinal * 2 + 1 AS rec_ordinal, chrom, pos, "end", svlen, svtype, chr2, form, gt FROM ({BND_SQL}) b"""
+
 WINDOWS_SQL = f"""SELECT contig, start // 2000 * 2000 AS window_start, (count(*) % 100) / 100.0 AS prob FROM ({SIG_SQL}) GROUP BY ALL"""
 
 INTERVALS_SQL = """SELECT 'chr' || (p_partkey % 4 + 1) AS contig, p_partkey * 5000 AS start, p_partkey * 5000 + p_size * 40 AS "end" FROM part"""
@@ -58,7 +61,7 @@ TEXT_SQL = """SELECT o_orderkey AS id,
   concat(CASE o_orderkey % 4 WHEN 0 THEN '0|1' WHEN 1 THEN './.' WHEN 2 THEN '1/1' ELSE '.' END, ':', CASE o_orderkey % 3 WHEN 0 THEN '1|1' WHEN 1 THEN '0/1' ELSE '.|.' END, ':7') AS sample FROM orders"""
 
 #: Names of the projections and the tables they read.
-PROJECTIONS = {"sig": (SIG_SQL, "lineitem"), "reads": (READS_SQL, "orders"), "segments": (SEGMENTS_SQL, "lineitem"), "trio": (TRIO_SQL, "orders"), "bnd": (BND_SQL, "orders"), "intervals": (INTERVALS_SQL, "part"), "texts": (TEXT_SQL, "orders")}
+PROJECTIONS = {"sig": (SIG_SQL, "lineitem"), "reads": (READS_SQL, "orders"), "segments": (SEGMENTS_SQL, "lineitem"), "trio": (TRIO_SQL, "orders"), "bnd": (BND_SQL, "orders"), "calls": (CALLS_SQL, "orders"), "intervals": (INTERVALS_SQL, "part"), "texts": (TEXT_SQL, "orders")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

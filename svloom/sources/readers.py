@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svloom.functions.alignment import bare_contig
-from svloom.functions.variants import bnd_alt, genotype_of, info_value, sv_type, whole
+from svloom.functions.variants import genotype_of, match_key
 
 READ_SCHEMA = "read_ordinal long, read_name string, flag int, contig string, ref_start long, ref_end long, mapq int, cigar string, nm long, sa string, query_len int, q_aln_start int, q_aln_end int, read_len int"
 TRUTH_TYPES = ("INS", "DEL", "INV", "DUP")
@@ -45,25 +45,17 @@ def read_label_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str | list[str], with_genotype: bool = False) -> DataFrame:
-    """Variant records of plain or gzipped VCF text: rec_ordinal, chrom, pos, end, svlen, svtype, chr2, form, alt, gt.
+    """Variant records of plain or gzipped VCF text: rec_ordinal, chrom, pos, end, svlen, svtype, chr2, form, alt, gt, record.
 
-    A breakend's mate comes from CHR2 and END of INFO, else from ALT. A missing length is that of the interval.
-    The ordinal orders the records of a file.
+    record is the first eight columns as they stand; the others are as in match_key. The ordinal orders the records of a file.
     """
-    upper = with_genotype
     parts = F.split("value", "\t")
     text = spark.read.text(path).withColumn("rec_ordinal", F.monotonically_increasing_id())
     rows = text.filter(~F.col("value").startswith("#") & (F.size(parts) >= (10 if with_genotype else 8)))
-    info, alt = F.get(parts, 7), F.get(parts, 4)
-    base = rows.select(
-        "rec_ordinal", F.get(parts, 0).alias("chrom"), F.get(parts, 1).try_cast("bigint").alias("pos"), alt.alias("alt"), sv_type(info, upper).alias("svtype"), whole(info_value(info, "SVLEN")).alias("given"),
-        whole(info_value(info, "END")).alias("stop"), F.coalesce(info_value(info, "CHR2"), F.lit("")).alias("named"), bnd_alt(alt).alias("mate"), (genotype_of(F.get(parts, 8), F.get(parts, 9)) if with_genotype else F.lit(None).cast("string")).alias("gt"),
-    ).filter("pos is not null")
-    bnd = F.col("svtype") == "BND"
-    svlen = F.when((F.col("given") == 0) & (F.col("stop") >= F.col("pos")), F.col("stop") - F.col("pos") + 1).otherwise(F.col("given"))
-    end = F.when(bnd & (F.col("stop") == 0), F.col("mate.pos2")).otherwise(F.col("stop"))
-    chr2 = F.when(bnd, F.when(F.col("named") == "", F.col("mate.chr2")).otherwise(F.col("named")))
-    return base.select("rec_ordinal", "chrom", "pos", end.alias("end"), svlen.alias("svlen"), "svtype", chr2.alias("chr2"), F.when(bnd, F.col("mate.form")).alias("form"), "alt", "gt")
+    pos, alt = F.get(parts, 1).try_cast("bigint"), F.get(parts, 4)
+    gt = genotype_of(F.get(parts, 8), F.get(parts, 9)) if with_genotype else F.lit(None).cast("string")
+    keyed = rows.select("rec_ordinal", F.get(parts, 0).alias("chrom"), pos.alias("pos"), match_key(pos, F.get(parts, 7), alt, with_genotype).alias("k"), alt.alias("alt"), gt.alias("gt"), F.substring_index("value", "\t", 8).alias("record"))
+    return keyed.filter("pos is not null").select("rec_ordinal", "chrom", "pos", "k.end", "k.svlen", "k.svtype", "k.chr2", "k.form", "alt", "gt", "record")
 
 
 def read_truth_vcf(spark: SparkSession, path: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svloom.functions.variants import vcf_line
+from svloom.operators.trio import TYPES, trio_lines
+from svloom.sources.readers import read_vcf
 
 #: Fixed text of a VCF header.
 HEADER_TOP = ("##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">')
@@ -15,6 +17,8 @@ HEADER_END = (
     '##INFO=<ID=END,Number=1,Type=Integer,Description="End position of the variant">', '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">',
     '##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="Length of the variant">', '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE",
 )
+#: Fixed column names of a VCF.
+COLUMNS = ("#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")
 
 
 def header_lines(contigs: DataFrame) -> DataFrame:
@@ -27,17 +31,32 @@ def header_lines(contigs: DataFrame) -> DataFrame:
 
 
 def write_vcf(calls: DataFrame, contigs: DataFrame, path: str) -> None:
-    """Header and data lines as one text part, ordered; calls has contig, start, svlen, svtype, gt.
+    """Header and data lines in text parts whose order by name is the file's; calls has contig, start, svlen, svtype, gt.
 
-    Rows of unknown type or with negative coordinates give no line. Spark's committer makes the file appear
-    when it is whole. A VCF is read as one file, so this last step alone is one task: call sets are small
-    beside the reads that they come from.
+    Rows of unknown type or with negative coordinates give no line. Lines are sorted by ranges: few calls make one part.
     """
     lines = calls.select("contig", "start", vcf_line(*[F.col(c) for c in ("contig", "start", "svlen", "svtype", "gt")]).alias("line")).filter("line is not null")
     order = contigs.select("contig", (F.lit(1 << 41) + F.col("ord")).alias("ordinal"))
     body = lines.join(order, "contig", "left").select(F.coalesce("ordinal", F.lit(1 << 42)).alias("ordinal"), "start", "line")
     whole = header_lines(contigs).select("ordinal", F.lit(0).cast("long").alias("start"), "line").unionByName(body)
-    whole.repartition(1).sortWithinPartitions("ordinal", "start", "line").select("line").write.mode("overwrite").text(path)
+    whole.orderBy("ordinal", "start", "line").select("line").write.mode("overwrite").text(path)
+
+
+def write_trio_vcf(child: str, father: str, mother: str, path: str, spark: SparkSession, names: tuple[str, str, str] = ("father", "mother", "child")) -> None:
+    """The child's VCF with the genotypes of father, mother and child, in parts as write_vcf's.
+
+    Header lines and the first eight columns are the child's own; records of other types are left out.
+    """
+    head = spark.read.text(child).withColumn("rec_ordinal", F.monotonically_increasing_id()).filter("value like '##%'").select(F.lit(0).alias("step"), "rec_ordinal", F.col("value").alias("line"))
+    title = spark.createDataFrame([(1, 0, "\t".join((*COLUMNS, *names)))], "step int, rec_ordinal long, line string")
+    rows = trio_lines(*[read_vcf(spark, p, True) for p in (child, father, mother)]).select(F.lit(2).alias("step"), "rec_ordinal", "line")
+    head.unionAll(title).unionAll(rows).orderBy("step", "rec_ordinal").select("line").write.mode("overwrite").text(path)
+
+
+def write_snapshot(path: str, **tables: DataFrame) -> None:
+    """Tables as they stand before the last step (calls, breakends, contigs, say), each in its folder below path, to look into later."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_by_type(calls: DataFrame, path: str) -> None:
@@ -68,8 +87,12 @@ def write_refine_report(summary: DataFrame, path: str) -> bool:
 
 
 def mdr_report(table: DataFrame) -> DataFrame:
-    """Fixed-width lines of a discordance table."""
-    return table.select(F.format_string("%-8s%10d%10d%14d%12.4f", "svtype", "total", "matched", "inconsistent", "rate").alias("line"))
+    """place, line: a title, a fixed-width line for each type of a discordance table, and the total."""
+    spark = table.sparkSession
+    title = spark.createDataFrame([(0, f"{'SV':<5} {'TOTAL':>9} {'INCONSISTENT':>12} {'MDR(%)':>9}")], "place int, line string")
+    place = F.array_position(F.lit([*TYPES, "ALL"]), F.col("svtype")).cast("int")
+    shown = F.when(F.col("svtype") == "ALL", "Total").otherwise(F.col("svtype"))
+    return title.unionAll(table.select(place.alias("place"), F.format_string("%-5s %9d %12d %9.2f", shown, "total", "inconsistent", "rate").alias("line")))
 
 
 def feature_config(window: int, channels: list[str], dtype: str = "float") -> str:

@@ -15,6 +15,7 @@ from svloom.functions import variants as V
 from svloom.operators import clusters as C
 from svloom.operators import islands as I
 from svloom.operators import pileup as P
+from svloom.operators import trio as T
 from svloom.operators.ranges import range_count, range_join
 from svloom.operators.score import linear_scorer, score_windows
 from svloom.plans import pipelines
@@ -292,3 +293,34 @@ def test_other_readers_and_sinks(spark, tmp_path):
     summary = spark.createDataFrame([("updated", 3)], "reason string, n long")
     assert writers.write_refine_report(summary, str(tmp_path / "r")) and not writers.write_refine_report(summary.limit(0), str(tmp_path / "none"))
     assert "reason\tn" in [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+
+
+def test_trio_vcf_report_and_snapshot(spark, tmp_path):
+    row = "chr1\t{p}\tid{p}\tN\t{a}\t9\tPASS\t{i}\tGT:DR\t{g}:3\n"
+    dele = lambda p, n, g: row.format(p=p, a="<DEL>", i=f"SVTYPE=DEL;SVLEN={n};END={p + n}", g=g)
+    bnd = lambda p, q, g: row.format(p=p, a=f"N[chr2:{q}[", i="SVTYPE=TRA", g=g)
+    ins = lambda p, n, g: row.format(p=p, a="<INS>", i=f"SVTYPE=INS;SVLEN={n}", g=g)
+    texts = {
+        "child": "##made=1\n##more=2\n#CHROM\tx\n" + dele(5000, 100, "0/1") + bnd(9000, 400, "1|1") + ins(20000, 80, "0/1") + row.format(p=1, a="<X>", i="SVTYPE=CNV", g="0/1"),
+        # the first record in the file that matches counts, not the nearest; a length of less than 0.7 does not match
+        "father": "##f\n" + dele(5900, 90, "1/1") + dele(5000, 100, "0/1") + bnd(9900, 1300, "0/1") + ins(20500, 50, "1/1"),
+        "mother": "##m\n" + bnd(9000, 1500, "0/1") + ins(20900, 60, "./.") + dele(6102, 100, "1/1"),
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.vcf").write_text(text)
+    writers.write_trio_vcf(*[str(tmp_path / f"{n}.vcf") for n in ("child", "father", "mother")], str(tmp_path / "trio"), spark, ("F", "M", "C"))
+    parts = sorted((tmp_path / "trio").glob("part-*"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert lines[:3] == ["##made=1", "##more=2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tF\tM\tC"]
+    assert [x.split("\t")[8:] for x in lines[3:]] == [["GT", "1/1", "./.", "0/1"], ["GT", "0/1", "./.", "1/1"], ["GT", "./.", "1/1", "0/1"]]
+    assert lines[3].split("\t")[:8] == dele(5000, 100, "0/1").split("\t")[:8]
+
+    child, father, mother = (readers.read_vcf(spark, str(tmp_path / f"{n}.vcf"), True) for n in ("child", "father", "mother"))
+    table = T.discordance(child, father.unionAll(mother))
+    assert {r.svtype: (r.total, r.matched, r.rate) for r in table.collect()} == {"DEL": (1, 1, 0.0), "INS": (1, 1, 0.0), "BND": (1, 1, 0.0), "DUP": (0, 0, 0.0), "INV": (0, 0, 0.0), "ALL": (3, 3, 0.0)}
+    report = [r.line for r in writers.mdr_report(T.discordance(child, mother)).orderBy("place").collect()]
+    assert report[0].split() == ["SV", "TOTAL", "INCONSISTENT", "MDR(%)"] and report[-1] == "Total         3            2     66.67" and len(report) == 7
+    assert [r.total for r in T.discordance(child.limit(0), mother).collect()] == [0] * 6
+
+    writers.write_snapshot(str(tmp_path / "snap"), calls=father, contigs=mother.select("chrom"))
+    assert spark.read.parquet(str(tmp_path / "snap/calls")).count() == 4 and spark.read.parquet(str(tmp_path / "snap/contigs")).columns == ["chrom"]
