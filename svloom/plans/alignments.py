@@ -93,8 +93,16 @@ def cigar_parse_string(spark, sf_dir):
     return projection(spark, sf_dir, "reads").select("read_ordinal", A.cigar_span(F.col("ref_start"), F.col("cigar")).alias("s")).select("read_ordinal", "s.*")
 
 
+def _walked(moving: str) -> str:
+    return f"""ops AS ({OPS}), walked AS (SELECT *, ref_start + coalesce(CAST(sum(CASE WHEN op IN ({moving}) THEN n ELSE 0 END) OVER (PARTITION BY read_ordinal ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM ops)"""
+
+
+#: The indels of reads as a CTE ev of read_ordinal, op, start, size.
+INDELS_SQL = f"{READS}, {_walked("'M','D','=','X'")}, ev AS (SELECT read_ordinal, op, start, n AS size FROM walked WHERE op IN ('D','I') AND n >= 40)"
+
+
 def _indel_oracle(moving: str, where: str = "") -> str:
-    return f"""{READS}, ops AS ({OPS}), walked AS (SELECT *, ref_start + coalesce(CAST(sum(CASE WHEN op IN ({moving}) THEN n ELSE 0 END) OVER (PARTITION BY read_ordinal ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM ops)
+    return f"""{READS}, {_walked(moving)}
     SELECT read_ordinal, op, start, n FROM walked WHERE op IN ('D','I') AND n >= 40 {where}"""
 
 

@@ -13,7 +13,8 @@ from svloom.operators import pileup as P
 from svloom.operators.jobs import job_status, pending
 from svloom.operators.ranges import range_join
 from svloom.operators.score import linear_scorer, score_windows
-from svloom.plans.alignments import indel_rows
+from svloom.plans import pipelines
+from svloom.plans.alignments import INDELS_SQL
 from svloom.plans.registry import query
 from svloom.sources.fixtures import predictions, projection, table, with_ctes
 
@@ -177,8 +178,11 @@ def _events(spark, sf_dir, svtype: str) -> DataFrame:
     return sig.select("read_name", "contig", (F.col("start") % 3000).alias("start"), (30 + F.col("svlen") % 700).alias("size")).distinct()
 
 
-@query("merge_cigar_del", _EVENTS.format("DEL") + """, m AS (SELECT *, sum(CASE WHEN start - lag_end <= 150 THEN 0 ELSE 1 END) OVER (PARTITION BY read_name, contig ORDER BY start, size ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(start + size) OVER (PARTITION BY read_name, contig ORDER BY start, size) AS lag_end FROM ev))
-  SELECT read_name, contig, min(start) AS start, max(start + size) - min(start) AS size FROM m GROUP BY read_name, contig, g""")
+_DELS = """, m AS (SELECT *, sum(CASE WHEN start - lag_end <= 150 THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY start, size ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, lag(start + size) OVER (PARTITION BY {keys} ORDER BY start, size) AS lag_end FROM ev{where})),
+  dels AS (SELECT {keys}, min(start) AS start, max(start + size) - min(start) AS size FROM m GROUP BY {keys}, g)"""
+
+
+@query("merge_cigar_del", _EVENTS.format("DEL") + _DELS.format(keys="read_name, contig", where="") + " SELECT * FROM dels")
 def merge_cigar_del(spark, sf_dir):
     return I.merge_cigar_deletions(_events(spark, sf_dir, "DEL"), ["read_name", "contig"])
 
@@ -189,14 +193,17 @@ def merge_cigar_ins_gen(spark, sf_dir):
     return I.merge_cigar_insertions(_events(spark, sf_dir, "INS"), ["read_name", "contig"])
 
 
-_RUN = "CASE WHEN greatest(l_size, size) < 100 THEN 200 WHEN greatest(l_size, size) < 500 THEN 400 ELSE 600 END"
+_RUN = "CASE WHEN greatest(r.l_size, o.size) < 100 THEN 200 WHEN greatest(r.l_size, o.size) < 500 THEN 400 ELSE 600 END"
+
 
+_GROWING = f""", o AS (SELECT *, row_number() OVER (PARTITION BY {{keys}} ORDER BY start, size) AS nth FROM ev{{where}}),
+  run AS (SELECT {{keys}}, nth, start AS anchor, start AS l_start, size AS l_size, 1 AS g FROM o WHERE nth = 1
+  UNION ALL SELECT {{keys}}, nth, CASE WHEN joins THEN anchor ELSE start END, start, CASE WHEN joins THEN l_size + size ELSE size END, CASE WHEN joins THEN g ELSE g + 1 END
+    FROM (SELECT {{keys}}, nth, o.start, o.size, r.anchor, r.l_size, r.g, o.start - r.l_start <= {_RUN} AS joins FROM (SELECT {{keys}}, nth + 1 AS nth, anchor, l_start, l_size, g FROM run) r JOIN o USING ({{keys}}, nth))),
+  inss AS (SELECT {{keys}}, min(anchor) AS start, max(l_size) AS size FROM run GROUP BY {{keys}}, g)"""
 
-@query("merge_cigar_ins_call", _EVENTS.format("INS").replace("WITH ", "WITH RECURSIVE ") + f""", o AS (SELECT *, row_number() OVER (PARTITION BY read_name, contig ORDER BY start, size) AS nth FROM ev),
-  run AS (SELECT read_name, contig, nth, start AS anchor, start AS l_start, size AS l_size, 1 AS g FROM o WHERE nth = 1
-  UNION ALL SELECT read_name, contig, nth, CASE WHEN joins THEN anchor ELSE start END, start, CASE WHEN joins THEN l_size + size ELSE size END, CASE WHEN joins THEN g ELSE g + 1 END
-    FROM (SELECT o.read_name, o.contig, o.nth, o.start, o.size, r.anchor, r.l_size, r.g, o.start - r.l_start <= {_RUN} AS joins FROM run r JOIN o ON o.read_name = r.read_name AND o.contig = r.contig AND o.nth = r.nth + 1))
-  SELECT read_name, contig, min(anchor) AS start, max(l_size) AS size FROM run GROUP BY read_name, contig, g""")
+
+@query("merge_cigar_ins_call", _EVENTS.format("INS").replace("WITH ", "WITH RECURSIVE ") + _GROWING.format(keys="read_name, contig", where="") + " SELECT * FROM inss")
 def merge_cigar_ins_call(spark, sf_dir):
     return I.merge_running_insertions(_events(spark, sf_dir, "INS"), ["read_name", "contig"])
 
@@ -388,9 +395,10 @@ def median(spark, sf_dir):
     return projection(spark, sf_dir, "sig").groupBy("contig").agg(F.median("start").alias("m_start"), F.median("svlen").alias("m_len"))
 
 
-@query("cigar_signatures", None)
+_SIGNATURES = INDELS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + _DELS.format(keys="read_ordinal", where=" WHERE op = 'D'") + _GROWING.format(keys="read_ordinal", where=" WHERE op = 'I'")
+
+
+@query("cigar_signatures", f"{_SIGNATURES} SELECT read_name, contig, f.start, f.size AS svlen, f.svtype FROM (SELECT *, 'DEL' AS svtype FROM dels UNION ALL SELECT *, 'INS' AS svtype FROM inss) f JOIN reads USING (read_ordinal)")
 def cigar_signatures(spark, sf_dir):
     """Indels of reads merged within the read, both types, as signatures."""
-    rows = indel_rows(projection(spark, sf_dir, "reads"), False).select("read_name", "contig", "op", "start", F.col("n").alias("size"))
-    dels = I.merge_cigar_deletions(rows.filter("op = 'D'"), ["read_name", "contig"]).withColumn("svtype", F.lit("DEL"))
-    return dels.unionByName(I.merge_running_insertions(rows.filter("op = 'I'"), ["read_name", "contig"]).withColumn("svtype", F.lit("INS")))
+    return pipelines.cigar_signatures(projection(spark, sf_dir, "reads"), growing=True)
