@@ -170,19 +170,22 @@ def leader_clusters(tra: DataFrame, reach: int = 1000) -> DataFrame:
 
     Rows of one pair of contigs are taken in the order (read_name, start, end); a row joins the first cluster
     whose first member is within reach at both ends. Rows more than reach from all others at both sides of a
-    start gap cannot share a leader, so a pair of contigs is split there before it is dealt out.
+    start gap cannot share a leader, so a pair of contigs is split there before it is dealt out. Leaders lie in a grid
+    with cells as wide as the reach, so a row looks at nine of them, however many there are.
     """
-    keys = ["contig", "contig2"]
+    keys, side = ["contig", "contig2"], max(reach, 1)
     blocks = axis_islands(tra, keys, ["start", "end", "read_name"], "start", lambda last: F.col("start") - last > reach, "block")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["read_name", "start", "contig2", "end"], kind="stable").reset_index(drop=True)
-        leaders: list[tuple[int, int]] = []
+        cells: dict[tuple[int, int], tuple[int, int, int]] = {}  # two leaders of one cell would be within reach of each other
         own = []
-        for start, end in zip(rows["start"], rows["end"], strict=True):
-            k = next((k for k, (s, e) in enumerate(leaders) if abs(s - start) <= reach and abs(e - end) <= reach), len(leaders))
-            if k == len(leaders):
-                leaders.append((start, end))
+        for start, end in zip(rows["start"].tolist(), rows["end"].tolist(), strict=True):
+            x, y = start // side, end // side
+            around = (cells.get((x + i, y + j)) for i in (-1, 0, 1) for j in (-1, 0, 1))
+            k = min((at[0] for at in around if at and abs(at[1] - start) <= reach and abs(at[2] - end) <= reach), default=len(cells))
+            if k == len(cells):
+                cells[x, y] = (k, start, end)
             own.append(k)
         rows["cluster"] = own
         first = rows.groupby("cluster", sort=False).first().reset_index()

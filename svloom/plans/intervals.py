@@ -306,7 +306,15 @@ def cluster_summarise(spark, sf_dir):
     return insertion_calls(spark, sf_dir)
 
 
-@query("cluster_tra_leader")
+_LEADERS = """WITH RECURSIVE tra AS (SELECT 'chr' || (c_nationkey % 3 + 1) AS contig, c_custkey * 7919 % 60000 AS start, 'chr' || (c_nationkey % 4 + 4) AS contig2, c_custkey * 104729 % 9000 AS e, 'r' || c_custkey AS read_name FROM customer),
+  o AS (SELECT *, row_number() OVER (PARTITION BY contig, contig2 ORDER BY read_name, start, e) AS nth FROM tra),
+  run AS (SELECT contig, contig2, nth, [{'s': start, 'e': e}] AS leaders, 1 AS k FROM o WHERE nth = 1
+  UNION ALL SELECT contig, contig2, nth, CASE WHEN hit = 0 THEN list_append(leaders, {'s': start, 'e': e}) ELSE leaders END, CASE WHEN hit = 0 THEN len(leaders) + 1 ELSE hit END
+    FROM (SELECT o.contig, o.contig2, o.nth, o.start, o.e, r.leaders, coalesce(list_position([abs(l.s - o.start) <= 1000 AND abs(l.e - o.e) <= 1000 for l in r.leaders], true), 0) AS hit FROM run r JOIN o ON o.contig = r.contig AND o.contig2 = r.contig2 AND o.nth = r.nth + 1))
+  SELECT contig, CAST(ceil(median(start)) AS BIGINT) AS start, 'fwd' AS dir1, contig2, CAST(ceil(median(e)) AS BIGINT) AS "end", 'rev' AS dir2, count(*) AS support, list(read_name ORDER BY read_name) AS reads FROM run JOIN o USING (contig, contig2, nth) GROUP BY contig, contig2, k"""
+
+
+@query("cluster_tra_leader", _LEADERS)
 def cluster_tra_leader(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     tra = c.select(F.concat(F.lit("chr"), F.col("c_nationkey") % 3 + 1).alias("contig"), (F.col("c_custkey") * 7919 % 60000).alias("start"), F.lit("fwd").alias("dir1"), F.concat(F.lit("chr"), F.col("c_nationkey") % 4 + 4).alias("contig2"), (F.col("c_custkey") * 104729 % 9000).alias("end"), F.lit("rev").alias("dir2"), F.concat(F.lit("r"), "c_custkey").alias("read_name"))
