@@ -1,15 +1,34 @@
-"""Cutting lineage at results that several later steps read."""
+"""Cutting lineage at results that several later steps read, and folders for files that are read back."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of spark.checkpoint.dir, which executors share; set where it is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A session on one machine that names none is given a temporary folder; a cluster must name one.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_root(spark)}/svloom-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

@@ -36,6 +36,19 @@ def axis_islands(df: DataFrame, keys: list[str], order: list[str], carry: str, b
     return numbered.withColumn(name, F.col("__own") + F.col("__ahead")).drop("__piece", "__carried", "__before", "__new", "__own", "__ahead")
 
 
+def axis_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "nth", piece: int = AXIS_PIECE) -> DataFrame:
+    """The place of each row among those of its keys, 1 first; keys are not null, and order[0] is a position.
+
+    Rows are sorted in pieces of the axis; where a piece begins is a running sum over a table of one row a piece.
+    """
+    part = F.floor(F.col(order[0]) / piece).alias("__piece")
+    counts = df.groupBy(*keys, part).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "__piece", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__piece").orderBy(*order))
+    return df.select("*", part).withColumn("__own", own).join(starts, [*keys, "__piece"]).withColumn(name, F.col("__before") + F.col("__own")).drop("__piece", "__own", "__before")
+
+
 def before(column: str, keys: list[str], order: list[str]) -> Column:
     return F.lag(column).over(Window.partitionBy(*keys).orderBy(*order))
 

@@ -255,12 +255,12 @@ REFINE_SQL = f"""{READS}, {EVENTS_SQL}, {PRED_SQL},
   SELECT id, CAST(CASE WHEN reason = 'type_skip' THEN 0 ELSE coalesce(evidence, 0) END AS BIGINT) AS evidence, CASE WHEN reason IN ('updated','same_value') THEN ms ELSE start END AS new_start, CASE WHEN reason IN ('updated','same_value') THEN nl ELSE svlen END AS new_len, reason FROM refined"""
 
 
-def _predicted(spark, sf_dir) -> DataFrame:
+def predicted(spark, sf_dir) -> DataFrame:
     return spark.sql(PRED_SQL[len("pred AS (") : -1].replace("FROM orders", "FROM {t}"), t=table(spark, sf_dir, "orders"))
 
 
 def _refined(spark, sf_dir, types) -> DataFrame:
-    return U.refine(_predicted(spark, sf_dir), projection(spark, sf_dir, "reads"), ["id"], types).select("id", "evidence", "new_start", "new_len", "reason")
+    return U.refine(predicted(spark, sf_dir), projection(spark, sf_dir, "reads"), ["id"], types).select("id", "evidence", "new_start", "new_len", "reason")
 
 
 @query("refine_del", REFINE_SQL.replace("{types}", "['DEL']") + " WHERE svtype = 'DEL'")
@@ -284,14 +284,14 @@ _NEAR_READS = REFINE_SQL[: REFINE_SQL.index("  pairs AS")].rstrip().rstrip(",")
 @query("first_5000_reads", f"{_NEAR_READS} SELECT id, read_ordinal, nth FROM near WHERE nth <= 5000")
 def first_5000_reads(spark, sf_dir):
     good = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20)).select("contig", "read_ordinal", "ref_start", "ref_end")
-    return U.refine_reads(_predicted(spark, sf_dir), good, ["id"]).select("id", "read_ordinal", F.col("nth").cast("bigint").alias("nth"))
+    return U.refine_reads(predicted(spark, sf_dir), good, ["id"]).select("id", "read_ordinal", F.col("nth").cast("bigint").alias("nth"))
 
 
 @query("overlap_join_refine", f"{READS}, {PRED_SQL} SELECT p.id, r.read_ordinal FROM pred p JOIN reads r ON r.contig = p.contig AND r.ref_start < p.start + 201 AND r.ref_end > greatest(0, p.start - 200) WHERE (r.flag & 2308) = 0 AND r.mapq >= 20 AND p.svtype = 'INS'")
 def overlap_join_refine(spark, sf_dir):
     from svloom.operators.ranges import range_join
 
-    calls = _predicted(spark, sf_dir).filter("svtype = 'INS'")
+    calls = predicted(spark, sf_dir).filter("svtype = 'INS'")
     calls = calls.withColumn("__s", F.greatest(F.lit(0), F.col("start") - 200)).withColumn("__e", F.col("start") + 201)
     good = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20)).select("contig", "read_ordinal", "ref_start", "ref_end")
     return range_join(calls, good, ["contig"], ("__s", "__e"), ("ref_start", "ref_end"), 10000).select("id", "read_ordinal")

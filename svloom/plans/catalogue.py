@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from svloom.plans import alignments, calls, intervals, trios  # noqa: F401  they register their queries
+from svloom.plans import alignments, calls, files, intervals, trios  # noqa: F401  they register their queries
 from svloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

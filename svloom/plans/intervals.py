@@ -125,9 +125,8 @@ def scan_bed(spark, sf_dir):
 
 @query("sort_labels", INTERVALS + " SELECT contig, start, \"end\", CAST(row_number() OVER (PARTITION BY contig ORDER BY start, \"end\") AS INT) AS nth FROM intervals")
 def sort_labels(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return projection(spark, sf_dir, "intervals").withColumn("nth", F.row_number().over(Window.partitionBy("contig").orderBy("start", "end")))
+    ranked = I.axis_rank(projection(spark, sf_dir, "intervals"), ["contig"], ["start", "end"])
+    return ranked.select("contig", "start", "end", F.col("nth").cast("int").alias("nth"))
 
 
 # ---------------------------------------------------------------- predictions
@@ -323,10 +322,13 @@ def cluster_tra_leader(spark, sf_dir):
 
 @query("signature_sort_split", f"{SIG} SELECT contig, svtype, start, svlen, read_name, ord, CAST(row_number() OVER (PARTITION BY contig, svtype ORDER BY start, svlen, read_name, ord) AS INT) AS nth FROM sig")
 def signature_sort_split(spark, sf_dir):
-    from pyspark.sql import Window
+    ranked = I.axis_rank(projection(spark, sf_dir, "sig"), ["contig", "svtype"], ROW)
+    return ranked.select("contig", "svtype", *ROW, F.col("nth").cast("int").alias("nth"))
+
 
-    order = Window.partitionBy("contig", "svtype").orderBy(*ROW)
-    return projection(spark, sf_dir, "sig").withColumn("nth", F.row_number().over(order)).select("contig", "svtype", *ROW, "nth")
+@query("sort_candidates", f"{SIG} SELECT contig, start, svlen, read_name, ord, row_number() OVER (PARTITION BY contig ORDER BY start, svlen, read_name, ord) AS nth FROM sig")
+def sort_candidates(spark, sf_dir):
+    return I.axis_rank(projection(spark, sf_dir, "sig"), ["contig"], ROW).select("contig", *ROW, "nth")
 
 
 @query("union_signatures", f"{SIG} SELECT contig, svtype, count(*) AS n FROM (SELECT contig, svtype FROM sig WHERE source = 'split' UNION ALL SELECT contig, svtype FROM sig WHERE source <> 'split') GROUP BY ALL")

@@ -18,32 +18,32 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("sample = 'child'").drop("sample"), rows.filter("sample <> 'child'").drop("sample")
 
 
-def _number(key: str) -> str:
+def number_sql(key: str) -> str:
     item = f"list_filter(string_split(info, ';'), lambda x: starts_with(x, '{key}='))"
     return f"coalesce(CAST(abs(trunc(TRY_CAST(substr({item}[-1], {len(key) + 2}) AS DOUBLE))) AS BIGINT), 0)"
 
 
-def _word(key: str) -> str:
+def word_sql(key: str) -> str:
     return f"coalesce(substr(list_filter(string_split(info, ';'), lambda x: starts_with(x, '{key}='))[-1], {len(key) + 2}), '')"
 
 
-@query("parse_info_mdr", f"{TEXTS} SELECT id, {_number('SVLEN')} AS svlen, {_number('END')} AS \"end\", substr({_word('SVTYPE')}, 1, 3) AS svtype, {_word('CHR2')} AS chr2 FROM texts")
+@query("parse_info_mdr", f"{TEXTS} SELECT id, {number_sql('SVLEN')} AS svlen, {number_sql('END')} AS \"end\", substr({word_sql('SVTYPE')}, 1, 3) AS svtype, {word_sql('CHR2')} AS chr2 FROM texts")
 def parse_info_mdr(spark, sf_dir):
     i = F.col("info")
     return projection(spark, sf_dir, "texts").select("id", V.whole(V.info_value(i, "SVLEN")).alias("svlen"), V.whole(V.info_value(i, "END")).alias("end"), V.sv_type(i, False).alias("svtype"), F.coalesce(V.info_value(i, "CHR2"), F.lit("")).alias("chr2"))
 
 
-@query("parse_info_mier", f"{TEXTS} SELECT id, {_number('SVLEN')} AS svlen, {_number('END')} AS \"end\", CASE WHEN upper(substr({_word('SVTYPE')}, 1, 3)) = 'TRA' THEN 'BND' ELSE upper(substr({_word('SVTYPE')}, 1, 3)) END AS svtype FROM texts")
+@query("parse_info_mier", f"{TEXTS} SELECT id, {number_sql('SVLEN')} AS svlen, {number_sql('END')} AS \"end\", CASE WHEN upper(substr({word_sql('SVTYPE')}, 1, 3)) = 'TRA' THEN 'BND' ELSE upper(substr({word_sql('SVTYPE')}, 1, 3)) END AS svtype FROM texts")
 def parse_info_mier(spark, sf_dir):
     i = F.col("info")
     return projection(spark, sf_dir, "texts").select("id", V.whole(V.info_value(i, "SVLEN")).alias("svlen"), V.whole(V.info_value(i, "END")).alias("end"), V.sv_type(i, True).alias("svtype"))
 
 
-_ALT = """CASE WHEN starts_with(alt, ']') THEN ']]N' WHEN starts_with(alt, '[') THEN '[[N' WHEN alt[2] = ']' THEN 'N]]' ELSE 'N[[' END AS form,
+ALT_SQL = """CASE WHEN starts_with(alt, ']') THEN ']]N' WHEN starts_with(alt, '[') THEN '[[N' WHEN alt[2] = ']' THEN 'N]]' ELSE 'N[[' END AS form,
   CASE WHEN alt[1] IN (']', '[') THEN substr(split_part(alt, ':', 1), 2) ELSE substr(split_part(alt, ':', 1), 3) END AS chr2, coalesce(TRY_CAST(regexp_extract(alt, ':(\\d+)', 1) AS BIGINT), 0) AS pos2"""
 
 
-@query("parse_bnd_alt", f"{TEXTS} SELECT id, {_ALT} FROM texts")
+@query("parse_bnd_alt", f"{TEXTS} SELECT id, {ALT_SQL} FROM texts")
 def parse_bnd_alt(spark, sf_dir):
     return projection(spark, sf_dir, "texts").select("id", V.bnd_alt(F.col("alt")).alias("b")).select("id", "b.form", "b.chr2", "b.pos2")
 
@@ -58,11 +58,11 @@ def len_ok(spark, sf_dir):
     return projection(spark, sf_dir, "trio").select("rec_ordinal", V.len_ok(F.col("svlen"), F.lit(700)).alias("ok"))
 
 
-_KIND = f"CASE WHEN upper(substr({_word('SVTYPE')}, 1, 3)) = 'TRA' THEN 'BND' ELSE upper(substr({_word('SVTYPE')}, 1, 3)) END"
+KIND_SQL = f"CASE WHEN upper(substr({word_sql('SVTYPE')}, 1, 3)) = 'TRA' THEN 'BND' ELSE upper(substr({word_sql('SVTYPE')}, 1, 3)) END"
 
 
 @query("child_match_key", f"""{TEXTS}, t AS (SELECT id, id * 2 AS pos, CASE WHEN id % 3 = 0 THEN replace(info, 'CHR2=', 'OTHER=') ELSE info END AS info, alt FROM texts),
-  k AS (SELECT id, pos, {_KIND} AS svtype, {_number('END')} AS stop, {_number('SVLEN')} AS given, {_word('CHR2')} AS named, {_ALT} FROM t)
+  k AS (SELECT id, pos, {KIND_SQL} AS svtype, {number_sql('END')} AS stop, {number_sql('SVLEN')} AS given, {word_sql('CHR2')} AS named, {ALT_SQL} FROM t)
   SELECT id, svtype, CASE WHEN svtype = 'BND' AND stop = 0 THEN pos2 ELSE stop END AS "end", CASE WHEN given = 0 AND stop >= pos THEN stop - pos + 1 ELSE given END AS svlen,
   CASE WHEN svtype = 'BND' THEN coalesce(nullif(named, ''), chr2) END AS chr2, CASE WHEN svtype = 'BND' THEN form END AS form FROM k""")
 def child_match_key(spark, sf_dir):

@@ -74,8 +74,21 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "false").parquet(path)
 
 
-def count_store(spark: SparkSession, path: str) -> int:
-    return read_store(spark, path).count()
+def count_store(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the samples of a store."""
+    return read_store(spark, path).agg(F.count("*").alias("samples"))
+
+
+def find_stores(spark: SparkSession, path: str, leave: tuple[str, ...] = ("_index", "_label", "_predict")) -> DataFrame:
+    """store: the folders with Parquet files anywhere below path, sorted, but for those whose names end in what is left out.
+
+    Files are listed, not opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    stores = files.select(F.element_at(F.split("path", "/"), -2).alias("store")).distinct()
+    for suffix in leave:
+        stores = stores.filter(~F.col("store").endswith(suffix))
+    return stores.orderBy("store")
 
 
 def read_weights_meta(text: str) -> dict:

@@ -13,6 +13,7 @@ from svloom.functions import alignment as A
 from svloom.functions import genotypes as G
 from svloom.functions import variants as V
 from svloom.operators import clusters as C
+from svloom.operators import cut
 from svloom.operators import islands as I
 from svloom.operators import pileup as P
 from svloom.operators import trio as T
@@ -183,7 +184,7 @@ def test_store_resumes(spark, tmp_path):
     writers.write_store(rows(1).filter("contig = 'chr1'"), path, ["contig", "region"])
     writers.write_store(rows(2), path, ["contig", "region"])
     assert sorted((r.contig, r.x) for r in readers.read_store(spark, path).collect()) == [("chr1", 1), ("chr2", 2)]
-    assert readers.count_store(spark, path) == 2
+    assert readers.count_store(spark, path).first().samples == 2
 
 
 def test_config():
@@ -271,6 +272,35 @@ def test_anti_join_keeps_rows_that_repeat(spark):
         assert sorted((str(r.contig), r.start) for r in range_join(left, right, ["contig"], ("start", "end"), ("s", "e"), 4, how).collect()) == want
 
 
+def test_ranks_along_an_axis(spark):
+    rows = [(k, p, t) for k in ("a", "b") for p in (-3, 0, 5, 5, 9, 10, 11, 40) for t in (2, 1)]
+    df = spark.createDataFrame(rows, "k string, p long, t long")
+    found = I.axis_rank(df, ["k"], ["p", "t"], piece=10).collect()
+    for k in ("a", "b"):
+        own = sorted((r.nth, r.p, r.t) for r in found if r.k == k)
+        assert [n for n, _, _ in own] == list(range(1, 17)) and [(p, t) for _, p, t in own] == sorted((p, t) for x, p, t in rows if x == k)
+    assert I.axis_rank(df.limit(0), ["k"], ["p", "t"]).count() == 0
+
+
+def test_stores_are_found_below_folders(spark, tmp_path):
+    for name in ("x/one", "y/z/two", "one_label", "x/one_index", "two_predict"):
+        spark.range(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "three").mkdir()
+    (tmp_path / "three" / "note.txt").write_text("no store")
+    assert [r.store for r in readers.find_stores(spark, str(tmp_path)).collect()] == ["one", "two"]
+    assert [r.store for r in readers.find_stores(spark, str(tmp_path), ()).collect()] == ["one", "one_index", "one_label", "two", "two_predict"]
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        cut.shared_root(type("Session", (), {"sparkContext": Context})())
+
+
 def test_other_readers_and_sinks(spark, tmp_path):
     (tmp_path / "labels.bed").write_text("#c\nchr1\t5\t9\t9\tDEL\nchr1\t7\tchr2\t70\tTRA\nchr1\tx\t1\t2\tDUP\n")
     assert sorted(map(tuple, readers.read_label_bed(spark, str(tmp_path / "labels.bed")).collect())) == [("chr1", 5, 9, "DEL"), ("chr1", 7, 8, "TRA")]
