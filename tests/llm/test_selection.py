@@ -196,7 +196,7 @@ def test_search_edges(spark, docs, items):
     assert lexical.ranked_search(named, items).filter("item_id = 5").count() == 5
     space = Workspace(spark, "index")
     index = lexical.build_index(space, docs)
-    assert lexical.search(space, index, items, 2).count() == lexical.search(space, index, items, 2).count() == 6
+    assert lexical.search(space, index, items, 2).count() == lexical.search(space, index, items, 2).count() == 7
     space.close()
 
 
