@@ -1,20 +1,18 @@
 """Density, leader and trimming clusters of signatures.
 
-Insertions lie on a line, so their density clusters are gap sessions. Other types are two-dimensional
-(start, end); they are split by windows into blocks that no cluster can cross, and each block, which is as
-large as the local density makes it, is swept in one task.
+Insertions lie on a line, so their density clusters are gap sessions. Other types are two-dimensional (start, end) and
+clustered by a grid of cells. Nothing sweeps a dense place in one task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from svloom.operators.components import components
+from svloom.operators.cut import cut, drop
 from svloom.operators.islands import axis_islands
 
 #: (largest length, eps) bands of insertions and inversions, on noisy and on clean reads.
@@ -65,66 +63,37 @@ def insertion_clusters(sig: DataFrame, keys: list[str], eps: float, order: list[
     return axis_islands(sig, keys, ["start", *[c for c in order if c != "start"]], "start", lambda last: F.col("start") - last > eps / math.sqrt(2), "cluster")
 
 
-def density_clusters(sig: DataFrame, order: list[str]) -> DataFrame:
+#: Cells of the upper half around a cell, (columns, rows) away, in which a point can be near one of its own.
+_BESIDE = [(1, y) for y in range(-2, 3)] + [(2, y) for y in range(-1, 2)]
+_ABOVE = [(0, 1), (0, 2)]
+
+
+def density_clusters(sig: DataFrame, keys: tuple[str, ...] = ("contig", "svtype", "eps")) -> DataFrame:
     """Adds cluster to signatures (contig, svtype, start, svlen, eps); two points at most eps apart are in one.
 
-    With two points enough for a core, density clusters are the components of the graph of near points.
-    The cluster's number is its smallest row's in its block.
+    With two points enough for a core, density clusters are the components of the graph of near points. Points lie in a grid with
+    cells as wide as the root of eps**2 / 2, so those of a cell are near one another, and only ten cells on one side need a look.
+    Of two cells side by side the nearest points are the outermost ones of their rows (one above the other: of their columns), so a cell
+    of any number of points brings at most as many as it is wide. A cluster is known by its first cell.
     """
-    keys = ["contig", "svtype", "eps"]
-    ended = sig.withColumn("end", F.col("start") + F.when(F.col("svtype") == "INS", 1).otherwise(F.col("svlen")))
-    first = axis_islands(ended, keys, ["start", *order], "start", lambda last: F.col("start") - last > F.col("eps"), "block")
-    second = Window.partitionBy(*keys, "block").orderBy("end", *order)
-    split = first.withColumn("__new", F.coalesce((F.col("end") - F.lag("end").over(second) > F.col("eps")).cast("long"), F.lit(1)))
-    split = split.withColumn("part", F.sum("__new").over(second.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-    group = [*keys, "block", "part"]
-
-    def label(starts: np.ndarray, ends: np.ndarray, eps: float) -> list[int]:
-        """For each point of a block, sorted by start, the first point of its cluster."""
-        n = len(starts)
-        if n == 1:
-            return [0]
-        root = list(range(n))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        reach = np.searchsorted(starts, starts + eps, side="right")
-        for i in range(n - 1):
-            a = top(i)
-            near = np.flatnonzero((starts[i + 1 : reach[i]] - starts[i]) ** 2 + (ends[i + 1 : reach[i]] - ends[i]) ** 2 <= eps * eps)
-            for j in (near + i + 1).tolist():
-                b = top(j)
-                if a != b:
-                    low = min(a, b)
-                    root[max(a, b)] = low
-                    a = low
-        return [top(i) for i in range(n)]
-
-    def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks come one after the other; the last one of a batch waits for its rest."""
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            new = np.flatnonzero(np.concatenate([[True], (frame[group].iloc[1:].to_numpy() != frame[group].iloc[:-1].to_numpy()).any(1)]))
-            yield labelled(frame.iloc[: new[-1]], new)
-            held = frame.iloc[new[-1] :].reset_index(drop=True)
-        if held is not None:
-            yield labelled(held, np.zeros(1, int))
-
-    def labelled(frame: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
-        starts, ends, eps, out = frame["start"].to_numpy(np.float64), frame["end"].to_numpy(np.float64), frame["eps"].to_numpy(), []
-        edges = [*new[new < len(frame)].tolist(), len(frame)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            out += label(starts[lo:hi], ends[lo:hi], float(eps[lo]))
-        return frame.assign(cluster=np.array(out, np.int64))
-
-    schema = split.withColumn("cluster", F.lit(0).cast("long")).schema
-    return split.repartition(*group).sortWithinPartitions(*group, "start", *order).mapInPandas(sweep, schema)
+    keys, side = list(keys), F.col("eps") / math.sqrt(2)
+    end = F.col("start") + F.when(F.col("svtype") == "INS", 1).otherwise(F.col("svlen"))
+    cell = F.struct(F.floor(F.col("start") / side).alias("x"), F.floor(end / side).alias("y"))
+    points = cut(sig.withColumn("__end", end).withColumn("__cell", cell))
+
+    def edges(line: str, across: str, beside: list[tuple[int, int]]) -> DataFrame:
+        """Cells that are joined, from the outermost points of each line of a cell."""
+        outer = points.groupBy(*keys, "__cell", F.col(line).alias("line")).agg(F.min(across).alias("lo"), F.max(across).alias("hi"))
+        offset = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in beside]))
+        right = outer.select(*keys, F.col("__cell").alias("v"), F.col("line").alias("line2"), "lo", offset.alias("o"))
+        right = right.select(*keys, F.struct((F.col("v.x") - F.col("o.x")).alias("x"), (F.col("v.y") - F.col("o.y")).alias("y")).alias("u"), "v", "line2", "lo")
+        left = outer.select(*keys, F.col("__cell").alias("u"), "line", "hi")
+        apart = (F.col("lo") - F.col("hi")) * (F.col("lo") - F.col("hi")) + (F.col("line") - F.col("line2")) * (F.col("line") - F.col("line2"))
+        return left.join(right, [*keys, "u"]).filter(apart <= F.col("eps") * F.col("eps")).select(*keys, "u", "v").distinct()
+
+    found = components(edges("__end", "start", _BESIDE).unionByName(edges("start", "__end", _ABOVE)), keys)
+    first = found.select(*keys, F.col("u").alias("__cell"), F.col("v").alias("__first"))
+    return points.join(first, [*keys, "__cell"], "left").withColumn("cluster", F.coalesce("__first", "__cell")).select(*sig.columns, "cluster")
 
 
 def summarise(clustered: DataFrame, keys: list[str], cap: int = MAX_SIZE) -> DataFrame:
@@ -168,30 +137,39 @@ def trim_length_outliers(lengths: Column) -> Column:
 def leader_clusters(tra: DataFrame, reach: int = 1000) -> DataFrame:
     """Translocations (contig, start, dir1, contig2, end, dir2, read_name) by first fit to cluster leaders.
 
-    Rows of one pair of contigs are taken in the order (read_name, start, end); a row joins the first cluster
-    whose first member is within reach at both ends. Rows more than reach from all others at both sides of a
-    start gap cannot share a leader, so a pair of contigs is split there before it is dealt out. Leaders lie in a grid
-    with cells as wide as the reach, so a row looks at nine of them, however many there are.
+    Rows of one pair of contigs have the order (read_name, start, end); a row joins the first cluster whose first member
+    is within reach at both ends. So leaders are the rows with no earlier leader in reach, and they are found in rounds: of the
+    open rows of a grid cell as wide as the reach, which are all near one another, only the first can lead, and it does if no
+    earlier open row is near it; then the rows near a new leader are no longer open. A row meets the nine cells around its own
+    with one row each, however many rows there are. The number of rounds is that of the longest chain of near rows in ascending order.
     """
     keys, side = ["contig", "contig2"], max(reach, 1)
-    blocks = axis_islands(tra, keys, ["start", "end", "read_name"], "start", lambda last: F.col("start") - last > reach, "block")
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["read_name", "start", "contig2", "end"], kind="stable").reset_index(drop=True)
-        cells: dict[tuple[int, int], tuple[int, int, int]] = {}  # two leaders of one cell would be within reach of each other
-        own = []
-        for start, end in zip(rows["start"].tolist(), rows["end"].tolist(), strict=True):
-            x, y = start // side, end // side
-            around = (cells.get((x + i, y + j)) for i in (-1, 0, 1) for j in (-1, 0, 1))
-            k = min((at[0] for at in around if at and abs(at[1] - start) <= reach and abs(at[2] - end) <= reach), default=len(cells))
-            if k == len(cells):
-                cells[x, y] = (k, start, end)
-            own.append(k)
-        rows["cluster"] = own
-        first = rows.groupby("cluster", sort=False).first().reset_index()
-        sums = rows.groupby("cluster", sort=False).agg(start=("start", "median"), end=("end", "median"), support=("start", "size"), reads=("read_name", lambda x: sorted(x))).reset_index()
-        out = first[["cluster", "contig", "contig2", "dir1", "dir2"]].merge(sums, on="cluster")
-        out["start"], out["end"] = np.ceil(out["start"]).astype("int64"), np.ceil(out["end"]).astype("int64")
-        return out[["contig", "start", "dir1", "contig2", "end", "dir2", "support", "reads"]]
-
-    return blocks.groupBy(*keys, "block").applyInPandas(fit, "contig string, start long, dir1 string, contig2 string, end long, dir2 string, support long, reads array<string>")
+    cell = F.struct(F.floor(F.col("start") / side).alias("x"), F.floor(F.col("end") / side).alias("y"))
+    rows = cut(tra.withColumn("__id", F.monotonically_increasing_id()).withColumn("__order", F.struct("read_name", "start", "end", "__id")).withColumn("__cell", cell))
+    around = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
+
+    def beside(leads: DataFrame) -> DataFrame:
+        """At most one row of a cell, dealt to the cells around it."""
+        dealt = leads.select(*keys, F.col("__cell").alias("__home"), F.col("__order").alias("__lead"), around.alias("__o"))
+        return dealt.select(*keys, "__home", "__lead", F.struct((F.col("__home.x") + F.col("__o.x")).alias("x"), (F.col("__home.y") + F.col("__o.y")).alias("y")).alias("__cell"))
+
+    near = (F.abs(F.col("__order.start") - F.col("__lead.start")) <= reach) & (F.abs(F.col("__order.end") - F.col("__lead.end")) <= reach)
+    open_rows, leaders = cut(rows.select(*keys, "__cell", "__order")), None
+    while not open_rows.isEmpty():
+        first = open_rows.groupBy(*keys, "__cell").agg(F.min("__order").alias("__order"))
+        met = open_rows.join(beside(first), [*keys, "__cell"])
+        blocked = met.filter(near & (F.col("__order") < F.col("__lead"))).select(*keys, F.col("__home").alias("__cell")).distinct()
+        new = cut(first.join(blocked, [*keys, "__cell"], "left_anti"))
+        leaders = new if leaders is None else leaders.unionByName(new)
+        settled = open_rows.join(beside(new), [*keys, "__cell"]).filter(near).select("__order").distinct()
+        rest = cut(open_rows.join(settled, "__order", "left_anti").select(*open_rows.columns))
+        drop(open_rows)
+        open_rows = rest
+    if leaders is None:
+        leaders = open_rows
+    own = rows.join(beside(leaders), [*keys, "__cell"]).filter(near).groupBy("__id").agg(F.min("__lead").alias("__lead"))
+    clustered = rows.join(own, "__id")
+    middle = [F.ceil(F.median(c)).cast("bigint").alias(c) for c in ("start", "end")]
+    named = [F.min_by(c, "__order").alias(c) for c in ("dir1", "dir2")]
+    out = clustered.groupBy(*keys, "__lead").agg(*middle, *named, F.count("*").alias("support"), F.array_sort(F.collect_list("read_name")).alias("reads"))
+    return out.select("contig", "start", "dir1", "contig2", "end", "dir2", "support", "reads")

@@ -28,7 +28,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/svloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder, read again; it is deleted when the driver ends, or by drop."""
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._svloom_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a cut table that is no longer read."""
+    fs, at = file_system(df.sparkSession, df._svloom_path)
+    fs.delete(at, True)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from svloom.operators.cut import cut
+
 
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
     """Numbers the runs of rows: a run ends where breaks (an expression that may use lag over `w(...)`) holds."""
@@ -22,18 +26,23 @@ AXIS_PIECE = 1 << 20
 def axis_islands(df: DataFrame, keys: list[str], order: list[str], carry: str, breaks: Callable[[Column], Column], name: str = "island", piece: int = AXIS_PIECE) -> DataFrame:
     """As islands, along an axis: order[0] is a position, and breaks tells from the value of `carry` in the row before.
 
-    Rows are sorted within pieces of the axis alone. What a piece needs of those before it, the last row's value and
-    the number of runs, comes from tables of one row for each piece.
+    df is evaluated once: its rows are sorted within pieces of the axis, numbered there, and written. Whether a piece begins with
+    a new run, and how many runs lie before it, comes from a table of one row a piece. Nulls are a value like others.
     """
     here = [*keys, "__piece"]
-    rows = df.withColumn("__piece", F.floor(F.col(order[0]) / piece))
-    window, along = Window.partitionBy(*here).orderBy(*order), Window.partitionBy(*keys).orderBy("__piece")
-    last = rows.groupBy(*here).agg(F.max_by(carry, F.struct(*order)).alias("__last")).withColumn("__carried", F.lag("__last").over(along)).drop("__last")
-    linked = rows.join(last, here).withColumn("__before", F.coalesce(F.lag(carry).over(window), "__carried"))
-    marked = linked.withColumn("__new", F.coalesce(breaks(F.col("__before")), F.lit(True)).cast("bigint"))
-    ahead = marked.groupBy(*here).agg(F.sum("__new").alias("__n")).withColumn("__ahead", F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    numbered = marked.withColumn("__own", F.sum("__new").over(window.rowsBetween(Window.unboundedPreceding, 0))).join(ahead, here)
-    return numbered.withColumn(name, F.col("__own") + F.col("__ahead")).drop("__piece", "__carried", "__before", "__new", "__own", "__ahead")
+    within = Window.partitionBy(*here).orderBy(*order)
+    rows = df.withColumn("__piece", F.floor(F.col(order[0]) / piece)).withColumn("__nth", F.row_number().over(within)).withColumn("__before", F.lag(carry).over(within))
+    rows = rows.withColumn("__new", F.when(F.col("__nth") == 1, 0).otherwise(F.coalesce(breaks(F.col("__before")), F.lit(True)).cast("bigint")))
+    rows = cut(rows.withColumn("__own", F.sum("__new").over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("__before", "__new"))
+
+    along = Window.partitionBy(*keys).orderBy(F.col("__piece").asc_nulls_first())
+    pieces = rows.groupBy(*here).agg(F.max("__own").alias("__n"), F.min_by(F.struct(*df.columns), "__nth").alias("__first"), F.max_by(carry, "__nth").alias("__last"))
+    pieces = pieces.select(*here, "__n", F.lag("__last").over(along).alias("__before"), *[F.col(f"__first.{c}").alias(c) for c in df.columns if c not in keys])
+    pieces = pieces.select(*here, "__n", F.coalesce(breaks(F.col("__before")), F.lit(True)).cast("bigint").alias("__new"))
+    ahead = F.coalesce(F.sum(F.col("__n") + F.col("__new")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(here)], (ahead + F.col("__new")).alias("__ahead"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(here)])
+    return rows.join(pieces, same).select(*df.columns, (F.col("__own") + F.col("__ahead")).alias(name))
 
 
 def axis_rank(df: DataFrame, keys: list[str], order: list[str], name: str = "nth", piece: int = AXIS_PIECE) -> DataFrame:

@@ -210,26 +210,6 @@ def call_insertions(spark, sf_dir):
     return called(spark, sf_dir).filter((F.col("support") >= F.col("min_support")) & (F.col("svlen") >= 40)).select(*COLUMNS)
 
 
-_LINE = "concat_ws(chr(9), contig, start, '.', 'N', '<INS>', '.', 'PASS', 'SVLEN=' || svlen || ';SVTYPE=INS;END=' || start || ';', 'GT', gt)"
-
-
-@query("sink_vcf", f"{CALLED_SQL} SELECT contig, cluster, {_LINE} AS line FROM called")
-def sink_vcf(spark, sf_dir):
-    rows = called(spark, sf_dir)
-    return rows.select("contig", "cluster", V.vcf_line(*[F.col(c) for c in ("contig", "start", "svlen", "svtype", "gt")]).alias("line"))
-
-
-_TYPED = "concat_ws(chr(9), contig, start, '.', 'N', '<' || svtype || '>', '.', 'PASS', 'SVLEN=' || svlen || ';SVTYPE=' || svtype || ';END=' || CASE WHEN svtype = 'INS' THEN start ELSE start + svlen END || ';', 'GT', './.')"
-
-
-@query("sink_vcf_split_by_type", f"{with_ctes('sig')} SELECT svtype AS file, count(*) AS n, min({_TYPED}) AS first_line, max({_TYPED}) AS last_line FROM sig GROUP BY 1 UNION ALL SELECT 'all', count(*), min({_TYPED}), max({_TYPED}) FROM sig")
-def sink_vcf_split_by_type(spark, sf_dir):
-    sig = projection(spark, sf_dir, "sig")
-    rows = sig.select("svtype", V.vcf_line(F.col("contig"), F.col("start"), F.col("svlen"), F.col("svtype"), F.lit("./.")).alias("line"))
-    files = rows.withColumn("file", F.explode(F.array(F.lit("all"), F.col("svtype"))))
-    return files.groupBy("file").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
-
-
 @query("sink_vcf_bnd_pair", f"""{with_ctes('bnd')}, b AS (SELECT rec_ordinal, chrom, pos, chr2, "end" AS p2, gt, CASE WHEN rec_ordinal % 2 = 0 THEN 'fwd' ELSE 'rev' END AS d1, CASE WHEN rec_ordinal % 4 < 2 THEN 'fwd' ELSE 'rev' END AS d2 FROM bnd),
   alts AS (SELECT *, chr2 || ':' || p2 AS t, chrom || ':' || pos AS h FROM b)
   SELECT rec_ordinal, concat_ws(chr(9), chrom, pos, '.', 'N', CASE WHEN d1 = 'fwd' AND d2 = 'fwd' THEN 'N[' || t || '[' WHEN d1 = 'fwd' THEN 'N]' || t || ']' WHEN d2 = 'fwd' THEN ']' || t || ']N' ELSE '[' || t || '[N' END, '.', 'PASS', 'SVTYPE=BND;', 'GT', gt) AS line FROM alts

@@ -84,6 +84,49 @@ def scan_sample_dir(spark, sf_dir):
     return out
 
 
+# ---------------------------------------------------------------- call files
+#: Calls of all types, some of a type that no file has and some before the contig.
+_MIXED = f"""{CALLS}, c AS (SELECT rec_ordinal, chrom, CASE WHEN rec_ordinal % 89 = 0 THEN -pos ELSE pos END AS pos, svlen, "end", CASE WHEN rec_ordinal % 97 = 0 THEN 'CNV' ELSE svtype END AS svtype, chr2, form, gt FROM calls),
+  o AS (SELECT *, CASE WHEN svtype IN ('INS', 'DEL', 'DUP', 'INV') THEN CASE WHEN pos >= 0 AND (svtype = 'INS' OR pos + svlen >= 0) THEN '' ELSE 'bad_place' END WHEN svtype = 'BND' THEN CASE WHEN pos >= 0 THEN '' ELSE 'bad_place' END ELSE 'unknown_type' END AS fault,
+    CASE WHEN form LIKE 'N%' THEN 'fwd' ELSE 'rev' END AS d1, CASE WHEN substr(replace(form, 'N', ''), 1, 1) = '[' THEN 'fwd' ELSE 'rev' END AS d2, chr2 || ':' || "end" AS t, chrom || ':' || pos AS h FROM c),
+  l AS (SELECT lower(svtype) AS kind, gt, concat_ws(chr(9), chrom, pos, '.', 'N', '<' || svtype || '>', '.', 'PASS', 'SVLEN=' || svlen || ';SVTYPE=' || svtype || ';END=' || CASE WHEN svtype = 'INS' THEN pos ELSE pos + svlen END || ';', 'GT') AS line FROM o WHERE fault = '' AND svtype <> 'BND'
+    UNION ALL SELECT 'tra', gt, concat_ws(chr(9), chrom, pos, '.', 'N', CASE WHEN d1 = 'fwd' AND d2 = 'fwd' THEN 'N[' || t || '[' WHEN d1 = 'fwd' THEN 'N]' || t || ']' WHEN d2 = 'fwd' THEN ']' || t || ']N' ELSE '[' || t || '[N' END, '.', 'PASS', 'SVTYPE=BND;', 'GT') FROM o WHERE fault = '' AND svtype = 'BND'
+    UNION ALL SELECT 'tra', gt, concat_ws(chr(9), chr2, "end", '.', 'N', CASE WHEN d1 = 'fwd' AND d2 = 'fwd' THEN ']' || h || ']N' WHEN d1 = 'fwd' THEN '[' || h || '[N' WHEN d2 = 'fwd' THEN 'N[' || h || '[' ELSE 'N]' || h || ']' END, '.', 'PASS', 'SVTYPE=BND;', 'GT') FROM o WHERE fault = '' AND svtype = 'BND'),
+  head AS (SELECT '##fileformat=VCFv4.2' AS line UNION ALL SELECT '{writers.HEADER_TOP[1]}' UNION ALL SELECT '##contig=<ID=' || chrom || ',length=' || max("end") || '>' FROM calls GROUP BY chrom UNION ALL SELECT unnest([{", ".join("'" + x + "'" for x in writers.HEADER_END)}])),
+  left_out AS (SELECT CASE fault WHEN '' THEN 'written' ELSE fault END AS fault, sum(CASE WHEN fault = '' AND svtype = 'BND' THEN 2 ELSE 1 END) AS n FROM o GROUP BY 1)"""
+
+
+def _mixed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, breakends and contigs."""
+    every = projection(spark, sf_dir, "calls")
+    rows = every.withColumn("start", F.when(F.col("rec_ordinal") % 89 == 0, -F.col("pos")).otherwise(F.col("pos"))).withColumn("svtype", F.when(F.col("rec_ordinal") % 97 == 0, "CNV").otherwise(F.col("svtype"))).withColumnRenamed("chrom", "contig")
+    second = F.when(F.substring(F.replace("form", F.lit("N")), 1, 1) == "[", "fwd").otherwise("rev")
+    bnd = rows.filter("svtype = 'BND'").select("contig", "start", F.when(F.col("form").startswith("N"), "fwd").otherwise("rev").alias("dir1"), F.col("chr2").alias("contig2"), "end", second.alias("dir2"), "gt")
+    contigs = every.groupBy(F.col("chrom").alias("contig")).agg(F.max("end").alias("length")).withColumn("ord", F.substring("contig", 4, 9).cast("long"))
+    return rows.filter("svtype <> 'BND'").select("contig", "start", "svlen", "svtype", "gt"), bnd, contigs
+
+
+def _read_back(spark, folder: str, counts: dict[str, int]) -> DataFrame:
+    """file, line of all files in folder, and a line for each count."""
+    lines = spark.read.text(f"{folder}/*.vcf").select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value").alias("line"))
+    return lines.unionByName(spark.createDataFrame([("counts", f"{k} {n}") for k, n in counts.items() if n], "file string, line string"))
+
+
+@query("sink_vcf", f"{_MIXED} SELECT 'calls.vcf' AS file, line FROM head UNION ALL SELECT 'calls.vcf', line || chr(9) || gt FROM l UNION ALL SELECT 'counts', fault || ' ' || n FROM left_out")
+def sink_vcf(spark, sf_dir):
+    """One committed file with all types, and what was left out of it."""
+    folder, (calls, bnd, contigs) = scratch(spark, "vcf-file"), _mixed(spark, sf_dir)
+    return _read_back(spark, folder, writers.write_vcf_file(calls, contigs, folder, "calls.vcf", bnd))
+
+
+@query("sink_vcf_split_by_type", f"""{_MIXED}, f AS (SELECT unnest(['all', 'del', 'ins', 'dup', 'inv', 'tra']) AS kind) SELECT 's_' || kind || '.vcf' AS file, line FROM f, head UNION ALL SELECT 's_all.vcf', line || chr(9) || gt FROM l
+  UNION ALL SELECT 's_' || kind || '.vcf', line || chr(9) || CASE WHEN kind = 'tra' THEN './.' ELSE gt END FROM l UNION ALL SELECT 'counts', fault || ' ' || n FROM left_out""")
+def sink_vcf_split_by_type(spark, sf_dir):
+    """Six files of one pass and one commit, read back."""
+    folder, (calls, bnd, contigs) = scratch(spark, "vcf-files"), _mixed(spark, sf_dir)
+    return _read_back(spark, folder, writers.write_call_files(calls, bnd, contigs, folder, "s"))
+
+
 # ---------------------------------------------------------------- stores
 def _windows(spark, sf_dir) -> DataFrame:
     return predictions(spark, sf_dir).withColumn("region", F.floor(F.col("window_start") / REGION))

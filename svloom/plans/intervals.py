@@ -286,8 +286,8 @@ _DBSCAN = f"""WITH RECURSIVE {SIG[len("WITH ") :]}, p AS (SELECT row_number() OV
 @query("dbscan_cluster", _DBSCAN)
 def dbscan_cluster(spark, sf_dir):
     sig = C.with_eps(C.drop_oversized(projection(spark, sf_dir, "sig").filter("svtype <> 'INS'")), noisy=True)
-    rows = C.density_clusters(sig, ["svlen", "read_name", "ord"])
-    return rows.groupBy("contig", "svtype", "eps", "block", "part", "cluster").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last")).drop("block", "part", "cluster")
+    rows = C.density_clusters(sig)
+    return rows.groupBy("contig", "svtype", "eps", "cluster").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last")).drop("cluster")
 
 
 _INS_CLUSTERS = f"{SIG}, ins AS (SELECT * FROM sig WHERE svtype = 'INS'), {_SESSION.format(gap='(300 / sqrt(2))', keys='contig', src='ins')}"

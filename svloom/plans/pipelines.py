@@ -210,12 +210,12 @@ def call_variants(reads: DataFrame, contigs: DataFrame, predictions: DataFrame,
     for high in (True, False):
         part = C.with_eps(C.drop_oversized(noisy.filter((F.col("error") > G.NOISY) == F.lit(high)), config.max_dup_inv_len), high, config.bands.get("INS"), config.bands.get("INV"))
         sized = part if sized is None else sized.unionByName(part)
-    clustered = cut(C.density_clusters(sized.select("contig", "svtype", "start", "svlen", "eps", "read_name", "source", "error", "ord"), ["svlen", "read_name", "ord"]))
-    group = ["contig", "svtype", "eps", "block", "part", "cluster"]
-    split_len = I.length_subclusters(clustered.filter("svtype <> 'INS'").withColumnRenamed("part", "side"), ["contig", "svtype", "eps", "block", "side", "cluster"], ["start", "read_name", "ord"])
-    others = C.summarise(split_len, ["contig", "svtype", "eps", "block", "side", "cluster", "part"]).drop("eps", "block", "side", "cluster", "part")
+    clustered = cut(C.density_clusters(sized.select("contig", "svtype", "start", "svlen", "eps", "read_name", "source", "error", "ord")))
+    group = ["contig", "svtype", "eps", "cluster"]
+    split_len = I.length_subclusters(clustered.filter("svtype <> 'INS'"), group, ["start", "read_name", "ord"])
+    others = C.summarise(split_len, [*group, "part"]).drop("eps", "cluster", "part")
     trimmed = C.trim_members(clustered.filter("svtype = 'INS'"), group, ["start", "read_name", "ord"])
-    calls = C.summarise(trimmed, group).drop("eps", "block", "part", "cluster").unionByName(others)
+    calls = C.summarise(trimmed, group).drop("eps", "cluster").unionByName(others)
     calls = C.drop_oversized(calls, config.max_dup_inv_len, ("DEL", "DUP", "INV"))
     calls = cut(calls.withColumn("cluster", F.xxhash64("contig", "svtype", "start", "svlen", "reads")))
     kept = supported(calls, reads, contigs, error, config).filter("svlen >= 40")

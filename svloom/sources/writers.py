@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from svloom.functions.variants import vcf_line
+from svloom.functions.variants import bnd_lines, vcf_line
+from svloom.operators.cut import cut, drop, exists
 from svloom.operators.trio import TYPES, trio_lines
+from svloom.sources.committed import write_lines
 from svloom.sources.readers import read_vcf
 
 #: Fixed text of a VCF header.
@@ -42,6 +44,67 @@ def write_vcf(calls: DataFrame, contigs: DataFrame, path: str) -> None:
     whole.orderBy("ordinal", "start", "line").select("line").write.mode("overwrite").text(path)
 
 
+#: The files of a call set, by type.
+FILE_OF = {"DEL": "del", "INS": "ins", "DUP": "dup", "INV": "inv", "BND": "tra"}
+
+
+def _placed_lines(calls: DataFrame, breakends: DataFrame | None) -> DataFrame:
+    """kind, contig, start, line, plain (the line with an open genotype), fault: a row for each line, or for each call that gives none."""
+    line = vcf_line(*[F.col(c) for c in ("contig", "start", "svlen", "svtype", "gt")])
+    known = F.coalesce(F.col("svtype").isin("INS", "DEL", "INV", "DUP"), F.lit(False))
+    fault = F.when(~known, "unknown_type").when(line.isNull(), "bad_place")
+    rows = calls.select(F.when(known, F.col("svtype")).alias("kind"), "contig", "start", line.alias("line"), F.lit(None).cast("string").alias("plain"), fault.alias("fault"))
+    if breakends is None:
+        return rows
+
+    def lines(gt: Column) -> Column:
+        return bnd_lines(*[F.col(c) for c in ("contig", "start", "dir1", "contig2", "end", "dir2")], gt)
+
+    whole = F.coalesce((F.col("start") >= 0) & (F.col("end") >= 0) & F.col("contig").isNotNull() & F.col("contig2").isNotNull(), F.lit(False))
+    ends = F.array(F.struct("contig", F.col("start").cast("long").alias("start")), F.struct(F.col("contig2").alias("contig"), F.col("end").cast("long").alias("start")))
+    pairs = breakends.filter(whole).select(F.explode(F.arrays_zip(ends.alias("e"), lines(F.col("gt")).alias("line"), lines(F.lit("./.")).alias("plain"))).alias("m"))
+    broken = breakends.filter(~whole).select(F.lit(None).cast("string").alias("kind"), "contig", "start", F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("plain"), F.lit("bad_place").alias("fault"))
+    return rows.unionByName(pairs.select(F.lit("BND").alias("kind"), "m.e.contig", "m.e.start", "m.line", "m.plain", F.lit(None).cast("string").alias("fault"))).unionByName(broken)
+
+
+def _write_files(calls: DataFrame, breakends: DataFrame | None, contigs: DataFrame, folder: str, files: list[str], file_of: Column) -> dict[str, int]:
+    seen = Observation("lines")
+    counts = [F.count_if(F.col("fault").isNull()).alias("written"), *[F.count_if(F.coalesce(F.col("fault") == x, F.lit(False))).alias(x) for x in ("unknown_type", "bad_place")]]
+    placed = cut(_placed_lines(calls, breakends).observe(seen, *counts))
+    place = contigs.select("contig", (F.lit(1 << 41) + F.col("ord")).alias("ordinal"))
+    body = placed.filter("fault is null").join(place, "contig", "left").withColumn("f", F.explode(file_of))
+    body = body.select("f.file", F.coalesce("ordinal", F.lit(1 << 42)).alias("ordinal"), F.col("start").cast("long").alias("start"), "f.line")
+    head = header_lines(contigs).select(F.explode(F.array(*map(F.lit, files))).alias("file"), "ordinal", F.lit(0).cast("long").alias("start"), "line")
+    order = ["file", "ordinal", "start", "line"]
+    write_lines(head.unionByName(body).repartitionByRange(*order).sortWithinPartitions(*order), folder)
+    drop(placed)
+    return seen.get
+
+
+def write_vcf_file(calls: DataFrame, contigs: DataFrame, folder: str, name: str, breakends: DataFrame | None = None) -> dict[str, int]:
+    """One VCF file in folder, in whole or not at all: header, then the lines by contig and place, both mates of each breakend.
+
+    calls: contig, start, svlen, svtype, gt; breakends: contig, start, dir1, contig2, end, dir2, gt. The counts of lines written and of calls
+    left out (unknown_type; bad_place: negative or none) are returned.
+    """
+    return _write_files(calls, breakends, contigs, folder, [name], F.array(F.struct(F.lit(name).alias("file"), "line")))
+
+
+def write_call_files(calls: DataFrame, breakends: DataFrame, contigs: DataFrame, folder: str, name: str) -> dict[str, int]:
+    """<name>_all.vcf and one file a type in one pass and one commit; breakends have an open genotype in their own file.
+
+    Where it fails, the tables stand below <folder>/<name>_debug.
+    """
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in FILE_OF.items() for x in pair]), F.col("kind"))
+    files = [f"{name}_{x}.vcf" for x in ("all", *FILE_OF.values())]
+    both = F.array(F.struct(F.lit(files[0]).alias("file"), "line"), F.struct(F.concat(F.lit(f"{name}_"), kind, F.lit(".vcf")).alias("file"), F.coalesce("plain", "line").alias("line")))
+    try:
+        return _write_files(calls, breakends, contigs, folder, files, both)
+    except Exception:
+        write_snapshot(f"{folder}/{name}_debug", calls=calls, breakends=breakends, contigs=contigs)
+        raise
+
+
 def write_trio_vcf(child: str, father: str, mother: str, path: str, spark: SparkSession, names: tuple[str, str, str] = ("father", "mother", "child")) -> None:
     """The child's VCF with the genotypes of father, mother and child, in parts as write_vcf's.
 
@@ -59,21 +122,11 @@ def write_snapshot(path: str, **tables: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_by_type(calls: DataFrame, path: str) -> None:
-    """Data lines by type, in folders svtype=<type>."""
-    lines = calls.select("svtype", vcf_line(*[F.col(c) for c in ("contig", "start", "svlen", "svtype", "gt")]).alias("line")).filter("line is not null")
-    lines.write.mode("overwrite").partitionBy("svtype").text(path)
-
-
 def write_store(windows: DataFrame, path: str, keys: list[str], overwrite: bool = False) -> None:
     """Windows by contig and region; regions that are there already are left out unless overwrite."""
     spark = windows.sparkSession
-    if not overwrite:
-        try:
-            windows = windows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-        except Exception as error:  # nothing is there yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+    if not overwrite and exists(spark, path):
+        windows = windows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     mode = "overwrite" if overwrite else "append"
     windows.repartition(*keys).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 

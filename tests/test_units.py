@@ -62,10 +62,10 @@ def test_density_clusters_are_components(spark):
     rng = random.Random(5)
     points = [(rng.choice(["c1", "c2"]), "DEL", rng.randint(0, 9000), rng.randint(50, 4000), f"r{k}", "cigar", k) for k in range(150)]
     sig = spark.createDataFrame(points, "contig string, svtype string, start long, svlen long, read_name string, source string, ord long").withColumn("eps", F.lit(300.0))
-    rows = C.density_clusters(sig, ["svlen", "read_name", "ord"]).collect()
+    rows = C.density_clusters(sig).collect()
     ours = {}
     for r in rows:
-        ours.setdefault((r.contig, r.block, r.part, r.cluster), set()).add(r.ord)
+        ours.setdefault((r.contig, r.cluster), set()).add(r.ord)
     root = list(range(len(points)))
 
     def top(i):
@@ -317,9 +317,6 @@ def test_other_readers_and_sinks(spark, tmp_path):
     assert readers.read_weights_meta('{"decision_threshold": 0.88, "ablation": {"eval_head": "cnn"}}') == {"threshold": 0.88, "head": "cnn", "feature_config": {}}
     assert config.resolve_head("auto", {"ablation": {"eval_head": "mamba"}}) == "mamba" and config.resolve_head("cnn", {}) == "cnn"
     assert json.loads(writers.feature_config(2000, ["a", "b"]))["n_channels"] == 2
-    calls = spark.createDataFrame([("chr1", 100, 60, "DEL", "0/1"), ("chr2", 7, 80, "INS", None)], "contig string, start long, svlen long, svtype string, gt string")
-    writers.write_by_type(calls, str(tmp_path / "types"))
-    assert sorted(r.svtype for r in spark.read.text(str(tmp_path / "types")).collect()) == ["DEL", "INS"]
     summary = spark.createDataFrame([("updated", 3)], "reason string, n long")
     assert writers.write_refine_report(summary, str(tmp_path / "r")) and not writers.write_refine_report(summary.limit(0), str(tmp_path / "none"))
     assert "reason\tn" in [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
