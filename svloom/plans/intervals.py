@@ -11,6 +11,7 @@ from svloom.operators import clusters as C
 from svloom.operators import islands as I
 from svloom.operators import pileup as P
 from svloom.operators.jobs import job_status, pending
+from svloom.operators.order_stats import medians
 from svloom.operators.ranges import range_join
 from svloom.operators.score import linear_scorer, score_windows
 from svloom.plans import pipelines
@@ -117,10 +118,12 @@ def label_bed_overlap(spark, sf_dir):
     return label_windows(_windows(spark, sf_dir), projection(spark, sf_dir, "intervals"), closed=True)
 
 
-@query("scan_bed", "SELECT replace(contig, 'chr', '') AS chrom, list(start ORDER BY start) AS starts, list(\"end\" ORDER BY \"end\") AS ends FROM (" + INTERVALS + " SELECT * FROM intervals) GROUP BY 1")
+@query("scan_bed", INTERVALS + ", s AS (SELECT replace(contig, 'chr', '') AS chrom, start, row_number() OVER (PARTITION BY contig ORDER BY start) AS nth FROM intervals), e AS (SELECT replace(contig, 'chr', '') AS chrom, \"end\", row_number() OVER (PARTITION BY contig ORDER BY \"end\") AS nth FROM intervals) SELECT chrom, nth, start, \"end\" FROM s JOIN e USING (chrom, nth)")
 def scan_bed(spark, sf_dir):
-    rows = projection(spark, sf_dir, "intervals").groupBy(F.regexp_replace("contig", "^chr", "").alias("chrom"))
-    return rows.agg(F.array_sort(F.collect_list("start")).alias("starts"), F.array_sort(F.collect_list("end")).alias("ends"))
+    """Starts and ends of a contig, each sorted for itself, paired by place."""
+    rows = projection(spark, sf_dir, "intervals").select(F.regexp_replace("contig", "^chr", "").alias("chrom"), "start", "end")
+    starts, ends = (I.axis_rank(rows.select("chrom", c), ["chrom"], [c]) for c in ("start", "end"))
+    return starts.join(ends, ["chrom", "nth"])
 
 
 @query("sort_labels", INTERVALS + " SELECT contig, start, \"end\", CAST(row_number() OVER (PARTITION BY contig ORDER BY start, \"end\") AS INT) AS nth FROM intervals")
@@ -402,7 +405,7 @@ def window_tiles(spark, sf_dir):
 
 @query("median", f"{SIG} SELECT contig, median(start) AS m_start, median(svlen) AS m_len FROM sig GROUP BY 1")
 def median(spark, sf_dir):
-    return projection(spark, sf_dir, "sig").groupBy("contig").agg(F.median("start").alias("m_start"), F.median("svlen").alias("m_len"))
+    return medians(projection(spark, sf_dir, "sig").select("contig", F.col("start").alias("m_start"), F.col("svlen").alias("m_len")), ["contig"], ["m_start", "m_len"])
 
 
 _SIGNATURES = INDELS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + _DELS.format(keys="read_ordinal", where=" WHERE op = 'D'") + _GROWING.format(keys="read_ordinal", where=" WHERE op = 'I'")

@@ -10,6 +10,7 @@ from svloom.operators import clusters as C
 from svloom.operators import islands as I
 from svloom.operators.components import components
 from svloom.operators.cut import cut, drop, exists
+from svloom.operators.order_stats import medians
 from svloom.sources import committed, writers
 
 CALL = "contig string, start long, svlen long, svtype string, gt string"
@@ -133,3 +134,16 @@ def test_axis_islands_keep_null_keys_and_evaluate_once(spark):
     out = I.axis_islands(df, ["k"], ["start"], "start", lambda last: F.col("start") - last > 10)
     assert sorted(((r.k or ""), r.start, r.island) for r in out.collect()) == [("", 5, 1), ("", 6, 1), ("", 2_000_000, 2), ("a", 1, 1), ("a", 3, 1), ("a", 30, 2)]
     assert seen.value == len(rows)
+
+
+def test_medians_equal_sorted_middles(spark):
+    rng = random.Random(6)
+    rows = [(g, rng.choice([rng.randint(-(10**12), 10**12), rng.randint(0, 50)]), rng.choice([None, 7, rng.randint(0, 9)])) for g in ("a", "b", None, "c") for _ in range({"a": 2000, "b": 501}.get(g, 4))] + [("d", -(2**62), None), ("d", 2**62, None), ("e", 3, None)]
+    found = {r.k: (r.x, r.y) for r in medians(spark.createDataFrame(rows, "k string, x long, y long"), ["k"], ["x", "y"]).collect()}
+
+    def middle(values):
+        values = sorted(v for v in values if v is not None)
+        return (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2 if values else None
+
+    assert found == {k: (middle([x for g, x, _ in rows if g == k]), middle([y for g, _, y in rows if g == k])) for k in {g for g, _, _ in rows}}
+    assert medians(spark.createDataFrame([], "k string, x long"), ["k"], ["x"]).count() == 0
