@@ -1,6 +1,6 @@
 """Ranked lexical search over K2-treaps of the term-document grid.
 
-Documents lie in shards of some million postings (16 MB of text), made where the documents are read, without a shuffle. A shard is a grid with a row for each
+Documents lie in shards of some hundred thousand postings (4 MB of text), made where the documents are read, without a shuffle. A shard is a grid with a row for each
 of its terms and a column for each of its documents (in the order of length). The grid is cut into four again and again;
 a cell that holds a posting is a node with four bits for its quarters, and the largest impact within it, kept as the
 difference to its parent's. A node's children are found by rank over the bits.
@@ -35,7 +35,7 @@ from svloom.llm.resample import WORD_BYTES, words_of
 
 K, LENGTH_SHARE = 10, 90
 #: Bytes of text and documents of a shard; a longer document is a shard of its own.
-SHARD_BYTES, SHARD_DOCS = 1 << 24, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 1 << 22, 1 << 16
 #: Terms of the items that are sent to every task at once (a few MB).
 BLOCK_TERMS = 200_000
 #: States that are expanded at once: of a block's children the best few first, then more and more.
@@ -113,14 +113,23 @@ class Treap:
         child = ranks[unit] + np.bitwise_count(word & ((_ONE << place) - _ONE))
         return there, child, values[there] - below[child]
 
-    def best(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    def enter(self, rows: np.ndarray, columns: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """The level from which on columns are told apart, and each row's node and largest impact there."""
+        level = self.height - min(self.height, max(1, (columns - 1).bit_length()))
+        nodes, values = np.zeros(len(rows), np.int64), np.full(len(rows), self.top, np.int64)
+        for k in range(level):
+            _, nodes, values = self.down(k, nodes, 2 * ((rows >> (self.height - 1 - k)) & 1), values)
+        return level, nodes, values
+
+    def best(self, rows: np.ndarray, weights: np.ndarray, k: int, least: int = 1, at: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Columns and scores (weight times impact over the rows) of all columns that can be among the k best, ties included.
 
-        Scores below least are left out.
+        Scores below least are left out. at: where the rows' paths begin, as enter tells it.
         """
         columns, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        n, zero = len(rows), np.zeros(1, np.int64)
-        heap = [(-int(weights.sum()) * self.top, 0, 0, zero, np.array([int(weights.sum()) * self.top]), np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64), np.full(n, self.top, np.int64))]
+        level, nodes, values = at or (0, np.zeros(len(rows), np.int64), np.full(len(rows), self.top, np.int64))
+        bound = int((weights * values).sum())
+        heap = [(-bound, 0, level, np.zeros(1, np.int64), np.array([bound]), np.zeros(len(rows), np.int64), np.arange(len(rows)), nodes, values)]
         count = 1
         while heap:
             bound, _, level, prefix, bounds, state, term, node, value = heapq.heappop(heap)
@@ -260,11 +269,15 @@ def search_block(index: Index, items: list[tuple[int, list[bytes]]], k: int) ->
             for doc_ids, terms, data in zip(*batch.columns, strict=True):
                 row_of = {t: r for r, t in enumerate(terms.as_py().split(b" ")) if t in weight}
                 treap, ids, arrow_type = Treap(data.as_py()), doc_ids.as_py(), doc_ids.type.value_type
+                # the paths down to the level of the documents are the same for all items
+                place = {t: k for k, t in enumerate(row_of)}
+                rows, weights = np.fromiter(row_of.values(), np.int64, len(row_of)), np.array([weight[t] for t in row_of], np.int64)
+                level, nodes, tops = treap.enter(rows, len(ids)) if len(rows) else (0, rows, rows)
                 for item, own in asked:
-                    own, so_far = [t for t in own if t in row_of], best[item]
-                    if own:
+                    own, so_far = np.array([place[t] for t in own if t in place], np.int64), best[item]
+                    if len(own):
                         least = -so_far[-1][0] if len(so_far) == k else 1
-                        columns, values = treap.best(np.array([row_of[t] for t in own]), np.array([weight[t] for t in own], np.int64), k, least)
+                        columns, values = treap.best(rows[own], weights[own], k, least, (level, nodes[own], tops[own]))
                         best[item] = sorted(so_far + list(zip((-values).tolist(), (last_null(ids[c]) for c in columns.tolist()), (ids[c] for c in columns.tolist()))), key=lambda x: x[:2])[:k]
         rows = [(item, x[2], -x[0]) for item, found in best.items() for x in found]
         if rows:
