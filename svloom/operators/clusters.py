@@ -97,15 +97,18 @@ def density_clusters(sig: DataFrame, keys: tuple[str, ...] = ("contig", "svtype"
 
 
 def summarise(clustered: DataFrame, keys: list[str], cap: int = MAX_SIZE) -> DataFrame:
-    """One call for each cluster: medians rounded up, support by rows; single rows stay as they are."""
+    """One call for each cluster: medians rounded up, support by rows; single rows stay as they are.
+
+    Where rows have an ord, call_id is the first of its rows, written out.
+    """
     size = F.count("*").over(Window.partitionBy(*keys))
     sized = clustered.withColumn("__n", size)
     member = (F.col("__n") == 1) | ((F.col("svlen") >= MIN_MEMBER) & ~(F.col("svtype").isin("DUP", "INV") & (F.col("svlen") > cap)))
-    out = sized.filter(member).groupBy(*keys).agg(
+    name = [F.min(F.concat_ws(":", "contig", "svtype", "start", "svlen", "read_name", "ord")).alias("call_id")] if "ord" in clustered.columns else []
+    return sized.filter(member).groupBy(*keys).agg(
         F.ceil(F.median("start")).cast("bigint").alias("start"), F.ceil(F.median("svlen")).cast("bigint").alias("svlen"), F.count("*").alias("support"),
-        F.array_sort(F.collect_list("read_name")).alias("reads"), F.array_sort(F.collect_set("source")).alias("sources"),
+        F.array_sort(F.collect_list("read_name")).alias("reads"), F.array_sort(F.collect_set("source")).alias("sources"), *name,
     )
-    return out
 
 
 def trim_members(clustered: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,21 +10,36 @@ from svloom.functions import variants as V
 from svloom.functions.alignment import is_primary
 from svloom.operators import support as U
 from svloom.operators.cut import cut
-from svloom.plans.intervals import SUMMARY_SQL, contigs_of, insertion_calls
+from svloom.plans.intervals import ALL_CALLS_SQL, all_calls, contigs_of
 from svloom.plans.registry import query
 from svloom.sources.fixtures import projection, table, with_ctes
 
 READS = with_ctes("reads")
-ID = ["contig", "cluster"]
-#: Calls lie on the axis of the reads.
-CALLS_SQL = SUMMARY_SQL.replace("WITH sig AS", f"{READS}, sig AS", 1) + ", placed AS (SELECT contig, cluster, svtype, start % 2000000 AS start, svlen, support, reads FROM calls)"
+ID = ["call_id"]
+
+
+def _calls_sql(reads: str) -> str:
+    """Calls of all types on the axis of the reads, a WITH clause of their own."""
+    return ALL_CALLS_SQL.replace("WITH RECURSIVE ", f"WITH RECURSIVE {reads[len('WITH ') :]}, ", 1) + ", placed AS (SELECT call_id, contig, svtype, start % 2000000 AS start, svlen, support, reads FROM all_calls)"
+
+
+CALLS_SQL = _calls_sql(READS)
+#: Many more reads at one place of a contig, so that limits on the reads of a call bind.
+CROWD = "SELECT read_ordinal + 1000000000 AS read_ordinal, 'c' || read_ordinal AS read_name, 'chr1' AS contig, flag, 1000000 + read_ordinal % 500 AS ref_start, 1006000 + read_ordinal % 500 AS ref_end, query_len, CAST(60 AS INT) AS mapq, cigar, nm FROM cold"
+CROWDED = READS.replace("reads AS (", "cold AS (", 1) + f", reads AS (SELECT * FROM cold UNION ALL {CROWD})"
 COVERAGE_SQL = "cov AS (SELECT CAST(ceil(sum(query_len) FILTER (WHERE (flag & 2308) = 0) / (SELECT sum(length) FROM (SELECT max(ref_end) AS length FROM reads GROUP BY contig))) AS BIGINT) AS coverage FROM reads)"
-LOCAL_SQL = "loc AS (SELECT c.*, (SELECT count(*) FROM reads r WHERE r.contig = c.contig AND (r.flag & 2308) = 0 AND r.ref_start < c.start + 1000 AND r.ref_end > greatest(0, c.start - 1000)) AS local FROM placed c)"
+LOCAL_SQL = """spans AS (SELECT *, CASE WHEN svtype IN ('INS', 'BND') THEN greatest(0, start - 1000) ELSE start END AS s, CASE WHEN svtype IN ('INS', 'BND') THEN start + 1000 ELSE start + greatest(svlen, 1) END AS f FROM placed),
+  over AS (SELECT call_id, count(*) AS n FROM spans c JOIN reads r ON r.contig = c.contig AND r.ref_start < c.f AND r.ref_end > c.s WHERE (r.flag & 2308) = 0 GROUP BY 1), loc AS (SELECT c.*, coalesce(n, 0) AS local FROM placed c LEFT JOIN over USING (call_id))"""
 
 
 def placed_calls(spark, sf_dir) -> DataFrame:
-    calls = insertion_calls(spark, sf_dir)
-    return calls.select("contig", "cluster", "svtype", (F.col("start") % 2000000).alias("start"), "svlen", "support", "reads")
+    """Calls of all types, cut: what follows reads them several times."""
+    return cut(all_calls(spark, sf_dir).withColumn("start", F.col("start") % 2000000))
+
+
+def crowded_reads(spark, sf_dir) -> DataFrame:
+    cold = projection(spark, sf_dir, "reads")
+    return cold.unionByName(spark.sql(CROWD.replace("FROM cold", "FROM {cold}").replace("'c' || read_ordinal", "concat('c', read_ordinal)"), cold=cold))
 
 
 def coverage(reads: DataFrame) -> DataFrame:
@@ -46,9 +61,9 @@ def coverage_contig(spark, sf_dir):
     return per.select("contig", F.ceil(F.col("bases") / F.col("length")).cast("bigint").alias("coverage"))
 
 
-@query("overlap_count_support", f"{CALLS_SQL}, {LOCAL_SQL} SELECT contig, cluster, start, local FROM loc")
+@query("overlap_count_support", f"{CALLS_SQL}, {LOCAL_SQL} SELECT call_id, contig, svtype, start, local FROM loc")
 def overlap_count_support(spark, sf_dir):
-    return U.count_support(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID).select("contig", "cluster", "start", "local")
+    return U.count_support(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID).select("call_id", "contig", "svtype", "start", "local")
 
 
 # ---------------------------------------------------------------- thresholds over a grid of depths
@@ -153,61 +168,72 @@ def agg_vote(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- evidence and genotypes of calls
-EVIDENCE_SQL = """near AS (SELECT c.contig, c.cluster, c.start, c.reads, r.read_name, r.ref_start, r.ref_end, row_number() OVER (PARTITION BY c.contig, c.cluster ORDER BY r.ref_start, r.read_ordinal) AS nth
-  FROM placed c JOIN reads r ON r.contig = c.contig AND r.ref_start < c.start + 1001 AND r.ref_end > greatest(0, c.start - 1000) WHERE (r.flag & 2308) = 0 AND r.mapq >= 20 AND NOT list_contains(c.reads, r.read_name)),
-  ref AS (SELECT c.*, (SELECT count(DISTINCT n.read_name) FROM near n WHERE n.contig = c.contig AND n.cluster = c.cluster AND n.nth <= 200 AND n.ref_start < c.start - 1000 AND n.ref_end > c.start + 1001) AS ref_support FROM loc c)"""
+EVIDENCE_SQL = """iv AS (SELECT *, start + CASE WHEN svtype IN ('INS', 'BND') THEN 1 ELSE svlen END AS e, CASE WHEN svtype IN ('INS', 'BND') THEN 1000 ELSE 2000 END AS bias FROM loc),
+  evidence AS (SELECT c.call_id, c.svtype, c.start, c.e, r.read_name, r.ref_start, r.ref_end, row_number() OVER (PARTITION BY c.call_id ORDER BY r.ref_start, r.read_ordinal) AS nth
+    FROM iv c JOIN reads r ON r.contig = c.contig AND r.ref_start < c.e + c.bias AND r.ref_end > greatest(0, c.start - c.bias) WHERE (r.flag & 2308) = 0 AND r.mapq >= 20 AND NOT list_contains(c.reads, r.read_name)),
+  shown AS (SELECT call_id, count(DISTINCT read_name) AS found FROM (SELECT *, least((e - start) / 2, 2000) AS part FROM evidence WHERE nth <= 200) WHERE CASE WHEN svtype IN ('INS', 'BND') THEN ref_start < start - 1000 AND ref_end > e + 1000 ELSE (ref_start < start AND ref_end > start + part) OR (ref_start < e - part AND ref_end > e) END GROUP BY 1),
+  ref AS (SELECT i.*, CAST(CASE WHEN svtype = 'BND' THEN least(coalesce(found, 0), len(reads) * CASE WHEN len(reads) <= 2 THEN 20 WHEN len(reads) <= 5 THEN 9 WHEN len(reads) <= 15 THEN 7 ELSE 5 END) ELSE coalesce(found, 0) END AS BIGINT) AS ref_support FROM iv i LEFT JOIN shown USING (call_id))"""
 
 
-@query("overlap_join_genotype", f"{CALLS_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT contig, cluster, read_name, nth FROM near")
+@query("overlap_join_genotype", f"{CALLS_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT call_id, svtype, read_name, nth FROM evidence")
 def overlap_join_genotype(spark, sf_dir):
     near = U.evidence_reads(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID, 1 << 30)
-    return near.select("contig", "cluster", "read_name", F.col("nth").cast("bigint").alias("nth"))
+    return near.select("call_id", "svtype", "read_name", F.col("nth").cast("bigint").alias("nth"))
 
 
-@query("topk_first_200_reads", f"{CALLS_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT contig, cluster, read_name, nth FROM near WHERE nth <= 200")
+@query("topk_first_200_reads", f"{_calls_sql(CROWDED)}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT call_id, read_name, nth FROM evidence WHERE nth <= 200")
 def topk_first_200_reads(spark, sf_dir):
-    near = U.evidence_reads(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID)
-    return near.select("contig", "cluster", "read_name", F.col("nth").cast("bigint").alias("nth"))
+    """At the crowded place calls have thousands of reads."""
+    near = U.evidence_reads(placed_calls(spark, sf_dir), crowded_reads(spark, sf_dir), ID)
+    return near.select("call_id", "read_name", F.col("nth").cast("bigint").alias("nth"))
 
 
-@query("ref_support", f"{CALLS_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT contig, cluster, ref_support FROM ref")
+@query("ref_support", f"{_calls_sql(CROWDED)}, {LOCAL_SQL}, {EVIDENCE_SQL} SELECT call_id, svtype, ref_support FROM ref")
 def ref_support(spark, sf_dir):
-    return U.reference_support(placed_calls(spark, sf_dir), projection(spark, sf_dir, "reads"), ID)
+    """All types over the crowded reads, so that the bound of breakends binds."""
+    calls = placed_calls(spark, sf_dir)
+    return calls.select("call_id", "svtype").join(U.reference_support(calls, crowded_reads(spark, sf_dir), ID), "call_id")
 
 
-_MIN = "greatest(1, CAST(round_even(CAST(0.5 * pow(coverage, 0.7) * (1 + 0.3 * CASE WHEN coverage > 0 THEN tanh((local - coverage) / coverage) ELSE 0.0 END) AS DOUBLE), 0) AS BIGINT))"
-CALLED_SQL = f"""{CALLS_SQL}, {COVERAGE_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL}, mins AS (SELECT ref.*, {_MIN} AS min_support, len(reads) AS alt FROM ref, cov),
-  s AS (SELECT *, CASE WHEN min_support <= 3 THEN 0.01::DOUBLE ELSE 0.05::DOUBLE END AS er FROM mins),
+_MINS = "least_of AS (SELECT *, local AS l, coverage AS c, 0.0 AS error FROM ref, cov)"
+CALLED_SQL = f"""{CALLS_SQL}, {COVERAGE_SQL}, {LOCAL_SQL}, {EVIDENCE_SQL}, {_MINS}, mins AS (SELECT *, {_min_support_sql()} AS min_support, len(reads) AS alt FROM least_of),
+  s AS (SELECT *, least(greatest(CAST(CASE svtype WHEN 'INS' THEN CASE WHEN min_support <= 3 THEN 0.01 ELSE 0.05 END WHEN 'BND' THEN CASE WHEN min_support <= 2 THEN 0.01 ELSE 0.05 END ELSE CASE WHEN min_support <= 2 THEN 0.0 WHEN min_support <= 4 THEN 0.01 ELSE 0.05 END END AS DOUBLE), 1e-6), 1.0 - 1e-6) AS er FROM mins),
   k AS (SELECT *, ref_support * ln(1.0 - er) + alt * ln(er) AS s0, (ref_support + alt) * ln(0.5::DOUBLE) AS s1, ref_support * ln(er) + alt * ln(1.0 - er) AS s2 FROM s),
-  called AS (SELECT contig, cluster, svtype, start, svlen, support, min_support, ref_support, CASE WHEN alt < min_support OR ref_support + alt < min_support OR ref_support + alt <= 0 THEN './.' WHEN s0 >= s1 AND s0 >= s2 THEN '0/0' WHEN s1 >= s2 THEN '0/1' ELSE '1/1' END AS gt FROM k)"""
+  called AS (SELECT call_id, contig, svtype, start, svlen, support, min_support, ref_support, CASE WHEN alt < min_support THEN CASE svtype WHEN 'BND' THEN '0/0' ELSE './.' END WHEN ref_support + alt < min_support OR ref_support + alt <= 0 THEN './.' WHEN s0 >= s1 AND s0 >= s2 THEN '0/0' WHEN s1 >= s2 THEN '0/1' ELSE '1/1' END AS gt FROM k)"""
 
 
 def called(spark, sf_dir) -> DataFrame:
-    """Insertion calls with coverage, local depth, support threshold, reference support and genotype."""
+    """Calls of all types with coverage, local depth, support threshold, reference support and genotype."""
     reads = projection(spark, sf_dir, "reads")
-    local = U.count_support(cut(placed_calls(spark, sf_dir)), reads, ID)
+    local = U.count_support(placed_calls(spark, sf_dir), reads, ID)
     sized = local.join(F.broadcast(coverage(reads)))  # one row
     sized = sized.withColumn("min_support", G.min_support(F.col("svtype"), F.col("coverage"), F.col("local"), F.lit(0.0)))
     return U.genotype(cut(sized), reads, ID)
 
 
-COLUMNS = ["contig", "cluster", "svtype", "start", "svlen", "support", "min_support", "ref_support", "gt"]
+COLUMNS = ["call_id", "contig", "svtype", "start", "svlen", "support", "min_support", "ref_support", "gt"]
+_KEPT = "support >= min_support AND svlen >= CASE svtype WHEN 'BND' THEN 1 ELSE 40 END"
 
 
-@query("geno_skip", f"{CALLED_SQL} SELECT contig, cluster, min_support, gt FROM called")
+@query("geno_skip", f"{CALLED_SQL} SELECT call_id, svtype, min_support, gt FROM called")
 def geno_skip(spark, sf_dir):
-    return called(spark, sf_dir).select("contig", "cluster", "min_support", "gt")
+    return called(spark, sf_dir).select("call_id", "svtype", "min_support", "gt")
 
 
-@query("call_filter", f"{CALLED_SQL} SELECT contig, cluster, svtype, start, svlen, support FROM called WHERE support >= min_support AND svlen >= 40")
+@query("call_filter", f"{CALLED_SQL} SELECT call_id, contig, svtype, start, svlen, support FROM called WHERE {_KEPT}")
 def call_filter(spark, sf_dir):
-    rows = called(spark, sf_dir).filter((F.col("support") >= F.col("min_support")) & (F.col("svlen") >= 40))
-    return rows.select("contig", "cluster", "svtype", "start", "svlen", "support")
+    return called(spark, sf_dir).filter(_KEPT).select("call_id", "contig", "svtype", "start", "svlen", "support")
+
 
+@query("call_all", f"{CALLED_SQL} SELECT {', '.join(COLUMNS)} FROM called WHERE {_KEPT}")
+def call_all(spark, sf_dir):
+    """All five types from clusters to filtered genotypes."""
+    return called(spark, sf_dir).filter(_KEPT).select(*COLUMNS)
 
-@query("call_insertions", f"{CALLED_SQL} SELECT contig, cluster, svtype, start, svlen, support, min_support, ref_support, gt FROM called WHERE support >= min_support AND svlen >= 40")
+
+@query("call_insertions", f"{CALLED_SQL} SELECT {', '.join(COLUMNS)} FROM called WHERE svtype = 'INS' AND {_KEPT}")
 def call_insertions(spark, sf_dir):
-    return called(spark, sf_dir).filter((F.col("support") >= F.col("min_support")) & (F.col("svlen") >= 40)).select(*COLUMNS)
+    return call_all(spark, sf_dir).filter("svtype = 'INS'")
 
 
 @query("sink_vcf_bnd_pair", f"""{with_ctes('bnd')}, b AS (SELECT rec_ordinal, chrom, pos, chr2, "end" AS p2, gt, CASE WHEN rec_ordinal % 2 = 0 THEN 'fwd' ELSE 'rev' END AS d1, CASE WHEN rec_ordinal % 4 < 2 THEN 'fwd' ELSE 'rev' END AS d2 FROM bnd),
@@ -258,12 +284,12 @@ def refine_driver(spark, sf_dir):
     return _refined(spark, sf_dir, ("DEL", "INS"))
 
 
-_NEAR_READS = REFINE_SQL[: REFINE_SQL.index("  pairs AS")].rstrip().rstrip(",")
+_NEAR_READS = REFINE_SQL[: REFINE_SQL.index("  pairs AS")].rstrip().rstrip(",").replace(READS, CROWDED, 1)
 
 
 @query("first_5000_reads", f"{_NEAR_READS} SELECT id, read_ordinal, nth FROM near WHERE nth <= 5000")
 def first_5000_reads(spark, sf_dir):
-    good = projection(spark, sf_dir, "reads").filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20)).select("contig", "read_ordinal", "ref_start", "ref_end")
+    good = crowded_reads(spark, sf_dir).filter(is_primary(F.col("flag"), True) & (F.col("mapq") >= 20)).select("contig", "read_ordinal", "ref_start", "ref_end")
     return U.refine_reads(predicted(spark, sf_dir), good, ["id"]).select("id", "read_ordinal", F.col("nth").cast("bigint").alias("nth"))
 
 

@@ -293,21 +293,6 @@ def dbscan_cluster(spark, sf_dir):
     return rows.groupBy("contig", "svtype", "eps", "cluster").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last")).drop("cluster")
 
 
-_INS_CLUSTERS = f"{SIG}, ins AS (SELECT * FROM sig WHERE svtype = 'INS'), {_SESSION.format(gap='(300 / sqrt(2))', keys='contig', src='ins')}"
-SUMMARY_SQL = _INS_CLUSTERS + """, sized AS (SELECT *, count(*) OVER (PARTITION BY contig, cluster) AS k FROM m),
-  calls AS (SELECT contig, CAST(cluster AS BIGINT) AS cluster, 'INS' AS svtype, CAST(ceil(median(start)) AS BIGINT) AS start, CAST(ceil(median(svlen)) AS BIGINT) AS svlen, count(*) AS support, list(read_name ORDER BY read_name) AS reads, list_sort(list(DISTINCT source)) AS sources FROM sized WHERE k = 1 OR svlen >= 50 GROUP BY contig, cluster)"""
-
-
-def insertion_calls(spark, sf_dir) -> DataFrame:
-    rows = C.insertion_clusters(projection(spark, sf_dir, "sig").filter("svtype = 'INS'"), ["contig"], 300, ROW)
-    return C.summarise(rows, ["contig", "cluster", "svtype"])
-
-
-@query("cluster_summarise", SUMMARY_SQL + " SELECT contig, cluster, svtype, start, svlen, support, reads, sources FROM calls")
-def cluster_summarise(spark, sf_dir):
-    return insertion_calls(spark, sf_dir)
-
-
 _LEADERS = """WITH RECURSIVE tra AS (SELECT 'chr' || (c_nationkey % 3 + 1) AS contig, c_custkey * 7919 % 60000 AS start, 'chr' || (c_nationkey % 4 + 4) AS contig2, c_custkey * 104729 % 9000 AS e, 'r' || c_custkey AS read_name FROM customer),
   o AS (SELECT *, row_number() OVER (PARTITION BY contig, contig2 ORDER BY read_name, start, e) AS nth FROM tra),
   run AS (SELECT contig, contig2, nth, [{'s': start, 'e': e}] AS leaders, 1 AS k FROM o WHERE nth = 1
@@ -318,9 +303,45 @@ _LEADERS = """WITH RECURSIVE tra AS (SELECT 'chr' || (c_nationkey % 3 + 1) AS co
 
 @query("cluster_tra_leader", _LEADERS)
 def cluster_tra_leader(spark, sf_dir):
+    return C.leader_clusters(_translocations(spark, sf_dir))
+
+
+def _translocations(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    tra = c.select(F.concat(F.lit("chr"), F.col("c_nationkey") % 3 + 1).alias("contig"), (F.col("c_custkey") * 7919 % 60000).alias("start"), F.lit("fwd").alias("dir1"), F.concat(F.lit("chr"), F.col("c_nationkey") % 4 + 4).alias("contig2"), (F.col("c_custkey") * 104729 % 9000).alias("end"), F.lit("rev").alias("dir2"), F.concat(F.lit("r"), "c_custkey").alias("read_name"))
-    return C.leader_clusters(tra)
+    return c.select(F.concat(F.lit("chr"), F.col("c_nationkey") % 3 + 1).alias("contig"), (F.col("c_custkey") * 7919 % 60000).alias("start"), F.lit("fwd").alias("dir1"), F.concat(F.lit("chr"), F.col("c_nationkey") % 4 + 4).alias("contig2"), (F.col("c_custkey") * 104729 % 9000).alias("end"), F.lit("rev").alias("dir2"), F.concat(F.lit("r"), "c_custkey").alias("read_name"))
+
+
+_DENSE = _DBSCAN[: _DBSCAN.index("  SELECT contig, svtype, eps, count(*)")].replace("start, start + svlen AS e,", "start, svlen, read_name, source, ord, start + svlen AS e,").rstrip()
+#: Calls of insertions by sessions, of the other intervals by density and length.
+SUMMARY_SQL = _DENSE + f""", ins AS (SELECT * FROM sig WHERE svtype = 'INS'), {_SESSION.format(gap='(300 / sqrt(2))', keys='contig', src='ins')},
+  q AS (SELECT p.*, c FROM p JOIN comp USING (id)), md AS (SELECT c, list_sort(list(svlen))[count(*) // 2 + 1] AS md FROM q GROUP BY 1),
+  parts AS (SELECT *, sum(CASE WHEN svlen - before <= 0.7 * md THEN 0 ELSE 1 END) OVER (PARTITION BY c ORDER BY svlen, start, read_name, ord ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT q.*, md, lag(svlen) OVER (PARTITION BY c ORDER BY svlen, start, read_name, ord) AS before FROM q JOIN md USING (c))),
+  members AS (SELECT 'INS' || contig || cluster AS grp, contig, svtype, start, svlen, read_name, source, ord FROM m UNION ALL SELECT c || ':' || part, contig, svtype, start, svlen, read_name, source, ord FROM parts),
+  calls AS (SELECT min(concat_ws(':', contig, svtype, start, svlen, read_name, ord)) AS call_id, contig, svtype, CAST(ceil(median(start)) AS BIGINT) AS start, CAST(ceil(median(svlen)) AS BIGINT) AS svlen, count(*) AS support, list(read_name ORDER BY read_name) AS reads, list_sort(list(DISTINCT source)) AS sources
+    FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS k FROM members) WHERE k = 1 OR svlen >= 50 GROUP BY grp, contig, svtype)"""
+#: Those and the translocations.
+ALL_CALLS_SQL = f"{SUMMARY_SQL},{_LEADERS[len('WITH RECURSIVE') :]}".replace("\n  SELECT contig, CAST(ceil(median(start)) AS BIGINT) AS start, 'fwd'", ",\n  bnds AS (SELECT contig, CAST(ceil(median(start)) AS BIGINT) AS start, 'fwd'") + """),
+  all_calls AS (SELECT call_id, contig, svtype, start, svlen, support, reads FROM calls UNION ALL SELECT reads[1], contig, 'BND', start, CAST(1 AS BIGINT), support, reads FROM bnds)"""
+
+
+def interval_calls(spark, sf_dir) -> DataFrame:
+    sig = projection(spark, sf_dir, "sig")
+    ins = C.summarise(C.insertion_clusters(sig.filter("svtype = 'INS'"), ["contig"], 300, ROW), ["contig", "cluster", "svtype"]).drop("cluster")
+    group = ["contig", "svtype", "eps", "cluster"]
+    dense = C.density_clusters(C.with_eps(C.drop_oversized(sig.filter("svtype <> 'INS'")), noisy=True))
+    parts = I.length_subclusters(dense, group, ["start", "read_name", "ord"])
+    return ins.unionByName(C.summarise(parts, [*group, "part"]).drop("eps", "cluster", "part"))
+
+
+def all_calls(spark, sf_dir) -> DataFrame:
+    """Calls of all five types before support: call_id, contig, svtype, start, svlen, support, reads."""
+    bnd = C.leader_clusters(_translocations(spark, sf_dir)).select(F.get("reads", 0).alias("call_id"), "contig", F.lit("BND").alias("svtype"), "start", F.lit(1).cast("bigint").alias("svlen"), "support", "reads")
+    return interval_calls(spark, sf_dir).select(*bnd.columns).unionByName(bnd)
+
+
+@query("cluster_summarise", SUMMARY_SQL + " SELECT call_id, contig, svtype, start, svlen, support, reads, sources FROM calls")
+def cluster_summarise(spark, sf_dir):
+    return interval_calls(spark, sf_dir)
 
 
 @query("signature_sort_split", f"{SIG} SELECT contig, svtype, start, svlen, read_name, ord, CAST(row_number() OVER (PARTITION BY contig, svtype ORDER BY start, svlen, read_name, ord) AS INT) AS nth FROM sig")
