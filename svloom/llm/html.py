@@ -4,12 +4,13 @@ A page is cut into blocks at block-level tags. A classifier that is fitted on th
 cost for the label "content" and one for "boilerplate" from its own statistics alone: length, share of link text,
 sentence marks, ending. These costs are the block's capacities from the source and to the sink. Smoothness edges cost
 what it costs to tell their ends apart: between neighbouring blocks, between successive blocks of one parent element,
-and between a block and the element that marks its region (an article, a menu, an advert), which is a node of its own
-tied to the source or the sink. Edges across the border of a region count little. The minimum cut is the cheapest
+and between a block and the element that marks its region (an article, a menu, an advert), which is a node of its own with a
+capacity. Names that may be those of a page's subject as well have one that some blocks outweigh together. Edges across the border of a region count little. The minimum cut is the cheapest
 labelling; the blocks on the source's side are the text.
 
-The classifier learns from the blocks whose region a landmark element or a plain class name tells, by counts over all
-pages; where there are few, fixed log odds stand in.
+The classifier learns from the blocks whose region a landmark element or a plain class name tells, by counts over
+about FIT_PAGES pages chosen by a hash; where there are few, fixed log odds stand in. A doubtful element that holds most of a page
+is around its main text, and no region.
 
 Defined cases: null and empty html give an empty text; pages of any length are read whole; unclosed and
 stray tags are borne with, as browsers do, and text after an unclosed script or comment belongs to it; a quote begins
@@ -23,7 +24,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,13 +45,19 @@ BAD = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|sideba
 BAD_WHOLE = re.compile(r"(?:side|head|header|site-header|page-header|tags?|tag-?cloud|tag-links|skip(?:-.*)?|widgets?(?:-area|_.*)?)")
 #: Names that tell a state, a layout or a subject of the page, not what the element is.
 STATE = re.compile(r"(?:has|no|not|is|with|without|hide|show|category|tag|type|status|format|post|author|term|js|layout|theme|page|single|home|logged|wp)[-_].*|.*[-_](?:open|closed|enabled|disabled|layout|page|on|off|left-aligned)")
+#: Parts of names, and tags, that are as well those of a page's subject or of what is around all of it.
+OFTEN = re.compile(r"alerts?|notices?|related|recommend\w*|social|share|sharing|feedback|ratings?|search|copyright|disclaimer|respond|consent|signup|subscri\w*|promo\w*|sponsor\w*|tags?")
+AROUND = frozenset(["form", "fieldset", "header"])
 COMMENT = frozenset(["comment", "comments", "reply", "review", "related", "teaser", "promo", "ad", "advert", "sponsored"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 #: Smoothness: neighbours, successive blocks of one parent, blocks and the element of their region; a border's factor.
 SMOOTH_NEXT, SMOOTH_PARENT, BORDER = 0.4, 0.8, 0.1
-#: What ties a block to its region (more than its own statistics and edges weigh together), or to one told by a class of good sound.
+#: What ties a block to the element of its region, and to one told by a class of good sound.
 REGION, HINT = 6.0, 2.0
+#: What it costs to take an element for the other side than its tag or name says, for all its blocks together: where names mostly
+#: say so, about three paragraphs that read like text outweigh it; for those that always say so it is more than all blocks weigh (a block's share).
+DOUBTFUL, CERTAIN = 8.0, 6.0
 #: A block's own log odds stay within these bounds, each statistic's within the second.
 BOUND, PART_BOUND = 3.0, 2.0
 
@@ -69,13 +76,14 @@ class Node:
     """An open element.
 
     mark is the element that marks the region (it or an ancestor), with its sign: 1 or -1 for regions that are told
-    for certain, 2 for a hint of content, 0 for none. wrapped: it bears a bad class name, but has the main text inside.
+    by a tag or name, 2 for a hint of content, 0 for none. doubtful: the name, or a form, may be around the main text as well.
+    wrapped: it is, as it holds most of the page.
     """
 
-    __slots__ = ("tag", "ident", "parent", "sign", "mark", "link", "inside", "by_class", "wrapped")
+    __slots__ = ("tag", "ident", "parent", "sign", "mark", "link", "inside", "doubtful", "wrapped")
 
-    def __init__(self, tag, ident, parent, sign, link, inside, by_class):
-        self.tag, self.ident, self.parent, self.link, self.inside, self.by_class, self.wrapped = tag, ident, parent, link, inside, by_class, False
+    def __init__(self, tag, ident, parent, sign, link, inside, doubtful):
+        self.tag, self.ident, self.parent, self.link, self.inside, self.doubtful, self.wrapped = tag, ident, parent, link, inside, doubtful, False
         self.sign = sign
         # boilerplate stays boilerplate whatever is inside it; else the innermost mark counts
         above = parent.mark if parent is not None else None
@@ -85,27 +93,28 @@ class Node:
             self.mark = self if sign else above
 
 
-def name_sign(names: str, strict: bool) -> int:
-    """What class and id names say: -1 boilerplate, 2 hint of content, 0 nothing or both.
+def name_sign(names: str, strict: bool) -> tuple[int, bool]:
+    """What class and id names say: -1 boilerplate, 2 hint of content, 0 nothing or both; and whether a bad name is doubtful.
 
     strict: of article and main elements, which only names such as "comment" make something else.
     """
-    good = bad = False
+    good = bad = sure = False
     for name in names.split():
         name = _CAPITAL.sub("-", name).lower()
         if BAD_WHOLE.fullmatch(name):
-            bad = True
+            bad = sure = True
             continue
         parts = [p for p in _PART.split(name) if p]
         if not GOOD.isdisjoint(parts) and not any(BAD.fullmatch(p) for p in parts):
             good = True
         elif not STATE.fullmatch(name) and any(BAD.fullmatch(p) for p in parts) and not (strict and COMMENT.isdisjoint(parts)):
             bad = True
-    return 0 if good and bad else -1 if bad else 2 if good else 0
+            sure = sure or GOOD.isdisjoint(parts) and any(BAD.fullmatch(p) and not OFTEN.fullmatch(p) for p in parts)
+    return 0 if good and bad else -1 if bad else 2 if good else 0, bad and not sure
 
 
-def _open(tag: str, attrs: str, parent: Node, ident: int, wrapped: list[Node]) -> Node:
-    sign, by_class, inside = LANDMARK.get(tag, 0), False, parent.inside
+def _open(tag: str, attrs: str, parent: Node, ident: int) -> Node:
+    sign, doubtful, inside = LANDMARK.get(tag, 0), tag in AROUND, parent.inside
     if tag == "header" and inside:
         sign = 0
     landmark = tag in ("article", "main")
@@ -117,23 +126,20 @@ def _open(tag: str, attrs: str, parent: Node, ident: int, wrapped: list[Node]) -
         if role and not (tag == "header" and inside and role == -1):
             sign = role
         if sign >= 0 and tag not in ("body", "html") and not (tag == "header" and inside):
-            named = name_sign(f"{values.get('class', '')} {values.get('id', '')}", landmark)
+            named, unsure = name_sign(f"{values.get('class', '')} {values.get('id', '')}", landmark)
             if named == -1:
-                sign, by_class = -1, True
+                sign, doubtful = -1, unsure
             elif not sign:
                 sign = named
         style = values.get("style", "").lower()
         if values.get("aria-hidden", "").lower() == "true" or style and _HIDDEN.search(style) or _FLAG.search(_ATTR.sub(" ", attrs).lower()):
-            sign, by_class = -1, False
-    node = Node(tag, ident, parent, sign, link, inside or landmark and sign == 1, by_class)
-    if landmark and sign == 1 and node.mark is not node and node.mark.by_class:
-        wrapped.append(node)
-    return node
+            sign, doubtful = -1, None
+    return Node(tag, ident, parent, sign, link, inside or landmark and sign == 1, doubtful)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, Node]]:
     """(text, characters, characters in links, innermost element) of the page's blocks in order."""
-    out, stack, n_nodes, wrapped = [], [Node("", 0, None, 0, False, False, False)], 0, []
+    out, stack, n_nodes, n_open = [], [Node("", 0, None, 0, False, False, False)], 0, Counter()
     pieces, links, owner = [], 0, stack[0]
 
     def flush():
@@ -166,13 +172,15 @@ def blocks(page: str) -> list[tuple[str, int, int, Node]]:
             continue
         tag = name.lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                flush()
+            if not n_open[tag]:
+                if tag == "p":
+                    flush()
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if any(n.tag in BLOCK for n in stack[k:]):
                         flush()
-                    del stack[k:]
+                    _pop(stack, k, n_open)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break
@@ -189,28 +197,46 @@ def blocks(page: str) -> list[tuple[str, int, int, Node]]:
         if tag in BLOCK:
             flush()
             if tag in ENDS_P:
-                _close(stack, "p", BLOCK - {"p"})
+                _close(stack, "p", _AROUND_P, n_open)
             if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                _close(stack, tag, {"ul", "ol", "dl", "table", "select", "menu"} | ({"tr"} if tag in ("td", "th") else set()))
+                _close(stack, tag, _AROUND_CELL if tag in ("td", "th") else _AROUND_ITEM, n_open)
         if tag in VOID:
             continue
         n_nodes += 1
-        stack.append(_open(tag, m[3], stack[-1], n_nodes, wrapped))
+        stack.append(_open(tag, m[3], stack[-1], n_nodes))
+        n_open[tag] += 1
     flush()
-    if wrapped:
-        _unwrap(out, wrapped)
+    _unwrap(out)
     return out
 
 
-def _unwrap(found: list[tuple[str, int, int, Node]], wrapped: list[Node]) -> None:
-    """An element of a bad class name that holds most of the page, with an article or main element, is a wrapper of it."""
-    total = sum(n for _, n, _, _ in found)
-    for outer in {id(n.mark): n.mark for n in wrapped}.values():
-        inside = [(n, node) for _, n, _, node in found if node.mark is outer]
-        if 2 * sum(n for n, _ in inside) > total:
-            outer.wrapped, outer.sign = True, 0
-    for _, _, _, node in found:
-        _remark(node)
+def _unwrap(found: list[tuple[str, int, int, Node]]) -> None:
+    """A doubtful element that holds most of the page's text, outside links, is around the main text if no other element claims that.
+
+    So is one of any bad name with an article or main element inside that does. Elements lie in one another, so it is done again.
+    """
+    total = sum(n - links for _, n, links, _ in found)
+    while True:
+        inside: dict[int, int] = {}
+        marks: dict[int, Node] = {}
+        for _, n, links, node in found:
+            if node.mark is not None and node.mark.sign == -1:
+                marks[node.mark.ident] = node.mark
+                inside[node.mark.ident] = inside.get(node.mark.ident, 0) + n - links
+        most = max(inside, key=inside.get, default=0)
+        if not most or 2 * inside[most] <= total:
+            return
+        outer, claims, within = marks[most], False, False
+        for _, _, _, node in found:
+            claims = claims or node.mark is not None and node.mark.sign > 0
+            at = node if node.mark is outer else None
+            while at is not None and at is not outer and not within:
+                within, at = at.tag in ("article", "main") and at.sign == 1, at.parent
+        if outer.doubtful is None or outer.tag in LANDMARK and outer.tag not in AROUND or not (within or outer.doubtful and not claims):
+            return
+        outer.wrapped, outer.sign = True, 0
+        for _, _, _, node in found:
+            _remark(node)
 
 
 def _remark(node: Node) -> None:
@@ -224,11 +250,24 @@ def _remark(node: Node) -> None:
         n.mark = above if above is not None and above.sign == -1 else n if n.sign else above
 
 
-def _close(stack: list[Node], tag: str, barrier) -> None:
+_AROUND_P = BLOCK - {"p"}
+_AROUND_ITEM = frozenset(["ul", "ol", "dl", "table", "select", "menu"])
+_AROUND_CELL = _AROUND_ITEM | {"tr"}
+
+
+def _pop(stack: list[Node], k: int, n_open: Counter) -> None:
+    for node in stack[k:]:
+        n_open[node.tag] -= 1
+    del stack[k:]
+
+
+def _close(stack: list[Node], tag: str, barrier, n_open: Counter) -> None:
     """Close an open tag that the next one ends, with what is open inside it."""
+    if not n_open[tag]:
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
-            del stack[k:]
+            _pop(stack, k, n_open)
             return
         if stack[k].tag in barrier:
             return
@@ -302,7 +341,7 @@ def graph(found: list[tuple[str, int, int, Node]], learned: dict[tuple[str, int]
         if mark is not None and mark.sign:
             if mark.ident not in marks:
                 marks[mark.ident] = len(own)
-                own.append(math.inf * mark.sign if mark.sign != 2 else 2 * HINT)
+                own.append(2 * HINT if mark.sign == 2 else mark.sign * (DOUBTFUL if mark.doubtful and mark.sign < 0 else CERTAIN * (len(found) + 1)))
             edges.append((k, marks[mark.ident], HINT if mark.sign == 2 else REGION))
     return own, edges
 
@@ -383,6 +422,8 @@ def label_blocks(found: list[tuple[str, int, int, Node]], learned: dict[tuple[st
 
 
 FIXED = weights({})
+#: Pages that the classifier is fitted on, about; all pages are labelled.
+FIT_PAGES = 20_000
 
 
 def main_text(page: str | None, learned: dict[tuple[str, int], float] = FIXED) -> str:
@@ -394,8 +435,11 @@ def main_text(page: str | None, learned: dict[tuple[str, int], float] = FIXED) -
 
 
 # ---------------------------------------------------------------- Spark jobs
-def fit(pages: DataFrame) -> dict[tuple[str, int], float]:
-    """The classifier's log odds from the blocks of all pages; a row for each statistic, bin and class comes to the driver."""
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[tuple[str, int], float]:
+    """The classifier's log odds from the blocks of about fit_pages pages, chosen by a hash; a row for each statistic, bin and class comes to the driver."""
+    each = -(-pages.count() // fit_pages)
+    if each > 1:
+        pages = pages.filter(F.pmod(F.xxhash64("html"), F.lit(each)) == 0)
 
     def count(batches):
         counts: dict[tuple[str, int, int], int] = {}

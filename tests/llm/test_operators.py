@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -137,16 +139,52 @@ def test_labels_of_pages_are_the_cheapest():
 
 
 def test_the_cut_decides_labels_of_pages(spark, sf):
-    """Blocks whose own statistics say one thing and whose neighbourhood another; all text of an article stays, nothing else."""
+    """Pages as they are, and with their landmarks of content taken away: labels that neither a region nor a block's own statistics give."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    learned, turned = html.fit(pages), 0
+    learned, against_own, unmarked, kept, whole = html.fit(pages), 0, 0, 0, 0
     assert learned["links", 0] > 0 > learned["links", 4] and learned["chars", 6] > learned["chars", 0]
     for r in pages.collect():
         found = html.blocks(r.html)
-        label = html.label_blocks(found, learned)
-        turned += sum(x != (html.log_odds(b, learned) > 0) for x, b in zip(label, found))
-        assert label == [html.region(b[3]) > 0 for b in found]
-    assert turned > 20
+        text = {b[0] for b, x in zip(found, html.label_blocks(found, learned)) if x}
+        bare = html.blocks(re.sub(r"<(/?)(?:article|main)(?=[\s>])", r"<\1div", re.sub(r'(class|id|role)="[^"]*"', "", r.html)))
+        label = html.label_blocks(bare, learned)
+        against_own += sum(x != (html.log_odds(b, learned) > 0) for x, b in zip(label, bare))
+        unmarked += sum(html.region(b[3]) == 0 for b in bare)
+        whole += sum(len(t) for t in text)
+        kept += sum(b[1] for b, x in zip(bare, label) if x and b[0] in text)
+    assert against_own > 20 and unmarked > 100 and kept >= 0.85 * whole
+
+
+@pytest.mark.parametrize("page", ['<form id="aspnetForm"><div id="content">{}</div></form>', '<div class="related-work">{}</div>', '<div class="article-social-science">{}</div>', '<div class="feedback-essay">{}</div>', '<section class="storm-alerts">{}</section>', "<form><div class=related>{}</div></form>"])
+def test_what_is_around_the_page_is_no_boilerplate(page):
+    text = f"{PARAGRAPH}\n\n{PARAGRAPH}"
+    assert html.main_text(page.format(f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>")) == text
+    assert html.main_text(f"<nav><a href=x>Home</a></nav>{page.format(f'<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>')}<footer><p>Imprint and more</p></footer>") == text
+
+
+def test_the_cut_turns_doubtful_elements():
+    """A doubtful element with many blocks that read like text turns as a whole, one with few does not; certain ones never do."""
+    rest = f"<article>{f'<p>{PARAGRAPH}</p>' * 9}</article>"
+    short = "<p>Tea</p>"
+    for name, n, stays in (("related", 6, True), ("related", 1, False), ("sidebar", 6, False), ("comments", 6, False)):
+        found = html.blocks(f"{rest}<div class={name}>{f'<p>{PARAGRAPH}</p>' * n}{short}</div>")
+        label = html.label_blocks(found, html.FIXED)
+        assert all(label[:9]) and label[9:] == [stays] * (n + 1)
+        assert {html.region(b[3]) for b in found[9:]} == {-1} and html.log_odds(found[-1], html.FIXED) < 0
+    assert html.main_text(f"<article>{PARAGRAPH}</article><div class=comments>{f'<p>{PARAGRAPH}</p>' * 50}</div>") == PARAGRAPH
+
+
+def test_many_open_tags_take_no_square():
+    began = time.time()
+    html.main_text("<b>" * 20000 + "<p>x</p>" * 20000)
+    html.main_text("<i>" * 20000 + "<li>x" * 20000 + "</ul>" * 20000 + "<td>y</td>" * 20000)
+    assert time.time() - began < 10
+
+
+def test_fit_on_a_part_of_the_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    some = html.fit(pages, 20)
+    assert some != html.fit(pages) and set(some) == set(html.FIXED) and some == html.fit(pages.repartition(3), 20)
 
 
 def test_html_rows(spark):
@@ -174,6 +212,16 @@ def test_media_bears_broken_boxes():
         media.read_media(good[:k] + b"\x00\x00\x00\x00moov" + good[k:])
 
 
+def test_media_tracks_at_any_depth():
+    data = media.write_media(media.pad(b"abc" * 300))
+    inside = data[data.index(b"moov") - 4 :]
+    size = int.from_bytes(inside[:4], "big")
+    box = inside[:size]
+    for _ in range(3000):
+        box = (len(box) + 8).to_bytes(4, "big") + b"moov" + box
+    assert len(media.read_media(data.replace(inside[:size], box))) == 1
+
+
 def test_media_rows(spark, docs, nothing):
     rows = media.documents_as_media(docs).collect()
     assert len(rows) == len(ROWS)
@@ -220,6 +268,19 @@ def test_mix(spark, docs, nothing):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mix_documents_takes_each_row_as_mix_says(spark):
+    """doc_ids in several sources and with several texts, nulls, and equal rows."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(40)]), "w " * rng.randint(0, 30), rng.choice(["a", "a", "b", "c", None])) for _ in range(300)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    said = collections.Counter()
+    for r in mixing.mix_rows(df).collect():
+        said[r.doc_id, r.source, r.size] += r.copies
+    taken = collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mix_documents(df).collect())
+    assert taken == +said and len({c for c in said.values()}) > 2
+
+
 # ---------------------------------------------------------------- 5 decontamination
 ITEM = "A train leaves Boston at 60 mph and Anna waits 3 hours for the train at Boston station with her 3 bags"
 
