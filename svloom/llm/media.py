@@ -83,19 +83,23 @@ def write_media(payload: bytes, frame: int = FRAME, key_every: int = KEY_EVERY)
 
 
 # ---------------------------------------------------------------- reading
-def walk(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tuple[int, bytes, int, int]]:
-    """(depth, kind, body start, body end) of all boxes, parents first."""
-    while start + 8 <= end:
+def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(depth, kind, body start, body end) of all boxes, parents first, however deep they lie."""
+    todo = [(start, end, 0)]
+    while todo:
+        start, end, depth = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind, body = int.from_bytes(data[start : start + 4], "big"), bytes(data[start + 4 : start + 8]), start + 8
         if size == 1 and start + 16 <= end:
             size, body = int.from_bytes(data[start + 8 : start + 16], "big"), start + 16
         stop = end if size == 0 else min(start + size, end)
         if stop < body:
-            return
+            continue
         yield depth, kind, body, stop
-        if kind in CONTAINERS and depth < 16:
-            yield from walk(data, body + CONTAINERS[kind], stop, depth + 1)
-        start = stop
+        todo.append((stop, end, depth))
+        if kind in CONTAINERS:
+            todo.append((body + CONTAINERS[kind], stop, depth + 1))
 
 
 def _table(data: memoryview, body: int, end: int, dtype: str, columns: int = 1, skip: int = 4) -> np.ndarray:
