@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from svloom.llm.common import Workspace, free_name, small
+from svloom.llm.common import Workspace, free_name, small, text_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -110,14 +110,19 @@ def _fits(k: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS, space: Workspace | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of docs.
+    """doc_id, size, source_size, target, copies, taken for every row of docs; as mix_rows, without what tells rows apart."""
+    return mix_rows(docs, weights, max_repeats, space).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def mix_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS, space: Workspace | None = None) -> DataFrame:
+    """doc_id, source, text_hash, size, source_size, target, copies, taken for every row of docs.
 
     A source's rows are taken floor(target / source_size) times, and those below its thresholds once more.
     The first threshold leaves what the document at the boundary would have exceeded; the next ones look
     among the documents that are not larger than what is left, so the sum comes ever nearer.
     """
     space = space or Workspace(docs.sparkSession, "mix")
-    sizes = space.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "sizes")
+    sizes = space.save(docs.select("doc_id", "source", text_hash(F.col("text")).alias("text_hash"), word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")), "sizes")
     sources = targets(space, ranked_sources(space, sizes, weights), max_repeats)
     size = F.col("source_size")
     epochs = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
@@ -136,14 +141,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
         out = out.join(cut, out.source.eqNullSafe(cut[f"s{k}"]))
         taken = taken | (_fits(k) & (F.col("place") < F.col(f"cut{k}")))
     copies = F.least(F.col("epochs") + taken.cast("long"), F.lit(max_repeats))
-    return out.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.withColumn("copies", copies).select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with the columns of docs."""
+    key = [F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "text_hash")]
     with Workspace(docs.sparkSession, "mix") as space:
-        copies = mix(docs, weights, max_repeats, space).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+        # rows that agree in these three are taken alike: a doc_id may have several texts, and lie in several sources
+        copies = mix_rows(docs, weights, max_repeats, space).filter("copies > 0").groupBy(*key).agg(F.max("copies").alias("__copies"))
         copies = small(Workspace(docs.sparkSession, "copies").save(copies, "copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
+    same = docs["doc_id"].eqNullSafe(copies["__doc_id"]) & docs["source"].eqNullSafe(copies["__source"]) & (text_hash(docs["text"]) == copies["__text_hash"])
     name = free_name(docs, "copy")
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies["__copies"])).alias(name)).drop(name)
+    return docs.join(copies, same).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), copies["__copies"])).alias(name)).drop(name)
