@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The ten signals of a strand, reverse strand first.
-SIGNALS = ("DEL_cigar", "INS_cigar", "DEL_split", "INS_split", "INV_split", "DUP_split", "BND_split", "clip_ms", "clip_sm", "depth")
+from svloom.sources.config import SIGNALS
+
+#: Channels of both strands, reverse strand first.
 N_CHANNELS = 2 * len(SIGNALS)
 REGION, WINDOW, MAX_SPLIT = 10_000_000, 2000, 1_000_000
 

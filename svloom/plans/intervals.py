@@ -13,7 +13,7 @@ from svloom.operators import pileup as P
 from svloom.operators.jobs import job_status, pending
 from svloom.operators.order_stats import medians
 from svloom.operators.ranges import range_join
-from svloom.operators.score import linear_scorer, score_windows
+from svloom.operators.score import bce_loss, linear_scorer, score_windows, threshold_curve
 from svloom.plans import pipelines
 from svloom.plans.alignments import INDELS_SQL
 from svloom.plans.registry import query
@@ -162,6 +162,29 @@ def predict_windows(spark, sf_dir):
     return scored.select("contig", "window_start", F.round("prob", 6).alias("prob"))
 
 
+#: Windows with two features and a label.
+_LABELLED = f"{SIG}, w AS (SELECT contig, start // 2000 * 2000 AS window_start, count(*) AS n, sum(svlen) AS total, CAST(max(CASE WHEN svlen > 1500 THEN 1 ELSE 0 END) AS INT) AS label FROM sig GROUP BY ALL), p AS (SELECT *, 1.0 / (1.0 + exp(-(0.1 * n + 0.001 * total - 3.0))) AS prob FROM w)"
+
+
+def labelled_windows(spark, sf_dir) -> DataFrame:
+    grid = projection(spark, sf_dir, "sig").groupBy("contig", (F.floor(F.col("start") / 2000) * 2000).alias("window_start"))
+    return grid.agg(F.array(F.count("*").cast("double"), F.sum("svlen").cast("double")).alias("features"), F.max((F.col("svlen") > 1500).cast("int")).alias("label"))
+
+
+@query("loss_bce", f"{_LABELLED} SELECT -avg((label * ln(q) + (1 - label) * ln(1 - q)) * CASE label WHEN 1 THEN 3.0 ELSE 1.0 END) AS weighted, -avg(label * ln(q) + (1 - label) * ln(1 - q)) AS loss FROM (SELECT *, least(greatest(prob, 1e-6), 1 - 1e-6) AS q FROM p)")
+def loss_bce(spark, sf_dir):
+    scored = score_windows(labelled_windows(spark, sf_dir), linear_scorer([0.1, 0.001], -3.0))
+    return scored.agg(bce_loss(F.col("prob"), F.col("label"), 3.0).alias("weighted"), bce_loss(F.col("prob"), F.col("label")).alias("loss"))
+
+
+@query("threshold_sweep", f"""{_LABELLED}, t AS (SELECT k AS nth, 0.05::DOUBLE + 0.01::DOUBLE * k AS threshold FROM generate_series(0, 91) u(k)),
+  c AS (SELECT nth, threshold, count(*) FILTER (WHERE prob >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE prob >= threshold AND label = 0) AS fp, count(*) FILTER (WHERE prob < threshold AND label = 1) AS fn FROM t, p GROUP BY ALL)
+  SELECT nth, threshold, tp, fp, fn, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1 FROM c""")
+def threshold_sweep(spark, sf_dir):
+    """F1 at 92 thresholds in one pass."""
+    return threshold_curve(score_windows(labelled_windows(spark, sf_dir), linear_scorer([0.1, 0.001], -3.0)))
+
+
 @query("overlap_join_windows_reads", f"""{with_ctes('sig', 'reads')}, preds AS (SELECT contig, start % 2000000 // 2000 * 2000 AS s, count(*) AS n FROM sig GROUP BY ALL), pos AS (SELECT * FROM preds WHERE n >= 20)
   SELECT p.contig, p.s AS start, r.read_ordinal FROM pos p JOIN reads r ON r.contig = p.contig AND r.ref_start < p.s + 2000 AND r.ref_end > p.s WHERE (r.flag & 2308) = 0""")
 def overlap_join_windows_reads(spark, sf_dir):

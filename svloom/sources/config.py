@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass, field
 
 WINDOW_SIZE, N_CHANNELS = 2000, 20
+#: The ten signals of a strand in the order of their channels.
+SIGNALS = ("DEL_cigar", "INS_cigar", "DEL_split", "INS_split", "INV_split", "DUP_split", "BND_split", "clip_ms", "clip_sm", "depth")
 HEADS = ("cnn_mamba", "cnn", "mamba")
 
 
@@ -72,16 +74,44 @@ def parse_refine_types(text: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(t.strip().upper() for t in text.split(",") if t.strip()))
 
 
-def check_features(data: dict, weights: dict) -> dict:
-    """The data's feature config over the weights'; window and channels have to agree."""
-    for key in ("window_size", "n_channels"):
-        a, b = data.get(key), weights.get(key)
-        if a is not None and b is not None and a != b:
-            raise ValueError(f"{key} is {a} in the data and {b} in the weights")
-    return weights | data
-
-
 def infer_channels(flat_length: int, window: int = WINDOW_SIZE) -> int:
     if flat_length % window:
         raise ValueError(f"{flat_length} values are no whole windows of {window}")
     return flat_length // window
+
+
+# ---------------------------------------------------------------- feature specifications
+def feature_spec(version: str = "legacy20") -> dict:
+    """A known version of the features of a window."""
+    if version != "legacy20":
+        raise ValueError(f"unknown feature version {version!r}")
+    names = [f"{signal.lower()}_{strand}" for strand in ("rev", "fwd") for signal in SIGNALS]
+    return {"feature_version": version, "feature_dim": len(names), "window_size": WINDOW_SIZE, "channel_names": names, "normalization": "zscore"}
+
+
+def normal_spec(given: dict) -> dict:
+    """A specification with all its fields; names and dimension have to agree, and a version that is no inferred one has to be known."""
+    dim, window = int(given["feature_dim"]), int(given.get("window_size", WINDOW_SIZE))
+    names = list(given.get("channel_names") or [f"feature_{k}" for k in range(dim)])
+    if len(names) != dim:
+        raise ValueError(f"{len(names)} channel names for {dim} channels")
+    version = str(given.get("feature_version", f"inferred_{dim}d"))
+    if not version.startswith("inferred_"):
+        feature_spec(version)
+    return {"feature_version": version, "feature_dim": dim, "window_size": window, "channel_names": names, "normalization": str(given.get("normalization", "unknown"))}
+
+
+def inferred_spec(flat_length: int, window: int = WINDOW_SIZE) -> dict:
+    """The known specification of that many values a window, else one without names."""
+    dim, known = infer_channels(flat_length, window), feature_spec()
+    return known if (dim, window) == (known["feature_dim"], known["window_size"]) else normal_spec({"feature_dim": dim, "window_size": window})
+
+
+def resolve_spec(data: dict | None, weights: dict | None, default: str = "legacy20") -> dict:
+    """The data's specification over the weights', else one of them, else the default version; window and dimension have to agree."""
+    data, weights = (normal_spec(x) if x else None for x in (data, weights))
+    if data and weights:
+        for key in ("feature_dim", "window_size"):
+            if data[key] != weights[key]:
+                raise ValueError(f"{key} is {data[key]} in the data and {weights[key]} in the weights")
+    return (weights or {}) | data if data else weights or feature_spec(default)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from svloom.functions.alignment import bare_contig
 from svloom.functions.variants import genotype_of, match_key
+from svloom.sources.config import WINDOW_SIZE, inferred_spec, normal_spec
 
 READ_SCHEMA = "read_ordinal long, read_name string, flag int, contig string, ref_start long, ref_end long, mapq int, cigar string, nm long, sa string, query_len int, q_aln_start int, q_aln_end int, read_len int"
 TRUTH_TYPES = ("INS", "DEL", "INV", "DUP")
@@ -74,6 +75,24 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "false").parquet(path)
 
 
+def store_spec(spark: SparkSession, path: str, window: int = WINDOW_SIZE) -> dict:
+    """The feature specification of a store: from the footers, else from the length of a window's features.
+
+    Footers of files that differ raise, as does a store without a window.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    folders = files.select(F.substring_index("path", "/", -1).alias("file"), "path").groupBy(F.expr("substring(path, 1, length(path) - length(file) - 1)").alias("folder")).agg(F.min("path").alias("path"))
+    found = {spark.read.parquet(r.path).schema["features"].metadata.get("feature_spec") for r in folders.toLocalIterator()}
+    if len(found - {None}) > 1:
+        raise ValueError(f"feature specifications differ below {path}")
+    for text in found - {None}:
+        return normal_spec(json.loads(text))
+    row = read_store(spark, path).select(F.size("features").alias("n")).filter("n > 0").first()
+    if row is None:
+        raise ValueError(f"no windows below {path}")
+    return inferred_spec(row.n, window)
+
+
 def count_store(spark: SparkSession, path: str) -> DataFrame:
     """One row: the samples of a store."""
     return read_store(spark, path).agg(F.count("*").alias("samples"))

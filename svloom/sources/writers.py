@@ -11,6 +11,7 @@ from svloom.functions.variants import bnd_lines, vcf_line
 from svloom.operators.cut import cut, drop, exists
 from svloom.operators.trio import TYPES, trio_lines
 from svloom.sources.committed import write_lines
+from svloom.sources.config import normal_spec
 from svloom.sources.readers import read_vcf
 
 #: Fixed text of a VCF header.
@@ -122,9 +123,14 @@ def write_snapshot(path: str, **tables: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_store(windows: DataFrame, path: str, keys: list[str], overwrite: bool = False) -> None:
-    """Windows by contig and region; regions that are there already are left out unless overwrite."""
+def write_store(windows: DataFrame, path: str, keys: list[str], overwrite: bool = False, spec: dict | None = None) -> None:
+    """Windows by contig and region; regions that are there already are left out unless overwrite.
+
+    spec: the specification of the features, kept as metadata of their column in every file's footer.
+    """
     spark = windows.sparkSession
+    if spec is not None:
+        windows = windows.withMetadata("features", {"feature_spec": json.dumps(normal_spec(spec))})
     if not overwrite and exists(spark, path):
         windows = windows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     mode = "overwrite" if overwrite else "append"

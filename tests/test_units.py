@@ -191,7 +191,7 @@ def test_config():
     assert config.parse_contigs("[chr1, chr2]") == ("chr1", "chr2") and config.parse_contigs("") == ()
     assert config.resolve_threshold(None, {"decision_threshold": 0.88}) == 0.88 and config.resolve_threshold(None, {}) == 0.5
     assert config.parse_refine_types(" del,INS,del ") == ("DEL", "INS") and config.infer_channels(40000) == 20
-    for bad in (lambda: config.CallConfig(predict_only=True, cluster_only=True), lambda: config.resolve_threshold(2.0, {}), lambda: config.check_features({"window_size": 1}, {"window_size": 2}), lambda: config.infer_channels(5)):
+    for bad in (lambda: config.CallConfig(predict_only=True, cluster_only=True), lambda: config.resolve_threshold(2.0, {}), lambda: config.resolve_spec({"feature_dim": 2, "window_size": 1}, {"feature_dim": 2, "window_size": 2}), lambda: config.feature_spec("other"), lambda: config.normal_spec({"feature_dim": 2, "channel_names": ["a"]}), lambda: config.normal_spec({"feature_dim": 2, "feature_version": "v9"}), lambda: config.infer_channels(5)):
         with pytest.raises(ValueError):
             bad()
 
