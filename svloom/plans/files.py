@@ -12,6 +12,7 @@ from svloom.plans.calls import REFINE_SQL, predicted
 from svloom.plans.registry import query
 from svloom.plans.trios import ALT_SQL, KIND_SQL, number_sql, word_sql
 from svloom.sources import readers, writers
+from svloom.sources.array_store import read_arrays, write_arrays
 from svloom.sources.fixtures import predictions, projection, with_ctes
 
 SIG, TEXTS, CALLS, TRIO = with_ctes("sig"), with_ctes("texts"), with_ctes("calls"), with_ctes("trio")
@@ -136,11 +137,20 @@ def _stored(spark, path: str, *columns: str) -> DataFrame:
     return readers.read_store(spark, path).select("contig", F.col("region").cast("long").alias("region"), "window_start", *columns)
 
 
-@query("scan_npy_store", f"{WINDOWS} SELECT contig, window_start // {REGION} AS region, window_start, k AS channel, CASE k WHEN 0 THEN prob ELSE prob * k + 1 END AS value FROM windows, generate_series(0, 3) t(k)")
+_HALVES = "(window_start // 2000 * (k + 1)) % 512 / 8.0"
+
+
+@query("scan_npy_store", f"""{WINDOWS}, r AS (SELECT 'r' || (window_start // {REGION} % 7) || '/' || contig || '_' || (window_start // {REGION}) AS stem, row_number() OVER (PARTITION BY contig, window_start // {REGION} ORDER BY window_start) - 1 AS row, window_start, CAST(prob >= 0.03 AS INT) AS label FROM windows)
+  SELECT stem, row, CAST(window_start AS INT) AS first, CAST(window_start + 2000 AS INT) AS last, label, k AS channel, CAST({_HALVES} AS DOUBLE) AS value FROM r, generate_series(0, 3) t(k)""")
 def scan_npy_store(spark, sf_dir):
-    path, p = scratch(spark, "features"), F.col("prob")
-    writers.write_store(_windows(spark, sf_dir).withColumn("features", F.array(p, *[p * k + 1 for k in (1, 2, 3)])).drop("prob"), path, KEYS)
-    return _stored(spark, path, "features").select("contig", "region", "window_start", F.posexplode("features").alias("channel", "value")).withColumn("channel", F.col("channel").cast("long"))
+    """Feature, index and label arrays, written by tasks and read back by ranges of rows."""
+    path, at = scratch(spark, "arrays"), F.col("window_start")
+    rows = _windows(spark, sf_dir).withColumn("stem", F.concat(F.lit("r"), F.col("region") % 7, F.lit("/"), "contig", F.lit("_"), "region"))
+    values = F.array(*[F.floor(at / 2000) * (k + 1) % 512 / 8.0 for k in range(4)])
+    rows = rows.select("stem", "window_start", F.array(at.cast("int"), (at + 2000).cast("int")).alias("index"), values.alias("features"), (F.col("prob") >= 0.03).cast("int").alias("label"))
+    write_arrays(rows, path, ["window_start"])
+    found = read_arrays(spark, path).select("stem", "row", F.get("index", 0).alias("first"), F.get("index", 1).alias("last"), "label", F.posexplode("features").alias("channel", "value"))
+    return found.withColumn("channel", F.col("channel").cast("long")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("scan_store_count", f"{WINDOWS} SELECT count(*) AS samples FROM windows")

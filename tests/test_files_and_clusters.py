@@ -11,7 +11,7 @@ from svloom.operators import islands as I
 from svloom.operators.components import components
 from svloom.operators.cut import cut, drop, exists
 from svloom.operators.order_stats import medians
-from svloom.sources import committed, writers
+from svloom.sources import array_store, committed, writers
 
 CALL = "contig string, start long, svlen long, svtype string, gt string"
 END = "contig string, start long, dir1 string, contig2 string, end long, dir2 string, gt string"
@@ -147,3 +147,36 @@ def test_medians_equal_sorted_middles(spark):
 
     assert found == {k: (middle([x for g, x, _ in rows if g == k]), middle([y for g, _, y in rows if g == k])) for k in {g for g, _, _ in rows}}
     assert medians(spark.createDataFrame([], "k string, x long"), ["k"], ["x"]).count() == 0
+
+
+def test_array_stores_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data, index = rng.random((1000, 8, 3)).astype(np.float16), np.arange(2000, dtype=np.int32).reshape(1000, 2)
+    (tmp_path / "deep").mkdir()
+    for name, array in (("a", data), ("a_index", index), ("a_label", np.arange(1000) % 2), ("deep/b", data[:5]), ("a_predict", data)):
+        np.save(tmp_path / f"{name}.npy", array)
+    monkeypatch.setattr(array_store, "PART_BYTES", 48 * 100)
+    parts = array_store.ArraysReader(str(tmp_path)).partitions()
+    assert [(p.stem, p.lo, p.hi) for p in parts] == [("a", k, k + 100) for k in range(0, 1000, 100)] + [("deep/b", 0, 5)]
+    rows = {(r.stem, r.row): r for r in array_store.read_arrays(spark, str(tmp_path)).collect()}
+    assert len(rows) == 1005 and all(np.array_equal(np.float16(rows["a", k].features), data[k].ravel()) and rows["a", k]["index"] == index[k].tolist() and rows["a", k].label == k % 2 for k in range(1000))
+    assert rows["deep/b", 4].label is None and rows["deep/b", 4]["index"] is None
+    np.save(tmp_path / "deep/b_label.npy", np.zeros(3, np.uint8))
+    with pytest.raises(Exception, match="differ in rows"):
+        array_store.read_arrays(spark, str(tmp_path)).collect()
+
+
+def test_array_stores_round_trip_and_fail_whole(spark, tmp_path):
+    import numpy as np
+
+    rows = spark.range(500).select((F.col("id") % 3).cast("string").alias("stem"), "id", F.array(F.col("id").cast("int")).alias("index"), F.array(F.col("id") / 8, F.lit(1.0)).alias("features"), F.lit(None).cast("int").alias("label"))
+    array_store.write_arrays(rows, str(tmp_path), ["id"], "float32")
+    assert sorted(os.listdir(tmp_path)) == sorted(f"{k}{x}.npy" for k in range(3) for x in ("", "_index"))
+    assert np.array_equal(np.load(tmp_path / "1_index.npy")[:, 0], np.arange(1, 500, 3)) and np.load(tmp_path / "1.npy").dtype == np.float32
+    assert array_store.read_arrays(spark, str(tmp_path)).count() == 500
+    broken = rows.withColumn("features", F.when(F.col("id") == 499, F.array(F.raise_error("lost").cast("double"))).otherwise(F.col("features")))
+    with pytest.raises(Exception, match="lost"):
+        array_store.write_arrays(broken, str(tmp_path / "new"), ["id"])
+    assert not [x for x in (tmp_path / "new").rglob("*") if x.is_file()] if (tmp_path / "new").exists() else True
