@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from svloom.functions import alignment as A
 from svloom.functions import signatures as S
+from svloom.operators.cut import scratch
 from svloom.plans.registry import query
+from svloom.sources.bam import read_bam, write_bam
 from svloom.sources.fixtures import projection, table, with_ctes
 
 READS, SEGMENTS = with_ctes("reads"), with_ctes("segments")
@@ -36,10 +38,22 @@ def filter_mapq(spark, sf_dir):
     return projection(spark, sf_dir, "reads").filter("mapq >= 20").select("read_ordinal", "mapq")
 
 
-@query("scan_reads_interval", f"{READS} SELECT read_ordinal, contig, ref_start, ref_end FROM reads WHERE contig = 'chr2' AND ref_start < 900000 AND ref_end > 400000")
+_SPANS = f"{READS}, spans AS (SELECT *, list_sum([CAST(x AS BIGINT) for x in regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1)]) AS covers, list_sum([CAST(x AS BIGINT) for x in regexp_extract_all(cigar, '(\\d+)[MIS=X]', 1)]) AS bases FROM reads)"
+
+
+def _as_bam(spark, sf_dir) -> str:
+    """The reads in a sorted and indexed file, and its path."""
+    path, reads = f"{scratch(spark, 'bam')}/reads.bam", projection(spark, sf_dir, "reads")
+    contigs = reads.groupBy("contig").agg((F.max("ref_end") + 10_000).alias("length")).withColumn("ord", F.substring("contig", 4, 9).cast("int"))
+    nothing = [F.lit(None).cast("int").alias(c) for c in ("q_aln_start", "q_aln_end", "read_len")]
+    write_bam(reads.select("read_ordinal", "read_name", "flag", "contig", "ref_start", "ref_end", "mapq", "cigar", "nm", F.lit(None).cast("string").alias("sa"), F.col("query_len").cast("int"), *nothing), contigs, path)
+    return path
+
+
+@query("scan_reads_interval", f"{_SPANS} SELECT read_name, contig, flag, mapq, cigar, nm, ref_start, CAST(ref_start + covers AS BIGINT) AS ref_end, CAST(bases AS INT) AS query_len FROM spans WHERE contig = 'chr2' AND ref_start < 900000 AND ref_start + covers > 400000")
 def scan_reads_interval(spark, sf_dir):
-    reads = projection(spark, sf_dir, "reads").select("read_ordinal", "contig", "ref_start", "ref_end")
-    return reads.filter("contig = 'chr2' AND ref_start < 900000 AND ref_end > 400000")
+    """Of an indexed file, only the blocks that may hold the range are read."""
+    return read_bam(spark, _as_bam(spark, sf_dir), "chr2", 400_000, 900_000).select("read_name", "contig", "flag", "mapq", "cigar", "nm", "ref_start", "ref_end", "query_len")
 
 
 @query("scan_reads_contig", f"{READS} SELECT read_ordinal, contig FROM reads WHERE contig = 'chr3'")
