@@ -78,7 +78,7 @@ def _first(child: DataFrame, parents: DataFrame, types: tuple, offset: int, bias
 
 
 def trio_lines(child: DataFrame, father: DataFrame, mother: DataFrame, offset: int = OFFSET, bias: float = BIAS) -> DataFrame:
-    """rec_ordinal, line: a VCF line of each child row with the genotypes of father, mother and child.
+    """rec_ordinal, svtype, line: a VCF line of each child row with the genotypes of father, mother and child.
 
     child also has record, the first eight columns of its line. Both parents are matched in the same joins.
     """
@@ -87,7 +87,7 @@ def trio_lines(child: DataFrame, father: DataFrame, mother: DataFrame, offset: i
     mine = child.filter(F.col("svtype").isin(*TYPES))
     found = _first(mine.select(*columns), parents, TYPES, offset, bias)
     gt = lambda name: F.coalesce(F.col("gts")[name], F.lit("./."))
-    return mine.join(found, "rec_ordinal", "left").select("rec_ordinal", F.concat_ws("\t", "record", F.lit("GT"), gt("father"), gt("mother"), "gt").alias("line"))
+    return mine.join(found, "rec_ordinal", "left").select("rec_ordinal", "svtype", F.concat_ws("\t", "record", F.lit("GT"), gt("father"), gt("mother"), "gt").alias("line"))
 
 
 def discordance(child: DataFrame, parents: DataFrame, types=TYPES, offset: int = OFFSET, bias: float = BIAS) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from svloom.functions import variants as V
 from svloom.operators import trio as T
+from svloom.operators.cut import cut, scratch
 from svloom.plans.registry import query
 from svloom.sources.fixtures import projection, with_ctes
-from svloom.sources.writers import mdr_report
+from svloom.sources.writers import mdr_report, write_trio_file
 
 TRIO, BND, TEXTS, CALLS = with_ctes("trio"), with_ctes("bnd"), with_ctes("texts"), with_ctes("calls")
 
@@ -133,7 +134,7 @@ _RATES = f"""{CALLS}, j AS (SELECT c.svtype, EXISTS (SELECT 1 FROM calls p WHERE
 
 @query("agg_mdr", f"{_RATES} SELECT * FROM r")
 def agg_mdr(spark, sf_dir):
-    return T.discordance(*_split(projection(spark, sf_dir, "calls")))
+    return T.discordance(*_split(cut(projection(spark, sf_dir, "calls"))))
 
 
 @query("agg_type_counts", f"{TRIO} SELECT sample, " + ", ".join(f"count(*) FILTER (WHERE svtype = '{t}') AS {t.lower()}" for t in ("DEL", "INS", "DUP", "INV")) + " FROM trio GROUP BY 1")
@@ -145,21 +146,26 @@ def agg_type_counts(spark, sf_dir):
 _GT = f"""{CALLS}, hit AS (SELECT c.rec_ordinal, p.sample, p.gt, row_number() OVER (PARTITION BY c.rec_ordinal, p.sample ORDER BY
     CASE WHEN c.svtype IN ('INS', 'BND') THEN p.pos // 1000 ELSE greatest(floor((c.pos - 1000) / 1000000), floor((p.pos - 1000) / 1000000)) END, CASE WHEN c.svtype = 'BND' THEN p."end" // 1000 ELSE 0 END, p.rec_ordinal) AS k
     FROM calls c JOIN calls p ON p.chrom = c.chrom AND p.svtype = c.svtype AND {_ANY} WHERE c.sample = 'child' AND p.sample <> 'child')
-  SELECT c.rec_ordinal, concat_ws(chr(9), c.chrom, c.pos, '.', 'N', '<' || c.svtype || '>', '.', 'PASS', 'SVTYPE=' || c.svtype || ';SVLEN=' || c.svlen, 'GT', coalesce(f.gt, './.'), coalesce(m.gt, './.'), c.gt) AS line
-  FROM calls c LEFT JOIN hit f ON f.rec_ordinal = c.rec_ordinal AND f.k = 1 AND f.sample = 'father' LEFT JOIN hit m ON m.rec_ordinal = c.rec_ordinal AND m.k = 1 AND m.sample = 'mother' WHERE c.sample = 'child'"""
+  SELECT concat_ws(chr(9), c.chrom, c.pos, '.', 'N', '<' || c.svtype || '>', '.', 'PASS', 'SVTYPE=' || c.svtype || ';SVLEN=' || c.svlen, 'GT', coalesce(f.gt, './.'), coalesce(m.gt, './.'), c.gt) AS line
+  FROM calls c LEFT JOIN hit f ON f.rec_ordinal = c.rec_ordinal AND f.k = 1 AND f.sample = 'father' LEFT JOIN hit m ON m.rec_ordinal = c.rec_ordinal AND m.k = 1 AND m.sample = 'mother' WHERE c.sample = 'child'
+  UNION ALL SELECT '##source=calls' UNION ALL SELECT concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'father', 'mother', 'child') UNION ALL SELECT svtype || ' ' || count(*) FROM calls WHERE sample = 'child' GROUP BY svtype"""
 
 
 @query("sink_trio_vcf", _GT)
 def sink_trio_vcf(spark, sf_dir):
-    rows = projection(spark, sf_dir, "calls")
+    """The committed file read back, and its counts by type."""
+    rows, folder = cut(projection(spark, sf_dir, "calls")), scratch(spark, "trio")
     kind, fixed = F.col("svtype"), [F.lit(x) for x in (".", "N", ".", "PASS")]
     record = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), fixed[0], fixed[1], F.concat(F.lit("<"), kind, F.lit(">")), fixed[2], fixed[3], F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN="), F.col("svlen").cast("string")))
     child, father, mother = (rows.filter(F.col("sample") == who) for who in ("child", "father", "mother"))
-    return T.trio_lines(child.withColumn("record", record), father, mother)
+    head = spark.createDataFrame([(0, 0, "##source=calls")], "step int, rec_ordinal long, line string")
+    counts = write_trio_file(head, child.withColumn("record", record), father, mother, folder, "trio.vcf")
+    lines = spark.read.text(f"{folder}/trio.vcf").select(F.col("value").alias("line"))
+    return lines.unionAll(spark.createDataFrame([(f"{t} {n}",) for t, n in counts.items() if n], "line string"))
 
 
 @query("sink_mdr_report", f"""{_RATES} SELECT CAST(list_position(['DEL', 'INS', 'DUP', 'INV', 'BND', 'ALL'], svtype) AS INT) AS place,
   format('{{:<5}} {{:>9d}} {{:>12d}} {{:>9.2f}}', CASE svtype WHEN 'ALL' THEN 'Total' ELSE svtype END, total, inconsistent, CAST(rate AS DOUBLE)) AS line FROM r
   UNION ALL SELECT 0 AS place, format('{{:<5}} {{:>9}} {{:>12}} {{:>9}}', 'SV', 'TOTAL', 'INCONSISTENT', 'MDR(%)') AS line""")
 def sink_mdr_report(spark, sf_dir):
-    return mdr_report(T.discordance(*_split(projection(spark, sf_dir, "calls"))))
+    return mdr_report(T.discordance(*_split(cut(projection(spark, sf_dir, "calls")))))

@@ -106,15 +106,46 @@ def write_call_files(calls: DataFrame, breakends: DataFrame, contigs: DataFrame,
         raise
 
 
+def _trio_title(spark: SparkSession, names: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([(1, 0, "\t".join((*COLUMNS, *names)))], "step int, rec_ordinal long, line string")
+
+
+def _trio_head(spark: SparkSession, child: str) -> DataFrame:
+    """The header lines of the child's own file."""
+    return spark.read.text(child).withColumn("rec_ordinal", F.monotonically_increasing_id()).filter("value like '##%'").select(F.lit(0).alias("step"), "rec_ordinal", F.col("value").alias("line"))
+
+
 def write_trio_vcf(child: str, father: str, mother: str, path: str, spark: SparkSession, names: tuple[str, str, str] = ("father", "mother", "child")) -> None:
     """The child's VCF with the genotypes of father, mother and child, in parts as write_vcf's.
 
     Header lines and the first eight columns are the child's own; records of other types are left out.
     """
-    head = spark.read.text(child).withColumn("rec_ordinal", F.monotonically_increasing_id()).filter("value like '##%'").select(F.lit(0).alias("step"), "rec_ordinal", F.col("value").alias("line"))
-    title = spark.createDataFrame([(1, 0, "\t".join((*COLUMNS, *names)))], "step int, rec_ordinal long, line string")
     rows = trio_lines(*[read_vcf(spark, p, True) for p in (child, father, mother)]).select(F.lit(2).alias("step"), "rec_ordinal", "line")
-    head.unionAll(title).unionAll(rows).orderBy("step", "rec_ordinal").select("line").write.mode("overwrite").text(path)
+    _trio_head(spark, child).unionAll(_trio_title(spark, names)).unionAll(rows).orderBy("step", "rec_ordinal").select("line").write.mode("overwrite").text(path)
+
+
+def write_trio_file(head: DataFrame, child: DataFrame, father: DataFrame, mother: DataFrame, folder: str, name: str, names: tuple[str, str, str] = ("father", "mother", "child")) -> dict[str, int]:
+    """One trio VCF in folder, in whole or not at all; the number of lines of each type is returned.
+
+    head: step (0), rec_ordinal, line; child, father and mother as read_vcf gives them.
+    """
+    rows = cut(trio_lines(child, father, mother))
+    lines = head.unionByName(_trio_title(child.sparkSession, names)).unionByName(rows.select(F.lit(2).alias("step"), "rec_ordinal", "line"))
+    write_lines(lines.repartitionByRange("step", "rec_ordinal").sortWithinPartitions("step", "rec_ordinal").select(F.lit(name).alias("file"), "line"), folder)
+    found = {r.svtype: r.n for r in rows.groupBy("svtype").agg(F.count("*").alias("n")).collect()}
+    drop(rows)
+    return {t: found.get(t, 0) for t in TYPES}
+
+
+def write_trios(platforms: dict[str, tuple[str, str, str]], folder: str, spark: SparkSession) -> None:
+    """<platform>_trio.vcf for the files (child, father, mother) of each platform, and trio_vcf_manifest.tsv with the counts by type."""
+    rows = ["\t".join(("platform", "trio_vcf", *TYPES))]
+    for platform, paths in platforms.items():
+        name = f"{platform}_trio.vcf"
+        counts = write_trio_file(_trio_head(spark, paths[0]), *[read_vcf(spark, p, True) for p in paths], folder, name)
+        rows.append("\t".join((platform, f"{folder}/{name}", *[str(counts[t]) for t in TYPES])))
+    manifest = spark.createDataFrame([("trio_vcf_manifest.tsv", x) for x in rows], "file string, line string").coalesce(1)
+    write_lines(manifest, folder)
 
 
 def write_snapshot(path: str, **tables: DataFrame) -> None:

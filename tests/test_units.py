@@ -342,7 +342,13 @@ def test_trio_vcf_report_and_snapshot(spark, tmp_path):
     assert [x.split("\t")[8:] for x in lines[3:]] == [["GT", "1/1", "./.", "0/1"], ["GT", "0/1", "./.", "1/1"], ["GT", "./.", "1/1", "0/1"]]
     assert lines[3].split("\t")[:8] == dele(5000, 100, "0/1").split("\t")[:8]
 
-    child, father, mother = (readers.read_vcf(spark, str(tmp_path / f"{n}.vcf"), True) for n in ("child", "father", "mother"))
+    paths = tuple(str(tmp_path / f"{n}.vcf") for n in ("child", "father", "mother"))
+    writers.write_trios({"ont": paths, "ccs": (paths[0], paths[2], paths[1])}, str(tmp_path / "set"), spark)
+    assert [x.split("\t")[9:] for x in (tmp_path / "set/ont_trio.vcf").read_text().splitlines()[2:]] == [["father", "mother", "child"], ["1/1", "./.", "0/1"], ["0/1", "./.", "1/1"], ["./.", "1/1", "0/1"]]
+    manifest = [x.split("\t") for x in (tmp_path / "set/trio_vcf_manifest.tsv").read_text().splitlines()]
+    assert manifest[0] == ["platform", "trio_vcf", *T.TYPES] and [(x[0], dict(zip(manifest[0][2:], x[2:]))) for x in manifest[1:]] == [(p, {"DEL": "1", "INS": "1", "DUP": "0", "INV": "0", "BND": "1"}) for p in ("ont", "ccs")]
+
+    child, father, mother = (readers.read_vcf(spark, p, True) for p in paths)
     table = T.discordance(child, father.unionAll(mother))
     assert {r.svtype: (r.total, r.matched, r.rate) for r in table.collect()} == {"DEL": (1, 1, 0.0), "INS": (1, 1, 0.0), "BND": (1, 1, 0.0), "DUP": (0, 0, 0.0), "INV": (0, 0, 0.0), "ALL": (3, 3, 0.0)}
     report = [r.line for r in writers.mdr_report(T.discordance(child, mother)).orderBy("place").collect()]
