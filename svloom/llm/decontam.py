@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-Texts become templates: numbers, the units after them, and names (capitalised words but for function words) turn
-into typed placeholders, other words are lower-cased, punctuation goes. Windows of WINDOW template tokens
+Texts become templates: numbers, in figures or in English words (from two on), the units after them, and names
+(capitalised words but for function words) turn into typed placeholders, other words are lower-cased, punctuation goes.
+A name of several words, and a number of several, is one placeholder. Windows of WINDOW template tokens
 of documents are hash-joined with those of the benchmark. For the few pairs that meet, the values that the
 placeholders stand for are compared: along one alignment of document and item, each value of the item must
 stand for one value of the document, and each name or unit of the document for one of the item; two different numbers
@@ -37,57 +38,84 @@ WINDOW, MIN_WORDS, COVERAGE = 5, 3, 0.5
 RUN = 13
 #: The units that are recognised after a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg lb lbs oz t ml cl dl l gal ms s sec secs min mins h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros degree degrees percent watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb mph kmh"
-NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-TOKEN = rf"{NUMBER}|[\p{{L}}\p{{M}}]+"
-UNIT = rf"(?<=\p{{N}}[\x20 \-]?)(?i:{'|'.join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
+FIGURES = r"\p{N}+(?:[.,]\p{N}+)*"
+TOKEN = rf"{FIGURES}|[\p{{L}}\p{{M}}]+"
+#: English number words in order, from two on; one is a word of its own but beside another number word.
+SMALL = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+SCALES = "hundred thousand million billion".split()
+#: The figures of number words below a hundred, so that a value may be written either way.
+VALUES = {w: str(k) for k, w in enumerate(SMALL, 2)} | {w: str(10 * k) for k, w in enumerate(TENS, 2)}
+VALUES |= {f"{t}{gap}{w}": str(10 * k + n) for k, t in enumerate(TENS, 2) for gap in " -" for n, w in enumerate(["one", *SMALL[:8]], 1)}
+#: The longest word first, as an alternation takes the first that fits.
+_WORD = "|".join(sorted([*SMALL, *TENS, *SCALES], key=lambda w: (-len(w), w)))
+_END = r"(?![\p{L}\p{M}])"
+NUMBER = (
+    rf"{FIGURES}|(?=[bfhmnoste])(?<![\p{{L}}\p{{M}}])(?:one[\x20\-](?=(?:{'|'.join(SCALES)}){_END}))?(?:{_WORD}){_END}"
+    rf"(?:(?:(?<=hundred|thousand|million|billion)\x20and\x20|[\x20\-])(?:{_WORD}|one){_END})*"
+)
 #: Function words that begin sentences and are no names (English, German, French, Spanish).
 FUNCTION_WORDS = "a about after all also an and any are as at because before but by can could did do does during each every few find first for from give given had has have he her here his how i if in into is it its let many may more most much must my no not of on one only or other our over please several she should since so some suppose than that the their then there these they this those through to two under until up was we what when where whether which while who whom whose why will with would you your aber als am auf aus bei das dass dem den der des die doch ein eine einen einer er es für hat hier ich ihr im ist man mit nach nicht noch nun nur ob oder sein seine sich sie sind um und unter uns viele von vor wann war wenn wer wie wir wird wo zu zum zur au aux avec ce ces cette comme dans de deux donc du elle elles en est et il ils je la le les leur lorsque mais ne nous où par pas pour quand que quel quelle qui sa sans se ses si son sont sous sur un une vous al algunos como con cuando cual cuánto del desde dos el ella ellos entre esta este esto están hay las lo los más muchos nos o para pero por qué quién ser sin sobre su sus también todos una unos y ya"
 #: A capital letter is looked for first, as most places have none.
-NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{'|'.join(sorted(map(str.capitalize, FUNCTION_WORDS.split()), key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{'|'.join(sorted(map(str.capitalize, [*FUNCTION_WORDS.split(), *SMALL, *TENS, *SCALES]), key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])"
+NAME = rf"{_NAME}(?:[\x20\-]{_NAME})*"
 #: Placeholders are single letters of the private use area, which no word contains.
 NUM, UNI, NAM = "\ue000", "\ue001", "\ue002"
+#: A unit is a whole word after a number.
+UNIT = rf"{NUM}([\x20 \-]?)(?:{'|'.join(sorted(UNITS.split(), key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}])"
+
+
+def _clean(text: Column) -> Column:
+    return F.translate(text, NUM + UNI + NAM, "   ")
 
 
 def raw_tokens(text: Column) -> Column:
-    """The tokens as they stand."""
-    return F.regexp_extract_all(text, F.lit(rf"{UNIT}|{TOKEN}"), F.lit(0))
+    """The tokens of the template as they stand, names and numbers of several words whole."""
+    return F.regexp_extract_all(_clean(text), F.lit(rf"{NAME}|(?i:{NUMBER})|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
 def template_tokens(text: Column) -> Column:
     """The tokens of the template; as many as raw_tokens has."""
-    clean = F.translate(text, NUM + UNI + NAM, "   ")
-    marked = F.regexp_replace(clean, UNIT, UNI)
-    marked = F.regexp_replace(marked, NAME, NAM)
+    marked = F.lower(F.regexp_replace(_clean(text), NAME, NAM))
     marked = F.regexp_replace(marked, NUMBER, NUM)
-    return F.regexp_extract_all(F.lower(marked), F.lit(rf"[{NUM}{UNI}{NAM}]|[\p{{L}}\p{{M}}]+"), F.lit(0))
+    marked = F.regexp_replace(marked, UNIT, f"{NUM}$1{UNI}")
+    return F.regexp_extract_all(marked, F.lit(rf"[{NUM}{UNI}{NAM}]|[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
 def plain_tokens(text: Column) -> Column:
-    """The tokens as they stand, in lower case."""
-    return F.transform(raw_tokens(text), lambda t: F.lower(t))
+    """Words and figures as they stand, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def hashed_windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, place and hash of every window of text, of each size, in both sets; once where the sets agree.
+def plain_kinds(text: Column) -> Column:
+    """plain_tokens with placeholders for figures and the units after them."""
+    marked = F.regexp_replace(F.lower(_clean(text)), FIGURES, NUM)
+    return F.regexp_extract_all(F.regexp_replace(marked, UNIT, f"{NUM}$1{UNI}"), F.lit(rf"[{NUM}{UNI}]|[\p{{L}}\p{{M}}]+"), F.lit(0))
+
+
+def _hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the hashes of text's tokens, h of the template and p of the plain ones."""
+    return rows.select(*keys, *[F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias(name) for tokens, name in ((template_tokens, "h"), (plain_tokens, "p"))])
 
-    All sizes come of one pass: their windows lie one after the other in one array, and a place is the distance from its part's start.
-    """
-    texts, n = F.col("text"), F.size("h")
-    hashes = rows.select(*keys, *[F.transform(tokens(texts), lambda t: F.xxhash64(t)).alias(name) for tokens, name in ((template_tokens, "h"), (plain_tokens, "p"))])
 
-    def windows(name: str, size: int) -> Column:
-        some = F.transform(F.sequence(F.lit(0), F.size(name) - size), lambda i: F.xxhash64(*[F.get(name, i + k) for k in range(size)]))
-        return F.when(F.size(name) >= size, some).otherwise(F.array().cast("array<bigint>"))
+def _windows(name: str, size: int) -> Column:
+    """Hashes of the windows of an array of hashes, in order."""
+    some = F.transform(F.sequence(F.lit(0), F.size(name) - size), lambda i: F.xxhash64(*[F.get(name, i + k) for k in range(size)]))
+    return F.when(F.size(name) >= size, some).otherwise(F.array().cast("array<bigint>"))
 
-    arrays = [windows(name, size).alias(f"{name}{size}") for size in sizes for name in ("h", "p")]
-    both = hashes.select(*keys, n.alias("n"), *arrays)
-    parts = [x for size in sizes for x in (F.col(f"h{size}"), F.zip_with(f"h{size}", f"p{size}", lambda h, p: F.when(h != p, p)))]
-    out = both.select(*keys, "n", F.posexplode(F.concat(*parts)).alias("at", "hash"))
-    start, place = F.lit(0), F.col("at")
-    for size in [s for s in sizes for _ in (0, 1)]:
-        place = F.when(F.col("at") >= start, F.col("at") - start).otherwise(place)
-        start = start + F.greatest(F.col("n") - size + 1, F.lit(0))
-    return out.select(*keys, place.alias("place"), "hash")
+
+def window_hashes(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """keys and every different window hash of text, of each size and both sets."""
+    arrays = [_windows(name, size).alias(f"{name}{size}") for size in sizes for name in ("h", "p")]
+    both = _hashed(rows, keys).select(*keys, *arrays)
+    return both.select(*keys, F.explode(F.array_distinct(F.concat(*[f"{name}{size}" for size in sizes for name in ("h", "p")]))).alias("hash"))
+
+
+def placed_windows(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """keys, plain, place and hash of every window of text, of each size and both sets."""
+    sets = [F.struct(F.lit(name == "p").alias("plain"), _windows(name, size).alias("hashes")) for size in sizes for name in ("h", "p")]
+    each = _hashed(rows, keys).select(*keys, F.explode(F.array(*sets)).alias("set"))
+    return each.select(*keys, "set.plain", F.posexplode("set.hashes").alias("place", "hash"))
 
 
 def benchmark_windows(items: DataFrame, window: int, min_words: int, coverage: float, space: Workspace) -> DataFrame:
@@ -96,12 +124,13 @@ def benchmark_windows(items: DataFrame, window: int, min_words: int, coverage: f
     Also total, the item's number of different ones of the set, need, the share of them that must be found, and anchor.
     """
     rows = items.select("item_id", "text").distinct()
-    tokens = rows.select("item_id", template_tokens(F.col("text")).alias("tokens"), plain_tokens(F.col("text")).alias("words")).filter(F.size("tokens") > 0)
-    sized = tokens.withColumn("size", F.least(F.lit(window), F.size("tokens"))).withColumn("plain", F.explode(F.array(F.lit(False), F.lit(True))))
-    sized = sized.withColumn("h", F.transform(F.when(F.col("plain"), F.col("words")).otherwise(F.col("tokens")), lambda t: F.xxhash64(t)))
-    at = sized.select("item_id", "plain", "tokens", "h", "size", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("place"))
-    part = F.slice("tokens", F.col("place") + 1, window)
-    words = F.size(F.filter(part, lambda t: ~t.isin(NUM, UNI) & (F.col("plain") | (t != NAM))))
+    text = F.col("text")
+    sets = [F.struct(F.lit(plain).alias("plain"), tokens.alias("tokens"), kinds.alias("kinds")) for plain, tokens, kinds in ((False, template_tokens(text), template_tokens(text)), (True, plain_tokens(text), plain_kinds(text)))]
+    sized = rows.select("item_id", F.explode(F.array(*sets)).alias("set")).select("item_id", "set.*").filter(F.size("tokens") > 0)
+    sized = sized.withColumn("size", F.least(F.lit(window), F.size("tokens"))).withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t)))
+    at = sized.select("item_id", "plain", "kinds", "h", "size", F.explode(F.sequence(F.lit(0), F.size("tokens") - F.col("size"))).alias("place"))
+    part = F.slice("kinds", F.col("place") + 1, window)
+    words = F.size(F.filter(part, lambda t: ~t.isin(NUM, UNI, NAM)))
     slots = F.when(F.col("plain"), 0).otherwise(F.size(F.filter(part, lambda t: t.isin(NUM, UNI, NAM))))
     # tokens beyond a short item are null, which xxhash64 passes over
     hashed = at.select("item_id", "plain", "place", "size", words.alias("words"), slots.alias("n_slots"), F.xxhash64(*[F.get("h", F.col("place") + k) for k in range(window)]).alias("hash"))
@@ -141,15 +170,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     pair = [*doc, "item_id"]
     side = [*pair, "plain"]
     anchors = bench.filter("anchor").select("item_id", "plain", "hash").distinct()
-    met = hashed_windows(keyed, doc, sizes).join(F.broadcast(anchors) if bench.count() <= BROADCAST_ROWS else anchors, "hash")
+    met = window_hashes(keyed, doc, sizes).join(F.broadcast(anchors) if bench.count() <= BROADCAST_ROWS else anchors, "hash")
     pairs = space.save(met.select(*side).distinct(), "pairs")
     # of the documents of a pair, every window that its item has
     wanted = small(space.save(pairs.select(*doc).distinct(), "documents"))
     texts = space.save(_semi(keyed, wanted, doc).distinct(), "texts")
     known = bench.select(F.col("item_id").alias("item"), F.col("plain").alias("set"), F.col("place").alias("item_place"), "size", "hash", "n_slots", "total", "need")
     expected = pairs.join(known, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("plain") == F.col("set"))).drop("item", "set")
-    here = hashed_windows(texts, doc, sizes).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "place", F.col("hash").alias("found"))
-    hits = expected.join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("hash") == F.col("found")))
+    here = placed_windows(texts, doc, sizes).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("plain").alias("p"), "place", F.col("hash").alias("found"))
+    hits = expected.join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("plain") == F.col("p")) & (F.col("hash") == F.col("found")))
     line = (F.col("place") - F.col("item_place")).alias("line")
     hits = space.save(hits.select(*side, "place", "item_place", line, "size", "hash", "n_slots", "total", "need").distinct(), "hits")
 
@@ -199,7 +228,13 @@ def _inconsistent(space: Workspace, hits: DataFrame, texts: DataFrame, items: Da
     at = rows.select(*pair, "line", "doc_raw", "doc_template", "item_raw", "item_template", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("k"))
     kind = F.get("item_template", here)
     at = at.filter(kind.isin(NUM, UNI, NAM) & (F.get("doc_template", there) == kind))
-    slots = space.save(at.select(*pair, "line", "k", kind.alias("kind"), F.lower(F.get("item_raw", here)).alias("was"), F.lower(F.get("doc_raw", there)).alias("now")), "slots")
+    figures = F.create_map(*[F.lit(x) for entry in VALUES.items() for x in entry])
+
+    def value(tokens: str, place: Column) -> Column:
+        token = F.lower(F.get(tokens, place))
+        return F.coalesce(F.when(kind == NUM, F.try_element_at(figures, token)), token)
+
+    slots = space.save(at.select(*pair, "line", "k", kind.alias("kind"), value("item_raw", here).alias("was"), value("doc_raw", there).alias("now")), "slots")
     bad, of = None, [*pair, "line", "kind"]
     # a value of the item with several of the document; a name or unit of the document with several of the item
     for one, other, rows in (("was", "now", slots), ("now", "was", slots.filter(F.col("kind") != NUM))):

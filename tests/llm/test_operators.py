@@ -342,25 +342,35 @@ def test_decontamination_names_at_sentence_starts_and_both_ways(spark):
 
 
 def _template(text):
-    """(template token, plain token, kind of placeholder) of a text, token by token."""
+    """Two lists of (token, value, kind of placeholder), of the template and of the plain tokens."""
     import regex
 
-    name, unit, out = regex.compile(decontam.NAME), regex.compile(decontam.UNIT), []
-    for m in regex.finditer(rf"{decontam.UNIT}|{decontam.TOKEN}", text):
-        word, at = m.group(), m.start()
-        kind = decontam.UNI if unit.match(text, at) else decontam.NUM if regex.fullmatch(decontam.NUMBER, word) else decontam.NAM if name.match(text, at) else None
-        out.append((kind or word.lower(), word.lower(), kind))
-    return out
+    d = decontam
+    units, name, number = set(d.UNITS.split()), regex.compile(d.NAME), regex.compile(rf"(?i:{d.NUMBER})")
+
+    def read(pattern, kind_of):
+        out, end = [], None
+        for m in regex.finditer(pattern, text):
+            word, kind = m.group().lower(), kind_of(m)
+            if end is not None and word in units and text[end : m.start()] in ("", " ", "-"):
+                kind = d.UNI
+            out.append((word, kind))
+            end = m.end() if kind == d.NUM else None
+        return out
+
+    template = read(rf"{d.NAME}|(?i:{d.NUMBER})|[\p{{L}}\p{{M}}]+", lambda m: d.NAM if name.fullmatch(text, m.start(), m.end()) else d.NUM if number.fullmatch(m.group()) else None)
+    plain = read(d.TOKEN, lambda m: d.NUM if m.group()[0].isnumeric() else None)
+    return [(k or w, d.VALUES.get(w, w) if k == d.NUM else w, k) for w, k in template], [(w, w, k) for w, k in plain]
 
 
 def _brute_found(doc, item):
     """The definition, by one alignment after the other over all pairs of places."""
-    w, d, t = decontam.WINDOW, _template(doc), _template(item)
-    size = min(w, len(t))
-    for col in (0, 1):
-        specific = {p for p in range(len(t) - size + 1) if sum(k not in (decontam.NUM, decontam.UNI) and (col or k != decontam.NAM) for _, _, k in t[p : p + size]) >= decontam.MIN_WORDS}
-        hits = {(q - p, p) for p in specific for q in range(len(d) - size + 1) if all(a[col] == b[col] for a, b in zip(t[p : p + size], d[q : q + size]))}
-        windows = {p: tuple(x[col] for x in t[p : p + size]) for p in specific}
+    w = decontam.WINDOW
+    for plain, d, t in zip((False, True), _template(doc), _template(item)):
+        size = min(w, len(t))
+        specific = {p for p in range(len(t) - size + 1) if sum(k is None for _, _, k in t[p : p + size]) >= decontam.MIN_WORDS}
+        hits = {(q - p, p) for p in specific for q in range(len(d) - size + 1) if all(a[0] == b[0] for a, b in zip(t[p : p + size], d[q : q + size]))}
+        windows = {p: tuple(x[0] for x in t[p : p + size]) for p in specific}
 
         def passes(hits):
             if len({windows[p] for _, p in hits}) >= decontam.COVERAGE * len(set(windows.values())):
@@ -376,7 +386,7 @@ def _brute_found(doc, item):
 
         if not specific or not passes(hits):
             continue
-        if not col:
+        if not plain:
             bad = set()
             for line in {x for x, _ in hits}:
                 there, back = collections.defaultdict(set), collections.defaultdict(set)
@@ -418,6 +428,48 @@ def test_decontamination_equals_brute_force_and_finds_other_parameters(spark):
     assert len(got & {(k, i) for k, i, _ in docs}) >= 0.9 * len(docs)
 
 
+def test_decontamination_tokens_of_names_and_numbers(spark):
+    text = "Mary Jane Watson paid twenty-five dollars, One Hundred and six km; two one-way trips for 3 kg of \ue002 Tea. Two and three make no one 5. SEVEN"
+    tokens = spark.createDataFrame([(text,), ("",), (None,)], "text string")
+    rows = tokens.select(decontam.template_tokens(F.col("text")).alias("t"), decontam.raw_tokens(F.col("text")).alias("r"), decontam.plain_tokens(F.col("text")).alias("p"), decontam.plain_kinds(F.col("text")).alias("k")).collect()
+    n, u, a = decontam.NUM, decontam.UNI, decontam.NAM
+    assert rows[0].t == [a, "paid", n, u, n, u, n, "way", "trips", "for", n, u, "of", a, n, "and", n, "make", "no", "one", n, n]
+    assert rows[0].r[:4] == ["Mary Jane Watson", "paid", "twenty-five", "dollars"] and len(rows[0].r) == len(rows[0].t) and len(rows[0].p) == len(rows[0].k)
+    assert [(r.t, r.r) for r in rows[1:]] == [([], []), (None, None)]
+
+
+def test_decontamination_recall_of_two_word_names_and_number_words(spark):
+    rng = random.Random(29)
+    short, long = ["Tom", "Ann", "Ivan", "Mei", "Omar", "Kofi"], ["Mary Jane", "Sue Ellen", "Juan Carlos", "Anna Maria", "Jean Luc", "Li Wei"]
+    words = [None, None, *decontam.SMALL, *decontam.TENS]
+    frames = [
+        "{a} has {n} apples. {b} has {m} pears. {a} gives {k} to {b}.", "{a} reads {n} pages of a book on the first day and {m} pages on the second day. How many pages has {b} read if {b} is {k} pages ahead?",
+        "A bus leaves at noon with {a} and {n} other people on board. At the next stop {m} get off and {b} gets on with {k} friends. How many ride on?", "{a} walks {n} miles to the house of {b} and {m} miles back home by another road. How far did {a} walk in {k} weeks?",
+    ]
+
+    def filled(frame, names, spelled):
+        (a, b), numbers = rng.sample(names, 2), rng.sample(range(2, 20), 3)
+        return frame.format(a=a, b=b, **{s: words[x] if spelled else x for s, x in zip("nmk", numbers)})
+
+    items = [filled(f, short, False) for f in frames]
+    docs = [(k, f"Some other words stand in front here. {filled(frames[k % 4], long if k % 3 else short, k % 2 == 0)} More of them follow after it.") for k in range(48)]
+    swapped = [(48 + k, filled(frames[k % 4], long, True).replace(frames[k % 4].split("{n}")[1].split()[0], "something else again"[: 9 + k % 2])) for k in range(8)]
+    texts = [*docs, *swapped, (90, "nothing of the kind is told in here by Mary Jane and twenty friends")]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id int, text string")).collect()}
+    assert got == {(k, i) for k, t in texts for i, item in enumerate(items) if _brute_found(t, item)}
+    assert len(got & {(k, k % 4) for k, _ in docs}) >= 0.9 * len(docs) and 90 not in {d for d, _ in got}
+
+
+def test_decontamination_of_a_very_long_text_and_repeated_rows(spark):
+    item = "Tom has 3 apples and gives 2 of them to Ann before they both go home to rest."
+    other = "Mary Jane has nine apples and gives four of them to Sue Ellen before they both go home to rest."
+    long = "plain filler words without any meaning at all " * 60000
+    docs = spark.createDataFrame([(1, long + other), (1, long + other), (2, long), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (1, item)], "item_id int, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.find_contamination(docs, items).collect()] == [(1, 1)]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3, 4]
+
+
 # ---------------------------------------------------------------- 6 near-duplicates
 def _sets(texts, k):
     out = {}
