@@ -38,7 +38,9 @@ WINDOW, MIN_WORDS, COVERAGE = 5, 3, 0.5
 RUN = 13
 #: The units that are recognised after a number.
 UNITS = "mm cm dm m km in ft yd mi mg g kg lb lbs oz t ml cl dl l gal ms s sec secs min mins h hr hrs hour hours day days week weeks month months year years minute minutes second seconds meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars cent cents euro euros degree degrees percent watt watts volt volts joule joules newton newtons hz khz mhz ghz kb mb gb tb mph kmh"
-FIGURES = r"\p{N}+(?:[.,]\p{N}+)*"
+#: Groups that repeat do so possessively (nothing stands after them, so they match the same): Java's matcher recurses for every
+#: round of others, and a text of a few thousand capitalised words, number words or groups of figures on end overflows its stack.
+FIGURES = r"\p{N}+(?:[.,]\p{N}+)*+"
 TOKEN = rf"{FIGURES}|[\p{{L}}\p{{M}}]+"
 #: English number words in order, from two on; one is a word of its own but beside another number word.
 SMALL = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -52,13 +54,13 @@ _WORD = "|".join(sorted([*SMALL, *TENS, *SCALES], key=lambda w: (-len(w), w)))
 _END = r"(?![\p{L}\p{M}])"
 NUMBER = (
     rf"{FIGURES}|(?=[bfhmnoste])(?<![\p{{L}}\p{{M}}])(?:one[\x20\-](?=(?:{'|'.join(SCALES)}){_END}))?(?:{_WORD}){_END}"
-    rf"(?:(?:(?<=hundred|thousand|million|billion)\x20and\x20|[\x20\-])(?:{_WORD}|one){_END})*"
+    rf"(?:(?:(?<=hundred|thousand|million|billion)\x20and\x20|[\x20\-])(?:{_WORD}|one){_END})*+"
 )
 #: Function words that begin sentences and are no names (English, German, French, Spanish).
 FUNCTION_WORDS = "a about after all also an and any are as at because before but by can could did do does during each every few find first for from give given had has have he her here his how i if in into is it its let many may more most much must my no not of on one only or other our over please several she should since so some suppose than that the their then there these they this those through to two under until up was we what when where whether which while who whom whose why will with would you your aber als am auf aus bei das dass dem den der des die doch ein eine einen einer er es für hat hier ich ihr im ist man mit nach nicht noch nun nur ob oder sein seine sich sie sind um und unter uns viele von vor wann war wenn wer wie wir wird wo zu zum zur au aux avec ce ces cette comme dans de deux donc du elle elles en est et il ils je la le les leur lorsque mais ne nous où par pas pour quand que quel quelle qui sa sans se ses si son sont sous sur un une vous al algunos como con cuando cual cuánto del desde dos el ella ellos entre esta este esto están hay las lo los más muchos nos o para pero por qué quién ser sin sobre su sus también todos una unos y ya"
 #: A capital letter is looked for first, as most places have none.
 _NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{'|'.join(sorted(map(str.capitalize, [*FUNCTION_WORDS.split(), *SMALL, *TENS, *SCALES]), key=lambda w: (-len(w), w)))})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])"
-NAME = rf"{_NAME}(?:[\x20\-]{_NAME})*"
+NAME = rf"{_NAME}(?:[\x20\-]{_NAME})*+"
 #: Placeholders are single letters of the private use area, which no word contains.
 NUM, UNI, NAM = "\ue000", "\ue001", "\ue002"
 #: A unit is a whole word after a number.

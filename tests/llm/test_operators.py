@@ -298,6 +298,14 @@ def test_decontamination(spark, nothing):
     assert decontam.find_contamination(nothing, items).count() == 0 and decontam.find_contamination(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", ["Anna Boston ", "twenty three ", "1,234.5,"])
+def test_decontamination_takes_runs_of_any_length(spark, run):
+    """Names, number words and figures on end, more of them than a matcher that recurses has stack for."""
+    docs = spark.createDataFrame([(0, run * 100_000 + ". " + ITEM), (1, run * 100_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id int, text string")
+    assert [r.doc_id for r in decontam.find_contamination(docs, items).collect()] == [0]
+
+
 def test_decontamination_equals_containment(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if i.text in d.text}
