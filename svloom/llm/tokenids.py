@@ -29,8 +29,9 @@ from svloom.llm.common import Workspace, shared_fs, tasks_for, write_whole
 MAGIC = b"SVDAC\x001\x00"
 RANK_BLOCK = 512
 SHARD_TOKENS = 1 << 22
-#: Pieces that a worker keeps at most, of those at a text's start and of others each (about 250 bytes a piece, 300 MB).
-CACHE_PIECES = 1_200_000
+#: Pieces of one generation that a worker keeps, of those at a text's start and of others each; it keeps the generation before as well
+#: (about 220 bytes a piece, 130 MB).
+CACHE_PIECES = 300_000
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -148,7 +149,10 @@ def packed(ids) -> bytes:
 
 
 class Pieces(dict):
-    """Ids (as little-endian uint32 bytes) of the pieces between white space, made on demand."""
+    """Ids (as little-endian uint32 bytes) of the pieces between white space, made on demand.
+
+    Pieces of the generation before that are met again go to the present one, so common ones are not made anew when it is full.
+    """
 
     TAIL = ".,;:!?%$#&*|"
 
@@ -156,22 +160,28 @@ class Pieces(dict):
         super().__init__()
         self.tokenizer, self.lead, self.letters = tokenizer, lead, _byte_letters()
         self.model = tokenizer.model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece.rstrip(self.TAIL)
-        if word != piece and word.isascii() and word.isalpha():
-            out = self[word] + self._encode(piece[len(word) :], "")
-        elif piece.isalpha():
-            letters = (self.lead + piece).encode().decode("latin1").translate(self.letters)
-            out = packed(t.id for t in self.model.tokenize(letters))
-        else:
-            out = self._encode(piece, self.lead)
+        out = self.older.get(piece)
+        if out is None:
+            out = self._made(piece)
         if len(piece) <= 64:
             if len(self) >= CACHE_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
+    def _made(self, piece: str) -> bytes:
+        word = piece.rstrip(self.TAIL)
+        if word != piece and word.isascii() and word.isalpha():
+            return self[word] + self._encode(piece[len(word) :], "")
+        if piece.isalpha():
+            letters = (self.lead + piece).encode().decode("latin1").translate(self.letters)
+            return packed(t.id for t in self.model.tokenize(letters))
+        return self._encode(piece, self.lead)
+
     def _encode(self, text: str, lead: str) -> bytes:
         return packed(self.tokenizer.encode(lead + text, add_special_tokens=False).ids)
 
@@ -247,10 +257,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             nonlocal doc_ids, texts, held, seq
             counts = np.array([len(t) // 4 for t in texts], np.int64)
             ids = np.frombuffer(b"".join(texts), "<u4")
+            texts = []
             path = f"{folder}/part-{part:06d}-{seq:05d}-{attempt}.svdac"
             write_whole(path, [pack_shard(doc_ids, counts, ids)])
             row = {"part": [part], "seq": [seq], "path": [path], "n_docs": [len(doc_ids)], "n_tokens": [len(ids)]}
-            doc_ids, texts, held, seq = [], [], 0, seq + 1
+            doc_ids, held, seq = [], 0, seq + 1
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:

@@ -796,3 +796,17 @@ def test_special_tokens_are_one_id(spark):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes())) and ids.tolist().count(50256) == text.count("<|endoftext|>")
         at += len(ids)
+
+
+def test_token_ids_keep_common_pieces_in_few_generations(monkeypatch):
+    import public_tokenizers
+
+    plain, ours, rng = _plain(), tokenids.TextEncoder(public_tokenizers.path(tokenids.DEFAULT_TOKENIZER)), random.Random(11)
+    monkeypatch.setattr(tokenids, "CACHE_PIECES", 50)
+    made = []
+    monkeypatch.setattr(tokenids.Pieces, "_made", lambda self, piece, of=tokenids.Pieces._made: made.append(piece) or of(self, piece))
+    for k in range(200):
+        text = " ".join(x for n in range(20) for x in ("common", f"rare{k}x{n}{rng.choice('abc')}"))
+        assert ours.encode(text) == tokenids.packed(plain.encode(text, add_special_tokens=False).ids)
+        assert all(len(p) <= 50 and len(p.older) <= 50 for p in (ours.first, ours.later))
+    assert made.count("common") <= 2  # once at a text's start, once elsewhere
