@@ -357,3 +357,9 @@ def test_trio_vcf_report_and_snapshot(spark, tmp_path):
 
     writers.write_snapshot(str(tmp_path / "snap"), calls=father, contigs=mother.select("chrom"))
     assert spark.read.parquet(str(tmp_path / "snap/calls")).count() == 4 and spark.read.parquet(str(tmp_path / "snap/contigs")).columns == ["chrom"]
+
+
+def test_length_steps_of_exactly_the_share_do_not_split(spark):
+    rows = spark.createDataFrame([("a", x) for x in (27, 90, 153)] + [("b", x) for x in (26, 90, 153)], "k string, svlen long").withColumn("start", F.lit(0))
+    got = sorted((r.k, r.svlen, r.part) for r in I.length_subclusters(rows, ["k"], ["start"]).collect())
+    assert got == [("a", 27, 1), ("a", 90, 1), ("a", 153, 1), ("b", 26, 1), ("b", 90, 2), ("b", 153, 2)]
