@@ -16,6 +16,7 @@ from svloom.operators import clusters as C
 from svloom.operators import cut
 from svloom.operators import islands as I
 from svloom.operators import pileup as P
+from svloom.operators import support as U
 from svloom.operators import trio as T
 from svloom.operators.ranges import range_count, range_join
 from svloom.operators.score import linear_scorer, score_windows
@@ -363,3 +364,28 @@ def test_length_steps_of_exactly_the_share_do_not_split(spark):
     rows = spark.createDataFrame([("a", x) for x in (27, 90, 153)] + [("b", x) for x in (26, 90, 153)], "k string, svlen long").withColumn("start", F.lit(0))
     got = sorted((r.k, r.svlen, r.part) for r in I.length_subclusters(rows, ["k"], ["start"]).collect())
     assert got == [("a", 27, 1), ("a", 90, 1), ("a", 153, 1), ("b", 26, 1), ("b", 90, 2), ("b", 153, 2)]
+
+def test_first_reads_of_a_call_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(U, "LIST_CELL", 40)
+    reads = [(f"r{k % 290}", k, rng.choice(("c1", "c2", None)), s := rng.choice((300, 310, rng.randint(0, 3000))), s + rng.choice((0, 5, rng.randint(1, 400))), 0, rng.choice((10, 60))) for k in range(300)]
+    calls = [(str(k), rng.choice(("c1", "c2", "c3", None)), rng.choice(("INS", "DEL", "BND")), rng.randint(0, 3200), rng.choice((1, 40, 3000)), [f"r{rng.randint(0, 299)}" for _ in range(rng.randint(0, 60))]) for k in range(150)]
+    r = spark.createDataFrame(reads, "read_name string, read_ordinal long, contig string, ref_start long, ref_end long, flag int, mapq int")
+    c = spark.createDataFrame(calls, "call_id string, contig string, svtype string, start long, svlen long, reads array<string>")
+    every = {}
+    for n, (call_id, contig, kind, start, svlen, own) in enumerate(calls):
+        end, bias = (start + 1, 1000) if kind != "DEL" else (start + svlen, 2000)
+        hits = sorted((x[3], x[1], x[0]) for x in reads if x[2] == contig and contig and x[6] >= 20 and x[3] < end + bias and x[4] > max(0, start - bias) and x[0] not in own)
+        every[call_id] = [x[1] for x in hits]
+    for first in (1, 7, 50, None):
+        got = {}
+        for row in U.evidence_reads(c, r, ["call_id"], first).orderBy("call_id", "nth").collect():
+            got.setdefault(row.call_id, []).append(row.read_ordinal)
+            assert row.nth == len(got[row.call_id])
+        assert got == {k: v[:first] for k, v in every.items() if v}
+    at = {x[0]: x for x in calls}
+    primary = [x for x in reads if x[2]]
+    for row in U.count_support(c, r, ["call_id"]).collect():
+        _, contig, kind, start, svlen, _ = at[row.call_id]
+        s, e = (start, start + max(svlen, 1)) if kind == "DEL" else (max(0, start - 1000), start + 1000)
+        assert row.local == sum(x[2] == contig and x[3] < e and x[4] > s for x in primary)
