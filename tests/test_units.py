@@ -389,3 +389,11 @@ def test_first_reads_of_a_call_equal_brute_force(spark, monkeypatch):
         _, contig, kind, start, svlen, _ = at[row.call_id]
         s, e = (start, start + max(svlen, 1)) if kind == "DEL" else (max(0, start - 1000), start + 1000)
         assert row.local == sum(x[2] == contig and x[3] < e and x[4] > s for x in primary)
+
+
+def test_genotypes_are_computed_once_for_equal_depths(spark):
+    rows = spark.createDataFrame([(k, r, a, e) for k, (r, a, e) in enumerate([(3, 2, 0.1), (3, 2, 0.1), (1, 9, 0.0), (None, 2, 0.1), (None, 2, 0.1)])], "id int, ref long, alt long, error double")
+    drawn = [r.gt for r in U.genotype_of_depths(rows, lambda r, a, e: F.expr("uuid()")).orderBy("id").collect()]
+    assert len(drawn) == 5 and drawn[0] == drawn[1] and drawn[3] == drawn[4] and len(set(drawn)) == 3
+    got = U.genotype_of_depths(rows, G.genotype_vote).orderBy("id").collect()
+    assert [r.gt for r in got] == [r.gt for r in rows.select("id", G.genotype_vote(F.col("ref"), F.col("alt"), F.col("error")).alias("gt")).orderBy("id").collect()]
