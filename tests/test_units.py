@@ -397,3 +397,36 @@ def test_genotypes_are_computed_once_for_equal_depths(spark):
     assert len(drawn) == 5 and drawn[0] == drawn[1] and drawn[3] == drawn[4] and len(set(drawn)) == 3
     got = U.genotype_of_depths(rows, G.genotype_vote).orderBy("id").collect()
     assert [r.gt for r in got] == [r.gt for r in rows.select("id", G.genotype_vote(F.col("ref"), F.col("alt"), F.col("error")).alias("gt")).orderBy("id").collect()]
+
+
+def test_events_of_the_first_reads_of_a_call_equal_brute_force(spark, monkeypatch):
+    """Calls meet the reads of their cell, in several groups, and at most `first` of them in file order."""
+    rng = random.Random(8)
+    monkeypatch.setattr(U, "REFINE_CELL", 150)
+    monkeypatch.setattr(U, "REFINE_CALLS", 7)
+    reads = []
+    for k in range(260):
+        s = rng.choice((300, rng.randint(0, 2500)))
+        e = s + rng.choice((0, 60, rng.randint(1, 700)))
+        reads.append((rng.choice(("c1", "c2", None)), rng.choice((f"r{k % 190}", None)), k, s, e, [(rng.choice("DI"), rng.randint(s, e), rng.randint(40, 90)) for _ in range(rng.randint(0, 3))]))
+    calls = [(k, rng.choice(("c1", "c2", "c3", None)), rng.choice(("INS", "DEL", "DUP")), rng.choice((rng.randint(0, 2600), None)), rng.choice((0, 50, 400, 2000))) for k in range(120)]
+    r = spark.createDataFrame(reads, "contig string, read_name string, read_ordinal long, ref_start long, ref_end long, events array<struct<op:string,start:long,n:long>>")
+    c = spark.createDataFrame(calls, "id long, contig string, svtype string, start long, svlen long")
+    for first in (1, 9, 5000):
+        want = {}
+        for k, contig, kind, start, svlen in calls:
+            if contig is None or start is None or kind == "DUP":
+                continue
+            size = max(1, svlen)
+            low, high = max(0, start - 100), start + (1 if kind == "INS" else size) + 100
+            near = sorted((x for x in reads if x[0] == contig and x[3] < high and x[4] > low), key=lambda x: (x[3], x[2]))[:first]
+            fit = []
+            for x in near:
+                for op, at, n in x[5]:
+                    close = abs(at - start) <= 300 or kind == "DEL" and (abs(at + n - start - size) <= 300 or max(0, min(at + n, start + size) - max(at, start)) / max(1, min(n, size)) >= 0.2)
+                    if op == kind[0] and close and 0.25 <= n / size <= 4:
+                        fit.append((x[1], at, at + (n if kind == "DEL" else 0), n))
+            if fit:
+                want[k] = (len({x[0] for x in fit} - {None}), *[round(float(np.median([x[i] for x in fit]))) for i in (1, 2, 3)])
+        got = {x.id: tuple(x)[1:] for x in U._events_seen(c, r, ["id"], 100, 300, first).collect()}
+        assert got == want and want
