@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from svloom.functions.variants import bnd_lines, vcf_line
-from svloom.operators.cut import cut, drop, exists
+from svloom.operators.cut import cut, drop, file_system
 from svloom.operators.trio import TYPES, trio_lines
 from svloom.sources.committed import write_lines
 from svloom.sources.config import normal_spec
-from svloom.sources.readers import read_vcf
+from svloom.sources.readers import REPLACES, STORE_KEY, WRITE, read_store, read_vcf, store_writes
 
 #: Fixed text of a VCF header.
 HEADER_TOP = ("##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">')
@@ -155,17 +155,29 @@ def write_snapshot(path: str, **tables: DataFrame) -> None:
 
 
 def write_store(windows: DataFrame, path: str, keys: list[str], overwrite: bool = False, spec: dict | None = None) -> None:
-    """Windows by contig and region; regions that are there already are left out unless overwrite.
+    """Windows by contig and region; regions that are there already are left out, or with overwrite replaced.
 
+    A write is a folder of few files with the rows of a region together, whatever the number of regions; keys are columns, marked in the
+    footers. Readers take a region from its newest write (readers.read_store), and a write that has no newest region any more is deleted. So
+    stores are few files, and nothing is renamed or listed for each region.
     spec: the specification of the features, kept as metadata of their column in every file's footer.
     """
     spark = windows.sparkSession
     if spec is not None:
         windows = windows.withMetadata("features", {"feature_spec": json.dumps(normal_spec(spec))})
-    if not overwrite and exists(spark, path):
-        windows = windows.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    mode = "overwrite" if overwrite else "append"
-    windows.repartition(*keys).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    writes = store_writes(spark, path)
+    if writes and not overwrite:
+        windows = windows.join(read_store(spark, path).select(*keys).distinct(), keys, "left_anti")
+    for place, key in enumerate(keys, 1):
+        windows = windows.withMetadata(key, {STORE_KEY: place})
+    folder = f"{path}/{WRITE}={max(writes, default=-1) + 1}/{REPLACES}={int(overwrite)}"
+    windows.repartition(*keys).sortWithinPartitions(*keys).write.mode("append").parquet(folder)
+    if writes and overwrite:
+        newest = spark.read.parquet(path).groupBy(*keys).agg(F.max(WRITE).alias(WRITE))
+        live = {r[WRITE] for r in newest.select(WRITE).distinct().collect()}
+        for n in set(writes) - live:
+            fs, at = file_system(spark, f"{path}/{WRITE}={n}")
+            fs.delete(at, True)
 
 
 def write_refine_report(summary: DataFrame, path: str) -> bool:

@@ -430,3 +430,21 @@ def test_events_of_the_first_reads_of_a_call_equal_brute_force(spark, monkeypatc
                 want[k] = (len({x[0] for x in fit} - {None}), *[round(float(np.median([x[i] for x in fit]))) for i in (1, 2, 3)])
         got = {x.id: tuple(x)[1:] for x in U._events_seen(c, r, ["id"], 100, 300, first).collect()}
         assert got == want and want
+
+
+def test_stores_have_few_files_however_many_regions(spark, tmp_path):
+    path, keys = str(tmp_path / "s"), ["contig", "region"]
+    rows = spark.range(600).select(F.lit("chr1").alias("contig"), F.floor(F.col("id") / 2).alias("region"), F.col("id").alias("at"), F.lit(1).alias("x"))
+    files = lambda: len(list((tmp_path / "s").rglob("*.parquet")))
+    got = lambda: {r.x: r["count"] for r in readers.read_store(spark, path).groupBy("x").count().collect()}
+    writers.write_store(rows, path, keys)
+    assert 0 < files() <= 4 and got() == {1: 600}
+    writers.write_store(rows.filter("region < 100").withColumn("x", F.lit(2)), path, keys, overwrite=True)
+    assert got() == {1: 400, 2: 200} and readers.count_store(spark, path).first().samples == 600
+    # a region that comes back smaller is replaced in whole; one that is there stays
+    writers.write_store(rows.filter("at = 0").withColumn("x", F.lit(3)), path, keys, overwrite=True)
+    writers.write_store(rows.withColumn("region", F.col("region") + 299).withColumn("x", F.lit(4)), path, keys)
+    assert got() == {1: 400, 2: 198, 3: 1, 4: 598}
+    writers.write_store(readers.read_store(spark, path).withColumn("x", F.lit(5)), path, keys, overwrite=True)
+    assert got() == {5: 1197} and files() <= 4 and readers.read_store(spark, path).columns == rows.columns
+    assert {r.store for r in readers.find_stores(spark, str(tmp_path)).collect()} == {f"region={k}" for k in range(599)}
