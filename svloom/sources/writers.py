@@ -14,6 +14,8 @@ from svloom.sources.committed import write_lines
 from svloom.sources.config import normal_spec
 from svloom.sources.readers import REPLACES, STORE_KEY, WRITE, read_store, read_vcf, store_writes
 
+#: Contigs up to so many are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Fixed text of a VCF header.
 HEADER_TOP = ("##fileformat=VCFv4.2", '##FILTER=<ID=PASS,Description="All filters passed">')
 HEADER_END = (
@@ -33,6 +35,15 @@ def header_lines(contigs: DataFrame) -> DataFrame:
     return top.unionAll(middle).unionAll(end)
 
 
+def _ordered(lines: DataFrame, order: DataFrame) -> DataFrame:
+    """lines with the ordinal of their contig, null where it has none.
+
+    A shuffle by contig would give a task all lines of one, so few contigs are broadcast.
+    """
+    order = cut(order)
+    return lines.join(F.broadcast(order) if order.count() <= BROADCAST_ROWS else order, "contig", "left")
+
+
 def write_vcf(calls: DataFrame, contigs: DataFrame, path: str) -> None:
     """Header and data lines in text parts whose order by name is the file's; calls has contig, start, svlen, svtype, gt.
 
@@ -40,7 +51,7 @@ def write_vcf(calls: DataFrame, contigs: DataFrame, path: str) -> None:
     """
     lines = calls.select("contig", "start", vcf_line(*[F.col(c) for c in ("contig", "start", "svlen", "svtype", "gt")]).alias("line")).filter("line is not null")
     order = contigs.select("contig", (F.lit(1 << 41) + F.col("ord")).alias("ordinal"))
-    body = lines.join(order, "contig", "left").select(F.coalesce("ordinal", F.lit(1 << 42)).alias("ordinal"), "start", "line")
+    body = _ordered(lines, order).select(F.coalesce("ordinal", F.lit(1 << 42)).alias("ordinal"), "start", "line")
     whole = header_lines(contigs).select("ordinal", F.lit(0).cast("long").alias("start"), "line").unionByName(body)
     whole.orderBy("ordinal", "start", "line").select("line").write.mode("overwrite").text(path)
 
@@ -73,7 +84,7 @@ def _write_files(calls: DataFrame, breakends: DataFrame | None, contigs: DataFra
     counts = [F.count_if(F.col("fault").isNull()).alias("written"), *[F.count_if(F.coalesce(F.col("fault") == x, F.lit(False))).alias(x) for x in ("unknown_type", "bad_place")]]
     placed = cut(_placed_lines(calls, breakends).observe(seen, *counts))
     place = contigs.select("contig", (F.lit(1 << 41) + F.col("ord")).alias("ordinal"))
-    body = placed.filter("fault is null").join(place, "contig", "left").withColumn("f", F.explode(file_of))
+    body = _ordered(placed.filter("fault is null"), place).withColumn("f", F.explode(file_of))
     body = body.select("f.file", F.coalesce("ordinal", F.lit(1 << 42)).alias("ordinal"), F.col("start").cast("long").alias("start"), "f.line")
     head = header_lines(contigs).select(F.explode(F.array(*map(F.lit, files))).alias("file"), "ordinal", F.lit(0).cast("long").alias("start"), "line")
     order = ["file", "ordinal", "start", "line"]

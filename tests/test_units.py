@@ -448,3 +448,11 @@ def test_stores_have_few_files_however_many_regions(spark, tmp_path):
     writers.write_store(readers.read_store(spark, path).withColumn("x", F.lit(5)), path, keys, overwrite=True)
     assert got() == {5: 1197} and files() <= 4 and readers.read_store(spark, path).columns == rows.columns
     assert {r.store for r in readers.find_stores(spark, str(tmp_path)).collect()} == {f"region={k}" for k in range(599)}
+
+
+def test_lines_are_not_shuffled_by_contig(spark):
+    lines = spark.createDataFrame([("chr1", 5), ("chr9", 6)], "contig string, start long")
+    order = spark.createDataFrame([("chr1", 3)], "contig string, ordinal long").distinct()
+    placed = writers._ordered(lines, order)
+    assert sorted((r.contig, r.ordinal) for r in placed.collect()) == [("chr1", 3), ("chr9", None)]
+    assert "BroadcastHashJoin" in (plan := placed._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(contig" not in plan
