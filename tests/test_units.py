@@ -456,3 +456,29 @@ def test_lines_are_not_shuffled_by_contig(spark):
     placed = writers._ordered(lines, order)
     assert sorted((r.contig, r.ordinal) for r in placed.collect()) == [("chr1", 3), ("chr9", None)]
     assert "BroadcastHashJoin" in (plan := placed._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(contig" not in plan
+
+
+def test_reads_over_a_call_equal_brute_force_in_any_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    reads = [(k, rng.choice(("c1", "c2", None)), s := rng.choice((300, 310, None, rng.randint(0, 3000))), (s or 0) + rng.choice((0, 5, -90, rng.randint(1, 900)))) for k in range(400)]
+    calls = [(k, rng.choice(("c1", "c2", "c3", None)), rng.choice(("INS", "DEL", "DUP")), rng.choice((300, rng.randint(0, 3200))), rng.choice((1, 40, 2500, None))) for k in range(120)]
+    r = spark.createDataFrame(reads, "read_ordinal long, contig string, ref_start long, ref_end long")
+    c = spark.createDataFrame(calls, "id long, contig string, svtype string, start long, svlen long")
+    every = {}
+    for k, contig, kind, start, svlen in calls:
+        end = start + (1 if kind == "INS" else max(1, svlen or 1)) + 200
+        hits = sorted((x[2], x[0]) for x in reads if kind != "DUP" and contig and x[1] == contig and x[2] is not None and x[2] < end and x[3] > max(0, start - 200))
+        every[k] = [x[1] for x in hits]
+    for cell, most in ((1000, 8192), (70, 7)):
+        monkeypatch.setattr(U, "PAIR_CELL", cell)
+        monkeypatch.setattr(U, "LIST_READS", most)
+        for first in (1, 20, 5000):
+            found = U.refine_reads(c, r, ["id"], first=first)
+            got = {}
+            for row in found.orderBy("id", "nth").collect():
+                got.setdefault(row.id, []).append(row.read_ordinal)
+                assert row.nth == len(got[row.id])
+            assert got == {k: v[:first] for k, v in every.items() if v}
+            if most > 400:
+                # no pair is shuffled: nothing goes by the call
+                assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
