@@ -482,3 +482,22 @@ def test_reads_over_a_call_equal_brute_force_in_any_pieces(spark, monkeypatch):
             if most > 400:
                 # no pair is shuffled: nothing goes by the call
                 assert "hashpartitioning(id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_evidence_equals_brute_force_and_is_not_shuffled(spark, monkeypatch):
+    rng = random.Random(9)
+    reads = [(f"r{k}", k, "c1", s := rng.randint(0, 30000), s + rng.randint(1, 9000), 0, 60) for k in range(500)]
+    calls = [(str(k), "c1", rng.choice(("INS", "DEL")), rng.randint(0, 30000), rng.choice((50, 20000)), [f"r{rng.randint(0, 499)}" for _ in range(9)]) for k in range(90)]
+    r = spark.createDataFrame(reads, "read_name string, read_ordinal long, contig string, ref_start long, ref_end long, flag int, mapq int")
+    c = spark.createDataFrame(calls, "call_id string, contig string, svtype string, start long, svlen long, reads array<string>")
+    reach = {x[0]: (max(0, x[3] - 1000), x[3] + 1001) if x[2] == "INS" else (max(0, x[3] - 2000), x[3] + x[4] + 2000) for x in calls}
+    every = {x[0]: [y[0] for y in sorted(reads, key=lambda y: (y[3], y[1])) if y[3] < reach[x[0]][1] and y[4] > reach[x[0]][0] and y[0] not in x[5]] for x in calls}
+    for most in (8192, 11):
+        monkeypatch.setattr(U, "LIST_READS", most)
+        found = U.evidence_reads(c, r, ["call_id"], None)
+        got = {}
+        for row in found.orderBy("call_id", "nth").collect():
+            got.setdefault(row.call_id, []).append(row.read_name)
+            assert row.nth == len(got[row.call_id])
+        assert got == {k: v for k, v in every.items() if v}
+        assert most < 500 or "hashpartitioning(call_id" not in found._jdf.queryExecution().executedPlan().toString()
