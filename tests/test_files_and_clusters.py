@@ -180,3 +180,32 @@ def test_array_stores_round_trip_and_fail_whole(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         array_store.write_arrays(broken, str(tmp_path / "new"), ["id"])
     assert not [x for x in (tmp_path / "new").rglob("*") if x.is_file()] if (tmp_path / "new").exists() else True
+
+
+def test_short_runs_are_clustered_without_the_grid(spark, monkeypatch):
+    """Runs over batches, parts, keys and nulls give the grid's clusters; points that are alone never come to the grid."""
+    rng = random.Random(4)
+    spots = [rng.randint(-20_000, 60_000) for _ in range(60)]
+    rows = [(rng.choice(("c1", "c2", None)), rng.choice(("DEL", "INV")), rng.choice((rng.choice(spots) + rng.randint(0, 400), None) if k % 40 == 0 else (rng.choice(spots) + rng.randint(0, 400),)), rng.choice((50, 90, 400, None) if k % 30 == 0 else (50, 90, 400)), k) for k in range(1500)]
+    rows += [("c1", "DEL", 200_000 + 20 * k, 60, 5000 + k) for k in range(90)]
+    sig = spark.createDataFrame(rows, "contig string, svtype string, start long, svlen long, ord long").withColumn("eps", F.when(F.col("svtype") == "DEL", 100.0).otherwise(70.0))
+    grid, came = C._grid_clusters, []
+
+    def watched(rest, keys):
+        came.append(rest.count())
+        return grid(rest, keys)
+
+    monkeypatch.setattr(C, "_grid_clusters", watched)
+    want = {r.ord: r.cluster for r in grid(sig, ["contig", "svtype", "eps"]).collect()}
+    assert len(want) == len(rows)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size, most in ((7, 12), (10_000, 256)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            monkeypatch.setattr(C, "RUN_POINTS", most)
+            assert {r.ord: r.cluster for r in C.density_clusters(sig).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert 90 <= came[1] < came[0] < len(rows) + 1
+    apart = spark.createDataFrame([("c", "DEL", 500 + 100_000 * k, 60, k) for k in range(50)], sig.drop("eps").schema).withColumn("eps", F.lit(300.0))
+    assert C.density_clusters(apart).select("cluster").distinct().count() == 50 and came[2] <= 2
