@@ -501,3 +501,19 @@ def test_all_evidence_equals_brute_force_and_is_not_shuffled(spark, monkeypatch)
             assert row.nth == len(got[row.call_id])
         assert got == {k: v for k, v in every.items() if v}
         assert most < 500 or "hashpartitioning(call_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_length_subclusters_make_no_list_of_a_cluster(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(("a", "b", "c", None)), rng.choice((50, 90, 153, 400, 401, rng.randint(50, 3000), None)), k) for k in range(300)]
+    out = I.length_subclusters(spark.createDataFrame(rows, "k string, svlen long, ord long"), ["k"], ["ord"])
+    want = {}
+    for key in "abc":
+        own = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        sizes = sorted(x[1] for x in own if x[1] is not None)
+        part, last = 0, None
+        for _, size, k in own:
+            part += last is None or size is None or 10 * (size - last) > 7 * sizes[len(sizes) // 2]
+            want[k], last = (key, part), size
+    assert {r.ord: (r.k, r.part) for r in out.collect()} == want
+    assert "collect_list" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
