@@ -20,6 +20,7 @@ from svloom.operators import support as U
 from svloom.operators import trio as T
 from svloom.operators.ranges import range_count, range_join
 from svloom.operators.score import linear_scorer, score_windows
+from svloom.plans import calls as calls_plans
 from svloom.plans import pipelines
 from svloom.sources import config, readers, writers
 from svloom.sources.fixtures import projection
@@ -517,3 +518,19 @@ def test_length_subclusters_make_no_list_of_a_cluster(spark):
             want[k], last = (key, part), size
     assert {r.ord: (r.k, r.part) for r in out.collect()} == want
     assert "collect_list" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+
+
+def test_spread_range_join_equals_nested_loop_and_is_merged(spark, sf):
+    rng = random.Random(18)
+    reads = [(k, rng.choice(("c1", "c2", None)), s := rng.choice((300, None, rng.randint(-500, 3000))), (s or 0) + rng.choice((0, 5, -90, rng.randint(1, 900)))) for k in range(300)]
+    calls = [(k, rng.choice(("c1", "c2", "c3", None)), s := rng.choice((300, rng.randint(-500, 3200))), s + rng.choice((0, -40, 1, 401, 2500))) for k in range(120)]
+    r = spark.createDataFrame([*reads, reads[0]], "read_ordinal long, contig string, rs long, re long")
+    c = spark.createDataFrame([*calls, calls[0]], "id long, contig string, start long, end long")
+    every = sorted((x[0], y[0]) for x in [*calls, calls[0]] for y in [*reads, reads[0]] if x[1] and x[1] == y[1] and y[2] is not None and x[2] < y[3] and x[3] > y[2])
+    for width in (1000, 70):
+        found = range_join(c, r, ["contig"], ("start", "end"), ("rs", "re"), width, spread=True)
+        assert sorted((x.id, x.read_ordinal) for x in found.collect()) == every
+    # pairs are no copies of a broadcast list, and bytes do not decide on the number of tasks
+    found = calls_plans.overlap_join_refine(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
