@@ -29,6 +29,14 @@ def shared_root(spark: SparkSession) -> str:
 STORES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gcs": "gs"}
 
 
+#: A row group and a page for each row of megabytes. Neither their least and largest values nor a dictionary are kept, as a writer would
+#: hold them until its file ends.
+LARGE_ROWS = {
+    "parquet.block.size": 1 << 22, "parquet.page.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1,
+    "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false",
+}
+
+
 class Workspace:
     """Written tables of one run below the shared folder; they cut lineage and survive executors.
 
@@ -57,10 +65,14 @@ class Workspace:
         self._n += 1
         return f"{self.path}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-        """Write df as Parquet and read it again, with the lineage cut."""
+    def save(self, df: DataFrame, name: str, partition_by: list[str] | None = None, large_rows: bool = False) -> DataFrame:
+        """Write df as Parquet and read it again, with the lineage cut.
+
+        large_rows: for rows of megabytes, of which Parquet would hold a hundred before it looks at their size.
+        """
         path = self.folder(name)
         writer = df.write.option("compression", "zstd")
+        writer = writer.options(**LARGE_ROWS) if large_rows else writer
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._svloom_path = path

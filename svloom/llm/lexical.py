@@ -229,7 +229,7 @@ def build_index(space: Workspace, docs: DataFrame, length_share: int = LENGTH_SH
             yield from shard(ids, texts, kind)
 
     made = texts.mapInArrow(shards, f"doc_ids array<{kind}>, terms binary, held binary, treap binary")
-    return Index(space.save(made, "shards"), n_docs, n_terms)
+    return Index(space.save(made, "shards", large_rows=True), n_docs, n_terms)
 
 
 def document_counts(index: Index, terms: list[bytes]) -> dict[bytes, int]:
