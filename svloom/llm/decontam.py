@@ -172,7 +172,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     pair = [*doc, "item_id"]
     side = [*pair, "plain"]
     anchors = bench.filter("anchor").select("item_id", "plain", "hash").distinct()
-    met = window_hashes(keyed, doc, sizes).join(F.broadcast(anchors) if bench.count() <= BROADCAST_ROWS else anchors, "hash")
+    # Spark sizes what was exploded by the file it came from, so it must not choose to broadcast it
+    met = window_hashes(keyed, doc, sizes).join(F.broadcast(anchors) if bench.count() <= BROADCAST_ROWS else anchors.hint("merge"), "hash")
     pairs = space.save(met.select(*side).distinct(), "pairs")
     # of the documents of a pair, every window that its item has
     wanted = small(space.save(pairs.select(*doc).distinct(), "documents"))
@@ -180,7 +181,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     known = bench.select(F.col("item_id").alias("item"), F.col("plain").alias("set"), F.col("place").alias("item_place"), "size", "hash", "n_slots", "total", "need")
     expected = pairs.join(known, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("plain") == F.col("set"))).drop("item", "set")
     here = placed_windows(texts, doc, sizes).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("plain").alias("p"), "place", F.col("hash").alias("found"))
-    hits = expected.join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("plain") == F.col("p")) & (F.col("hash") == F.col("found")))
+    hits = expected.join(here.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("plain") == F.col("p")) & (F.col("hash") == F.col("found")))
     line = (F.col("place") - F.col("item_place")).alias("line")
     hits = space.save(hits.select(*side, "place", "item_place", line, "size", "hash", "n_slots", "total", "need").distinct(), "hits")
 
@@ -191,7 +192,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     likely = space.save(passing(hits).select(*side), "likely")
     hits = _semi(hits, likely, side)
     bad = _inconsistent(space, hits.filter("not plain"), texts, items, window).withColumn("plain", F.lit(False))
-    found = passing(_anti(hits, bad, [*side, "line", "item_place"]))
+    found = passing(_anti(hits, bad.hint("merge"), [*side, "line", "item_place"]))
     share = F.round(F.col("n_windows") / F.col("total"), 4).alias("coverage")
     # figures of the templates, or of the plain windows where these alone pass
     best = found.groupBy(*pair).agg(F.max(F.struct(~F.col("plain"), share, "n_windows", F.col("n_slots").cast("long").alias("n_slots"))).alias("best"))
@@ -225,7 +226,7 @@ def _inconsistent(space: Workspace, hits: DataFrame, texts: DataFrame, items: Da
     lines = space.save(lines.drop("slots"), "lines")
     docs = texts.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), raw_tokens(F.col("text")).alias("doc_raw"), template_tokens(F.col("text")).alias("doc_template"))
     bench = _semi(items.select("item_id", "text"), lines, ["item_id"]).distinct().select(F.col("item_id").alias("__i"), raw_tokens(F.col("text")).alias("item_raw"), template_tokens(F.col("text")).alias("item_template"))
-    rows = lines.join(docs, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))).join(bench, F.col("item_id").eqNullSafe(F.col("__i")))
+    rows = lines.join(docs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))).join(bench, F.col("item_id").eqNullSafe(F.col("__i")))
     here, there = F.col("k"), F.col("k") + F.col("line")
     at = rows.select(*pair, "line", "doc_raw", "doc_template", "item_raw", "item_template", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("k"))
     kind = F.get("item_template", here)
