@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from svloom.functions import variants as V
 from svloom.operators import support as U
-from svloom.operators.cut import scratch
+from svloom.operators.cut import cut, scratch
 from svloom.plans.calls import REFINE_SQL, predicted
 from svloom.plans.registry import query
 from svloom.plans.trios import ALT_SQL, KIND_SQL, number_sql, word_sql
@@ -143,13 +143,16 @@ _HALVES = "(window_start // 2000 * (k + 1)) % 512 / 8.0"
 @query("scan_npy_store", f"""{WINDOWS}, r AS (SELECT 'r' || (window_start // {REGION} % 7) || '/' || contig || '_' || (window_start // {REGION}) AS stem, row_number() OVER (PARTITION BY contig, window_start // {REGION} ORDER BY window_start) - 1 AS row, window_start, CAST(prob >= 0.03 AS INT) AS label FROM windows)
   SELECT stem, row, CAST(window_start AS INT) AS first, CAST(window_start + 2000 AS INT) AS last, label, k AS channel, CAST({_HALVES} AS DOUBLE) AS value FROM r, generate_series(0, 3) t(k)""")
 def scan_npy_store(spark, sf_dir):
-    """Feature, index and label arrays, written by tasks and read back by ranges of rows."""
+    """Feature, index and label arrays, written by tasks and read back by ranges of rows; windows beyond the whole numbers of INT are indexed by BIGINT."""
     path, at = scratch(spark, "arrays"), F.col("window_start")
-    rows = _windows(spark, sf_dir).withColumn("stem", F.concat(F.lit("r"), F.col("region") % 7, F.lit("/"), "contig", F.lit("_"), "region"))
+    windows = cut(_windows(spark, sf_dir))
+    far = windows.agg(F.max("window_start")).first()[0] or 0
+    kind = "int" if far + 2000 < 1 << 31 else "bigint"
+    rows = windows.withColumn("stem", F.concat(F.lit("r"), F.col("region") % 7, F.lit("/"), "contig", F.lit("_"), "region"))
     values = F.array(*[F.floor(at / 2000) * (k + 1) % 512 / 8.0 for k in range(4)])
-    rows = rows.select("stem", "window_start", F.array(at.cast("int"), (at + 2000).cast("int")).alias("index"), values.alias("features"), (F.col("prob") >= 0.03).cast("int").alias("label"))
+    rows = rows.select("stem", "window_start", F.array(at.cast(kind), (at + 2000).cast(kind)).alias("index"), values.alias("features"), (F.col("prob") >= 0.03).cast("int").alias("label"))
     write_arrays(rows, path, ["window_start"])
-    found = read_arrays(spark, path).select("stem", "row", F.get("index", 0).alias("first"), F.get("index", 1).alias("last"), "label", F.posexplode("features").alias("channel", "value"))
+    found = read_arrays(spark, path, kind).select("stem", "row", F.get("index", 0).alias("first"), F.get("index", 1).alias("last"), "label", F.posexplode("features").alias("channel", "value"))
     return found.withColumn("channel", F.col("channel").cast("long")).withColumn("value", F.col("value").cast("double"))
 
 

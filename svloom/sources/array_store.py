@@ -22,8 +22,10 @@ from svloom.sources.committed import files_at
 
 SUFFIXES = ("_index", "_label", "_predict")
 SCHEMA = "stem string, row long, index array<int>, features array<float>, label int"
-#: Bytes of features of one partition, and rows of one batch.
-PART_BYTES, BATCH_ROWS = 64 << 20, 256
+#: Bytes of features of one partition, what the files of a stem count beside their bytes, and rows of one batch.
+PART_BYTES, OPEN_BYTES, BATCH_ROWS = 64 << 20, 1 << 20, 256
+#: The types that an index may have.
+INDEX = {"int": np.dtype(np.int32), "bigint": np.dtype(np.int64)}
 
 
 @dataclass(frozen=True)
@@ -52,49 +54,68 @@ class Header:
 
 @dataclass
 class Rows(InputPartition):
+    """A range of rows, and more of them where stores are small."""
+
     stem: str
     lo: int
     hi: int
+    more: list[tuple[str, int, int]] = field(default_factory=list)
 
 
 class ArraysReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, index: str = "int"):
+        self.path, self.index = path.rstrip("/"), INDEX[index]
 
     def partitions(self) -> list[Rows]:
         from pyarrow.fs import FileSelector
 
         fs, root = files_at(self.path)
-        out = []
+        out, room = [], 0
         for info in sorted(fs.get_file_info(FileSelector(root, recursive=True)), key=lambda i: i.path):
             stem = info.path.removeprefix(root).lstrip("/").removesuffix(".npy")
             if not info.is_file or not info.path.endswith(".npy") or stem.endswith(SUFFIXES) or "/_work-" in info.path:
                 continue
             head = Header.of(fs, info.path)
-            each = max(1, PART_BYTES // max(1, head.width * head.dtype.itemsize))
-            out += [Rows(stem, lo, min(lo + each, head.rows)) for lo in range(0, head.rows, each)]
+            size = max(1, head.width * head.dtype.itemsize)
+            each = max(1, PART_BYTES // size)
+            for lo in range(0, head.rows, each):
+                hi = min(lo + each, head.rows)
+                cost = OPEN_BYTES + (hi - lo) * size
+                if not out or cost > room:
+                    out.append(Rows(stem, lo, hi))
+                    room = PART_BYTES
+                else:
+                    out[-1].more.append((stem, lo, hi))
+                room -= cost
         return out or [Rows("", 0, 0)]
 
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
+        for stem, lo, hi in [(partition.stem, partition.lo, partition.hi), *partition.more]:
+            if lo < hi:
+                yield from self._range(stem, lo, hi)
+
+    def _range(self, stem: str, begin: int, end: int) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileType
 
-        if partition.lo == partition.hi:
-            return
         fs, root = files_at(self.path)
-        paths = [f"{root}/{partition.stem}{x}.npy" for x in ("", "_index", "_label")]
+        paths = [f"{root}/{stem}{x}.npy" for x in ("", "_index", "_label")]
         there = [info.type == FileType.File for info in fs.get_file_info(paths)]
         heads = [Header.of(fs, p) if x else None for p, x in zip(paths, there, strict=True)]
         if any(h is not None and h.rows != heads[0].rows for h in heads):
-            raise ValueError(f"the arrays of {partition.stem} differ in rows")
+            raise ValueError(f"the arrays of {stem} differ in rows")
         files = [fs.open_input_file(p) if x else None for p, x in zip(paths, there, strict=True)]
         try:
-            for lo in range(partition.lo, partition.hi, BATCH_ROWS):
-                hi = min(lo + BATCH_ROWS, partition.hi)
+            for lo in range(begin, end, BATCH_ROWS):
+                hi = min(lo + BATCH_ROWS, end)
                 features, index, label = (h.read(f, lo, hi) if h is not None else None for h, f in zip(heads, files, strict=True))
                 n = hi - lo
+                if index is not None:
+                    index, read = index.astype(self.index), index
+                    if (index != read).any():
+                        raise ValueError(f"the index of {stem} does not fit {self.index}")
                 labels = pa.array(label.reshape(n, -1)[:, 0].astype(np.int32)) if label is not None else pa.nulls(n, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([partition.stem] * n), pa.array(np.arange(lo, hi)), _lists(index.astype(np.int32)) if index is not None else pa.nulls(n, pa.list_(pa.int32())), _lists(features.astype(np.float32)), labels],
+                    [pa.array([stem] * n), pa.array(np.arange(lo, hi)), _lists(index) if index is not None else pa.nulls(n, pa.list_(pa.from_numpy_dtype(self.index))), _lists(features.astype(np.float32)), labels],
                     names=["stem", "row", "index", "features", "label"],
                 )
         finally:
@@ -115,8 +136,8 @@ class Stored(WriterCommitMessage):
 class ArraysWriter(DataSourceArrowWriter):
     """Rows (stem, n, index, features, label); those of a stem come one after the other, n is their number."""
 
-    def __init__(self, path: str, dtype: str):
-        self.path, self.dtype, self.work = path.rstrip("/"), np.dtype(dtype), f"_work-{uuid.uuid4().hex[:12]}"
+    def __init__(self, path: str, dtype: str, index: str):
+        self.path, self.dtype, self.index, self.work = path.rstrip("/"), np.dtype(dtype), INDEX[index], f"_work-{uuid.uuid4().hex[:12]}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Stored:
         from pyspark import TaskContext
@@ -126,7 +147,7 @@ class ArraysWriter(DataSourceArrowWriter):
         now, files, left = None, {}, 0
 
         def begin(stem: str, row: dict) -> None:
-            for suffix, dtype, value in (("", self.dtype, row["features"]), ("_index", np.dtype(np.int32), row["index"]), ("_label", np.dtype(np.uint8), row["label"])):
+            for suffix, dtype, value in (("", self.dtype, row["features"]), ("_index", self.index, row["index"]), ("_label", np.dtype(np.uint8), row["label"])):
                 if value is None:
                     continue
                 at = f"{folder}/{stem}{suffix}.npy"
@@ -178,23 +199,29 @@ class ArraysSource(DataSource):
         return "svloom_arrays"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA.replace("array<int>", f"array<{self.options.get('index', 'int')}>")
 
     def reader(self, schema: StructType) -> ArraysReader:
-        return ArraysReader(self.options["path"])
+        return ArraysReader(self.options["path"], self.options.get("index", "int"))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArraysWriter:
-        return ArraysWriter(self.options["path"], self.options.get("dtype", "float16"))
+        return ArraysWriter(self.options["path"], self.options.get("dtype", "float16"), schema["index"].dataType.elementType.simpleString())
 
 
-def read_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """stem, row, index, features, label of all feature stores below path; index and label are null where their files are not there."""
+def read_arrays(spark: SparkSession, path: str, index: str = "int") -> DataFrame:
+    """stem, row, index, features, label of all feature stores below path; index and label are null where their files are not there.
+
+    index: int or bigint, what the index is read as; an index that does not fit is an error.
+    """
     spark.dataSource.register(ArraysSource)
-    return spark.read.format(ArraysSource.name()).option("path", path).load()
+    return spark.read.format(ArraysSource.name()).option("path", path).option("index", index).load()
 
 
 def write_arrays(windows: DataFrame, path: str, order: list[str], dtype: str = "float16") -> None:
-    """windows (stem, index, features, label and the columns of order) as array files, a store a stem, rows in order."""
+    """windows (stem, index, features, label and the columns of order) as array files, a store a stem, rows in order.
+
+    An index of int or bigint is written as what it is.
+    """
     spark = windows.sparkSession
     spark.dataSource.register(ArraysSource)
     sizes = windows.groupBy("stem").agg(F.count("*").alias("n"))
