@@ -56,3 +56,19 @@ def test_calls_without_reads_have_no_reference_support(spark, tables):
     _, _, r, _ = tables
     c = spark.createDataFrame([("a", None, "INS", 5, 50, ["x"]), ("b", "c9", "DEL", 5, 50, ["x"]), ("c", "c1", "BND", None, 1, None)], CALL)
     assert {x.call_id: x.ref_support for x in U.reference_support(c, r, ["call_id"]).select("call_id", F.col("ref_support")).collect()} == {"a": 0, "b": 0, "c": 0}
+
+
+def test_lists_of_first_reads_are_about_the_reads(spark, monkeypatch, tables):
+    """A read of 9,000 positions touches 10 cells of 1,000, but 3 or 4 of 4,000."""
+    reads, _, r, _ = tables
+    calls = [(str(k), "c1", "INS", k * 40, 1, []) for k in range(1000)]
+    rows, listed = [], U._listed
+    monkeypatch.setattr(U, "_listed", lambda *args: rows.append(listed(*args)) or rows[-1])
+    found = U.refine_reads(spark.createDataFrame(calls, CALL), r.select("contig", "read_ordinal", "ref_start", "ref_end"), ["call_id"], first=5000)
+    assert rows[0].count() <= 3.5 * sum(x[2] == "c1" for x in reads)
+    got = {}
+    for row in found.collect():
+        got.setdefault(row.call_id, []).append((row.nth, row.read_ordinal))
+    for call_id, contig, _, start, _, _ in calls:
+        hits = sorted((x[3], x[1]) for x in reads if x[2] == contig and x[3] < start + 201 and x[4] > max(0, start - 200))
+        assert sorted(got.get(call_id, [])) == [(n, x[1]) for n, x in enumerate(hits, 1)]
